@@ -168,3 +168,36 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     step = (hi - lo) / F.lit(float(bins))
     inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: k.cast("double") * step + lo)
     return F.size(F.filter(inner, lambda x: value > x))
+
+
+def position_in_group(df: DataFrame, group: list[str], order_by: list[str],
+                      out: str = "_pos", size_out: str | None = "_gsize") -> DataFrame:
+    """1-based position of each row inside its group, plus the group size.
+
+    A ``Window.partitionBy(group)`` would sort a hot group (say a third of all
+    rows) inside one task.  Here the rank comes from the range-partitioned
+    global order of (group, order_by); the group's first rank and size are a
+    per-group aggregate (partial aggregation) joined back on the group key.
+    """
+    ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
+    stats = ranked.groupBy(*group).agg(F.min("_grank").alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
+    res = ranked.join(stats, list(group)).withColumn(out, F.col("_grank") - F.col("_gstart") + 1)
+    if size_out:
+        res = res.withColumnRenamed("_gn", size_out)
+    else:
+        res = res.drop("_gn")
+    return res.drop("_gstart")
+
+
+def previous_in_group(df: DataFrame, group: list[str], order_by: list[str], value: str,
+                      out: str) -> DataFrame:
+    """``lag(value)`` within ``group`` in ``order_by`` order, skew-safe.
+
+    Rows are numbered globally (range partitioned), then each row is joined to
+    the row numbered one lower with the same group key.  The join key
+    (group, number) is unique, so no hot group lands in a single task.
+    """
+    ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
+    prev = ranked.select(*[F.col(g) for g in group], (F.col("_grank") + 1).alias("_grank"),
+                         F.col(value).alias(out))
+    return ranked.join(prev, list(group) + ["_grank"], "left").drop("_grank")

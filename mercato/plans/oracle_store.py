@@ -197,3 +197,191 @@ SELECT total_revenue, total_orders, unique_customers, avg_ticket,
        b.nrows AS total_rows
 FROM a, b
 """
+
+
+def _qbin(col: str, q: int, rank_col: str, edges_col: str, n_col: str, reverse: bool = False) -> str:
+    """SQL for pandas qcut bins: compare with exact edges when they are distinct, else bin the rank."""
+    distinct = " AND ".join(f"{edges_col}[{i}] < {edges_col}[{i + 1}]" for i in range(1, q + 1))
+    by_edges = "1 + " + " + ".join(f"CAST({col} > {edges_col}[{i}] AS INTEGER)" for i in range(2, q + 1))
+    by_rank = f"greatest(1, CAST(ceil({q} * ({rank_col} - 1) / greatest({n_col} - 1, 1)) AS INTEGER))"
+    b = f"CAST(CASE WHEN {distinct} THEN {by_edges} ELSE {by_rank} END AS INTEGER)"
+    return f"({q + 1} - {b})" if reverse else b
+
+
+def _fracs(q: int) -> str:
+    return "[" + ", ".join(str(i / q) for i in range(q + 1)) + "]"
+
+
+SEGMENT = """CASE WHEN recency_score >= 4 AND frequency_score >= 4 AND monetary_score >= 4 THEN 'Champions'
+     WHEN recency_score >= 3 AND frequency_score >= 3 AND monetary_score >= 3 THEN 'Loyal'
+     WHEN recency_score >= 3 AND frequency_score <= 2 THEN 'Potential Loyal'
+     WHEN recency_score >= 4 AND frequency_score = 1 THEN 'New'
+     WHEN recency_score = 3 AND frequency_score = 1 THEN 'Promising'
+     WHEN recency_score = 2 AND frequency_score >= 2 AND frequency_score <= 3 THEN 'Need Attention'
+     WHEN recency_score = 2 AND frequency_score >= 1 AND frequency_score <= 2 THEN 'About to Sleep'
+     WHEN recency_score <= 2 AND frequency_score >= 3 THEN 'At Risk'
+     WHEN recency_score = 1 AND frequency_score >= 4 THEN 'Can''t Lose'
+     WHEN recency_score <= 2 AND frequency_score <= 2 AND monetary_score <= 2 THEN 'Hibernating'
+     WHEN recency_score = 1 AND frequency_score = 1 THEN 'Lost'
+     ELSE 'Other' END"""
+
+DAYS_BETWEEN = "CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000.0) AS BIGINT)"
+
+RFM = f"""
+, o AS (SELECT * FROM ords WHERE email IS NOT NULL AND email <> '' AND "date" IS NOT NULL
+                               AND total IS NOT NULL AND total > 0),
+ref AS (SELECT max("date") + INTERVAL 1 DAY AS r FROM o),
+c AS (SELECT email, {DAYS_BETWEEN.format(a='max("date")', b='(SELECT r FROM ref)')} AS recency,
+             count(DISTINCT order_id) AS frequency, sum(total) AS monetary
+      FROM o GROUP BY email),
+e AS (SELECT quantile_cont(recency, {_fracs(5)}) AS er, quantile_cont(frequency, {_fracs(5)}) AS ef,
+             quantile_cont(monetary, {_fracs(5)}) AS em, count(*) AS n FROM c),
+rk AS (SELECT email, row_number() OVER (ORDER BY recency, email) AS rr,
+              row_number() OVER (ORDER BY frequency, email) AS rf,
+              row_number() OVER (ORDER BY monetary, email) AS rm FROM c),
+sc AS (SELECT c.*, {_qbin('recency', 5, 'rr', 'er', 'n', reverse=True)} AS recency_score,
+              {_qbin('frequency', 5, 'rf', 'ef', 'n')} AS frequency_score,
+              {_qbin('monetary', 5, 'rm', 'em', 'n')} AS monetary_score
+       FROM c JOIN rk USING (email), e
+       WHERE (SELECT count(*) FROM o) >= 50),
+rfm AS (SELECT *, {SEGMENT} AS segment FROM sc)"""
+
+SQL["ec_rfm_scores"] = RFM + """
+SELECT email, recency, frequency, monetary, recency_score, frequency_score, monetary_score, segment FROM rfm
+"""
+
+SQL["ec_rfm_segments"] = RFM + """
+SELECT segment, count(*) AS count, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
+       avg(monetary) AS avg_monetary, count(*) * 100.0 / (SELECT count(*) FROM rfm) AS pct
+FROM rfm GROUP BY segment
+"""
+
+CLV = f"""
+, o AS (SELECT * FROM ords WHERE email IS NOT NULL AND "date" IS NOT NULL AND total > 0),
+c0 AS (SELECT email, sum(total) AS total_revenue, count(DISTINCT order_id) AS order_count,
+              min("date") AS f, max("date") AS l FROM o GROUP BY email),
+c1 AS (SELECT *, total_revenue / order_count AS aov, {DAYS_BETWEEN.format(a='f', b='l')} AS lifespan_days FROM c0),
+c2 AS (SELECT *, CASE WHEN order_count > 1 THEN lifespan_days / (order_count - 1) END AS avg_days_between FROM c1),
+cl AS (SELECT *, aov * (CASE WHEN avg_days_between IS NOT NULL AND avg_days_between > 0 THEN 365 / avg_days_between
+                             ELSE CAST(order_count AS DOUBLE) END) * 3 AS clv_3y FROM c2)"""
+
+SQL["ec_clv"] = CLV + """
+SELECT count(*) AS total_customers, avg(clv_3y) AS avg_clv, quantile_cont(clv_3y, 0.5) AS median_clv,
+       avg(aov) AS avg_aov, avg(order_count) AS avg_orders, avg(lifespan_days) AS avg_lifespan_days FROM cl
+"""
+
+SQL["ec_clv_top"] = CLV + """
+SELECT email, total_revenue, order_count, aov, clv_3y FROM cl ORDER BY clv_3y DESC, email LIMIT 10
+"""
+
+SQL["ec_clv_quartiles"] = CLV + f"""
+, e AS (SELECT quantile_cont(clv_3y, {_fracs(4)}) AS ec, count(*) AS n FROM cl),
+rk AS (SELECT email, row_number() OVER (ORDER BY clv_3y, email) AS rc FROM cl),
+b AS (SELECT cl.*, {_qbin('clv_3y', 4, 'rc', 'ec', 'n')} AS qb FROM cl JOIN rk USING (email), e)
+SELECT (['Low', 'Medium', 'High', 'Very High'])[qb] AS clv_quartile, count(*) AS count, avg(clv_3y) AS avg_clv,
+       avg(aov) AS avg_aov, avg(order_count) AS avg_orders
+FROM b GROUP BY qb
+"""
+
+COHORT = """
+, om AS (SELECT email, CAST(date_trunc('month', "date") AS DATE) AS m FROM ords
+         WHERE email IS NOT NULL AND "date" IS NOT NULL GROUP BY 1, 2),
+fc AS (SELECT email, min(m) AS cohort FROM om GROUP BY email),
+cnt AS (SELECT cohort, CAST((year(m) - year(cohort)) * 12 + month(m) - month(cohort) AS INTEGER) AS months_since,
+               count(*) AS customers FROM om JOIN fc USING (email) GROUP BY 1, 2),
+sz AS (SELECT cohort, customers AS cohort_size FROM cnt WHERE months_since = 0 ORDER BY cohort DESC LIMIT 12),
+pr AS (SELECT DISTINCT months_since FROM cnt WHERE months_since <= 12),
+cm AS (SELECT strftime(g.cohort, '%Y-%m') AS cohort, g.months_since, coalesce(c.customers, 0) AS customers,
+              g.cohort_size, coalesce(c.customers, 0) * 100.0 / g.cohort_size AS retention_pct
+       FROM (SELECT sz.cohort, sz.cohort_size, pr.months_since FROM sz, pr) g
+       LEFT JOIN cnt c ON c.cohort = g.cohort AND c.months_since = g.months_since)"""
+
+SQL["ec_cohort_matrix"] = COHORT + "\nSELECT * FROM cm\n"
+SQL["ec_cohort_curve"] = COHORT + "\nSELECT months_since, avg(retention_pct) AS avg_retention_pct FROM cm GROUP BY 1\n"
+
+COUNTS = """
+, c AS (SELECT email, count(DISTINCT order_id) AS order_count FROM ords
+        WHERE email IS NOT NULL AND "date" IS NOT NULL GROUP BY email)"""
+
+SQL["ec_repurchase"] = COUNTS + """
+SELECT count(*) AS total_customers, count(*) FILTER (WHERE order_count >= 2) AS repeat_customers,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE order_count >= 2) * 100.0 / count(*) END
+         AS repurchase_rate
+FROM c
+"""
+
+SQL["ec_order_count_distribution"] = COUNTS + """
+SELECT order_count AS orders, count(*) AS customers FROM c GROUP BY 1 ORDER BY 1 LIMIT 10
+"""
+
+SQL["ec_purchase_gaps"] = f"""
+, d AS (SELECT DISTINCT email, "date" FROM ords WHERE email IS NOT NULL AND "date" IS NOT NULL),
+g AS (SELECT {DAYS_BETWEEN.format(a='lag("date") OVER (PARTITION BY email ORDER BY "date")', b='"date"')} AS gap FROM d),
+gg AS (SELECT gap FROM g WHERE gap > 0)
+SELECT quantile_cont(gap, 0.5) AS median_days, avg(gap) AS mean_days,
+       quantile_cont(gap, 0.25) AS p25_days, quantile_cont(gap, 0.75) AS p75_days FROM gg
+"""
+
+UPG = """
+, o AS (SELECT email, "date", order_id, total FROM ords WHERE email IS NOT NULL AND "date" IS NOT NULL AND total > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY "date", order_id) AS pos,
+             count(*) OVER (PARTITION BY email) AS n FROM o),
+u AS (SELECT email, avg(total) FILTER (WHERE pos <= n // 2) AS first_half_aov,
+             avg(total) FILTER (WHERE pos > n // 2) AS second_half_aov FROM p WHERE n >= 3 GROUP BY email),
+uu AS (SELECT *, (second_half_aov - first_half_aov) / first_half_aov * 100 AS change_pct FROM u WHERE first_half_aov > 0)"""
+
+SQL["ec_upgrade_pattern"] = UPG + """
+SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE change_pct > 20) AS upgraders,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE change_pct > 20) * 100.0 / count(*) END AS upgrader_pct,
+       count(*) FILTER (WHERE change_pct < -20) AS downgraders,
+       coalesce(avg(change_pct) FILTER (WHERE change_pct > 20), 0.0) AS avg_upgrade_pct
+FROM uu
+"""
+
+SQL["ec_top_upgraders"] = UPG + """
+SELECT email, first_half_aov, second_half_aov, change_pct FROM uu WHERE change_pct > 20
+ORDER BY change_pct DESC, email LIMIT 10
+"""
+
+VIP = """
+, o AS (SELECT * FROM ords WHERE email IS NOT NULL AND total > 0),
+c AS (SELECT email, sum(total) AS revenue, count(DISTINCT order_id) AS orders, avg(total) AS aov FROM o GROUP BY email),
+v AS (SELECT * FROM c WHERE revenue >= (SELECT quantile_cont(revenue, 0.9) FROM c))"""
+
+SQL["ec_vip_customers"] = VIP + "\nSELECT * FROM v ORDER BY revenue DESC, email LIMIT 15\n"
+SQL["ec_vip_summary"] = VIP + """
+SELECT count(*) AS vip_count, count(*) * 100.0 / (SELECT count(*) FROM c) AS vip_pct, sum(revenue) AS vip_revenue,
+       sum(revenue) * 100.0 / (SELECT sum(revenue) FROM c) AS vip_revenue_pct,
+       avg(orders) AS avg_orders, avg(aov) AS avg_aov FROM v
+"""
+SQL["ec_vip_products"] = VIP + """
+SELECT product_name, count(*) AS count FROM lines
+WHERE product_name IS NOT NULL AND email IN (SELECT email FROM v)
+GROUP BY 1 ORDER BY count DESC, product_name LIMIT 10
+"""
+SQL["ec_vip_states"] = VIP + """
+SELECT state, count(*) AS count FROM o WHERE state IS NOT NULL AND email IN (SELECT email FROM v)
+GROUP BY 1 ORDER BY count DESC, state LIMIT 10
+"""
+
+CHURN = f"""
+, o AS (SELECT * FROM ords WHERE email IS NOT NULL AND "date" IS NOT NULL),
+c AS (SELECT email, count(DISTINCT order_id) AS order_count, max("date") AS l, min("date") AS f FROM o GROUP BY email),
+iv AS (SELECT coalesce((SELECT quantile_cont({DAYS_BETWEEN.format(a='f', b='l')} / (order_count - 1), 0.5)
+                        FROM c WHERE order_count >= 2), 90.0) AS ivl),
+th AS (SELECT ivl, greatest(ivl * 2, 60.0) AS threshold FROM iv),
+cc AS (SELECT c.*, {DAYS_BETWEEN.format(a='l', b='(SELECT max("date") FROM o)')} > (SELECT threshold FROM th) AS is_churned
+       FROM c)"""
+
+SQL["ec_churn"] = CHURN + """
+SELECT count(*) AS total_customers, count(*) FILTER (WHERE is_churned) AS churned,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE is_churned) * 100.0 / count(*) END AS churn_rate,
+       count(*) FILTER (WHERE NOT is_churned) AS active,
+       (SELECT threshold FROM th) AS churn_threshold_days, (SELECT ivl FROM th) AS avg_purchase_interval
+FROM cc
+"""
+SQL["ec_churn_products"] = CHURN + """
+SELECT product_name, count(*) AS count FROM lines
+WHERE product_name IS NOT NULL AND email IN (SELECT email FROM cc WHERE is_churned)
+GROUP BY 1 ORDER BY count DESC, product_name LIMIT 10
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from mercato.operators.store import customer as cu
 from mercato.operators.store import orders as so
 from mercato.operators.store import revenue as rv
 
@@ -40,6 +41,26 @@ register("ec_revenue_by_channel", rv.revenue_by_channel)
 register("ec_forecast", rv.forecast)
 register("ec_forecast_history", rv.forecast_history)
 
+register("ec_rfm_scores", cu.rfm_scores)
+register("ec_rfm_segments", cu.rfm_segments)
+register("ec_clv", cu.clv)
+register("ec_clv_top", cu.clv_top)
+register("ec_clv_quartiles", cu.clv_quartiles)
+register("ec_cohort_matrix", cu.cohort_matrix)
+register("ec_cohort_curve", cu.cohort_curve)
+register("ec_repurchase", cu.repurchase)
+register("ec_order_count_distribution", cu.order_count_distribution)
+register("ec_purchase_gaps", cu.purchase_gaps)
+register("ec_upgrade_pattern", cu.upgrade_pattern)
+register("ec_top_upgraders", cu.top_upgraders)
+register("ec_vip_customers", cu.vip_customers)
+register("ec_vip_summary", cu.vip_summary)
+register("ec_vip_products", cu.vip_products)
+register("ec_vip_states", cu.vip_states)
+register("ec_churn", cu.churn)
+register("ec_churn_products", cu.churn_products)
+register("ec_niche_clusters", cu.niche_clusters)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
