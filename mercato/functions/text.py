@@ -80,7 +80,7 @@ def extract_color(name) -> Column:
     """First colour of the list that occurs as a whole word, capitalised."""
     tokens = F.split(F.lower(col(name)), r"\s+")
     hits = F.filter(F.array(*[F.lit(c) for c in COLOURS]), lambda c: F.array_contains(tokens, c))
-    return F.initcap(F.element_at(hits, 1))
+    return F.initcap(F.try_element_at(hits, F.lit(1)))
 
 
 def extract_size(name, sku) -> Column:
@@ -89,7 +89,7 @@ def extract_size(name, sku) -> Column:
     tokens = F.split(F.trim(F.regexp_replace(combined, "[-/]", " ")), r"\s+")
     sizes = F.array(*[F.lit(s) for s in SIZES])
     hits = F.filter(tokens, lambda t: F.array_contains(sizes, t))
-    return F.upper(F.element_at(hits, 1))
+    return F.upper(F.try_element_at(hits, F.lit(1)))
 
 
 # ----------------------------------------------------------- ad names

@@ -385,3 +385,363 @@ SELECT product_name, count(*) AS count FROM lines
 WHERE product_name IS NOT NULL AND email IN (SELECT email FROM cc WHERE is_churned)
 GROUP BY 1 ORDER BY count DESC, product_name LIMIT 10
 """
+
+# ------------------------------------------------------------------ name rules in SQL
+BASE = ("trim(split_part(trim(regexp_replace(trim(product_name), '\\s*\\([^)]*\\)\\s*$', '')), ' - ', 1))")
+CATEGORY = """(CASE WHEN product_name IS NULL THEN 'Sin categoría'
+     WHEN instr(trim(product_name), ' - ') > 0 THEN trim(split_part(trim(product_name), ' - ', 1))
+     WHEN instr(trim(product_name), ' | ') > 0 THEN trim(split_part(trim(product_name), ' | ', 1))
+     WHEN instr(trim(product_name), ' / ') > 0 THEN trim(split_part(trim(product_name), ' / ', 1))
+     WHEN regexp_extract(trim(product_name), '^(\\S+)', 1) <> '' THEN regexp_extract(trim(product_name), '^(\\S+)', 1)
+     ELSE 'Sin categoría' END)"""
+VARIANT_BASE = """(CASE WHEN instr(product_name, ' - ') > 0 THEN trim(split_part(product_name, ' - ', 1))
+     WHEN instr(product_name, ' | ') > 0 THEN trim(split_part(product_name, ' | ', 1))
+     WHEN instr(product_name, ' / ') > 0 THEN trim(split_part(product_name, ' / ', 1))
+     ELSE trim(product_name) END)"""
+_COLOURS = ("['negro','blanco','rojo','azul','verde','rosa','gris','beige','marrón','marron','celeste','naranja',"
+            "'violeta','bordo','crudo','natural','nude','camel','coral','fucsia','lila','mostaza','terracota',"
+            "'turquesa','dorado','plateado','chocolate','arena','hueso','salmón','salmon','oliva','tostado','aqua',"
+            "'ivory','black','white','red','blue','green','pink','grey','gray','brown','orange','purple','yellow',"
+            "'gold','silver']")
+_SIZES = ("['xxs','xs','s','m','l','xl','xxl','xxxl','2xl','3xl','unico','único','u','os','one size','free size',"
+          "'34','35','36','37','38','39','40','41','42','43','44','45','46','28','29','30','31','32','33']")
+_COLOR_HIT = f"list_filter({_COLOURS}, lambda c: list_contains(string_split_regex(lower(product_name), '\\s+'), c))[1]"
+COLOR = f"(upper(({_COLOR_HIT})[1]) || lower(({_COLOR_HIT})[2:]))"
+SIZE = (f"upper(list_filter(string_split_regex(trim(regexp_replace(lower(concat_ws(' ', product_name, sku)), "
+        f"'[-/]', ' ', 'g')), '\\s+'), lambda t: list_contains({_SIZES}, t))[1])")
+REV = "coalesce(product_price, 0.0) * coalesce(product_qty, 1)"
+CANC3 = "coalesce(order_status IN ('cancelled', 'Cancelada', 'cancelada'), false)"
+
+RECENT = """
+, mx AS (SELECT max("date") AS d FROM l),
+f AS (SELECT l.*, l."date" >= mx.d - INTERVAL 3 MONTH AS rec,
+             (l."date" < mx.d - INTERVAL 3 MONTH AND l."date" >= (mx.d - INTERVAL 3 MONTH) - INTERVAL 3 MONTH) AS pri
+      FROM l, mx)"""
+TREND = """CASE WHEN coalesce(sum(rev) FILTER (WHERE pri), 0) > 0
+            THEN (coalesce(sum(rev) FILTER (WHERE rec), 0) - sum(rev) FILTER (WHERE pri)) / sum(rev) FILTER (WHERE pri) * 100
+            WHEN coalesce(sum(rev) FILTER (WHERE rec), 0) > 0 THEN 100.0 ELSE 0.0 END"""
+
+SQL["ec_product_ranking"] = f"""
+, l AS (SELECT *, {REV} AS rev FROM lines WHERE product_name IS NOT NULL){RECENT}
+SELECT product_name, sum(rev) AS revenue, CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS units,
+       count(DISTINCT order_id) AS orders, avg(product_price) AS avg_price, {TREND} AS trend_pct,
+       (SELECT count(DISTINCT product_name) FROM l) AS total_products
+FROM f GROUP BY product_name ORDER BY revenue DESC, product_name LIMIT 30
+"""
+
+SQL["ec_anchor_products"] = """
+, it AS (SELECT DISTINCT order_id, trim(product_name) AS item FROM lines WHERE product_name IS NOT NULL AND order_id IS NOT NULL),
+mo AS (SELECT order_id FROM it GROUP BY order_id HAVING count(*) >= 2),
+m AS (SELECT * FROM it WHERE order_id IN (SELECT order_id FROM mo)),
+cnt AS (SELECT item, count(*) AS multi_order_count FROM m GROUP BY item ORDER BY multi_order_count DESC, item LIMIT 20),
+comp AS (SELECT a.item AS anchor, b.item AS companion, count(*) AS companion_count
+         FROM m a JOIN m b ON a.order_id = b.order_id AND a.item <> b.item
+         WHERE a.item IN (SELECT item FROM cnt) GROUP BY 1, 2),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY companion_count DESC, companion) AS INTEGER)
+              AS companion_rank FROM comp)
+SELECT cnt.item AS product, cnt.multi_order_count, rk.companion, rk.companion_count, rk.companion_rank
+FROM cnt JOIN rk ON rk.anchor = cnt.item WHERE rk.companion_rank <= 5 AND (SELECT count(*) FROM mo) >= 10
+"""
+
+SQL["ec_pareto"] = f"""
+, l AS (SELECT product_name, sum({REV}) AS revenue FROM lines WHERE product_name IS NOT NULL GROUP BY 1),
+t AS (SELECT sum(revenue) AS tot, count(*) AS n FROM l),
+c AS (SELECT *, sum(revenue) OVER (ORDER BY revenue DESC, product_name ROWS UNBOUNDED PRECEDING)
+                / (SELECT tot FROM t) * 100 AS cumulative_pct FROM l),
+p80 AS (SELECT least(count(*) FILTER (WHERE cumulative_pct <= 80) + 1, (SELECT n FROM t)) AS k FROM c)
+SELECT product_name, revenue, revenue / (SELECT tot FROM t) * 100 AS pct_of_total, cumulative_pct,
+       (SELECT n FROM t) AS total_products, (SELECT k FROM p80) AS products_80_pct,
+       (SELECT k FROM p80) * 100.0 / (SELECT n FROM t) AS pct_products_80
+FROM c WHERE (SELECT tot FROM t) > 0 ORDER BY revenue DESC, product_name LIMIT 30
+"""
+
+SQL["ec_cancel_by_product"] = f"""
+, l AS (SELECT *, CAST({CANC3} AS INTEGER) AS c FROM lines WHERE product_name IS NOT NULL),
+o AS (SELECT avg(c) AS r FROM l),
+g AS (SELECT product_name, count(DISTINCT order_id) AS total_orders, CAST(sum(c) AS BIGINT) AS cancelled FROM l GROUP BY 1)
+SELECT product_name, total_orders, cancelled, cancelled / total_orders AS cancel_rate, (SELECT r FROM o) AS overall_rate
+FROM g WHERE cancelled / total_orders > (SELECT r FROM o) * 1.2 AND total_orders >= 5
+ORDER BY cancel_rate DESC, product_name LIMIT 15
+"""
+
+SQL["ec_revenue_by_category"] = f"""
+, l AS (SELECT *, {CATEGORY} AS category, {REV} AS rev FROM lines WHERE product_name IS NOT NULL){RECENT},
+g AS (SELECT category, sum(rev) AS revenue, CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS units,
+             count(DISTINCT product_name) AS products, {TREND} AS trend_pct FROM f GROUP BY 1)
+SELECT category, revenue, units, products,
+       CASE WHEN (SELECT sum(revenue) FROM g) > 0 THEN revenue / (SELECT sum(revenue) FROM g) * 100 ELSE 0.0 END AS pct,
+       trend_pct
+FROM g ORDER BY revenue DESC, category LIMIT 20
+"""
+
+SQL["ec_category_distribution"] = f"""
+SELECT {CATEGORY} AS category, sum({REV}) AS revenue FROM lines GROUP BY 1 ORDER BY revenue DESC, category LIMIT 15
+"""
+
+COLOR_LINES = f"""
+, cl AS (SELECT * FROM (SELECT *, {COLOR} AS color FROM lines WHERE product_name IS NOT NULL) WHERE color IS NOT NULL)"""
+
+SQL["ec_color_distribution"] = COLOR_LINES + """
+SELECT color, count(*) AS count FROM cl WHERE (SELECT count(*) FROM cl) >= 50
+GROUP BY color ORDER BY count DESC, color LIMIT 20
+"""
+
+SQL["ec_color_pairs"] = COLOR_LINES + """
+, ob AS (SELECT DISTINCT order_id, color FROM cl WHERE order_id IS NOT NULL),
+mo AS (SELECT order_id FROM ob GROUP BY 1 HAVING count(*) >= 2)
+SELECT a.color AS color_a, b.color AS color_b, count(*) AS count
+FROM ob a JOIN ob b ON a.order_id = b.order_id AND a.color < b.color
+WHERE (SELECT count(*) FROM cl) >= 50 AND (SELECT count(*) FROM mo) >= 5
+GROUP BY 1, 2 ORDER BY count DESC, color_a, color_b LIMIT 15
+"""
+
+SIZE_LINES = f"""
+, sl AS (SELECT * FROM (SELECT *, {SIZE} AS size FROM lines WHERE product_name IS NOT NULL) WHERE size IS NOT NULL)"""
+
+SQL["ec_size_distribution"] = SIZE_LINES + """
+SELECT size, count(*) AS count FROM sl WHERE (SELECT count(*) FROM sl) >= 50 GROUP BY size
+"""
+
+SQL["ec_multi_size_customers"] = SIZE_LINES + """
+, per AS (SELECT email, count(DISTINCT size) AS k FROM sl WHERE email IS NOT NULL GROUP BY email),
+a AS (SELECT count(*) FILTER (WHERE k >= 2) AS customers_multi_size, count(*) AS alln FROM per)
+SELECT customers_multi_size, customers_multi_size * 100.0 / alln AS pct_multi_size FROM a
+WHERE customers_multi_size > 0 AND (SELECT count(*) FROM sl) >= 50
+"""
+
+SQL["ec_sku_variants"] = f"""
+, l AS (SELECT * FROM lines WHERE sku IS NOT NULL AND sku <> '' AND product_name IS NOT NULL),
+v AS (SELECT {VARIANT_BASE} AS base, sku, sum({REV}) AS revenue, CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS units,
+             avg(product_price) AS avg_price FROM l GROUP BY 1, 2),
+b AS (SELECT base FROM v GROUP BY base HAVING count(*) >= 2 ORDER BY base LIMIT 15)
+SELECT v.*, CAST(row_number() OVER (PARTITION BY v.base ORDER BY revenue DESC, sku) AS INTEGER) AS variant_rank
+FROM v WHERE base IN (SELECT base FROM b) AND (SELECT count(*) FROM l) >= 20
+"""
+
+LIFECYCLE = f"""
+, l AS (SELECT * FROM lines WHERE product_name IS NOT NULL AND "date" IS NOT NULL),
+mon AS (SELECT product_name, date_trunc('month', "date") AS m, sum({REV}) AS rev FROM l GROUP BY 1, 2),
+el AS (SELECT product_name, count(*) AS months_active FROM mon GROUP BY 1 HAVING count(*) >= 6 ORDER BY product_name LIMIT 20),
+s AS (SELECT mon.*, el.months_active, row_number() OVER (PARTITION BY mon.product_name ORDER BY m) AS rn
+      FROM mon JOIN el USING (product_name)),
+a AS (SELECT product_name, months_active, sum(rev) AS total_revenue, avg(rev) FILTER (WHERE rn <= 3) AS e,
+             avg(rev) FILTER (WHERE rn > months_active - 3) AS r,
+             avg(rev) FILTER (WHERE rn > months_active // 3 AND rn <= (2 * months_active) // 3) AS mid
+      FROM s GROUP BY 1, 2),
+lc AS (SELECT product_name,
+              CASE WHEN r > mid * 1.1 AND r > e THEN 'Growth' WHEN r < mid * 0.8 THEN 'Decline'
+                   WHEN r > e * 1.5 THEN 'Growth'
+                   WHEN (CASE WHEN mid > 0 THEN abs(r - mid) / mid < 0.15 ELSE true END) THEN 'Maturity'
+                   ELSE 'Introduction' END AS stage, months_active, total_revenue FROM a)"""
+
+SQL["ec_product_lifecycle"] = LIFECYCLE + "\nSELECT * FROM lc\n"
+SQL["ec_lifecycle_stages"] = LIFECYCLE + "\nSELECT stage, count(*) AS count FROM lc GROUP BY stage\n"
+
+PRICED = "\n, pp AS (SELECT * FROM lines WHERE product_price IS NOT NULL AND product_price > 0)"
+
+SQL["ec_price_stats"] = PRICED + """
+SELECT * FROM (SELECT min(product_price) AS min_price, max(product_price) AS max_price, avg(product_price) AS mean_price,
+                      quantile_cont(product_price, 0.5) AS median_price, count(*) AS total_items FROM pp)
+WHERE total_items >= 20
+"""
+
+SQL["ec_price_sweet_spots"] = PRICED + """
+, pst AS (SELECT min(product_price) AS lo, max(product_price) AS hi, count(*) AS n FROM pp),
+b AS (SELECT CAST(len(list_filter(range(1, 20), lambda k: pp.product_price > CAST(k AS DOUBLE) * ((pst.hi - pst.lo) / 20.0) + pst.lo))
+                  AS INTEGER) AS bin, product_qty FROM pp, pst),
+v AS (SELECT bin, CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS volume FROM b GROUP BY bin)
+SELECT bin, CASE WHEN bin = 0 THEN lo - (hi - lo) * 0.001 ELSE CAST(bin AS DOUBLE) * ((hi - lo) / 20.0) + lo END AS bin_left,
+       CASE WHEN bin = 19 THEN hi ELSE CAST(bin + 1 AS DOUBLE) * ((hi - lo) / 20.0) + lo END AS bin_right, volume
+FROM v, pst WHERE n >= 20 ORDER BY volume DESC, bin LIMIT 5
+"""
+
+CATPRICE = f"""
+, l AS (SELECT *, {CATEGORY} AS category FROM lines WHERE product_name IS NOT NULL AND product_price > 0),
+g AS (SELECT category, avg(product_price) AS avg_price, quantile_cont(product_price, 0.5) AS median_price,
+             sum(product_price * product_qty) / sum(product_qty) AS weighted_price,
+             count(DISTINCT product_name) AS product_count FROM l GROUP BY 1 HAVING count(*) >= 5),
+top AS (SELECT * FROM g ORDER BY product_count DESC, category LIMIT 15),
+pr AS (SELECT l.category, l.product_name, top.weighted_price, avg(l.product_price) AS avg_price,
+              CAST(coalesce(sum(l.product_qty), 0) AS BIGINT) AS units
+       FROM l JOIN top USING (category) GROUP BY 1, 2, 3)"""
+
+SQL["ec_category_pricing"] = CATPRICE + "\nSELECT category, avg_price, median_price, weighted_price, product_count FROM top\n"
+SQL["ec_underpriced"] = CATPRICE + """
+SELECT category, product_name, avg_price, units FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY units DESC, product_name) AS r
+  FROM pr WHERE avg_price < weighted_price * 0.7) WHERE r <= 3
+"""
+SQL["ec_overpriced"] = CATPRICE + """
+SELECT category, product_name, avg_price, units FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY units ASC, product_name) AS r
+  FROM pr WHERE avg_price > weighted_price * 1.5) WHERE r <= 3
+"""
+
+# ------------------------------------------------------------------ baskets (plain self-joins in the oracle)
+
+
+def _basket_base(item: str, where: str = "product_name IS NOT NULL AND ") -> str:
+    return f"""
+, it AS (SELECT DISTINCT order_id, {item} AS item FROM lines WHERE {where}order_id IS NOT NULL),
+ob AS (SELECT order_id, count(*) AS k FROM it GROUP BY 1),
+tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE k >= 2) AS multi FROM ob),
+fr AS (SELECT item, count(*) AS f FROM it GROUP BY 1),
+ms AS (SELECT CASE WHEN n > 1000 THEN 0.003 ELSE 0.01 END AS s, n FROM tot),
+pc AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS cnt
+       FROM it a JOIN it b ON a.order_id = b.order_id AND a.item < b.item GROUP BY 1, 2)"""
+
+
+PAIRS = _basket_base(BASE) + """
+, pt AS (SELECT * FROM pc ORDER BY cnt DESC, item_a, item_b LIMIT 200),
+pm AS (SELECT pt.item_a, pt.item_b, pt.cnt AS count, pt.cnt / ms.n * 100 AS support,
+              greatest(pt.cnt / fa.f, pt.cnt / fb.f) * 100 AS confidence,
+              (pt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n)) AS lift
+       FROM pt, ms, fr fa, fr fb WHERE fa.item = pt.item_a AND fb.item = pt.item_b AND pt.cnt / ms.n >= ms.s),
+pairs AS (SELECT * FROM pm WHERE lift > 1.0 ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b LIMIT 30),
+pr AS (SELECT *, CAST(row_number() OVER (ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b) AS INTEGER) AS rank
+       FROM pairs WHERE (SELECT multi FROM tot) >= 10)"""
+
+SQL["ec_basket_pairs"] = PAIRS + "\nSELECT item_a, item_b, count, support, confidence, lift, rank FROM pr\n"
+
+TYPE_ITEM = "trim(string_split(product_name, ' - ')[-1])"
+SQL["ec_basket_trios"] = _basket_base(TYPE_ITEM) + """
+, tc AS (SELECT a.item AS item_a, b.item AS item_b, c.item AS item_c, count(*) AS cnt
+         FROM it a JOIN it b ON a.order_id = b.order_id AND a.item < b.item
+                   JOIN it c ON c.order_id = a.order_id AND b.item < c.item GROUP BY 1, 2, 3),
+tt AS (SELECT * FROM tc ORDER BY cnt DESC, item_a, item_b, item_c LIMIT 50),
+tm AS (SELECT tt.item_a, tt.item_b, tt.item_c, tt.cnt AS count, tt.cnt / ms.n * 100 AS support,
+              (tt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n) * (fc.f / ms.n)) AS lift
+       FROM tt, ms, fr fa, fr fb, fr fc
+       WHERE fa.item = tt.item_a AND fb.item = tt.item_b AND fc.item = tt.item_c AND tt.cnt / ms.n >= ms.s * 0.5)
+SELECT *, CAST(row_number() OVER (ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b, item_c) AS INTEGER) AS rank
+FROM (SELECT * FROM tm WHERE lift > 0 ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b, item_c LIMIT 15)
+WHERE (SELECT multi FROM tot) >= 10
+"""
+
+SQL["ec_basket_summary"] = _basket_base(BASE) + """
+SELECT n AS total_orders, multi AS multi_product_orders,
+       CASE WHEN n > 0 THEN multi * 100.0 / n ELSE 0.0 END AS multi_product_pct FROM tot
+"""
+
+SQL["ec_category_affinity"] = _basket_base(CATEGORY, where="") + """
+, pt AS (SELECT * FROM pc ORDER BY cnt DESC, item_a, item_b LIMIT 30),
+pm AS (SELECT pt.item_a AS category_a, pt.item_b AS category_b, pt.cnt AS count, pt.cnt / ms.n * 100 AS support,
+              (pt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n)) AS lift
+       FROM pt, ms, fr fa, fr fb WHERE fa.item = pt.item_a AND fb.item = pt.item_b)
+SELECT *, CAST(row_number() OVER (ORDER BY round(lift, 2) DESC, count DESC, category_a, category_b) AS INTEGER) AS rank
+FROM (SELECT * FROM pm ORDER BY round(lift, 2) DESC, count DESC, category_a, category_b LIMIT 20)
+WHERE (SELECT multi FROM tot) >= 5
+"""
+
+SQL["ec_bundles"] = PAIRS + f"""
+, pz AS (SELECT {BASE} AS b, avg(product_price) AS p FROM lines
+         WHERE product_name IS NOT NULL AND product_price IS NOT NULL GROUP BY 1),
+bt AS (SELECT pr.*, coalesce(pa.p, 0.0) + coalesce(pb.p, 0.0) AS tot FROM pr
+       LEFT JOIN pz pa ON pa.b = pr.item_a LEFT JOIN pz pb ON pb.b = pr.item_b WHERE pr.rank <= 15)
+SELECT item_a, item_b, tot AS individual_total, tot * 0.9 AS bundle_price_10pct, tot * 0.85 AS bundle_price_15pct,
+       lift, count, support FROM bt WHERE tot > 0
+"""
+
+SQL["ec_cross_sell"] = PAIRS + f"""
+, recs AS (SELECT item_a AS product, item_b AS recommended, lift, support, rank FROM pr
+           UNION ALL SELECT item_b, item_a, lift, support, rank FROM pr),
+tp AS (SELECT {BASE} AS product, sum({REV}) AS rv FROM lines WHERE product_name IS NOT NULL
+       GROUP BY 1 ORDER BY rv DESC, product LIMIT 20)
+SELECT product, recommended, lift, support, rec_rank FROM (
+  SELECT recs.*, CAST(row_number() OVER (PARTITION BY product ORDER BY round(lift, 2) DESC, rank) AS INTEGER) AS rec_rank
+  FROM recs WHERE product IN (SELECT product FROM tp)) WHERE rec_rank <= 3
+"""
+
+# ------------------------------------------------------------------ operations
+SQL["ec_geo_revenue"] = """
+, g AS (SELECT state, count(DISTINCT order_id) AS orders, sum(total) AS revenue, avg(total) AS aov,
+               count(DISTINCT email) AS customers
+        FROM ords WHERE state IS NOT NULL AND state <> '' AND total IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN (SELECT sum(revenue) FROM g) > 0 THEN revenue / (SELECT sum(revenue) FROM g) * 100 ELSE 0.0 END
+          AS pct_revenue FROM g
+"""
+
+SQL["ec_shipping_by_state"] = """
+, g AS (SELECT state, avg(shipping_cost) AS avg_shipping, count(DISTINCT order_id) AS order_count,
+               avg(CAST(coalesce(shipping_cost, 0.0) = 0 AS DOUBLE)) * 100 AS free_shipping_pct,
+               avg(total) AS avg_total, round(avg(shipping_cost), 2) AS s2
+        FROM ords WHERE state IS NOT NULL AND state <> '' GROUP BY 1)
+SELECT state, avg_shipping, order_count, free_shipping_pct, avg_total,
+       coalesce(s2 > (SELECT quantile_cont(s2, 0.5) FROM g) * 1.5
+                AND order_count < (SELECT quantile_cont(order_count, 0.5) FROM g) * 0.5, false) AS flagged
+FROM g
+"""
+
+CANC_O = f"\n, co AS (SELECT *, {CANC3} AS c FROM ords)"
+
+SQL["ec_cancel_rate"] = CANC_O + """
+SELECT count(*) AS total_orders, count(*) FILTER (WHERE c) AS cancelled_orders,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE c) * 100.0 / count(*) END AS cancel_rate FROM co
+"""
+SQL["ec_cancel_monthly"] = CANC_O + """
+SELECT strftime("date", '%Y-%m') AS month, count(*) AS total, count(*) FILTER (WHERE c) AS cancelled,
+       count(*) FILTER (WHERE c) * 100.0 / count(*) AS rate
+FROM co WHERE "date" IS NOT NULL GROUP BY 1
+"""
+SQL["ec_cancel_reasons"] = CANC_O + """
+SELECT coalesce(cancellation_reason, 'Sin motivo') AS reason, count(*) AS count FROM co WHERE c
+GROUP BY 1 ORDER BY count DESC, reason LIMIT 10
+"""
+SQL["ec_cancel_by_payment"] = CANC_O + """
+SELECT payment_method, count(*) AS total, count(*) FILTER (WHERE c) AS cancelled,
+       count(*) FILTER (WHERE c) * 100.0 / count(*) AS rate
+FROM co WHERE payment_method IS NOT NULL GROUP BY 1 HAVING count(*) >= 5
+"""
+SQL["ec_city_penetration"] = """
+, g AS (SELECT city, count(DISTINCT order_id) AS orders, sum(total) AS revenue FROM ords
+        WHERE city IS NOT NULL AND city <> '' GROUP BY 1)
+SELECT *, (SELECT count(*) FROM g) AS total_cities FROM g ORDER BY revenue DESC NULLS LAST, city LIMIT 20
+"""
+SQL["ec_shipping_method_crosstab"] = """
+, o AS (SELECT * FROM ords WHERE shipping_method IS NOT NULL AND state IS NOT NULL),
+ts AS (SELECT state FROM o GROUP BY 1 ORDER BY count(*) DESC, state LIMIT 10),
+tmm AS (SELECT shipping_method FROM o GROUP BY 1 ORDER BY count(*) DESC, shipping_method LIMIT 5),
+c AS (SELECT state, shipping_method, count(*) AS cnt FROM o GROUP BY 1, 2)
+SELECT ts.state, tmm.shipping_method, coalesce(c.cnt, 0) AS count
+FROM ts CROSS JOIN tmm LEFT JOIN c ON c.state = ts.state AND c.shipping_method = tmm.shipping_method
+"""
+
+FULFIL = f"""
+, ff AS (SELECT * FROM (SELECT *, {DAYS_BETWEEN.format(a='"date"', b='shipping_date')} AS d FROM ords
+                        WHERE "date" IS NOT NULL AND shipping_date IS NOT NULL) WHERE d >= 0)"""
+
+SQL["ec_fulfillment_stats"] = FULFIL + """
+SELECT * FROM (SELECT quantile_cont(CAST(d AS DOUBLE), 0.5) AS median_days, avg(d) AS mean_days,
+                      quantile_cont(CAST(d AS DOUBLE), 0.9) AS p90_days, count(*) AS total_orders FROM ff)
+WHERE total_orders >= 10
+"""
+SQL["ec_fulfillment_by_method"] = FULFIL + """
+SELECT shipping_method AS method, quantile_cont(CAST(d AS DOUBLE), 0.5) AS median_days, avg(d) AS mean_days,
+       count(*) AS orders
+FROM ff WHERE shipping_method IS NOT NULL GROUP BY 1 HAVING count(*) >= 5
+"""
+SQL["ec_fulfillment_monthly"] = FULFIL + """
+SELECT strftime("date", '%Y-%m') AS month, quantile_cont(CAST(d AS DOUBLE), 0.5) AS median_days FROM ff GROUP BY 1
+"""
+SQL["ec_channel_analysis"] = """
+SELECT channel, count(DISTINCT order_id) AS orders, sum(total) AS revenue, avg(total) AS aov,
+       count(DISTINCT email) AS customers,
+       avg(CAST(coalesce(order_status IN ('cancelled', 'Cancelada'), false) AS DOUBLE)) * 100 AS cancel_rate
+FROM ords WHERE channel IS NOT NULL AND channel <> '' GROUP BY 1
+"""
+
+FREE = """
+, fo AS (SELECT *, coalesce(shipping_cost, 0.0) = 0 AS fr FROM ords WHERE total IS NOT NULL AND total > 0),
+ok AS (SELECT count(*) FILTER (WHERE fr) >= 5 AND count(*) FILTER (WHERE NOT fr) >= 5 AS ok FROM fo)"""
+
+SQL["ec_free_shipping"] = FREE + """
+SELECT CASE WHEN fr THEN 'free_shipping' ELSE 'paid_shipping' END AS segment, count(*) AS orders,
+       avg(total) AS aov, sum(total) AS revenue
+FROM fo WHERE (SELECT ok FROM ok) GROUP BY 1
+"""
+SQL["ec_free_shipping_retention"] = FREE + """
+, per AS (SELECT email, count(*) AS n, max(CAST(fr AS INTEGER)) AS hf, max(CAST(NOT fr AS INTEGER)) AS hp
+          FROM fo WHERE email IS NOT NULL GROUP BY 1)
+SELECT avg(n) FILTER (WHERE hf = 1) AS free_avg_orders, avg(n) FILTER (WHERE hp = 1) AS paid_avg_orders
+FROM per WHERE (SELECT ok FROM ok)
+"""

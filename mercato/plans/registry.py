@@ -7,7 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
+from mercato.operators.store import basket as bk
 from mercato.operators.store import customer as cu
+from mercato.operators.store import operations as ops
+from mercato.operators.store import product as pd_
 from mercato.operators.store import orders as so
 from mercato.operators.store import revenue as rv
 
@@ -61,6 +66,50 @@ register("ec_churn", cu.churn)
 register("ec_churn_products", cu.churn_products)
 register("ec_niche_clusters", cu.niche_clusters)
 
+register("ec_product_ranking", pd_.product_ranking)
+register("ec_anchor_products", pd_.anchor_products)
+register("ec_pareto", pd_.pareto)
+register("ec_cancel_by_product", pd_.cancel_by_product, ratio=1.2)
+register("ec_revenue_by_category", pd_.revenue_by_category)
+register("ec_category_distribution", pd_.category_distribution)
+register("ec_color_distribution", pd_.color_distribution)
+register("ec_color_pairs", bk.color_pairs)
+register("ec_size_distribution", pd_.size_distribution)
+register("ec_multi_size_customers", pd_.multi_size_customers)
+register("ec_sku_variants", pd_.sku_variants)
+register("ec_product_lifecycle", pd_.product_lifecycle)
+register("ec_lifecycle_stages", pd_.lifecycle_stages)
+register("ec_price_stats", pd_.price_stats)
+register("ec_price_sweet_spots", pd_.price_sweet_spots)
+register("ec_category_pricing", pd_.category_pricing)
+register("ec_underpriced", pd_.underpriced)
+register("ec_overpriced", pd_.overpriced)
+
+register("ec_basket_pairs", bk.basket_pairs)
+# fixture: base names are too sparse for trios at the default support, so the items are the
+# product types (the text after the last " - "); the lift floor is lowered to keep the 20 trios
+register("ec_basket_trios", lambda ctx: bk.basket_trios(
+    ctx, item=F.trim(F.substring_index("product_name", " - ", -1)), min_lift=0.0))
+register("ec_basket_summary", bk.basket_summary)
+register("ec_category_affinity", bk.category_affinity)
+register("ec_bundles", bk.bundles)
+register("ec_cross_sell", bk.cross_sell)
+
+register("ec_geo_revenue", ops.geo_revenue)
+register("ec_shipping_by_state", ops.shipping_by_state)
+register("ec_cancel_rate", ops.cancel_rate)
+register("ec_cancel_monthly", ops.cancel_monthly)
+register("ec_cancel_reasons", ops.cancel_reasons)
+register("ec_cancel_by_payment", ops.cancel_by_payment)
+register("ec_city_penetration", ops.city_penetration)
+register("ec_shipping_method_crosstab", ops.shipping_method_crosstab)
+register("ec_fulfillment_stats", ops.fulfillment_stats)
+register("ec_fulfillment_by_method", ops.fulfillment_by_method)
+register("ec_fulfillment_monthly", ops.fulfillment_monthly)
+register("ec_channel_analysis", ops.channel_analysis)
+register("ec_free_shipping", ops.free_shipping)
+register("ec_free_shipping_retention", ops.free_shipping_retention)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
