@@ -79,7 +79,8 @@ def variant_base(name) -> Column:
 def extract_color(name) -> Column:
     """First colour of the list that occurs as a whole word, capitalised."""
     tokens = F.split(F.lower(col(name)), r"\s+")
-    hits = F.filter(F.array(*[F.lit(c) for c in COLOURS]), lambda c: F.array_contains(tokens, c))
+    # array_intersect keeps the order of its first argument: the first colour of the list wins
+    hits = F.array_intersect(F.array(*[F.lit(c) for c in COLOURS]), tokens)
     return F.initcap(F.try_element_at(hits, F.lit(1)))
 
 
@@ -87,8 +88,8 @@ def extract_size(name, sku) -> Column:
     """First token of name + sku (split on space, dash, slash) that is a size, upper-cased."""
     combined = F.lower(F.concat_ws(" ", col(name), col(sku)))
     tokens = F.split(F.trim(F.regexp_replace(combined, "[-/]", " ")), r"\s+")
-    sizes = F.array(*[F.lit(s) for s in SIZES])
-    hits = F.filter(tokens, lambda t: F.array_contains(sizes, t))
+    # ordered by the tokens: the first token that is a size wins
+    hits = F.array_intersect(tokens, F.array(*[F.lit(s) for s in SIZES]))
     return F.upper(F.try_element_at(hits, F.lit(1)))
 
 

@@ -54,6 +54,8 @@ def _pairs_with_freqs(fis: DataFrame) -> DataFrame:
 
 def _top_pairs(b: DataFrame, k: int) -> tuple[DataFrame, int]:
     """All pairs whose count is at least the k-th largest pair count (plus item frequencies)."""
+    from pyspark import StorageLevel
+    b = b.persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold tried
     n = b.count()
     if n == 0:
         return _pairs_with_freqs(frequent_itemsets(b, 1, 0, 2)), 0

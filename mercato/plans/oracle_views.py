@@ -84,10 +84,10 @@ camp AS (
          _pvalue AS conversion_value,
          CAST(_purchases + _signups AS DOUBLE) AS all_conversions,
          _pvalue + _svalue * 0.5 AS all_conversion_value,
-         _views * 0.05 AS view_through_conversions,
+         CAST(_views AS DOUBLE) * 0.05 AS view_through_conversions,
          CASE WHEN u % 2 = 0 THEN 'TARGET_CPA' ELSE 'TARGET_ROAS' END AS bid_strategy_type,
-         CASE WHEN u % 2 = 0 THEN 40.0 END AS target_cpa,
-         CASE WHEN u % 2 <> 0 THEN 4.0 END AS target_roas,
+         CASE WHEN u % 2 = 0 THEN CAST(40.0 AS DOUBLE) END AS target_cpa,
+         CASE WHEN u % 2 <> 0 THEN CAST(4.0 AS DOUBLE) END AS target_roas,
          CASE WHEN u % 3 <> 2 THEN CAST(45 + 8 * (u % 6) AS DOUBLE) END AS search_impression_share,
          CASE WHEN u % 3 <> 2 THEN CAST(5 + 3 * (u % 6) AS DOUBLE) END AS search_lost_is_rank,
          CASE WHEN u % 3 <> 2 THEN CAST(30 - 4 * (u % 6) AS DOUBLE) END AS search_lost_is_budget,
@@ -151,10 +151,11 @@ part_metrics AS (
          CAST(100 * p_size AS BIGINT) AS impressions,
          CAST(5 * p_size AS BIGINT) AS clicks,
          CAST(p_size % 4 AS DOUBLE) AS conversions,
-         (p_size % 4) * 150.0 AS conversion_value,
+         CAST(p_size % 4 AS DOUBLE) * 150.0 AS conversion_value,
          CAST(p_size % 4 AS DOUBLE) AS all_conversions,
-         (p_size % 4) * 150.0 AS all_conversion_value,
-         'Brand Search ' || CAST((p_partkey % 2) * 3 AS VARCHAR) AS campaign_name,
+         CAST(p_size % 4 AS DOUBLE) * 150.0 AS all_conversion_value,
+         (['Brand Search 0', 'PMax 1', 'Brand Search 3'])[p_partkey % 3 + 1] AS campaign_name,
+         (['Search', 'PMax', 'Search'])[p_partkey % 3 + 1] AS campaign_type,
          'AG ' || p_brand AS ad_group_name
   FROM part p
 ),
@@ -166,14 +167,14 @@ kw AS (
          (['Above average', 'Average', 'Below average'])[(p_partkey // 3) % 3 + 1] AS ad_relevance,
          (['Above average', 'Average', 'Below average'])[(p_partkey // 9) % 3 + 1] AS landing_page_experience,
          cost, impressions, clicks, conversions, conversion_value, all_conversions, all_conversion_value,
-         campaign_name, ad_group_name
+         campaign_name, campaign_type, ad_group_name
   FROM part_metrics
 ),
 st AS (
   SELECT p_name || ' ' || lower(p_type) AS search_term,
          CASE WHEN p_partkey % 5 = 0 THEN 'Added' WHEN p_partkey % 5 = 1 THEN 'Excluded' END AS search_term_status,
          cost, impressions, clicks, conversions, conversion_value, all_conversions, all_conversion_value,
-         campaign_name, ad_group_name
+         campaign_name, campaign_type, ad_group_name
   FROM part_metrics
 ),
 ads AS (
@@ -181,7 +182,7 @@ ads AS (
          p_name || '|' || p_type || '|' || p_brand AS rsa_headlines,
          (['EXCELLENT', 'GOOD', 'AVERAGE', 'POOR'])[p_partkey % 4 + 1] AS ad_strength,
          cost, impressions, clicks, conversions, conversion_value, all_conversions, all_conversion_value,
-         campaign_name, ad_group_name
+         campaign_name, campaign_type, ad_group_name
   FROM part_metrics
 ),
 auction AS (

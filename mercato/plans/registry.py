@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
+from mercato.operators.search import report as ga
 from mercato.operators.store import basket as bk
 from mercato.operators.store import customer as cu
 from mercato.operators.store import operations as ops
@@ -110,6 +111,59 @@ register("ec_channel_analysis", ops.channel_analysis)
 register("ec_free_shipping", ops.free_shipping)
 register("ec_free_shipping_retention", ops.free_shipping_retention)
 
+# ------------------------------------------------------------------ search ads
+# the reference compares against the wall clock; a fixed as-of date keeps results repeatable
+AS_OF = "2024-02-05"
+register("ga_totals", ga.ga_totals)
+register("ga_aggregate_by", ga.ga_aggregate_by)
+register("ga_by_date", ga.ga_by_date)
+register("ga_date_range", ga.ga_date_range)
+register("ga_daily", ga.ga_daily)
+register("ga_daily_ma7", ga.ga_daily_ma7)
+register("ga_daily_trend", ga.ga_daily_trend)
+register("ga_campaigns", ga.ga_campaigns)
+register("ga_budget_vs_results", ga.ga_budget_vs_results)
+register("ga_bidding_status", ga.ga_bidding_status)
+register("ga_bidding_summary", ga.ga_bidding_summary)
+register("ga_qs_histogram", ga.ga_qs_histogram)
+register("ga_qs_weighted", ga.ga_qs_weighted)
+register("ga_qs_components", ga.ga_qs_components)
+register("ga_low_qs_spend", ga.ga_low_qs_spend)
+register("ga_top_keywords", ga.ga_top_keywords)
+register("ga_impression_share", ga.ga_impression_share)
+register("ga_wasted_spend", ga.ga_wasted_spend)
+register("ga_wasted_terms", ga.ga_wasted_terms)
+register("ga_keyword_opportunities", ga.ga_keyword_opportunities)
+register("ga_ad_ranking", ga.ga_ad_ranking)
+register("ga_ad_strength", ga.ga_ad_strength)
+register("ga_poor_ads", ga.ga_poor_ads)
+register("ga_funnel", ga.ga_funnel)
+register("ga_dow", ga.ga_dow)
+register("ga_hour", ga.ga_hour)
+register("ga_best_worst", ga.ga_best_worst)
+register("ga_geo", ga.ga_geo)
+register("ga_device", ga.ga_device)
+register("ga_asset_groups", ga.ga_asset_groups)
+register("ga_asset_group_strength", ga.ga_asset_group_strength)
+register("ga_brand_overlap", ga.ga_brand_overlap)
+register("ga_weekly_drift", ga.ga_weekly_drift)
+register("ga_drift_trend", ga.ga_drift_trend)
+register("ga_match_type", ga.ga_match_type)
+register("ga_negative_words", ga.ga_negative_words)
+register("ga_headlines_ctr", ga.ga_headlines_ctr)
+register("ga_headlines_conv", ga.ga_headlines_conv)
+register("ga_conversion_health", ga.ga_conversion_health)
+register("ga_attribution_bias", ga.ga_attribution_bias)
+register("ga_auction_insights", ga.ga_auction_insights)
+register("ga_scaling_forecast", ga.ga_scaling_forecast)
+register("ga_scaling_scenarios", ga.ga_scaling_scenarios)
+register("ga_conversion_lag_flag", ga.ga_conversion_lag_flag, as_of=AS_OF)
+register("ga_dashboard", ga.ga_dashboard, as_of=AS_OF)
+register("ga_summary", ga.ga_summary, as_of=AS_OF)
+# fixture: every bidding campaign converts 150-192 times in 14 days; a higher bar splits them
+register("ga_learning_period", ga.ga_learning_period, min_conversions=160.0)
+register("ga_learning_summary", ga.ga_learning_summary, min_conversions=160.0)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)

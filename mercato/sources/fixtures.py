@@ -16,6 +16,7 @@ Fixed values (fixture mapping, must match the SQL views):
   devices           event_id % 3: MOBILE DESKTOP TABLET
   match types       p_partkey % 3: EXACT PHRASE BROAD
   term status       p_partkey % 5: 0 Added, 1 Excluded, else null
+  part campaigns    p_partkey % 3: Brand Search 0, PMax 1, Brand Search 3
   component grades  Above average, Average, Below average
   ad strength       EXCELLENT GOOD AVERAGE POOR
 """
@@ -240,7 +241,8 @@ def _part_metrics() -> list:
         ((s % 4) * 150.0).alias("conversion_value"),
         (s % 4).cast("double").alias("all_conversions"),
         ((s % 4) * 150.0).alias("all_conversion_value"),
-        F.concat(F.lit("Brand Search "), ((F.col("p_partkey") % 2) * 3).cast("string")).alias("campaign_name"),
+        _pick(F.col("p_partkey") % 3, ["Brand Search 0", "PMax 1", "Brand Search 3"]).alias("campaign_name"),
+        _pick(F.col("p_partkey") % 3, ["Search", "PMax", "Search"]).alias("campaign_type"),
         F.concat(F.lit("AG "), F.col("p_brand")).alias("ad_group_name"),
     ]
 
