@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.search import report as ga
+from mercato.operators.social import report as ma
 from mercato.operators.store import basket as bk
 from mercato.operators.store import customer as cu
 from mercato.operators.store import operations as ops
@@ -164,6 +165,48 @@ register("ga_summary", ga.ga_summary, as_of=AS_OF)
 register("ga_learning_period", ga.ga_learning_period, min_conversions=160.0)
 register("ga_learning_summary", ga.ga_learning_summary, min_conversions=160.0)
 
+# ------------------------------------------------------------------ social ads
+register("ma_dashboard", ma.ma_dashboard)
+register("ma_benchmarks", ma.ma_benchmarks)
+register("ma_daily", ma.ma_daily)
+register("ma_campaigns", ma.ma_campaigns)
+register("ma_budget_distribution", ma.ma_budget_distribution)
+register("ma_learning_phase", ma.ma_learning_phase)
+register("ma_learning_summary", ma.ma_learning_summary)
+register("ma_adsets", ma.ma_adsets)
+register("ma_audiences", ma.ma_audiences)
+register("ma_ad_ranking", ma.ma_ad_ranking)
+register("ma_creative_fatigue", ma.ma_creative_fatigue)
+register("ma_funnel", ma.ma_funnel)
+register("ma_dropoff", ma.ma_dropoff)
+register("ma_dow", ma.ma_dow)
+register("ma_period_trend", ma.ma_period_trend)
+register("ma_roas_direction", ma.ma_roas_direction)
+register("ma_geo", ma.ma_geo)
+register("ma_placement", ma.ma_placement)
+register("ma_device", ma.ma_device)
+register("ma_signals", ma.ma_signals)
+register("ma_name_detect", ma.ma_name_detect)
+register("ma_name_parse", ma.ma_name_parse)
+register("ma_name_parse_standard", ma.ma_name_parse_standard)
+register("ma_name_parse_alternative", ma.ma_name_parse_alternative)
+register("ma_name_summary", ma.ma_name_summary)
+register("ma_by_format", ma.ma_by_format)
+register("ma_by_stage", ma.ma_by_stage)
+register("ma_by_creator", ma.ma_by_creator)
+register("ma_by_product", ma.ma_by_product)
+register("ma_format_stage_matrix", ma.ma_format_stage_matrix)
+register("ma_relevance", ma.ma_relevance)
+register("ma_relevance_distribution", ma.ma_relevance_distribution)
+register("ma_hook_rate", ma.ma_hook_rate)
+register("ma_video_completion", ma.ma_video_completion)
+register("ma_video_completion_ads", ma.ma_video_completion_ads)
+register("ma_forecast", ma.ma_forecast)
+register("ma_overlap_cv", ma.ma_overlap_cv)
+register("ma_pacing", ma.ma_pacing)
+register("ma_marginal_cpa", ma.ma_marginal_cpa)
+register("ma_marginal_trend", ma.ma_marginal_trend)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
