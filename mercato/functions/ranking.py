@@ -30,6 +30,11 @@ def _num_parts(df: DataFrame) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def small_rows(df: DataFrame) -> int:
+    """Row bound under which one task may hold the whole input (``mercato.smallPathRows``)."""
+    return int(df.sparkSession.conf.get("mercato.smallPathRows", "1000000"))
+
+
 def prefix_sums(df: DataFrame, order_by: list, weight: str | None = None,
                 descending: bool = False, out_before: str = "_before", out_through: str = "_through",
                 partitions: int | None = None) -> DataFrame:
@@ -39,12 +44,18 @@ def prefix_sums(df: DataFrame, order_by: list, weight: str | None = None,
     ``out_before`` is the sum over all earlier rows, ``out_through`` includes
     the row itself.  With ``descending`` every key sorts descending.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     wtype = T.LongType() if weight is None else df.schema[weight].dataType
     if not isinstance(wtype, (T.LongType, T.DoubleType)):
         wtype = T.DoubleType()
     w = (F.lit(1) if weight is None else F.col(weight)).cast(wtype)
+    if df.count() <= small_rows(df):
+        # checked bound: the whole (small) input fits one task, so an ordered window is cheapest
+        run = F.sum(F.coalesce(w, F.lit(0).cast(wtype))).over(
+            Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+        out = df.withColumn(out_through, run)
+        return out.withColumn(out_before, F.col(out_through) - F.coalesce(w, F.lit(0).cast(wtype)))
+    ensure_checkpoint_dir(df.sparkSession)
     staged = (df.withColumn("_w", w)
               .repartitionByRange(partitions or _num_parts(df), *keys)
               .sortWithinPartitions(*keys)
@@ -97,6 +108,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
     by = list(by or [])
     data = df.where(F.col(value).isNotNull())
     freq = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    if freq.count() <= small_rows(df):
+        # checked bound on distinct values: the exact ``percentile`` buffer (value -> count) stays small
+        pq = F.percentile(F.col(value).cast("double"), [float(q) for q in qs], F.col("_c"))
+        res = freq.groupBy(*by).agg(F.sum("_c").alias("_n"), pq.alias("_qs"))
+        return res.select(*by, "_n", *[F.col("_qs")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
     ranked = prefix_sums(freq, by + [value], "_c", out_before="_lo", out_through="_hi")
     stats = ranked.groupBy(*by).agg(F.min("_lo").alias("_start"), F.sum("_c").alias("_n"))
     # positions (0-based within the group) whose values the interpolation needs

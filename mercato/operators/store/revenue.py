@@ -28,15 +28,15 @@ def _monthly(orders: DataFrame) -> DataFrame:
 def monthly_revenue(ctx) -> DataFrame:
     """Month: revenue, orders, mean ticket, change vs previous present month and vs month - 12."""
     m = _monthly(ctx.orders)
-    # the window runs over the aggregated months only (a few hundred rows at most)
+    # the windows run over the aggregated months only (a few hundred rows at most)
     prev = F.lag("revenue").over(Window.orderBy("month"))
-    m = m.withColumn("mom_pct", F.when(prev != 0, (F.col("revenue") - prev) / prev * 100))
-    last_year = m.select(
-        F.date_format(F.add_months(F.to_date(F.concat(F.col("month"), F.lit("-01"))), 12), "yyyy-MM").alias("month"),
-        F.col("revenue").alias("_rev12"))
-    out = m.join(last_year, "month", "left")
-    return out.select("month", "revenue", "orders", "avg_ticket", "mom_pct",
-                      pct_change("revenue", "_rev12").alias("yoy_pct"))
+    idx = (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int"))
+    m = m.withColumn("_idx", idx)
+    # the frame [idx - 12, idx - 12] holds the same month a year earlier, or nothing
+    rev12 = F.max("revenue").over(Window.orderBy("_idx").rangeBetween(-12, -12))
+    return m.select("month", "revenue", "orders", "avg_ticket",
+                    F.when(prev != 0, (F.col("revenue") - prev) / prev * 100).alias("mom_pct"),
+                    pct_change(F.col("revenue"), rev12).alias("yoy_pct"))
 
 
 def revenue_trend(ctx) -> DataFrame:
