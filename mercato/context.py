@@ -17,6 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLES = ("lines", "orders", "campaign", "keyword", "search_term", "ad", "auction", "social")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fix the partitioning of a table that is about to be persisted.
+
+    AQE may coalesce a small post-join shuffle into very few partitions; a
+    persisted table keeps that layout, and every operator reading it would run
+    on as few tasks.  Hash-partitioning on the natural key (the order for
+    lines and orders, which also keeps an order's lines together) to
+    ``spark.sql.shuffle.partitions`` gives every later scan full parallelism.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
 class Context:
     def __init__(self, spark: SparkSession, persist: bool = True, **builders: Callable[[], DataFrame] | DataFrame):
         unknown = set(builders) - set(_TABLES)
@@ -45,6 +58,16 @@ class Context:
             self._cache[name] = df
         return self._cache[name]
 
+    def derived(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from the inputs and shared by several operators, built and persisted once."""
+        name = "derived:" + key
+        if name not in self._cache:
+            df = build()
+            if self._persist:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cache[name] = df
+        return self._cache[name]
+
     def unpersist(self) -> None:
         for df in self._cache.values():
             df.unpersist()
@@ -71,14 +94,14 @@ class Context:
             from mercato.sources import fixtures as fx
             ctx = cls(
                 spark, persist=persist,
-                lines=lambda: fx.lines_view(spark, sf_dir),
-                orders=lambda: fx.orders_view(spark, sf_dir),
-                campaign=lambda: fx.campaign_view(spark, sf_dir),
-                keyword=lambda: fx.keyword_view(spark, sf_dir),
-                search_term=lambda: fx.search_term_view(spark, sf_dir),
-                ad=lambda: fx.ad_view(spark, sf_dir),
+                lines=lambda: spread(fx.lines_view(spark, sf_dir), "order_id"),
+                orders=lambda: spread(fx.orders_view(spark, sf_dir), "order_id"),
+                campaign=lambda: spread(fx.campaign_view(spark, sf_dir)),
+                keyword=lambda: spread(fx.keyword_view(spark, sf_dir)),
+                search_term=lambda: spread(fx.search_term_view(spark, sf_dir)),
+                ad=lambda: spread(fx.ad_view(spark, sf_dir)),
                 auction=lambda: fx.auction_view(spark, sf_dir),
-                social=lambda: fx.social_view(spark, sf_dir),
+                social=lambda: spread(fx.social_view(spark, sf_dir)),
             )
             cls._memo[key] = ctx
         return ctx

@@ -176,6 +176,41 @@ def quantile_bin(df: DataFrame, value: str, q: int, key: str, out: str,
     return res.withColumn(out, b).drop("_rk")
 
 
+def quantile_bins(df: DataFrame, specs: list[tuple], key: str) -> DataFrame:
+    """Several ``quantile_bin`` columns at once: specs are (value, q, out, reverse).
+
+    All edges come from one aggregate when every column's distinct values fit
+    the checked small bound (exact ``percentile`` buffers stay small); the
+    per-column path is used otherwise.
+    """
+    counts = df.agg(*[F.count_distinct(v).alias(f"_d{i}") for i, (v, _, _, _) in enumerate(specs)],
+                    F.count(F.lit(1)).alias("_n")).first()
+    if counts is None or any(counts[f"_d{i}"] > small_rows(df) for i in range(len(specs))):
+        for v, q, out, rev in specs:
+            df = quantile_bin(df, v, q, key, out, rev)
+        return df
+    aggs = [F.percentile(F.col(v).cast("double"), [i / q for i in range(q + 1)]).alias(f"_e{j}")
+            for j, (v, q, _, _) in enumerate(specs)]
+    row = df.agg(*aggs).first()  # one row of edges: a tiny driver-side decision per column
+    n = int(counts["_n"])
+    res = df
+    for j, (v, q, out, rev) in enumerate(specs):
+        edges = row[f"_e{j}"]
+        if edges is None:
+            b = F.lit(None).cast("int")
+        elif all(edges[i] < edges[i + 1] for i in range(q)):
+            inner = F.array(*[F.lit(float(x)) for x in edges[1:q]])
+            # the lambda is applied right here, so it sees this iteration's column
+            b = (F.lit(1) + F.size(F.filter(inner, lambda x: F.col(v) > x))).cast("int")
+        else:
+            res = global_row_number(res, [v, key], out=f"_rk{j}")
+            b = F.greatest(F.lit(1), F.ceil(F.lit(q) * (F.col(f"_rk{j}") - 1) / F.lit(max(n - 1, 1)))).cast("int")
+        if rev:
+            b = F.lit(q + 1) - b
+        res = res.withColumn(out, b)
+    return res.drop(*[f"_rk{j}" for j in range(len(specs))])
+
+
 def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based bin of pandas ``cut(x, bins)``: right-closed, first edge lowered by 0.1 %.
 
@@ -195,6 +230,13 @@ def position_in_group(df: DataFrame, group: list[str], order_by: list[str],
     global order of (group, order_by); the group's first rank and size are a
     per-group aggregate (partial aggregation) joined back on the group key.
     """
+    if df.count() <= small_rows(df):
+        # checked bound: no group can exceed what one task holds
+        w = Window.partitionBy(*group).orderBy(*order_by)
+        res = df.withColumn(out, F.row_number().over(w).cast("long"))
+        if size_out:
+            res = res.withColumn(size_out, F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        return res
     ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
     stats = ranked.groupBy(*group).agg(F.min("_grank").alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
     res = ranked.join(stats, list(group)).withColumn(out, F.col("_grank") - F.col("_gstart") + 1)
@@ -213,6 +255,9 @@ def previous_in_group(df: DataFrame, group: list[str], order_by: list[str], valu
     the row numbered one lower with the same group key.  The join key
     (group, number) is unique, so no hot group lands in a single task.
     """
+    if df.count() <= small_rows(df):
+        # checked bound: no group can exceed what one task holds
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_by)))
     ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
     prev = ranked.select(*[F.col(g) for g in group], (F.col("_grank") + 1).alias("_grank"),
                          F.col(value).alias(out))

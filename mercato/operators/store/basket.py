@@ -1,76 +1,130 @@
 """Market-basket operators: item pairs and trios, category and colour affinity, bundles, cross-sell.
 
-Co-occurrence counts come from MLlib ``FPGrowth`` (parallel FP-growth):
-transactions are split into conditional prefixes per item group and mined as
-FP-trees, so no order ever emits all of its item pairs, and an order with a
-huge basket costs O(items x groups), not O(items^2).
+Co-occurrence counts come from blocked incidence-matrix products
+(``mercato.functions.cooccurrence``): orders are hashed into blocks and each
+block's order x item matrix is multiplied in one task, so no order emits its
+item pairs and a huge order is a single matrix row.  The item dimension is
+the set of items frequent enough to reach the result (support is
+anti-monotone, so pruning rarer items is exact); its size is counted first
+and, past ``mercato.maxMatrixItems``, the operators fall back to MLlib
+``FPGrowth`` (parallel FP-growth), which is exact at the same threshold.
 
 The reference keeps the most frequent pairs first and then filters them by a
 minimum support; pairs under that support can never reach the result, so
-mining at that support is exact.  Plain "top-k pairs by count" lists mine at
-a threshold that starts at an upper bound of the k-th count and halves until
-at least k pairs are found; every pair at or above the k-th count is then
-present, so the top-k is exact too.
+restricting to frequent items is exact.  Plain "top-k pairs by count" lists
+use every item when the catalogue fits the bound; otherwise FP-growth mines
+at a threshold that starts at an upper bound of the k-th count and drops until
+at least k pairs are found, which again makes the top-k exact.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.cooccurrence import frequent_items, pair_counts, trio_counts
 from mercato.functions.core import line_revenue
 from mercato.functions.text import base_product, category, extract_color
 
 
-def baskets(lines: DataFrame, item: Column, where: Column | None = None) -> DataFrame:
-    """One transaction per order: the distinct non-null items of its lines."""
+def _max_items(spark) -> int:
+    return int(spark.conf.get("mercato.maxMatrixItems", "4096"))
+
+
+def _max_trio_items(spark) -> int:
+    return int(spark.conf.get("mercato.maxMatrixTrioItems", "512"))
+
+
+def order_items(lines: DataFrame, item: Column, where: Column | None = None) -> DataFrame:
+    """Distinct (order, item) pairs: the transactions in long form."""
     l = lines.where(F.col("order_id").isNotNull())
     if where is not None:
         l = l.where(where)
-    items = l.select("order_id", item.alias("item")).where(F.col("item").isNotNull())
-    return items.groupBy("order_id").agg(F.array_distinct(F.collect_list("item")).alias("items"))
+    return l.select("order_id", item.alias("item")).where(F.col("item").isNotNull()).distinct()
+
+
+def baskets(items: DataFrame) -> DataFrame:
+    """One array of distinct items per order (FP-growth input; bounded by the catalogue size)."""
+    return items.groupBy("order_id").agg(F.collect_list("item").alias("items"))
+
 
+def _stats(items: DataFrame) -> tuple[int, int]:
+    per = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+    r = per.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_k") >= 2, 1)).alias("multi")).first()
+    return int(r["n"]), int(r["multi"])
 
-def frequent_itemsets(b: DataFrame, min_count: int, n: int, max_len: int = 3) -> DataFrame:
-    """Itemsets of up to ``max_len`` items found in at least ``min_count`` transactions."""
+
+def _fp_itemsets(items: DataFrame, min_count: int, n: int, max_len: int) -> DataFrame:
     if n == 0:
-        return b.sparkSession.createDataFrame([], "items array<string>, freq long")
+        return items.sparkSession.createDataFrame([], "items array<string>, freq long")
     support = max(min_count - 0.5, 0.5) / n
-    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=1.0).fit(b)
+    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=1.0).fit(baskets(items))
     fis = model.freqItemsets.where(F.size("items") <= max_len)
     return fis.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= min_count)
 
 
-def _pairs_with_freqs(fis: DataFrame) -> DataFrame:
+def _named_pairs(pc: DataFrame, freq: DataFrame) -> DataFrame:
+    a = freq.select(F.col("idx").alias("i"), F.col("item").alias("item_a"), F.col("freq").alias("freq_a"))
+    b = freq.select(F.col("idx").alias("j"), F.col("item").alias("item_b"), F.col("freq").alias("freq_b"))
+    # the item tables hold at most ``maxMatrixItems`` rows (checked): broadcast is bounded
+    return (pc.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+            .select("item_a", "item_b", "count", "freq_a", "freq_b"))
+
+
+def pairs_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
+    """(item_a < item_b, count, freq_a, freq_b) for pairs of items present in >= min_count orders."""
+    freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
+    if freq.count() <= _max_items(items.sparkSession):
+        return _named_pairs(pair_counts(items, freq, n), freq)
+    fis = _fp_itemsets(items, min_count, n, 2)
     single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
-    pairs = fis.where(F.size("items") == 2).select(
+    p = fis.where(F.size("items") == 2).select(
         F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("freq").alias("count"))
-    pairs = pairs.join(single.withColumnRenamed("_i", "item_a").withColumnRenamed("_f", "freq_a"), "item_a")
-    return pairs.join(single.withColumnRenamed("_i", "item_b").withColumnRenamed("_f", "freq_b"), "item_b")
+    p = p.join(single.withColumnRenamed("_i", "item_a").withColumnRenamed("_f", "freq_a"), "item_a")
+    return p.join(single.withColumnRenamed("_i", "item_b").withColumnRenamed("_f", "freq_b"), "item_b")
+
+
+def trios_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
+    """(item_a < item_b < item_c, count, freq_a, freq_b, freq_c) over items in >= min_count orders."""
+    freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
+    if freq.count() <= _max_trio_items(items.sparkSession):
+        tc = trio_counts(items, freq, n)
+        for col, name in (("i", "a"), ("j", "b"), ("k", "c")):
+            t = freq.select(F.col("idx").alias(col), F.col("item").alias(f"item_{name}"),
+                            F.col("freq").alias(f"freq_{name}"))
+            tc = tc.join(F.broadcast(t), col)
+        return tc.select("item_a", "item_b", "item_c", "count", "freq_a", "freq_b", "freq_c")
+    fis = _fp_itemsets(items, min_count, n, 3)
+    single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
+    t = fis.where(F.size("items") == 3).select(
+        F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("items")[2].alias("item_c"),
+        F.col("freq").alias("count"))
+    for c in ("a", "b", "c"):
+        t = t.join(single.withColumnRenamed("_i", f"item_{c}").withColumnRenamed("_f", f"freq_{c}"), f"item_{c}")
+    return t
 
 
-def _top_pairs(b: DataFrame, k: int) -> tuple[DataFrame, int]:
+def _top_pairs(items: DataFrame, k: int, n: int) -> DataFrame:
     """All pairs whose count is at least the k-th largest pair count (plus item frequencies)."""
-    from pyspark import StorageLevel
-    b = b.persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold tried
-    n = b.count()
-    if n == 0:
-        return _pairs_with_freqs(frequent_itemsets(b, 1, 0, 2)), 0
-    freq = b.select(F.explode("items").alias("i")).groupBy("i").count()
+    spark = items.sparkSession
+    freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
     d = freq.count()
-    max_pairs = d * (d - 1) // 2
+    if d <= _max_items(spark):
+        return pairs_with_freqs(items, 1, n)
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold tried
     # the k-th pair count is at most the m-th largest item frequency, m(m-1)/2 >= k
     m = max(2, math.ceil((1 + math.sqrt(1 + 8 * k)) / 2))
-    top = freq.orderBy(F.col("count").desc()).limit(m).collect()
-    threshold = int(top[-1]["count"]) if len(top) >= 2 else 1
+    top = freq.orderBy(F.col("c").desc()).limit(m).collect()
+    threshold = int(top[-1]["c"]) if len(top) >= 2 else 1
     while True:
-        pairs = _pairs_with_freqs(frequent_itemsets(b, threshold, n, 2)).persist()
+        pairs = pairs_with_freqs(items, threshold, n).persist(StorageLevel.MEMORY_AND_DISK)
         found = pairs.count()
-        if threshold <= 1 or found >= k or found >= max_pairs:
-            return pairs, n
+        if threshold <= 1 or found >= k:
+            return pairs
         pairs.unpersist()
         threshold = max(1, threshold // 4)
 
@@ -80,44 +134,41 @@ def _rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
+def _default_items(ctx, item: Column | None) -> DataFrame:
+    if item is not None:
+        return order_items(ctx.lines, item, F.col("product_name").isNotNull())
+    # shared by pairs, trios, summary, bundles and cross-sell
+    return ctx.derived("order_base_products", lambda: order_items(
+        ctx.lines, base_product("product_name"), F.col("product_name").isNotNull()))
+
+
 def basket_pairs(ctx, item: Column | None = None, candidates: int = 200, k: int = 30,
                  min_lift: float = 1.0, min_multi: int = 10, min_support: float | None = None) -> DataFrame:
     """Pairs of base products bought together: support, confidence, lift (percent, unrounded)."""
-    b = baskets(ctx.lines, item if item is not None else base_product("product_name"),
-                F.col("product_name").isNotNull())
-    st = b.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("items") >= 2, 1)).alias("multi")).first()
-    n, multi = st["n"], st["multi"]
+    items = _default_items(ctx, item)
+    n, multi = _stats(items)
     s = min_support if min_support is not None else (0.003 if n > 1000 else 0.01)
-    fis = frequent_itemsets(b, max(1, math.floor(s * n)), n, 2)
-    p = _pairs_with_freqs(fis).where(F.col("count") / F.lit(n) >= s)
+    p = pairs_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
     top = p.orderBy(F.col("count").desc(), "item_a", "item_b").limit(candidates)
-    support = F.col("count") / F.lit(float(n))
-    lift = support / ((F.col("freq_a") / F.lit(float(n))) * (F.col("freq_b") / F.lit(float(n))))
+    nn = F.lit(float(max(n, 1)))
+    support = F.col("count") / nn
+    lift = support / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
     conf = F.greatest(F.col("count") / F.col("freq_a"), F.col("count") / F.col("freq_b"))
     out = top.select("item_a", "item_b", "count", (support * 100).alias("support"),
                      (conf * 100).alias("confidence"), lift.alias("lift")).where(F.col("lift") > min_lift)
-    out = out.orderBy(F.round("lift", 2).desc(), F.col("count").desc(), "item_a", "item_b").limit(k)
-    out = _rank(out, [F.round("lift", 2).desc(), F.col("count").desc(), "item_a", "item_b"])
-    return out.where(F.lit(multi >= min_multi))
+    order = [F.round("lift", 2).desc(), F.col("count").desc(), "item_a", "item_b"]
+    return _rank(out.orderBy(*order).limit(k), order).where(F.lit(multi >= min_multi))
 
 
 def basket_trios(ctx, item: Column | None = None, candidates: int = 50, k: int = 15,
                  min_lift: float = 1.0, min_multi: int = 10) -> DataFrame:
     """Trios bought together: support of at least half the pair minimum, lift vs independent items."""
-    b = baskets(ctx.lines, item if item is not None else base_product("product_name"),
-                F.col("product_name").isNotNull())
-    st = b.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("items") >= 2, 1)).alias("multi")).first()
-    n, multi = st["n"], st["multi"]
+    items = _default_items(ctx, item)
+    n, multi = _stats(items)
     s = (0.003 if n > 1000 else 0.01) * 0.5
-    fis = frequent_itemsets(b, max(1, math.floor(s * n)), n, 3)
-    single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
-    t = fis.where(F.size("items") == 3).select(
-        F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("items")[2].alias("item_c"),
-        F.col("freq").alias("count")).where(F.col("count") / F.lit(n) >= s)
+    t = trios_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
     top = t.orderBy(F.col("count").desc(), "item_a", "item_b", "item_c").limit(candidates)
-    for c in ("a", "b", "c"):
-        top = top.join(single.withColumnRenamed("_i", f"item_{c}").withColumnRenamed("_f", f"freq_{c}"), f"item_{c}")
-    nn = F.lit(float(n))
+    nn = F.lit(float(max(n, 1)))
     support = F.col("count") / nn
     expected = (F.col("freq_a") / nn) * (F.col("freq_b") / nn) * (F.col("freq_c") / nn)
     out = top.select("item_a", "item_b", "item_c", "count", (support * 100).alias("support"),
@@ -127,18 +178,19 @@ def basket_trios(ctx, item: Column | None = None, candidates: int = 50, k: int =
 
 
 def basket_summary(ctx) -> DataFrame:
-    b = baskets(ctx.lines, base_product("product_name"), F.col("product_name").isNotNull())
-    return b.agg(F.count(F.lit(1)).alias("total_orders"),
-                 F.count(F.when(F.size("items") >= 2, 1)).alias("multi_product_orders")).select(
+    items = _default_items(ctx, None)
+    per = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+    return per.agg(F.count(F.lit(1)).alias("total_orders"),
+                   F.count(F.when(F.col("_k") >= 2, 1)).alias("multi_product_orders")).select(
         "*", F.when(F.col("total_orders") > 0, F.col("multi_product_orders") * 100.0 / F.col("total_orders"))
         .otherwise(F.lit(0.0)).alias("multi_product_pct"))
 
 
 def category_affinity(ctx, candidates: int = 30, k: int = 20, min_multi: int = 5) -> DataFrame:
     """Most frequent category pairs of an order (every line counts; no name -> placeholder), by lift."""
-    b = baskets(ctx.lines, category("product_name"))
-    multi = b.agg(F.count(F.when(F.size("items") >= 2, 1))).first()[0]
-    pairs, n = _top_pairs(b, candidates)
+    items = order_items(ctx.lines, category("product_name"))
+    n, multi = _stats(items)
+    pairs = _top_pairs(items, candidates, n)
     top = pairs.orderBy(F.col("count").desc(), "item_a", "item_b").limit(candidates)
     nn = F.lit(float(max(n, 1)))
     lift = (F.col("count") / nn) / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
@@ -152,12 +204,11 @@ def color_pairs(ctx, k: int = 15, min_lines: int = 50, min_multi: int = 5) -> Da
     color = extract_color("product_name")
     l = ctx.lines.where(F.col("product_name").isNotNull())
     n_lines = l.where(color.isNotNull()).agg(F.count(F.lit(1))).first()[0]
-    b = baskets(l, color)
-    multi = b.agg(F.count(F.when(F.size("items") >= 2, 1))).first()[0]
+    items = order_items(l, color)
+    n, multi = _stats(items)
     if n_lines < min_lines or multi < min_multi:
         return ctx.spark.createDataFrame([], "color_a string, color_b string, count long")
-    pairs, _ = _top_pairs(b, k)
-    return (pairs.orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
+    return (_top_pairs(items, k, n).orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
             .select(F.col("item_a").alias("color_a"), F.col("item_b").alias("color_b"), "count"))
 
 

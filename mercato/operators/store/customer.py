@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.core import month_key, month_start, months_between_periods, nonblank, safe_div, whole_days
 from mercato.functions.ranking import (exact_quantiles, position_in_group, previous_in_group,
-                                       quantile_bin)
+                                       quantile_bin, quantile_bins)
 from mercato.operators.store.orders import customer_orders
 
 # Segment and tier labels of the store report.
@@ -44,9 +44,8 @@ def rfm_table(ctx, min_orders: int = 50) -> DataFrame:
         return c.where(F.lit(False)).select("*", *[F.lit(None).cast("int").alias(x) for x in
                                                    ("recency_score", "frequency_score", "monetary_score")],
                                             F.lit(None).cast("string").alias("segment"))
-    c = quantile_bin(c, "recency", 5, key="email", out="recency_score", reverse=True)
-    c = quantile_bin(c, "frequency", 5, key="email", out="frequency_score")
-    c = quantile_bin(c, "monetary", 5, key="email", out="monetary_score")
+    c = quantile_bins(c, [("recency", 5, "recency_score", True), ("frequency", 5, "frequency_score", False),
+                          ("monetary", 5, "monetary_score", False)], key="email")
     return c.withColumn("segment", _segment(F.col("recency_score"), F.col("frequency_score"),
                                             F.col("monetary_score")))
 
