@@ -537,3 +537,10 @@ SELECT cost AS total_cost, conversions AS total_conversions, conversion_value AS
        (SELECT count(*) FROM camp) AS total_rows
 FROM tr
 """
+
+SQL["src_ads_csv"] = """
+SELECT campaign_name, campaign_type, "date", CAST(hour_of_day AS BIGINT) AS hour_of_day, device, impressions, clicks,
+       cost, conversions, conversion_value, all_conversions, bid_strategy_type, coalesce(target_cpa, 0.0) AS target_cpa,
+       coalesce(target_roas, 0.0) AS target_roas, search_impression_share, region
+FROM camp
+"""

@@ -372,3 +372,10 @@ SELECT CASE WHEN n < 14 THEN 'insufficient_data' WHEN rc > pv * 1.1 THEN 'rising
             ELSE 'stable' END AS trend, CASE WHEN n >= 14 THEN rc END AS recent_marginal_cpa,
        CASE WHEN n >= 14 THEN pv END AS previous_marginal_cpa FROM a
 """
+
+SQL["src_social_json"] = """
+SELECT campaign_name, adset_name, ad_name, date_start, impressions, reach, spend, clicks, device, placement, region,
+       country, quality_ranking, engagement_ranking, conversion_ranking, purchases, leads, link_clicks,
+       landing_page_views, add_to_cart, checkout_initiated, purchase_value
+FROM social
+"""

@@ -745,3 +745,12 @@ SQL["ec_free_shipping_retention"] = FREE + """
 SELECT avg(n) FILTER (WHERE hf = 1) AS free_avg_orders, avg(n) FILTER (WHERE hp = 1) AS paid_avg_orders
 FROM per WHERE (SELECT ok FROM ok)
 """
+
+# ------------------------------------------------------------------ readers (round trips of derived exports)
+SQL["src_store_csv"] = """
+SELECT order_id, email, "date", order_status, total, discount, shipping_cost, coupon, state, city, payment_method,
+       shipping_date, product_name, product_price, product_qty, sku, channel, cancellation_reason FROM lines
+"""
+SQL["src_orders_from_export"] = """
+SELECT order_id, email, "date", order_status, total, state, shipping_cost FROM ords
+"""

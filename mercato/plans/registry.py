@@ -207,6 +207,14 @@ register("ma_pacing", ma.ma_pacing)
 register("ma_marginal_cpa", ma.ma_marginal_cpa)
 register("ma_marginal_trend", ma.ma_marginal_trend)
 
+# ------------------------------------------------------------------ readers
+from mercato.sources import roundtrip as rt  # noqa: E402
+
+register("src_store_csv", rt.src_store_csv)
+register("src_orders_from_export", rt.src_orders_from_export)
+register("src_ads_csv", rt.src_ads_csv)
+register("src_social_json", rt.src_social_json)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
