@@ -779,3 +779,27 @@ def ga_summary(ctx, as_of: str | None = None) -> DataFrame:
                     extra.select("campaign_types").scalar().alias("campaign_types"),
                     F.coalesce(F.datediff(ref, extra.select("date_max").scalar()) <= 7, F.lit(False))
                     .alias("conversion_lag_warning"), extra.select("total_rows").scalar().alias("total_rows"))
+
+
+def ga_signals(ctx, k: int = 10, wasted_share: float = 20.0) -> DataFrame:
+    """Threshold breaches of the other analyses, by priority (the reference leaves this to a person).
+
+    Red benchmark lights and underperforming bidding campaigns are high
+    priority; campaigns still learning and wasted search-term spend above
+    ``wasted_share`` percent are medium.
+    """
+    red = ga_benchmarks(ctx).where(F.col("status") == "red").select(
+        F.lit("high").alias("priority"), F.col("name").alias("area"), F.lit("benchmark_red").alias("type"),
+        F.col("value"))
+    bid = ga_bidding_status(ctx).where(F.col("status") == "underperforming").select(
+        F.lit("high").alias("priority"), F.col("campaign").alias("area"),
+        F.lit("bidding_underperforming").alias("type"), F.col("drift_pct").alias("value"))
+    learn = ga_learning_period(ctx).where(F.col("status") == "learning").select(
+        F.lit("medium").alias("priority"), F.col("campaign").alias("area"), F.lit("learning").alias("type"),
+        F.col("conv_last_14d").alias("value"))
+    waste = ga_wasted_spend(ctx).where(F.col("wasted_pct") > wasted_share).select(
+        F.lit("medium").alias("priority"), F.lit("Search Terms").alias("area"), F.lit("wasted_spend").alias("type"),
+        F.col("wasted_pct").alias("value"))
+    u = red.unionByName(bid).unionByName(learn).unionByName(waste)
+    prio = F.when(F.col("priority") == "high", 0).otherwise(1)
+    return u.orderBy(prio, "type", "area").limit(k)

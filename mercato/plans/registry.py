@@ -161,6 +161,7 @@ register("ga_scaling_scenarios", ga.ga_scaling_scenarios)
 register("ga_conversion_lag_flag", ga.ga_conversion_lag_flag, as_of=AS_OF)
 register("ga_dashboard", ga.ga_dashboard, as_of=AS_OF)
 register("ga_summary", ga.ga_summary, as_of=AS_OF)
+register("ga_signals", ga.ga_signals)
 # fixture: every bidding campaign converts 150-192 times in 14 days; a higher bar splits them
 register("ga_learning_period", ga.ga_learning_period, min_conversions=160.0)
 register("ga_learning_summary", ga.ga_learning_summary, min_conversions=160.0)

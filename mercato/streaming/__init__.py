@@ -1,0 +1,3 @@
+from mercato.streaming.rollup import daily_rollup, start_rollup
+
+__all__ = ["daily_rollup", "start_rollup"]

@@ -1,0 +1,33 @@
+"""The streaming rollup gives the batch answer once every landed file is processed."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from mercato.context import Context
+from mercato.streaming import start_rollup
+from tests.conftest import SF_SMALL
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    social = Context.from_fixture(spark, SF_SMALL).social
+    src = str(tmp_path / "landed")
+    days = [r[0] for r in social.select("date_start").distinct().orderBy("date_start").collect()]
+    # land the export in three files, oldest days first
+    for chunk in (days[:10], days[10:20], days[20:]):
+        social.where(F.col("date_start").isin(chunk)).write.mode("append").parquet(src)
+    name = f"rollup_{uuid.uuid4().hex[:6]}"
+    q = start_rollup(spark, src, social.schema, name=name, output_mode="update", memory=True)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.sql(f"SELECT * FROM {name}")
+    want = (social.groupBy(F.col("date_start").alias("date"), "campaign_name")
+            .agg(F.sum("spend").alias("spend"), F.sum("purchases").alias("purchases")))
+    g = {(r["date"], r["campaign_name"]): (r["spend"], r["purchases"]) for r in got.collect()}
+    w = {(r["date"], r["campaign_name"]): (r["spend"], r["purchases"]) for r in want.collect()}
+    assert set(g) == set(w)
+    for k in w:
+        assert g[k][0] == pytest.approx(w[k][0]) and g[k][1] == w[k][1]
