@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mercato.plans import oracle_search, oracle_social, oracle_store
+from mercato.plans import oracle_ext, oracle_search, oracle_social, oracle_store
 from mercato.plans.oracle_views import PRELUDE
 
-_MODULES = [oracle_store, oracle_search, oracle_social]
+_MODULES = [oracle_store, oracle_search, oracle_social, oracle_ext]
 
 
 def _full(body: str, recursive: bool) -> str:

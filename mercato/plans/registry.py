@@ -216,6 +216,26 @@ register("src_orders_from_export", rt.src_orders_from_export)
 register("src_ads_csv", rt.src_ads_csv)
 register("src_social_json", rt.src_social_json)
 
+# ------------------------------------------------------------------ catalogue extensions
+from mercato.operators.store import extensions as ecx  # noqa: E402
+
+register("ext_pareto_cutoffs", ecx.pareto_cutoffs)
+register("ext_gap_segments", ecx.gap_segments)
+register("ext_category_monthly", ecx.category_monthly)
+register("ext_shipping_correlation", ecx.shipping_correlation)
+register("ext_season_index", ecx.season_index)
+register("ext_sku_concentration", ecx.sku_concentration)
+register("ext_lifecycle_slope", ecx.lifecycle_slope)
+register("ext_upgrade_tenure_corr", ecx.upgrade_tenure_corr)
+register("ext_vip_vs_rest", ecx.vip_vs_rest)
+register("ext_churn_by_cohort", ecx.churn_by_cohort)
+register("ext_last_product", ecx.last_product)
+register("ext_dominant_method", ecx.dominant_method)
+register("ext_channel_repeat_rate", ecx.channel_repeat_rate)
+register("ext_free_threshold", ecx.free_threshold)
+register("ext_forecast_quality", ecx.forecast_quality)
+register("ext_high_aov_low_volume", ecx.high_aov_low_volume)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
