@@ -129,3 +129,168 @@ SQL["ext_high_aov_low_volume"] = """
 SELECT * FROM g WHERE aov >= (SELECT quantile_cont(aov, 0.75) FROM g)
                   AND orders <= (SELECT quantile_cont(orders, 0.25) FROM g)
 """
+
+# ------------------------------------------------------------------ ads extensions
+SQL["ext_lost_impressions"] = f"""
+, g AS (SELECT campaign_name AS campaign, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
+               {SD('sum(search_impression_share * impressions)', 'sum(impressions)')} AS weighted_is
+        FROM camp WHERE search_impression_share > 0 GROUP BY 1)
+SELECT *, CASE WHEN weighted_is > 0 THEN impressions * (100 / weighted_is - 1) END AS lost_impressions FROM g
+"""
+
+SQL["ext_day_hour_heatmap"] = f"""
+, g AS (SELECT dayname("date") AS day, CAST(hour_of_day AS INTEGER) AS hour, coalesce(sum(cost), 0.0) AS cost,
+               coalesce(sum(conversions), 0.0) AS conversions, coalesce(sum(clicks), 0) AS c
+        FROM camp WHERE "date" IS NOT NULL AND hour_of_day IS NOT NULL GROUP BY 1, 2)
+SELECT day, hour, cost, conversions, {SD('cost', 'conversions')} AS cpa, {SD('conversions', 'c')} * 100 AS conv_rate
+FROM g
+"""
+
+SQL["ext_prior_period"] = f"""
+, e AS (SELECT max("date") - 7 AS e FROM camp WHERE "date" IS NOT NULL),
+a AS (SELECT coalesce(sum(cost) FILTER (WHERE "date" > e - 14 AND "date" <= e), 0.0) AS cc,
+             coalesce(sum(conversions) FILTER (WHERE "date" > e - 14 AND "date" <= e), 0.0) AS vc,
+             coalesce(sum(conversion_value) FILTER (WHERE "date" > e - 14 AND "date" <= e), 0.0) AS xc,
+             coalesce(sum(cost) FILTER (WHERE "date" > e - 28 AND "date" <= e - 14), 0.0) AS cp,
+             coalesce(sum(conversions) FILTER (WHERE "date" > e - 28 AND "date" <= e - 14), 0.0) AS vp,
+             coalesce(sum(conversion_value) FILTER (WHERE "date" > e - 28 AND "date" <= e - 14), 0.0) AS xp
+      FROM camp, e WHERE "date" IS NOT NULL),
+r AS (SELECT 'cost' AS metric, cc AS current, cp AS prior FROM a
+      UNION ALL SELECT 'conversions', vc, vp FROM a
+      UNION ALL SELECT 'cpa', {SD('cc', 'vc')}, {SD('cp', 'vp')} FROM a
+      UNION ALL SELECT 'roas', {SD('xc', 'cc')}, {SD('xp', 'cp')} FROM a)
+SELECT *, CASE WHEN prior > 0 THEN (current - prior) / prior * 100 END AS change_pct FROM r
+"""
+
+SQL["ext_brand_split"] = f"""
+, g AS (SELECT CASE WHEN regexp_matches(campaign_name, '(?i)brand') THEN 'branded' ELSE 'other' END AS segment,
+               coalesce(sum(cost), 0.0) AS cost, coalesce(sum(conversions), 0.0) AS conversions,
+               coalesce(sum(conversion_value), 0.0) AS conversion_value FROM camp GROUP BY 1)
+SELECT *, {SD('conversion_value', 'cost')} AS roas, {SD('cost', 'conversions')} AS cpa FROM g
+"""
+
+SQL["ext_is_quadrant"] = """
+, g AS (SELECT campaign_name AS campaign, min(search_lost_is_budget) AS lost_budget, min(search_lost_is_rank) AS lost_rank
+        FROM camp WHERE campaign_name IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN coalesce(lost_budget, 0) >= 10 AND coalesce(lost_rank, 0) >= 10 THEN 'fix rank first'
+               WHEN coalesce(lost_budget, 0) >= 10 THEN 'increase budget'
+               WHEN coalesce(lost_rank, 0) >= 10 THEN 'improve rank' ELSE 'healthy' END AS action
+FROM g WHERE lost_budget IS NOT NULL OR lost_rank IS NOT NULL
+"""
+
+SQL["ext_wasted_ratio"] = f"""
+, z AS (SELECT * FROM st WHERE coalesce(conversions, 0.0) = 0 AND coalesce(cost, 0.0) > 0),
+w AS (SELECT {SD('coalesce(sum(cost), 0.0)', '(SELECT coalesce(sum(cost), 0.0) FROM st)')} * 100 AS wasted_pct,
+             count(*) AS n FROM z)
+SELECT wasted_pct, wasted_pct > 20.0 AS flagged FROM w WHERE n > 0
+"""
+
+SQL["ext_rsa_audit"] = """
+, h AS (SELECT coalesce(ad_group_name, 'N/A') AS ad_group,
+               list_filter(list_transform(string_split(rsa_headlines, '|'), lambda x: trim(x)), lambda x: x <> '') AS hs
+        FROM ads WHERE rsa_headlines IS NOT NULL AND rsa_headlines <> '')
+SELECT ad_group, count(*) AS ads, avg(len(hs)) AS avg_headlines,
+       count(*) FILTER (WHERE len(hs) < 3 OR len(hs) > 15) AS ads_out_of_range,
+       CAST(sum(len(list_filter(hs, lambda x: length(x) > 30))) AS BIGINT) AS long_headlines
+FROM h GROUP BY 1
+"""
+
+SOC = ("coalesce(sum(spend), 0.0) AS spend, coalesce(sum(impressions), 0.0) AS impressions, "
+       "coalesce(sum(clicks), 0.0) AS clicks, coalesce(sum(purchases), 0.0) AS purchases, "
+       "coalesce(sum(purchase_value), 0.0) AS purchase_value, coalesce(sum(reach), 0.0) AS reach")
+
+SQL["ext_winners_losers"] = f"""
+, g AS (SELECT ad_name AS ad, {SOC} FROM social WHERE ad_name IS NOT NULL GROUP BY 1),
+f AS (SELECT ad, spend, {SD('purchase_value', 'spend')} AS roas FROM g WHERE spend >= 50.0),
+r AS (SELECT *, row_number() OVER (ORDER BY roas DESC, ad) AS t, row_number() OVER (ORDER BY roas ASC, ad) AS b FROM f)
+SELECT ad, spend, roas, 'winner' AS label FROM r WHERE t <= 3
+UNION ALL SELECT ad, spend, roas, 'loser' FROM r WHERE b <= 3
+"""
+
+POINTS = ("(CASE WHEN upper({c}) = 'ABOVE_AVERAGE' THEN 3.0 WHEN upper({c}) = 'AVERAGE' THEN 2.0 "
+          "WHEN starts_with(upper({c}), 'BELOW_AVERAGE') THEN 1.0 END)")
+SQL["ext_relevance_score"] = f"""
+, g AS (SELECT ad_name AS ad, min(quality_ranking) AS q, min(engagement_ranking) AS e, min(conversion_ranking) AS c
+        FROM social WHERE ad_name IS NOT NULL GROUP BY 1),
+p AS (SELECT ad, {POINTS.format(c='q')} AS pq, {POINTS.format(c='e')} AS pe, {POINTS.format(c='c')} AS pc FROM g),
+s AS (SELECT ad, CASE WHEN (pq IS NOT NULL)::INT + (pe IS NOT NULL)::INT + (pc IS NOT NULL)::INT > 0
+                      THEN (coalesce(pq, 0.0) + coalesce(pe, 0.0) + coalesce(pc, 0.0))
+                           / ((pq IS NOT NULL)::INT + (pe IS NOT NULL)::INT + (pc IS NOT NULL)::INT) END AS score FROM p)
+SELECT ad, score, CASE WHEN score > 2.5 THEN 'Excelente' WHEN score >= 1.5 THEN 'Normal'
+                       WHEN score IS NOT NULL THEN 'Problemático' END AS class FROM s
+"""
+
+SQL["ext_hook_class"] = f"""
+, g AS (SELECT ad_name AS ad, coalesce(sum(impressions), 0.0) AS impressions, coalesce(sum(video_3s), 0.0) AS v
+        FROM social WHERE ad_name IS NOT NULL GROUP BY 1)
+SELECT ad, {SD('v * 100', 'impressions')} AS hook_rate,
+       CASE WHEN {SD('v * 100', 'impressions')} > 30 THEN 'excellent' WHEN {SD('v * 100', 'impressions')} >= 15 THEN 'normal'
+            ELSE 'low' END AS class
+FROM g WHERE impressions > 100
+"""
+
+SQL["ext_video_dropoff"] = f"""
+, g AS (SELECT ad_name AS ad, coalesce(sum(impressions), 0.0) AS impressions, coalesce(sum(video_p25), 0.0) AS a,
+               coalesce(sum(video_p50), 0.0) AS b, coalesce(sum(video_p75), 0.0) AS c,
+               coalesce(sum(video_p100), 0.0) AS d, coalesce(sum(thruplay), 0.0) AS t
+        FROM social WHERE ad_name IS NOT NULL GROUP BY 1),
+x AS (SELECT ad, {SD('(a - b) * 100', 'a')} AS drop_25_50, {SD('(b - c) * 100', 'b')} AS drop_50_75,
+             {SD('(c - d) * 100', 'c')} AS drop_75_100, {SD('t * 100', 'impressions')} AS thruplay_rate
+      FROM g WHERE impressions > 100)
+SELECT *, CASE WHEN drop_25_50 >= drop_50_75 AND drop_25_50 >= drop_75_100 THEN 'hook'
+               WHEN drop_50_75 >= drop_75_100 THEN 'middle' ELSE 'end' END AS largest_drop
+FROM x
+"""
+
+WEEKLY = f"""
+, wk AS (SELECT CAST(date_trunc('week', date_start) AS DATE) AS week, {SOC} FROM social
+         WHERE date_start IS NOT NULL GROUP BY 1)"""
+
+SQL["ext_weekly_cpa_corr"] = WEEKLY + f"""
+, c AS (SELECT count(*) AS weeks, corr(spend, {SD('spend', 'purchases')}) AS r FROM wk)
+SELECT weeks, r AS corr_spend_cpa,
+       CASE WHEN r IS NOT NULL THEN CASE WHEN r < 0.2 THEN 'scaling well' WHEN r <= 0.5 THEN 'mild diminishing returns'
+                                         ELSE 'saturation' END END AS class FROM c
+"""
+
+SQL["ext_roas_slope"] = WEEKLY + f"""
+, x AS (SELECT {SD('purchase_value', 'spend')} AS roas, CAST(row_number() OVER (ORDER BY week) - 1 AS DOUBLE) AS i FROM wk),
+s AS (SELECT count(*) AS weeks, regr_slope(roas, i) AS slope FROM x)
+SELECT weeks, slope, CASE WHEN slope > 0.05 THEN 'positive' WHEN slope < -0.05 THEN 'negative'
+                          WHEN slope IS NOT NULL THEN 'stable' END AS trend FROM s
+"""
+
+SQL["ext_audience_type"] = f"""
+, t AS (SELECT *, CASE WHEN regexp_matches(adset_name, '(?i)(lal|lookalike)') THEN 'LAL'
+                       WHEN regexp_matches(adset_name, '(?i)(retarget|rmk|remarketing)') THEN 'Retargeting'
+                       WHEN regexp_matches(adset_name, '(?i)(interes|interest)') THEN 'Intereses'
+                       WHEN regexp_matches(adset_name, '(?i)(broad|abierto)') THEN 'Broad' ELSE 'Other' END AS audience_type
+        FROM social WHERE adset_name IS NOT NULL),
+g AS (SELECT audience_type, {SOC} FROM t GROUP BY 1)
+SELECT audience_type, spend, reach, {SD('impressions', 'reach')} AS frequency, {SD('purchase_value', 'spend')} AS roas,
+       {SD('spend', 'purchases')} AS cpa, {SD('impressions', 'reach')} > 5.0 AS saturated FROM g
+"""
+
+SQL["ext_overlap_by_campaign"] = f"""
+, g AS (SELECT campaign_name, adset_name, {SOC} FROM social
+        WHERE campaign_name IS NOT NULL AND adset_name IS NOT NULL GROUP BY 1, 2)
+SELECT campaign_name AS campaign, count(*) AS adsets,
+       count(*) FILTER (WHERE {SD('impressions', 'reach')} > 3.0) AS adsets_over_frequency
+FROM g GROUP BY 1
+"""
+
+SQL["ext_fatigue_class"] = f"""
+, d AS (SELECT ad_name, date_start, {SOC} FROM social WHERE ad_name IS NOT NULL AND date_start IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY ad_name ORDER BY date_start) AS a,
+             row_number() OVER (PARTITION BY ad_name ORDER BY date_start DESC) AS z FROM d),
+g AS (SELECT ad_name AS ad,
+             {SD('coalesce(sum(clicks) FILTER (WHERE a <= 7), 0.0) * 100', 'coalesce(sum(impressions) FILTER (WHERE a <= 7), 0.0)')}
+               AS ctr_first,
+             {SD('coalesce(sum(clicks) FILTER (WHERE z <= 7), 0.0) * 100', 'coalesce(sum(impressions) FILTER (WHERE z <= 7), 0.0)')}
+               AS ctr_last,
+             {SD('sum(impressions)', 'sum(reach)')} AS frequency, count(*) AS days_active FROM r GROUP BY 1),
+x AS (SELECT *, CASE WHEN ctr_first > 0 THEN (ctr_first - ctr_last) / ctr_first * 100 ELSE 0.0 END AS ctr_drop_pct FROM g)
+SELECT *, CASE WHEN frequency > 5 AND ctr_drop_pct > 30 THEN 'Fatigado'
+               WHEN frequency >= 3 AND ctr_drop_pct > 0 THEN 'En riesgo' ELSE 'Fresco' END AS class
+FROM x
+"""

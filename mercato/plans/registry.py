@@ -236,6 +236,25 @@ register("ext_free_threshold", ecx.free_threshold)
 register("ext_forecast_quality", ecx.forecast_quality)
 register("ext_high_aov_low_volume", ecx.high_aov_low_volume)
 
+from mercato.operators.social import extensions as acx  # noqa: E402
+
+register("ext_lost_impressions", acx.lost_impressions)
+register("ext_day_hour_heatmap", acx.day_hour_heatmap)
+register("ext_prior_period", acx.prior_period)
+register("ext_brand_split", acx.brand_split)
+register("ext_is_quadrant", acx.is_quadrant)
+register("ext_wasted_ratio", acx.wasted_ratio)
+register("ext_rsa_audit", acx.rsa_audit)
+register("ext_winners_losers", acx.winners_losers)
+register("ext_relevance_score", acx.relevance_score)
+register("ext_hook_class", acx.hook_class)
+register("ext_video_dropoff", acx.video_dropoff)
+register("ext_weekly_cpa_corr", acx.weekly_cpa_corr)
+register("ext_roas_slope", acx.roas_slope)
+register("ext_audience_type", acx.audience_type)
+register("ext_overlap_by_campaign", acx.overlap_by_campaign)
+register("ext_fatigue_class", acx.fatigue_class)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
