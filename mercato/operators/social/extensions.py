@@ -216,3 +216,115 @@ def fatigue_class(ctx, days: int = 7) -> DataFrame:
            .when((F.col("frequency") >= 3) & (drop > 0), "En riesgo").otherwise("Fresco"))
     return g.select(F.col("ad_name").alias("ad"), "ctr_first", "ctr_last", drop.alias("ctr_drop_pct"), "frequency",
                     "days_active", cls.alias("class"))
+
+
+def low_volume_bidding(ctx, min_monthly: float = 15.0) -> DataFrame:
+    """Smart-bidding campaigns with fewer than 15 conversions in a calendar month."""
+    r = ctx.campaign.where(nonblank("bid_strategy_type") & F.col("date").isNotNull())
+    g = r.groupBy("campaign_name", F.date_format("date", "yyyy-MM").alias("month")).agg(
+        sum0("conversions").alias("conversions"))
+    return g.select(F.col("campaign_name").alias("campaign"), "month", "conversions",
+                    (F.col("conversions") < min_monthly).alias("low_volume"))
+
+
+def qs_component(ctx) -> DataFrame:
+    """Cause class of each scored keyword from its below-average components."""
+    q = ctx.keyword.where(F.col("quality_score") > 0)
+    below = [F.coalesce(F.lower(F.col(c)).contains("below"), F.lit(False))
+             for c in ("expected_ctr", "ad_relevance", "landing_page_experience")]
+    cause = (F.when(below[0] & below[1] & below[2], "misaligned").when(below[0], "ad copy")
+             .when(below[1], "keyword-ad relevance").when(below[2], "landing page").otherwise("ok"))
+    return q.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("keywords"), sum0("cost").alias("cost"))
+
+
+def pmax_before_after(ctx) -> DataFrame:
+    """Mean search impression share of Search campaigns before vs from the first Performance Max day."""
+    r = ctx.campaign.where(F.col("date").isNotNull())
+    start = r.where(F.col("campaign_type") == "PMax").agg(F.min("date")).scalar()
+    s = r.where((F.col("campaign_type") == "Search") & F.col("search_impression_share").isNotNull())
+    return s.agg(F.avg(F.when(F.col("date") < start, F.col("search_impression_share"))).alias("is_before"),
+                 F.avg(F.when(F.col("date") >= start, F.col("search_impression_share"))).alias("is_after"),
+                 start.alias("pmax_start"))
+
+
+def sustained_cpa(ctx, rise: float = 0.4, min_days: int = 3) -> DataFrame:
+    """Runs of consecutive days whose CPA exceeds the campaign's period CPA by ``rise`` (gaps and islands)."""
+    r = ctx.campaign.where(F.col("date").isNotNull() & F.col("campaign_name").isNotNull())
+    d = r.groupBy("campaign_name", "date").agg(sum0("cost").alias("cost"), sum0("conversions").alias("conv"))
+    base = d.groupBy("campaign_name").agg(safe_div(F.sum("cost"), F.sum("conv")).alias("base_cpa"))
+    d = d.join(base, "campaign_name").withColumn("cpa", safe_div("cost", "conv"))
+    hot = d.where((F.col("base_cpa") > 0) & (F.col("cpa") > F.col("base_cpa") * (1 + rise)))
+    # consecutive dates share (date - row number); one row per campaign day bounds each partition
+    w = Window.partitionBy("campaign_name").orderBy("date")
+    hot = hot.withColumn("_island", F.date_sub("date", F.row_number().over(w)))
+    g = hot.groupBy("campaign_name", "_island").agg(F.min("date").alias("start"), F.max("date").alias("end"),
+                                                    F.count(F.lit(1)).alias("days"), F.avg("cpa").alias("avg_cpa"),
+                                                    F.first("base_cpa").alias("base_cpa"))
+    return g.where(F.col("days") >= min_days).select(F.col("campaign_name").alias("campaign"), "start", "end", "days",
+                                                     "avg_cpa", "base_cpa")
+
+
+def metric_divergence(ctx, flat: float = 5.0) -> DataFrame:
+    """Second half vs first half per campaign: CTR down with impressions up, conversions down with clicks flat,
+    conversion rate down with spend up, delivery near zero."""
+    r = ctx.campaign.where(F.col("date").isNotNull() & F.col("campaign_name").isNotNull())
+    rng = r.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    mid = F.date_add(rng.select("a").scalar(), F.floor(F.datediff(rng.select("b").scalar(),
+                                                                   rng.select("a").scalar()) / 2).cast("int"))
+    h1, h2 = F.col("date") < mid, F.col("date") >= mid
+    g = r.groupBy("campaign_name").agg(*[sum0(F.when(h, F.col(m))).cast("double").alias(f"{m}{i}")
+                                         for i, h in ((1, h1), (2, h2))
+                                         for m in ("impressions", "clicks", "cost", "conversions")])
+
+    def chg(m):
+        return F.when(F.col(f"{m}1") > 0, (F.col(f"{m}2") - F.col(f"{m}1")) / F.col(f"{m}1") * 100)
+
+    ctr1, ctr2 = safe_div("clicks1", "impressions1"), safe_div("clicks2", "impressions2")
+    cr1, cr2 = safe_div("conversions1", "clicks1"), safe_div("conversions2", "clicks2")
+    return g.select(F.col("campaign_name").alias("campaign"),
+                    F.coalesce((ctr2 < ctr1) & (chg("impressions") > 0), F.lit(False)).alias("ctr_down_impressions_up"),
+                    F.coalesce((chg("conversions") < 0) & (F.abs(chg("clicks")) <= flat), F.lit(False))
+                    .alias("conversions_down_clicks_flat"),
+                    F.coalesce((cr2 < cr1) & (chg("cost") > 0), F.lit(False)).alias("conv_rate_down_spend_up"),
+                    (F.col("impressions2") < F.col("impressions1") * 0.01).alias("delivery_near_zero"))
+
+
+def budget_guard(ctx, max_rank_lost: float = 50.0) -> DataFrame:
+    g = ga.aggregate_by(ctx.campaign, "campaign_name", ["search_lost_is_rank"])
+    g = g.where(F.col("search_lost_is_rank").isNotNull())
+    return g.select(F.col("campaign_name").alias("campaign"), F.col("search_lost_is_rank").alias("lost_rank"),
+                    (F.col("search_lost_is_rank") <= max_rank_lost).alias("can_scale"))
+
+
+def branded_share(ctx, branded_min: float = 70.0, other_min: float = 50.0, pattern: str = "(?i)brand") -> DataFrame:
+    g = ga.aggregate_by(ctx.campaign, "campaign_name", ["search_impression_share"])
+    g = g.where(F.col("search_impression_share").isNotNull())
+    branded = F.col("campaign_name").rlike(pattern)
+    floor = F.when(branded, F.lit(branded_min)).otherwise(F.lit(other_min))
+    return g.select(F.col("campaign_name").alias("campaign"), branded.alias("branded"),
+                    F.col("search_impression_share").alias("impression_share"),
+                    (F.col("search_impression_share") < floor).alias("below_floor"))
+
+
+def weekday_guard(ctx, min_weeks: int = 4) -> DataFrame:
+    """A weekday report needs at least four full (7-day) weeks of data."""
+    r = ctx.campaign.where(F.col("date").isNotNull())
+    w = r.groupBy(F.date_trunc("week", "date").alias("wk")).agg(F.count_distinct("date").alias("d"))
+    return w.agg(F.count(F.when(F.col("d") == 7, 1)).alias("full_weeks")).select(
+        "full_weeks", (F.col("full_weeks") >= min_weeks).alias("weekday_report_valid"))
+
+
+def custom_name_regex(ctx, pattern: str = r"^(?P<product>[^|]+?) \| (?P<format>[^|]+?) \| (?P<stage>[^|]+?) \| "
+                                              r"(?P<creator>[^|]+?) \| (?P<variation>.+)$",
+                      min_rate: float = 50.0) -> DataFrame:
+    """Parse ad names with a user pattern of named groups; unparsed names keep null fields; flag a low parse rate."""
+    import re
+    groups = list(re.compile(pattern).groupindex.items())
+    java = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
+    s = ctx.social
+    names = s.where(F.col(name_column(s)).isNotNull()).select(F.col(name_column(s)).alias("name")).distinct()
+    ok = F.col("name").rlike(java)
+    fields = [F.when(ok, F.regexp_extract("name", java, idx)).alias(g) for g, idx in groups]
+    out = names.select("name", *fields, ok.alias("parsed"))
+    rate = out.agg(F.avg(F.col("parsed").cast("double")) * 100).scalar()
+    return out.select("*", rate.alias("parse_rate_pct"), (rate < min_rate).alias("low_parse_rate"))

@@ -186,3 +186,48 @@ def high_aov_low_volume(ctx) -> DataFrame:
     qa = exact_quantiles(g, "aov", [0.75], prefix="a").select("a0").scalar()
     qo = exact_quantiles(g, "orders", [0.25], prefix="o").select("o0").scalar()
     return g.where((F.col("aov") >= qa) & (F.col("orders") <= qo))
+
+
+def size_pairs(ctx, k: int = 15) -> DataFrame:
+    """Sizes bought together in one order (top pairs by orders)."""
+    from mercato.functions.text import extract_size
+    from mercato.operators.store.basket import _stats, _top_pairs, order_items
+    items = order_items(ctx.lines.where(F.col("product_name").isNotNull()), extract_size("product_name", "sku"))
+    n, _ = _stats(items)
+    return (_top_pairs(items, k, n).orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
+            .select(F.col("item_a").alias("size_a"), F.col("item_b").alias("size_b"), "count"))
+
+
+def price_elasticity(ctx, min_prices: int = 3) -> DataFrame:
+    """Per product with at least three distinct monthly mean prices: mean of (%change qty / %change price)
+    between consecutive present months whose price changed."""
+    l = ctx.lines.where(F.col("product_name").isNotNull() & F.col("date").isNotNull() & (F.col("product_price") > 0))
+    m = l.groupBy("product_name", month_start("date").alias("_m")).agg(
+        # exact decimal means: equal price points compare equal regardless of summation order
+        F.avg(F.col("product_price").cast("decimal(20,8)")).cast("double").alias("price"), F.coalesce(F.sum("product_qty"), F.lit(0)).alias("qty"))
+    # one row per product month: the calendar bounds each window partition
+    w = Window.partitionBy("product_name").orderBy("_m")
+    m = m.withColumn("_pp", F.lag("price").over(w)).withColumn("_pq", F.lag("qty").over(w))
+    e = m.where((F.col("_pp") > 0) & (F.col("_pq") > 0) & (F.col("price") != F.col("_pp"))).select(
+        "product_name", (((F.col("qty") - F.col("_pq")) / F.col("_pq")) /
+                         ((F.col("price") - F.col("_pp")) / F.col("_pp"))).alias("e"))
+    prices = m.groupBy("product_name").agg(F.count_distinct("price").alias("prices"))
+    g = e.groupBy("product_name").agg(F.avg("e").alias("elasticity"), F.count(F.lit(1)).alias("changes"))
+    return g.join(prices, "product_name").where(F.col("prices") >= min_prices)
+
+
+def kmeans_elbow(ctx, ks: tuple = (3, 4, 5), seed: int = 42) -> DataFrame:
+    """Within-cluster sum of squares of k-means on the scaled customer features for several k."""
+    from pyspark import StorageLevel
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull() & (F.col("total") > 0))
+    mx = o.agg(F.max("date")).scalar()
+    c = o.groupBy("email").agg(F.sum("total").alias("s"), F.count_distinct("order_id").alias("n"),
+                               F.avg("total").alias("a"), whole_days(mx, F.max("date")).alias("r"))
+    st = c.agg(*[F.min(f).alias(f"lo_{f}") for f in "snar"], *[F.max(f).alias(f"hi_{f}") for f in "snar"]).first()
+    scaled = [((F.col(f) - st[f"lo_{f}"]) / ((st[f"hi_{f}"] - st[f"lo_{f}"]) or 1.0)).alias(f"x_{f}") for f in "snar"]
+    x = VectorAssembler(inputCols=[f"x_{f}" for f in "snar"], outputCol="features").transform(
+        c.select(*scaled)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = [(k, float(KMeans(k=k, seed=seed, maxIter=50, tol=1e-6).fit(x).summary.trainingCost)) for k in ks]
+    return ctx.spark.createDataFrame(rows, "k int, inertia double")

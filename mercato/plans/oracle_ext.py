@@ -294,3 +294,113 @@ SELECT *, CASE WHEN frequency > 5 AND ctr_drop_pct > 30 THEN 'Fatigado'
                WHEN frequency >= 3 AND ctr_drop_pct > 0 THEN 'En riesgo' ELSE 'Fresco' END AS class
 FROM x
 """
+
+SQL["ext_low_volume_bidding"] = """
+SELECT campaign_name AS campaign, strftime("date", '%Y-%m') AS month, coalesce(sum(conversions), 0.0) AS conversions,
+       coalesce(sum(conversions), 0.0) < 15.0 AS low_volume
+FROM camp WHERE bid_strategy_type IS NOT NULL AND bid_strategy_type <> '' AND "date" IS NOT NULL GROUP BY 1, 2
+"""
+
+SQL["ext_qs_component"] = """
+, q AS (SELECT *, coalesce(lower(expected_ctr) LIKE '%below%', false) AS b1,
+               coalesce(lower(ad_relevance) LIKE '%below%', false) AS b2,
+               coalesce(lower(landing_page_experience) LIKE '%below%', false) AS b3 FROM kw WHERE quality_score > 0)
+SELECT CASE WHEN b1 AND b2 AND b3 THEN 'misaligned' WHEN b1 THEN 'ad copy' WHEN b2 THEN 'keyword-ad relevance'
+            WHEN b3 THEN 'landing page' ELSE 'ok' END AS cause, count(*) AS keywords, coalesce(sum(cost), 0.0) AS cost
+FROM q GROUP BY 1
+"""
+
+SQL["ext_pmax_before_after"] = """
+, s AS (SELECT min("date") AS st FROM camp WHERE "date" IS NOT NULL AND campaign_type = 'PMax')
+SELECT avg(search_impression_share) FILTER (WHERE "date" < s.st) AS is_before,
+       avg(search_impression_share) FILTER (WHERE "date" >= s.st) AS is_after, s.st AS pmax_start
+FROM camp, s WHERE "date" IS NOT NULL AND campaign_type = 'Search' AND search_impression_share IS NOT NULL
+GROUP BY s.st
+"""
+
+SQL["ext_sustained_cpa"] = f"""
+, d AS (SELECT campaign_name, "date", coalesce(sum(cost), 0.0) AS cost, coalesce(sum(conversions), 0.0) AS conv
+        FROM camp WHERE "date" IS NOT NULL AND campaign_name IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT campaign_name, {SD('sum(cost)', 'sum(conv)')} AS base_cpa FROM d GROUP BY 1),
+h AS (SELECT d.*, b.base_cpa, {SD('cost', 'conv')} AS cpa FROM d JOIN b USING (campaign_name)
+      WHERE b.base_cpa > 0 AND {SD('cost', 'conv')} > b.base_cpa * (1 + 0.4)),
+i AS (SELECT *, "date" - CAST(row_number() OVER (PARTITION BY campaign_name ORDER BY "date") AS INTEGER) AS isl FROM h)
+SELECT campaign_name AS campaign, min("date") AS start, max("date") AS "end", count(*) AS days, avg(cpa) AS avg_cpa,
+       min(base_cpa) AS base_cpa
+FROM i GROUP BY campaign_name, isl HAVING count(*) >= 3
+"""
+
+SQL["ext_metric_divergence"] = f"""
+, r AS (SELECT min("date") AS a, max("date") AS b FROM camp WHERE "date" IS NOT NULL AND campaign_name IS NOT NULL),
+m AS (SELECT a + CAST(floor(datediff('day', a, b) / 2) AS INTEGER) AS mid FROM r),
+g AS (SELECT campaign_name,
+             CAST(coalesce(sum(impressions) FILTER (WHERE "date" < mid), 0) AS DOUBLE) AS i1,
+             CAST(coalesce(sum(clicks) FILTER (WHERE "date" < mid), 0) AS DOUBLE) AS c1,
+             coalesce(sum(cost) FILTER (WHERE "date" < mid), 0.0) AS s1,
+             coalesce(sum(conversions) FILTER (WHERE "date" < mid), 0.0) AS v1,
+             CAST(coalesce(sum(impressions) FILTER (WHERE "date" >= mid), 0) AS DOUBLE) AS i2,
+             CAST(coalesce(sum(clicks) FILTER (WHERE "date" >= mid), 0) AS DOUBLE) AS c2,
+             coalesce(sum(cost) FILTER (WHERE "date" >= mid), 0.0) AS s2,
+             coalesce(sum(conversions) FILTER (WHERE "date" >= mid), 0.0) AS v2
+      FROM camp, m WHERE "date" IS NOT NULL AND campaign_name IS NOT NULL GROUP BY 1)
+SELECT campaign_name AS campaign,
+       coalesce({SD('c2', 'i2')} < {SD('c1', 'i1')} AND (CASE WHEN i1 > 0 THEN (i2 - i1) / i1 * 100 END) > 0, false)
+         AS ctr_down_impressions_up,
+       coalesce((CASE WHEN v1 > 0 THEN (v2 - v1) / v1 * 100 END) < 0
+                AND abs(CASE WHEN c1 > 0 THEN (c2 - c1) / c1 * 100 END) <= 5.0, false) AS conversions_down_clicks_flat,
+       coalesce({SD('v2', 'c2')} < {SD('v1', 'c1')} AND (CASE WHEN s1 > 0 THEN (s2 - s1) / s1 * 100 END) > 0, false)
+         AS conv_rate_down_spend_up,
+       i2 < i1 * 0.01 AS delivery_near_zero
+FROM g
+"""
+
+SQL["ext_budget_guard"] = """
+SELECT campaign_name AS campaign, min(search_lost_is_rank) AS lost_rank, min(search_lost_is_rank) <= 50.0 AS can_scale
+FROM camp WHERE campaign_name IS NOT NULL GROUP BY 1 HAVING min(search_lost_is_rank) IS NOT NULL
+"""
+
+SQL["ext_branded_share"] = """
+, g AS (SELECT campaign_name, min(search_impression_share) AS isv FROM camp WHERE campaign_name IS NOT NULL GROUP BY 1)
+SELECT campaign_name AS campaign, regexp_matches(campaign_name, '(?i)brand') AS branded, isv AS impression_share,
+       isv < CASE WHEN regexp_matches(campaign_name, '(?i)brand') THEN 70.0 ELSE 50.0 END AS below_floor
+FROM g WHERE isv IS NOT NULL
+"""
+
+SQL["ext_weekday_guard"] = """
+, w AS (SELECT date_trunc('week', "date") AS wk, count(DISTINCT "date") AS d FROM camp WHERE "date" IS NOT NULL GROUP BY 1)
+SELECT count(*) FILTER (WHERE d = 7) AS full_weeks, count(*) FILTER (WHERE d = 7) >= 4 AS weekday_report_valid FROM w
+"""
+
+SQL["ext_custom_name_regex"] = """
+, nm AS (SELECT DISTINCT ad_name AS name FROM social WHERE ad_name IS NOT NULL),
+p AS (SELECT name, regexp_matches(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$') AS ok FROM nm),
+x AS (SELECT name,
+             CASE WHEN ok THEN regexp_extract(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$', 1) END AS product,
+             CASE WHEN ok THEN regexp_extract(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$', 2) END AS format,
+             CASE WHEN ok THEN regexp_extract(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$', 3) END AS stage,
+             CASE WHEN ok THEN regexp_extract(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$', 4) END AS creator,
+             CASE WHEN ok THEN regexp_extract(name, '^([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| ([^|]+?) \\| (.+)$', 5) END AS variation,
+             ok AS parsed FROM p)
+SELECT *, (SELECT avg(CAST(parsed AS DOUBLE)) * 100 FROM x) AS parse_rate_pct,
+       (SELECT avg(CAST(parsed AS DOUBLE)) * 100 FROM x) < 50.0 AS low_parse_rate FROM x
+"""
+
+SQL["ext_size_pairs"] = S.SIZE_LINES + """
+, ob AS (SELECT DISTINCT order_id, size FROM sl WHERE order_id IS NOT NULL)
+SELECT a.size AS size_a, b.size AS size_b, count(*) AS count
+FROM ob a JOIN ob b ON a.order_id = b.order_id AND a.size < b.size
+GROUP BY 1, 2 ORDER BY count DESC, size_a, size_b LIMIT 15
+"""
+
+SQL["ext_price_elasticity"] = """
+, l AS (SELECT * FROM lines WHERE product_name IS NOT NULL AND "date" IS NOT NULL AND product_price > 0),
+m AS (SELECT product_name, date_trunc('month', "date") AS mm, CAST(avg(CAST(product_price AS DECIMAL(20,8))) AS DOUBLE) AS price,
+             CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS qty FROM l GROUP BY 1, 2),
+g AS (SELECT *, lag(price) OVER (PARTITION BY product_name ORDER BY mm) AS pp,
+             lag(qty) OVER (PARTITION BY product_name ORDER BY mm) AS pq FROM m),
+e AS (SELECT product_name, ((qty - pq) / pq) / ((price - pp) / pp) AS e FROM g
+      WHERE pp > 0 AND pq > 0 AND price <> pp),
+pr AS (SELECT product_name, count(DISTINCT price) AS prices FROM m GROUP BY 1)
+SELECT product_name, avg(e) AS elasticity, count(*) AS changes, prices
+FROM e JOIN pr USING (product_name) GROUP BY product_name, prices HAVING prices >= 3
+"""

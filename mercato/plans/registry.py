@@ -255,6 +255,19 @@ register("ext_audience_type", acx.audience_type)
 register("ext_overlap_by_campaign", acx.overlap_by_campaign)
 register("ext_fatigue_class", acx.fatigue_class)
 
+register("ext_low_volume_bidding", acx.low_volume_bidding)
+register("ext_qs_component", acx.qs_component)
+register("ext_pmax_before_after", acx.pmax_before_after)
+register("ext_sustained_cpa", acx.sustained_cpa)
+register("ext_metric_divergence", acx.metric_divergence)
+register("ext_budget_guard", acx.budget_guard)
+register("ext_branded_share", acx.branded_share)
+register("ext_weekday_guard", acx.weekday_guard)
+register("ext_custom_name_regex", acx.custom_name_regex)
+register("ext_size_pairs", ecx.size_pairs)
+register("ext_price_elasticity", ecx.price_elasticity)
+register("ext_kmeans_elbow", ecx.kmeans_elbow)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)
