@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES = ("lines", "orders", "campaign", "keyword", "search_term", "ad", "auction", "social")
+_TABLES = ("lines", "orders", "campaign", "keyword", "search_term", "ad", "auction", "social", "events")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -81,6 +81,7 @@ class Context:
     ad = property(lambda self: self.table("ad"))
     auction = property(lambda self: self.table("auction"))
     social = property(lambda self: self.table("social"))
+    events = property(lambda self: self.table("events"))
 
     # ------------------------------------------------------------ fixtures
     _memo: dict = {}
@@ -102,6 +103,7 @@ class Context:
                 ad=lambda: spread(fx.ad_view(spark, sf_dir)),
                 auction=lambda: fx.auction_view(spark, sf_dir),
                 social=lambda: spread(fx.social_view(spark, sf_dir)),
+                events=lambda: spread(fx.events_view(spark, sf_dir)),
             )
             cls._memo[key] = ctx
         return ctx

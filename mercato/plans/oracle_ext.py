@@ -404,3 +404,25 @@ pr AS (SELECT product_name, count(DISTINCT price) AS prices FROM m GROUP BY 1)
 SELECT product_name, avg(e) AS elasticity, count(*) AS changes, prices
 FROM e JOIN pr USING (product_name) GROUP BY product_name, prices HAVING prices >= 3
 """
+
+# brute-force range join of every conversion to its touches: the independent answer
+SQL["ext_attribution_models"] = """
+, cv AS (SELECT event_id AS cid, user_id, ts FROM ev WHERE event_type = 'purchase'),
+tc AS (SELECT user_id, ts, channel FROM ev WHERE event_type IN ('view', 'click')),
+p AS (SELECT cv.cid, tc.channel, tc.ts AS tts, cv.ts AS cts,
+             row_number() OVER (PARTITION BY cv.cid ORDER BY tc.ts) AS ra,
+             row_number() OVER (PARTITION BY cv.cid ORDER BY tc.ts DESC) AS rd,
+             count(*) OVER (PARTITION BY cv.cid) AS n,
+             pow(2.0, -(epoch_us(cv.ts) - epoch_us(tc.ts)) / (7.0 * 86400000000)) AS w
+      FROM cv JOIN tc ON tc.user_id = cv.user_id AND tc.ts < cv.ts
+                     AND epoch_us(tc.ts) >= epoch_us(cv.ts) - 30 * 86400000000),
+q AS (SELECT *, w / sum(w) OVER (PARTITION BY cid) AS wn FROM p),
+c AS (SELECT 'last_touch' AS model, channel, CAST(rd = 1 AS DOUBLE) AS credit FROM q
+      UNION ALL SELECT 'first_touch', channel, CAST(ra = 1 AS DOUBLE) FROM q
+      UNION ALL SELECT 'linear', channel, 1.0 / n FROM q
+      UNION ALL SELECT 'time_decay', channel, wn FROM q
+      UNION ALL SELECT 'position', channel,
+             CASE WHEN n = 1 THEN 1.0 WHEN n = 2 THEN 0.5 WHEN ra = 1 OR rd = 1 THEN 0.4 ELSE 0.2 / (n - 2) END FROM q
+      UNION ALL SELECT 'unattributed', CAST(NULL AS VARCHAR), 1.0 FROM cv WHERE cid NOT IN (SELECT cid FROM p))
+SELECT model, channel, sum(credit) AS credit FROM c GROUP BY 1, 2
+"""

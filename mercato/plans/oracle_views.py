@@ -185,6 +185,10 @@ ads AS (
          campaign_name, campaign_type, ad_group_name
   FROM part_metrics
 ),
+ev AS (
+  SELECT event_id, ts, user_id, event_type, value, (['MOBILE', 'DESKTOP', 'TABLET'])[event_id % 3 + 1] AS channel
+  FROM events
+),
 auction AS (
   SELECT 'rival' || CAST(s_nationkey % 8 AS VARCHAR) || '.com' AS competitor_domain,
          CASE WHEN s_suppkey % 11 <> 0 THEN CAST((s_suppkey * 7 + 10) % 100 AS DOUBLE) END AS auction_is,

@@ -268,6 +268,10 @@ register("ext_size_pairs", ecx.size_pairs)
 register("ext_price_elasticity", ecx.price_elasticity)
 register("ext_kmeans_elbow", ecx.kmeans_elbow)
 
+from mercato.operators.social import attribution as atx  # noqa: E402
+
+register("ext_attribution_models", atx.attribution_models)
+
 
 def run(ctx, key: str, **params) -> DataFrame:
     return REGISTRY[key](ctx, **params)

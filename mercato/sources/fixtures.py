@@ -302,3 +302,9 @@ def auction_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         rate(29, 1).alias("auction_top_rate"),
         rate(13, 7).alias("auction_abs_top_rate"),
     )
+
+
+def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw touch / conversion events; the channel is the event's device (as in the ads facts)."""
+    return read(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value", _pick(F.col("event_id") % 3, _DEVICES).alias("channel"))
