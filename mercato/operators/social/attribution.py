@@ -24,9 +24,11 @@ def attribution(events: DataFrame, channel: str = "channel", lookback_days: int
                 half_life_days: float = 7.0, max_channels: int = 64,
                 touch_types: tuple = ("view", "click"), conversion_type: str = "purchase") -> DataFrame:
     """Credit per (model, channel) summed over conversions; conversions without touches are ``unattributed``."""
+    # micros since the epoch measured between zone-less timestamps: no session time zone (or DST) involved
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     ev = events.where(F.col("event_type").isin(*touch_types, conversion_type)).select(
         "user_id", "event_type", F.col(channel).alias("channel"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+        F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("_us"))
     channels = [r[0] for r in ev.where(F.col("event_type").isin(*touch_types)).select("channel").distinct()
                 .limit(max_channels + 1).collect()]
     if len(channels) > max_channels:
