@@ -91,16 +91,6 @@ def sum0(c) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0))
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a single-row aggregate as broadcastable: its size is one row by construction."""
-    return F.broadcast(df)
-
-
-def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast cross join)."""
-    return df.crossJoin(one_row(scalars))
-
-
 def ratio_metrics(prefix: str = "", spend="cost", value="conversion_value", conv="conversions",
                   clicks="clicks", impressions="impressions") -> list:
     """roas, cpa, ctr, cpc, conv_rate, cpm from summed columns (sum/sum, never mean of ratios)."""
