@@ -27,11 +27,15 @@ MATRIX_CELLS = 1 << 23  # dense cells per block (float32: 32 MB)
 
 
 def frequent_items(items: DataFrame, min_count: int) -> DataFrame:
-    """(item, freq, idx) for items present in at least ``min_count`` orders; idx is dense 0..n-1."""
-    f = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count)
-    # ranked by name: the caller has already checked the row count against its bound
+    """(item, freq) for items present in at least ``min_count`` orders."""
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_count)
+
+
+def index_items(freq: DataFrame) -> DataFrame:
+    """Add a dense 0..n-1 ``idx`` by name.  Call only after ``freq.count()`` passed the item bound:
+    the numbering is one window over the (bounded) item table."""
     from pyspark.sql import Window
-    return f.withColumn("idx", (F.row_number().over(Window.orderBy("item")) - 1).cast("int"))
+    return freq.withColumn("idx", (F.row_number().over(Window.orderBy("item")) - 1).cast("int"))
 
 
 def _blocks(n_orders: int, n_items: int) -> int:

@@ -99,11 +99,9 @@ def rsa_audit(ctx, min_h: int = 3, max_h: int = 15, max_len: int = 30) -> DataFr
 def winners_losers(ctx, min_spend: float = 50.0, k: int = 3) -> DataFrame:
     g = _agg(ctx.social, ["ad_name"]).where(F.col("spend") >= min_spend)
     g = g.select(F.col("ad_name").alias("ad"), "spend", safe_div("purchase_value", "spend").alias("roas"))
-    # ads above the spend floor: one row each, ranked twice (bounded by the number of ads)
-    g = (g.withColumn("_top", F.row_number().over(Window.orderBy(F.col("roas").desc(), "ad")))
-         .withColumn("_bot", F.row_number().over(Window.orderBy(F.col("roas").asc(), "ad"))))
-    w = g.where(F.col("_top") <= k).select("ad", "spend", "roas", F.lit("winner").alias("label"))
-    l_ = g.where(F.col("_bot") <= k).select("ad", "spend", "roas", F.lit("loser").alias("label"))
+    # two distributed top-k scans (take-ordered), no window over all ads
+    w = g.orderBy(F.col("roas").desc(), "ad").limit(k).select("ad", "spend", "roas", F.lit("winner").alias("label"))
+    l_ = g.orderBy(F.col("roas").asc(), "ad").limit(k).select("ad", "spend", "roas", F.lit("loser").alias("label"))
     return w.unionByName(l_)
 
 

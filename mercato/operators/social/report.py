@@ -394,9 +394,10 @@ def ma_name_summary(ctx, products: int = 15) -> DataFrame:
     fields = p.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
                                           for f in ("format", "stage", "creator", "product")])).alias("s")).select("s.*")
     counts = fields.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("field").orderBy(F.col("count").desc(), "value")
-    counts = counts.withColumn("_r", F.row_number().over(w)).where(
-        (F.col("field") != "product") | (F.col("_r") <= products)).drop("_r")
+    # products: a distributed top-k (take-ordered) instead of one window over every distinct product
+    top_products = (counts.where(F.col("field") == "product").orderBy(F.col("count").desc(), "value")
+                    .limit(products))
+    counts = counts.where(F.col("field") != "product").unionByName(top_products)
     unparsed = F.col("format").isNull() & F.col("stage").isNull()
     tot = p.agg(F.count(F.when(~unparsed, 1)).alias("parsed"), F.count(F.when(unparsed, 1)).alias("unparsed"))
     extra = tot.select(F.explode(F.array(

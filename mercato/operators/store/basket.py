@@ -26,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.cooccurrence import frequent_items, pair_counts, trio_counts
+from mercato.functions.cooccurrence import frequent_items, index_items, pair_counts, trio_counts
 from mercato.functions.core import line_revenue
 from mercato.functions.text import base_product, category, extract_color
 
@@ -79,6 +79,7 @@ def pairs_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
     """(item_a < item_b, count, freq_a, freq_b) for pairs of items present in >= min_count orders."""
     freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
     if freq.count() <= _max_items(items.sparkSession):
+        freq = index_items(freq).persist(StorageLevel.MEMORY_AND_DISK)
         return _named_pairs(pair_counts(items, freq, n), freq)
     fis = _fp_itemsets(items, min_count, n, 2)
     single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
@@ -92,6 +93,7 @@ def trios_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
     """(item_a < item_b < item_c, count, freq_a, freq_b, freq_c) over items in >= min_count orders."""
     freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
     if freq.count() <= _max_trio_items(items.sparkSession):
+        freq = index_items(freq).persist(StorageLevel.MEMORY_AND_DISK)
         tc = trio_counts(items, freq, n)
         for col, name in (("i", "a"), ("j", "b"), ("k", "c")):
             t = freq.select(F.col("idx").alias(col), F.col("item").alias(f"item_{name}"),

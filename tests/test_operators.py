@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from mercato.context import Context
-from mercato.functions.cooccurrence import frequent_items, pair_counts, trio_counts
+from mercato.functions.cooccurrence import frequent_items, index_items, pair_counts, trio_counts
 from mercato.operators.store.orders import orders_from_lines
 from mercato.plans.registry import REGISTRY
 from tests.conftest import SF_SMALL
@@ -128,7 +128,7 @@ def test_cooccurrence_matches_brute_force(spark):
             rows.append((f"o{o}", str(it)))
     pdf = pd.DataFrame(rows, columns=["order_id", "item"]).drop_duplicates()
     items = spark.createDataFrame(pdf)
-    freq = frequent_items(items, 1)
+    freq = index_items(frequent_items(items, 1))
     names = {r["idx"]: r["item"] for r in freq.collect()}
     pairs = {(names[r["i"]], names[r["j"]]): r["count"] for r in pair_counts(items, freq, 400).collect()}
     assert pairs == _brute_pairs(pdf)
