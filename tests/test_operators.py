@@ -150,3 +150,21 @@ def test_signals_sorted_by_priority(ctx):
     s = REGISTRY["ma_signals"](ctx).toPandas()
     order = s["priority"].map({"high": 0, "medium": 1, "low": 2})
     assert order.is_monotonic_increasing
+
+
+def test_basket_fallback_paths_agree(spark, ctx):
+    """FP-growth (beyond the item bound) and the matrix products give the same pairs and trios."""
+    keys = ["ec_basket_pairs", "ec_basket_trios", "ec_category_affinity"]
+    base = {k: sorted(tuple(r) for r in REGISTRY[k](ctx).collect()) for k in keys}
+    spark.conf.set("mercato.maxMatrixItems", "2")
+    spark.conf.set("mercato.maxMatrixTrioItems", "2")
+    try:
+        alt = {k: sorted(tuple(r) for r in REGISTRY[k](ctx).collect()) for k in keys}
+    finally:
+        spark.conf.unset("mercato.maxMatrixItems")
+        spark.conf.unset("mercato.maxMatrixTrioItems")
+    for k in keys:
+        assert len(alt[k]) == len(base[k]), k
+        for a, b in zip(alt[k], base[k]):
+            assert a == pytest.approx(b) if all(isinstance(x, (int, float)) for x in a) else \
+                [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
