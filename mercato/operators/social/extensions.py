@@ -326,3 +326,59 @@ def custom_name_regex(ctx, pattern: str = r"^(?P<product>[^|]+?) \| (?P<format>[
     out = names.select("name", *fields, ok.alias("parsed"))
     rate = out.agg(F.avg(F.col("parsed").cast("double")) * 100).scalar()
     return out.select("*", rate.alias("parse_rate_pct"), (rate < min_rate).alias("low_parse_rate"))
+
+
+def relevance_scenario(ctx, min_impressions: float = 500.0) -> DataFrame:
+    """Which ranking is below average for ads with at least 500 impressions, and the likely issue."""
+    s = ctx.social
+    col = name_column(s)
+    order = F.struct(*[F.col(c) for c in ("date_start", "device", "campaign_name", "adset_name") if c in s.columns])
+    cols = ["quality_ranking", "engagement_ranking", "conversion_ranking"]
+    g = s.where(F.col(col).isNotNull()).groupBy(col).agg(
+        sum0("impressions").alias("impressions"),
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in cols])
+    low = [F.coalesce(F.upper(F.col(c)).startswith("BELOW_AVERAGE"), F.lit(False)) for c in cols]
+    issue = (F.when(low[0] & low[1] & low[2], "audience-creative mismatch").when(low[0], "creative quality")
+             .when(low[1], "ad not compelling").when(low[2], "post-click experience").otherwise("ok"))
+    return g.where(F.col("impressions") >= min_impressions).select(F.col(col).alias("ad"), "impressions",
+                                                                   issue.alias("issue"))
+
+
+def same_period_comparison(ctx) -> DataFrame:
+    """Month to date vs the same days of the previous month and of the same month a year earlier."""
+    r = ctx.campaign.where(F.col("date").isNotNull())
+    mx = r.agg(F.max("date")).scalar()
+    start = F.trunc(mx, "month")
+    span = F.datediff(mx, start)
+    periods = [("current", start, mx),
+               ("previous_month", F.add_months(start, -1), F.date_add(F.add_months(start, -1), span)),
+               ("previous_year", F.add_months(start, -12), F.date_add(F.add_months(start, -12), span))]
+    aggs = []
+    for name, a, b in periods:
+        inside = (F.col("date") >= a) & (F.col("date") <= b)
+        aggs += [sum0(F.when(inside, F.col("cost"))).alias(f"{name}_cost"),
+                 sum0(F.when(inside, F.col("conversions"))).alias(f"{name}_conv"),
+                 sum0(F.when(inside, F.col("conversion_value"))).alias(f"{name}_value")]
+    t = r.agg(*aggs)
+    rows = [F.struct(F.lit(name).alias("period"), (span + 1).alias("days"), F.col(f"{name}_cost").alias("cost"),
+                     F.col(f"{name}_conv").alias("conversions"), F.col(f"{name}_value").alias("conversion_value"))
+            for name, _, _ in periods]
+    e = t.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return e.select("*", safe_div("cost", "conversions").alias("cpa"), safe_div("conversion_value", "cost").alias("roas"))
+
+
+def is_decline(ctx, stable_pct: float = 10.0) -> DataFrame:
+    """Campaigns whose weekly impression share falls while weekly spend stays within +-10 %."""
+    r = ctx.campaign.where(F.col("date").isNotNull() & F.col("search_impression_share").isNotNull())
+    wk = r.groupBy("campaign_name", F.date_trunc("week", "date").alias("week")).agg(
+        F.avg("search_impression_share").alias("is"), sum0("cost").alias("cost"))
+    # one row per campaign week: the calendar bounds each window partition
+    w = Window.partitionBy("campaign_name").orderBy("week")
+    wk = wk.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    g = wk.groupBy("campaign_name").agg(
+        F.regr_slope("is", "_x").alias("is_slope"), F.min_by("cost", "week").alias("_c0"),
+        F.max_by("cost", "week").alias("_c1"), F.count(F.lit(1)).alias("weeks"))
+    change = F.when(F.col("_c0") > 0, (F.col("_c1") - F.col("_c0")) / F.col("_c0") * 100)
+    return g.select(F.col("campaign_name").alias("campaign"), "weeks", "is_slope", change.alias("cost_change_pct"),
+                    F.coalesce((F.col("is_slope") < 0) & (F.abs(change) <= stable_pct), F.lit(False))
+                    .alias("declining_share"))

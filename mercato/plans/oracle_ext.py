@@ -426,3 +426,43 @@ c AS (SELECT 'last_touch' AS model, channel, CAST(rd = 1 AS DOUBLE) AS credit FR
       UNION ALL SELECT 'unattributed', CAST(NULL AS VARCHAR), 1.0 FROM cv WHERE cid NOT IN (SELECT cid FROM p))
 SELECT model, channel, sum(credit) AS credit FROM c GROUP BY 1, 2
 """
+
+SQL["ext_relevance_scenario"] = """
+, g AS (SELECT ad_name AS ad, coalesce(sum(impressions), 0.0) AS impressions, min(quality_ranking) AS q,
+               min(engagement_ranking) AS e, min(conversion_ranking) AS c
+        FROM social WHERE ad_name IS NOT NULL GROUP BY 1),
+l AS (SELECT *, coalesce(starts_with(upper(q), 'BELOW_AVERAGE'), false) AS lq,
+             coalesce(starts_with(upper(e), 'BELOW_AVERAGE'), false) AS le,
+             coalesce(starts_with(upper(c), 'BELOW_AVERAGE'), false) AS lc FROM g)
+SELECT ad, impressions, CASE WHEN lq AND le AND lc THEN 'audience-creative mismatch' WHEN lq THEN 'creative quality'
+                             WHEN le THEN 'ad not compelling' WHEN lc THEN 'post-click experience' ELSE 'ok' END AS issue
+FROM l WHERE impressions >= 500.0
+"""
+
+SQL["ext_same_period_comparison"] = f"""
+, m AS (SELECT max("date") AS mx, CAST(date_trunc('month', max("date")) AS DATE) AS st FROM camp WHERE "date" IS NOT NULL),
+p AS (SELECT 'current' AS period, st AS a, mx AS b, datediff('day', st, mx) + 1 AS days FROM m
+      UNION ALL SELECT 'previous_month', CAST(st - INTERVAL 1 MONTH AS DATE),
+                       CAST(st - INTERVAL 1 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), datediff('day', st, mx) + 1 FROM m
+      UNION ALL SELECT 'previous_year', CAST(st - INTERVAL 12 MONTH AS DATE),
+                       CAST(st - INTERVAL 12 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), datediff('day', st, mx) + 1 FROM m),
+g AS (SELECT p.period, CAST(p.days AS INTEGER) AS days,
+             coalesce(sum(c.cost) FILTER (WHERE c."date" >= p.a AND c."date" <= p.b), 0.0) AS cost,
+             coalesce(sum(c.conversions) FILTER (WHERE c."date" >= p.a AND c."date" <= p.b), 0.0) AS conversions,
+             coalesce(sum(c.conversion_value) FILTER (WHERE c."date" >= p.a AND c."date" <= p.b), 0.0) AS conversion_value
+      FROM p, camp c WHERE c."date" IS NOT NULL GROUP BY 1, 2)
+SELECT *, {SD('cost', 'conversions')} AS cpa, {SD('conversion_value', 'cost')} AS roas FROM g
+"""
+
+SQL["ext_is_decline"] = """
+, wk AS (SELECT campaign_name, date_trunc('week', "date") AS week, avg(search_impression_share) AS isv,
+                coalesce(sum(cost), 0.0) AS cost
+         FROM camp WHERE "date" IS NOT NULL AND search_impression_share IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT *, CAST(row_number() OVER (PARTITION BY campaign_name ORDER BY week) - 1 AS DOUBLE) AS i FROM wk),
+g AS (SELECT campaign_name, regr_slope(isv, i) AS is_slope, arg_min(cost, week) AS c0, arg_max(cost, week) AS c1,
+             count(*) AS weeks FROM x GROUP BY 1)
+SELECT campaign_name AS campaign, weeks, is_slope,
+       CASE WHEN c0 > 0 THEN (c1 - c0) / c0 * 100 END AS cost_change_pct,
+       coalesce(is_slope < 0 AND abs(CASE WHEN c0 > 0 THEN (c1 - c0) / c0 * 100 END) <= 10.0, false) AS declining_share
+FROM g
+"""

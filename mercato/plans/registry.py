@@ -271,6 +271,9 @@ register("ext_kmeans_elbow", ecx.kmeans_elbow)
 from mercato.operators.social import attribution as atx  # noqa: E402
 
 register("ext_attribution_models", atx.attribution_models)
+register("ext_relevance_scenario", acx.relevance_scenario)
+register("ext_same_period_comparison", acx.same_period_comparison)
+register("ext_is_decline", acx.is_decline)
 
 
 def run(ctx, key: str, **params) -> DataFrame:
