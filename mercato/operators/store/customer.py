@@ -105,8 +105,9 @@ def clv_quartiles(ctx) -> DataFrame:
 def _cohort_counts(ctx) -> DataFrame:
     o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull())
     cm = o.select("email", month_start("date").alias("_m")).distinct()
-    first = cm.groupBy("email").agg(F.min("_m").alias("_cohort"))
-    j = cm.join(first, "email")
+    # one row per customer-month: the calendar bounds each customer's window partition
+    from pyspark.sql import Window
+    j = cm.withColumn("_cohort", F.min("_m").over(Window.partitionBy("email")))
     return (j.groupBy("_cohort", months_between_periods("_m", "_cohort").alias("months_since"))
             .agg(F.count(F.lit(1)).alias("customers")))
 
