@@ -164,3 +164,24 @@ def test_catalogue_runner(spark, tmp_path):
     empty = Context(spark, lines=lambda: ctx.lines)
     _, st2 = run_catalogue(empty, "social", "lite")
     assert {r["status"] for r in st2.collect()} == {"skipped"}
+
+
+def test_ads_folder_and_list_inputs(spark, tmp_path):
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    _write(folder, "kw.csv", ADS_KEYWORDS)
+    _write(folder, "camp.csv", "Campaign,Day,Impressions,Clicks,Cost (ARS)\nBrand,2024-12-01,100,5,\"1.000,00\"\n")
+    _write(folder, "notes.md", "ignored")
+    got = search.read_ads_inputs(spark, str(folder))
+    assert set(got) == {"keyword", "campaign"}
+    assert got["campaign"].first()["cost"] == 1000.0
+    both = search.read_ads_inputs(spark, f"{folder}/kw.csv,{folder}/camp.csv")
+    assert both["keyword"].count() == 2
+
+
+def test_latin1_store_export(spark, tmp_path):
+    p = tmp_path / "latin.csv"
+    p.write_text(TIENDANUBE, encoding="latin-1")
+    lines, platform = store.read_store_csv(spark, str(p), encoding="ISO-8859-1")
+    assert platform == "tiendanube"
+    assert {r["state"] for r in lines.collect()} == {"Córdoba", "Salta"}
