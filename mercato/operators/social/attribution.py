@@ -9,7 +9,9 @@ row reads, from range-framed windows over the user's time-ordered events,
 the per-channel touch counts, the first and last touching channel and the
 per-channel decay sums of its 30-day look-back; every model's credit is a
 function of those aggregates.  The channel set is counted first and bounded
-(one windowed sum per channel).
+(one windowed sum per channel).  Window partitions are (user, 30-day bucket)
+with touches copied into the following bucket, so even a user holding a third
+of all events is split by time.
 """
 
 from __future__ import annotations
@@ -35,12 +37,19 @@ def attribution(events: DataFrame, channel: str = "channel", lookback_days: int
         raise ValueError(f"more than {max_channels} channels: aggregate channels first")
     channels = sorted(c for c in channels if c is not None)
     touch = F.col("event_type").isin(*touch_types)
-    user = Window.partitionBy("user_id")
-    anchor = F.min("_us").over(user)
-    # exponent base 2 relative to the user's first event; one week of half-life covers ~19 years of history
-    expo = F.least((F.col("_us") - anchor) / F.lit(half_life_days * MICROS_PER_DAY), F.lit(1000.0))
+    # Window partitions are (user, look-back-sized time bucket): every event sits in its own bucket and
+    # touches are copied into the next bucket as well, so a conversion's whole look-back lies inside its
+    # own partition.  A heavy user's history is thereby split by time (2x touch rows, bounded frames).
+    span = lookback_days * MICROS_PER_DAY
+    ev = ev.withColumn("_b", F.floor(F.col("_us") / F.lit(span)).cast("long"))
+    ev = ev.withColumn("_b", F.explode(F.when(touch, F.array(F.col("_b"), F.col("_b") + 1))
+                                       .otherwise(F.array(F.col("_b")))))
+    part = Window.partitionBy("user_id", "_b")
+    anchor = F.min("_us").over(part)
+    # base-2 exponent relative to the partition's first event: at most two look-backs of half-lives
+    expo = (F.col("_us") - anchor) / F.lit(half_life_days * MICROS_PER_DAY)
     ev = ev.withColumn("_w", F.when(touch, F.pow(F.lit(2.0), expo)))
-    frame = user.orderBy("_us").rangeBetween(-lookback_days * MICROS_PER_DAY, -1)
+    frame = part.orderBy("_us").rangeBetween(-span, -1)
     tch = F.when(touch, F.col("channel"))
     cols = [F.count(tch).over(frame).alias("_n"),
             F.first(tch, ignorenulls=True).over(frame).alias("_first"),
