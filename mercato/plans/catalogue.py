@@ -49,8 +49,11 @@ SOCIAL_FULL = SOCIAL_LITE + [
     "ma_name_detect", "ma_name_parse", "ma_name_summary", "ma_by_format", "ma_by_stage", "ma_by_creator",
     "ma_by_product", "ma_format_stage_matrix", "ma_relevance", "ma_relevance_distribution", "ma_hook_rate",
     "ma_video_completion", "ma_video_completion_ads", "ma_forecast", "ma_overlap_cv", "ma_pacing",
-    "ma_marginal_cpa", "ma_marginal_trend",
+    "ma_marginal_cpa", "ma_marginal_trend", "ma_attribution_windows",
 ]
+# analyses the exports cannot feed (per-window attribution columns come from separate API calls)
+UNAVAILABLE = {"ma_attribution_windows": "needs purchases and values per attribution window (1d/7d/28d click, "
+                                         "1d view), which the exports do not carry"}
 SETS = {("store", "lite"): STORE_LITE, ("store", "full"): STORE_FULL, ("search", "lite"): SEARCH_LITE,
         ("search", "full"): SEARCH_FULL, ("social", "lite"): SOCIAL_LITE, ("social", "full"): SOCIAL_FULL}
 INPUTS = {"store": ["lines"], "search": ["campaign"], "social": ["social"]}
@@ -69,6 +72,9 @@ def run_catalogue(ctx, domain: str, mode: str = "lite", params: dict | None = No
     status = []
     missing = [t for t in INPUTS[domain] if not ctx.has(t)]
     for key in SETS[(domain, mode)]:
+        if key in UNAVAILABLE:
+            status.append((key, "skipped", UNAVAILABLE[key]))
+            continue
         if missing:
             status.append((key, "skipped", f"missing input: {', '.join(missing)}"))
             continue
