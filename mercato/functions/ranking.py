@@ -37,19 +37,20 @@ def small_rows(df: DataFrame) -> int:
 
 def prefix_sums(df: DataFrame, order_by: list, weight: str | None = None,
                 descending: bool = False, out_before: str = "_before", out_through: str = "_through",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Add exact global running sums of ``weight`` (1 per row when None).
 
     ``order_by`` must identify rows uniquely (ties make the order undefined).
     ``out_before`` is the sum over all earlier rows, ``out_through`` includes
-    the row itself.  With ``descending`` every key sorts descending.
+    the row itself.  With ``descending`` every key sorts descending.  ``rows``
+    is ``df``'s row count when the caller already knows it.
     """
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     wtype = T.LongType() if weight is None else df.schema[weight].dataType
     if not isinstance(wtype, (T.LongType, T.DoubleType)):
         wtype = T.DoubleType()
     w = (F.lit(1) if weight is None else F.col(weight)).cast(wtype)
-    if df.count() <= small_rows(df):
+    if (df.count() if rows is None else rows) <= small_rows(df):
         # checked bound: the whole (small) input fits one task, so an ordered window is cheapest
         run = F.sum(F.coalesce(w, F.lit(0).cast(wtype))).over(
             Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
@@ -91,24 +92,26 @@ def prefix_sums(df: DataFrame, order_by: list, weight: str | None = None,
 
 
 def global_row_number(df: DataFrame, order_by: list, out: str = "_rank",
-                      descending: bool = False) -> DataFrame:
+                      descending: bool = False, rows: int | None = None) -> DataFrame:
     """1-based row number in the total order of ``order_by`` (unique keys)."""
-    r = prefix_sums(df, order_by, None, descending=descending, out_before="_rb", out_through=out)
+    r = prefix_sums(df, order_by, None, descending=descending, out_before="_rb", out_through=out, rows=rows)
     return r.drop("_rb")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None,
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", rows_at_most: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas / numpy default).
 
     Returns one row per group of ``by`` with columns ``{prefix}{i}`` for each
     requested fraction, plus ``_n`` (non-null count).  Null values are
-    ignored.
+    ignored.  ``rows_at_most`` is an already known upper bound of ``df``'s
+    row count; within the small bound it replaces the distinct-value count.
     """
     by = list(by or [])
     data = df.where(F.col(value).isNotNull())
     freq = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    if freq.count() <= small_rows(df):
+    bound = small_rows(df)
+    if (rows_at_most is not None and rows_at_most <= bound) or freq.count() <= bound:
         # checked bound on distinct values: the exact ``percentile`` buffer (value -> count) stays small
         pq = F.percentile(F.col(value).cast("double"), [float(q) for q in qs], F.col("_c"))
         res = freq.groupBy(*by).agg(F.sum("_c").alias("_n"), pq.alias("_qs"))
@@ -176,23 +179,28 @@ def quantile_bin(df: DataFrame, value: str, q: int, key: str, out: str,
     return res.withColumn(out, b).drop("_rk")
 
 
-def quantile_bins(df: DataFrame, specs: list[tuple], key: str) -> DataFrame:
+def quantile_bins(df: DataFrame, specs: list[tuple], key: str, rows_at_most: int | None = None) -> DataFrame:
     """Several ``quantile_bin`` columns at once: specs are (value, q, out, reverse).
 
     All edges come from one aggregate when every column's distinct values fit
     the checked small bound (exact ``percentile`` buffers stay small); the
-    per-column path is used otherwise.
+    per-column path is used otherwise.  ``rows_at_most`` is an already known
+    upper bound of ``df``'s row count (say the orders behind a per-customer
+    table): within the small bound it replaces the distinct-count check.
     """
-    counts = df.agg(*[F.count_distinct(v).alias(f"_d{i}") for i, (v, _, _, _) in enumerate(specs)],
-                    F.count(F.lit(1)).alias("_n")).first()
-    if counts is None or any(counts[f"_d{i}"] > small_rows(df) for i in range(len(specs))):
-        for v, q, out, rev in specs:
-            df = quantile_bin(df, v, q, key, out, rev)
-        return df
     aggs = [F.percentile(F.col(v).cast("double"), [i / q for i in range(q + 1)]).alias(f"_e{j}")
             for j, (v, q, _, _) in enumerate(specs)]
-    row = df.agg(*aggs).first()  # one row of edges: a tiny driver-side decision per column
-    n = int(counts["_n"])
+    if rows_at_most is not None and rows_at_most <= small_rows(df):
+        row = df.agg(*aggs, F.count(F.lit(1)).alias("_n")).first()  # edges and size in one pass
+    else:
+        counts = df.agg(*[F.count_distinct(v).alias(f"_d{i}") for i, (v, _, _, _) in enumerate(specs)],
+                        F.count(F.lit(1)).alias("_n")).first()
+        if counts is None or any(counts[f"_d{i}"] > small_rows(df) for i in range(len(specs))):
+            for v, q, out, rev in specs:
+                df = quantile_bin(df, v, q, key, out, rev)
+            return df
+        row = df.agg(*aggs, F.lit(counts["_n"]).alias("_n")).first()  # one row of edges per column
+    n = int(row["_n"])
     res = df
     for j, (v, q, out, rev) in enumerate(specs):
         edges = row[f"_e{j}"]
@@ -203,7 +211,7 @@ def quantile_bins(df: DataFrame, specs: list[tuple], key: str) -> DataFrame:
             # the lambda is applied right here, so it sees this iteration's column
             b = (F.lit(1) + F.size(F.filter(inner, lambda x: F.col(v) > x))).cast("int")
         else:
-            res = global_row_number(res, [v, key], out=f"_rk{j}")
+            res = global_row_number(res, [v, key], out=f"_rk{j}", rows=n)
             b = F.greatest(F.lit(1), F.ceil(F.lit(q) * (F.col(f"_rk{j}") - 1) / F.lit(max(n - 1, 1)))).cast("int")
         if rev:
             b = F.lit(q + 1) - b
@@ -248,17 +256,18 @@ def position_in_group(df: DataFrame, group: list[str], order_by: list[str],
 
 
 def previous_in_group(df: DataFrame, group: list[str], order_by: list[str], value: str,
-                      out: str) -> DataFrame:
+                      out: str, rows: int | None = None) -> DataFrame:
     """``lag(value)`` within ``group`` in ``order_by`` order, skew-safe.
 
     Rows are numbered globally (range partitioned), then each row is joined to
     the row numbered one lower with the same group key.  The join key
     (group, number) is unique, so no hot group lands in a single task.
     """
-    if df.count() <= small_rows(df):
+    rows = df.count() if rows is None else rows
+    if rows <= small_rows(df):
         # checked bound: no group can exceed what one task holds
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_by)))
-    ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
+    ranked = global_row_number(df, list(group) + list(order_by), out="_grank", rows=rows)
     prev = ranked.select(*[F.col(g) for g in group], (F.col("_grank") + 1).alias("_grank"),
                          F.col(value).alias(out))
     return ranked.join(prev, list(group) + ["_grank"], "left").drop("_grank")

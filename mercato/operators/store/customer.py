@@ -34,8 +34,9 @@ def _segment(r, f, m):
 def rfm_table(ctx, min_orders: int = 50) -> DataFrame:
     o = ctx.orders.where(nonblank("email") & F.col("date").isNotNull()
                          & F.col("total").isNotNull() & (F.col("total") > 0))
-    n_orders = o.agg(F.count(F.lit(1))).first()[0]
-    ref = o.agg(F.max("date")).scalar() + F.make_interval(days=F.lit(1))
+    head = o.agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last")).first()  # one driver-side row
+    n_orders = head["n"]
+    ref = F.lit(head["last"]).cast("timestamp") + F.make_interval(days=F.lit(1))
     c = o.groupBy("email").agg(
         whole_days(ref, F.max("date")).alias("recency"),
         F.count_distinct("order_id").alias("frequency"),
@@ -45,7 +46,7 @@ def rfm_table(ctx, min_orders: int = 50) -> DataFrame:
                                                    ("recency_score", "frequency_score", "monetary_score")],
                                             F.lit(None).cast("string").alias("segment"))
     c = quantile_bins(c, [("recency", 5, "recency_score", True), ("frequency", 5, "frequency_score", False),
-                          ("monetary", 5, "monetary_score", False)], key="email")
+                          ("monetary", 5, "monetary_score", False)], key="email", rows_at_most=n_orders)
     return c.withColumn("segment", _segment(F.col("recency_score"), F.col("frequency_score"),
                                             F.col("monetary_score")))
 
@@ -158,9 +159,10 @@ def purchase_gaps(ctx) -> DataFrame:
     distinct (customer, timestamp) pairs are the same set.
     """
     d = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull()).select("email", "date").distinct()
-    g = previous_in_group(d, ["email"], ["date"], "date", "_prev")
+    n = d.count()  # bounds the gaps as well
+    g = previous_in_group(d, ["email"], ["date"], "date", "_prev", rows=n)
     gaps = g.where(F.col("_prev").isNotNull()).select(whole_days("date", "_prev").alias("gap")).where("gap > 0")
-    q = exact_quantiles(gaps, "gap", [0.5, 0.25, 0.75], prefix="q")
+    q = exact_quantiles(gaps, "gap", [0.5, 0.25, 0.75], prefix="q", rows_at_most=n)
     mean = gaps.agg(F.avg("gap")).scalar()
     return q.select(F.col("q0").alias("median_days"), mean.alias("mean_days"),
                     F.col("q1").alias("p25_days"), F.col("q2").alias("p75_days"))
