@@ -17,16 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLES = ("lines", "orders", "campaign", "keyword", "search_term", "ad", "auction", "social", "events")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """Fix the partitioning of a table that is about to be persisted.
 
-    AQE may coalesce a small post-join shuffle into very few partitions; a
-    persisted table keeps that layout, and every operator reading it would run
-    on as few tasks.  Hash-partitioning on the natural key (the order for
-    lines and orders, which also keeps an order's lines together) to
-    ``spark.sql.shuffle.partitions`` gives every later scan full parallelism.
+    A persisted table keeps the layout it was built with (a cached plan is
+    not re-coalesced by AQE), and every operator reading it runs on that many
+    tasks: a single-file input would leave one task, a fixed large count
+    leaves thousands of near-empty tasks on small data.  The count follows
+    the data: ``rows`` (a cheap upper bound, e.g. a parquet footer count of
+    the base table) over ``mercato.rowsPerPartition``, and at least the
+    cluster's default parallelism.  Hash-partitioning on the natural key (the
+    order for lines and orders) keeps an order's lines together.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    if rows is not None:
+        per = int(spark.conf.get("mercato.rowsPerPartition", "2000000"))
+        n = max(n, -(-int(rows) // per))
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
@@ -93,17 +100,23 @@ class Context:
         ctx = cls._memo.get(key)
         if ctx is None:
             from mercato.sources import fixtures as fx
+
+            def rows(table: str) -> int:
+                # parquet row counts come from the file footers: no column data is read
+                return fx.read(spark, sf_dir, table).count()
+
             ctx = cls(
                 spark, persist=persist,
-                lines=lambda: spread(fx.lines_view(spark, sf_dir), "order_id"),
-                orders=lambda: spread(fx.orders_view(spark, sf_dir), "order_id"),
+                lines=lambda: spread(fx.lines_view(spark, sf_dir), "order_id", rows=rows("lineitem")),
+                orders=lambda: spread(fx.orders_view(spark, sf_dir), "order_id", rows=rows("orders")),
+                # campaign / social rows are aggregates on a bounded grain (day x hour x segment x device)
                 campaign=lambda: spread(fx.campaign_view(spark, sf_dir)),
-                keyword=lambda: spread(fx.keyword_view(spark, sf_dir)),
-                search_term=lambda: spread(fx.search_term_view(spark, sf_dir)),
-                ad=lambda: spread(fx.ad_view(spark, sf_dir)),
+                keyword=lambda: spread(fx.keyword_view(spark, sf_dir), rows=rows("part")),
+                search_term=lambda: spread(fx.search_term_view(spark, sf_dir), rows=rows("part")),
+                ad=lambda: spread(fx.ad_view(spark, sf_dir), rows=rows("part")),
                 auction=lambda: fx.auction_view(spark, sf_dir),
                 social=lambda: spread(fx.social_view(spark, sf_dir)),
-                events=lambda: spread(fx.events_view(spark, sf_dir)),
+                events=lambda: spread(fx.events_view(spark, sf_dir), rows=rows("events")),
             )
             cls._memo[key] = ctx
         return ctx
