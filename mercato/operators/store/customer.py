@@ -291,10 +291,10 @@ def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20, seed: int = 42)
         lo, hi = float(stats[f"min_{f}"]), float(stats[f"max_{f}"])
         rng = hi - lo if hi - lo != 0 else 1.0
         scaled.append(((F.col(f) - F.lit(lo)) / F.lit(rng)).alias(f"_s_{f}"))
-    # Lloyd iterations re-read the features every pass: keep them materialised once
-    from pyspark import StorageLevel
-    x = VectorAssembler(inputCols=[f"_s_{f}" for f in feats], outputCol="features").transform(
-        c.select("*", *scaled)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Lloyd iterations re-read the features every pass: one persisted copy per context (the result
+    # stays lazy over it, so it lives as long as the context's other tables)
+    x = ctx.derived("niche_cluster_features", lambda: VectorAssembler(
+        inputCols=[f"_s_{f}" for f in feats], outputCol="features").transform(c.select("*", *scaled)))
     k = max(2, min(max_k, n // 5))
     model = KMeans(k=k, seed=seed, maxIter=50, tol=1e-6, featuresCol="features",
                    predictionCol="cluster").fit(x)

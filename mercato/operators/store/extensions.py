@@ -230,4 +230,5 @@ def kmeans_elbow(ctx, ks: tuple = (3, 4, 5), seed: int = 42) -> DataFrame:
     x = VectorAssembler(inputCols=[f"x_{f}" for f in "snar"], outputCol="features").transform(
         c.select(*scaled)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = [(k, float(KMeans(k=k, seed=seed, maxIter=50, tol=1e-6).fit(x).summary.trainingCost)) for k in ks]
+    x.unpersist()  # the costs are already computed
     return ctx.spark.createDataFrame(rows, "k int, inertia double")
