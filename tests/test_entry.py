@@ -16,3 +16,18 @@ def test_every_oracle_has_a_query():
     assert len(sql) >= len(q) - 5
     for body in sql.values():
         assert body.lstrip().upper().startswith("WITH")
+
+
+def test_persisted_layout_follows_row_counts(spark):
+    from mercato.context import spread
+
+    df = spark.range(1000).withColumnRenamed("id", "order_id")
+    dp = spark.sparkContext.defaultParallelism
+    assert spread(df, "order_id").rdd.getNumPartitions() == dp
+    spark.conf.set("mercato.rowsPerPartition", "10")
+    try:
+        n = max(dp, 100)
+        assert spread(df, "order_id", rows=1000).rdd.getNumPartitions() == n
+        assert spread(df, rows=995).rdd.getNumPartitions() == n  # ceil(995 / 10)
+    finally:
+        spark.conf.unset("mercato.rowsPerPartition")
