@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
+from mercato.llm.rlz import op10_substring_dedup
 
-_QUERIES = (op4_ngram_jaccard_join,)
+_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
