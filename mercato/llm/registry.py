@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
+from mercato.llm.pfair import op7_pfair_mixing
 from mercato.llm.rlz import op10_substring_dedup
+from mercato.llm.sharding import op8_virtual_slots
 
-_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup)
+_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
