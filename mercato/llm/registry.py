@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.llm.line_rules import OP6_SQL, op6_line_rules
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
 from mercato.llm.pfair import op7_pfair_mixing
 from mercato.llm.rlz import op10_substring_dedup
 from mercato.llm.sharding import op8_virtual_slots
 
-_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots)
+_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_rules": OP6_SQL}
