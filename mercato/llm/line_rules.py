@@ -6,7 +6,7 @@ Each line of a text is judged on its own; a line with words fails as
   tokens or more;
 * bad punctuation: more than half of its words carry a symbol of ``#*$%&|<>{}~^`` or
   end in ``!!``;
-* shouting: ten or more letters, all of them upper case, over four or more words;
+* shouting: four or more words with ten or more letters and none in lower case;
 * boilerplate: it holds one of the phrases below.
 
 Failing lines are removed.  A document is rejected when the removed lines hold more
@@ -43,45 +43,47 @@ def let(value: Column, use) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def n_repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the text."""
-    def places(ws: Column) -> Column:
-        def window(at: Column) -> Column:
-            return F.struct(F.xxhash64(F.get(ws, at), F.get(ws, at + 1), F.get(ws, at + 2)).alias("h"), at.alias("at"))
-        keyed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), window))
+    def from_hashes(hashes: Column) -> Column:
+        keyed = F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("at")))
 
         def repeated(k: Column) -> Column:
             marked = F.transform(k, lambda x, i: F.when((F.get(k, i - 1)["h"] == x["h"]) | (F.get(k, i + 1)["h"] == x["h"]), x["at"]))
-            return F.sort_array(F.filter(marked, lambda x: x.isNotNull()))
+            return F.sort_array(F.array_compact(marked))
 
         def total(p: Column) -> Column:
             return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))),
                                F.lit(0), lambda a, x: a + x)
-        return let(let(keyed, repeated), total)
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, places))
+        # most texts repeat nothing: then the distinct hashes are as many
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(keyed, repeated), total))
 
+    def windows(ws: Column) -> Column:
+        return F.transform(F.slice(ws, 1, F.size(ws) - 2), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda ws: let(windows(ws), from_hashes)))
 
-def line_fails(line: Column) -> Column:
-    def judge(parts: Column) -> Column:
+
+def line_fails(line: Column, has_phrase: Column) -> Column:
+    """``has_phrase``: whether the whole text holds a boilerplate phrase; costlier tests run only where they can fail."""
+    def by_words(parts: Column) -> Column:
         n = F.size(parts)
-        letters = F.regexp_replace(line, "[^\\p{L}]", "")
         separators = F.size(F.filter(parts, lambda w: w.isin("|", ">", "»", "·")))
         marked = F.size(F.filter(parts, lambda w: w.rlike("[#*$%&|<>{}~^]|!!$")))
-        return (((separators >= 3) & (separators * 3 >= n)) | (marked * 2 > n)
-                | ((n >= 4) & (F.length(letters) >= 10) & (letters == F.upper(letters)) & (letters != F.lower(letters)))
-                | F.lower(line).rlike("|".join(BOILERPLATE)))
-    return let(words_of(line), judge)
+        return ((separators >= F.greatest(F.lit(3), F.ceil(n / 3))) | (marked * 2 > n)
+                | ((n >= 4) & (line == F.upper(line)) & (F.length(F.regexp_replace(line, "[^\\p{L}]+", "")) >= 10)))
+    odd = line.rlike("[#*$%&|<>{}~^»·]|!!") | ((line == F.upper(line)) & (line != F.lower(line)))
+    return (odd & let(words_of(line), by_words)) | (has_phrase & F.lower(line).rlike("|".join(BOILERPLATE)))
 
 
 def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long")
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def judged(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -90,19 +92,23 @@ def judged(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST)
     Columns of the input with these names are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = lines_of(text)
-    out = docs.withColumn("_words", words_of(text)).withColumn("_lines", lines)
-    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", word_chars(text))
-    out = out.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+    low = F.lower(text)
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase = phrase | F.contains(low, F.lit(p))
+    out = docs.withColumn("_words", words_of(text)).withColumn("_lines", lines_of(text)).withColumn("_phrase", phrase)
+    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x, F.col("_phrase"))))
+    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", word_chars(F.col("_words")))
+    out = out.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     out = out.withColumn("n_repeat_words", n_repeat_words(F.col("_words")).cast("long"))
     out = out.withColumn("n_lines_removed", (F.size("_lines") - F.size("_good")).cast("long"))
     out = out.withColumn("clean_text", F.array_join("_good", "\n"))
-    out = out.withColumn("lost_chars", F.col("word_chars") - word_chars(F.col("clean_text")))
+    out = out.withColumn("lost_chars", F.when(F.col("n_lines_removed") == 0, F.lit(0)).otherwise(
+        F.col("word_chars") - word_chars(words_of(F.col("clean_text")))).cast("long"))
     out = out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * max_lost))
-    return out.drop("_words", "_lines", "_good")
+    return out.drop("_words", "_lines", "_phrase", "_good")
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -134,9 +140,7 @@ l as (select doc_id, lines, ws, text,
             or 2 * len(list_filter(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda y: regexp_matches(y, '[#*$%&|<>{}~^]|!!$')))
                  > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
             or (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 4
-                and length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 10
-                and regexp_replace(x, '[^\p{L}]', '', 'g') = upper(regexp_replace(x, '[^\p{L}]', '', 'g'))
-                and regexp_replace(x, '[^\p{L}]', '', 'g') <> lower(regexp_replace(x, '[^\p{L}]', '', 'g')))
+                and length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 10 and x = upper(x) and x <> lower(x))
             or regexp_matches(lower(x), 'BOILERPLATE'))) as good from w),
 f as (select doc_id, len(ws)::bigint as n_words,
         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
