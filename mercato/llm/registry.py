@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from mercato.llm.line_rules import OP6_SQL, op6_line_rules
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
 from mercato.llm.pfair import op7_pfair_mixing
+from mercato.llm.pu_quality import op2_pu_quality
 from mercato.llm.rlz import op10_substring_dedup
 from mercato.llm.sharding import op8_virtual_slots
 
-_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules)
+_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules, op2_pu_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
