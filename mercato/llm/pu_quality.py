@@ -54,13 +54,16 @@ def features(data: bytes | None) -> np.ndarray:
     sizes = np.fromiter(map(len, parts), dtype=np.float64, count=len(parts)) if parts else np.zeros(1)
     words = word_hashes(data)
     threes = window_hashes(words, 3)
+    seen = np.unique(words, return_counts=True)[1] if parts else np.zeros(1)
+    kinds, top, fresh = len(seen), seen.max() / k, len(np.unique(threes)) / max(1, len(threes)) if len(threes) else 1.0
     lines = [x for x in data.split(b"\n") if x.strip()]
     m = max(1, len(lines))
     out = np.concatenate((
         np.sqrt(shares), np.minimum(shares * 20, 1.0),
         [np.log1p(len(parts)), min(1.0, len(parts) / 30), sizes.mean() / 10, sizes.std() / 10, sizes.max() > 40,
-         len(np.unique(words)) / k, 1 - len(np.unique(threes)) / max(1, len(threes)), 1 - len(set(lines)) / m,
-         sum(x.rstrip().endswith(_ENDS) for x in lines) / m, np.log1p(len(parts) / m), np.log1p(m)]))
+         kinds / k, 1 - fresh, 1 - len(set(lines)) / m,
+         sum(x.rstrip().endswith(_ENDS) for x in lines) / m, np.log1p(len(parts) / m), np.log1p(m),
+         top, max(0.0, top - 0.3) * 3, max(0.0, 0.35 - kinds / k) * 3 * (k > 20), max(0.0, 0.5 - fresh) * 2]))
     return out.astype(np.float32)
 
 
