@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.llm.fingerprints import op1_gear_fingerprints
 from mercato.llm.line_rules import OP6_SQL, op6_line_rules
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
 from mercato.llm.pfair import op7_pfair_mixing
@@ -14,7 +15,8 @@ from mercato.llm.rlz import op10_substring_dedup
 from mercato.llm.sharding import op8_virtual_slots
 from mercato.llm.zstd_toxicity import op3_zstd_toxicity
 
-_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules, op2_pu_quality, op3_zstd_toxicity)
+_QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules, op2_pu_quality, op3_zstd_toxicity,
+            op1_gear_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
