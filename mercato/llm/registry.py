@@ -13,10 +13,11 @@ from mercato.llm.pfair import op7_pfair_mixing
 from mercato.llm.pu_quality import op2_pu_quality
 from mercato.llm.rlz import op10_substring_dedup
 from mercato.llm.sharding import op8_virtual_slots
+from mercato.llm.sp_sampling import op5_gumbel_sentencepiece
 from mercato.llm.zstd_toxicity import op3_zstd_toxicity
 
 _QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules, op2_pu_quality, op3_zstd_toxicity,
-            op1_gear_fingerprints)
+            op1_gear_fingerprints, op5_gumbel_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
