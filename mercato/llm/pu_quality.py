@@ -202,6 +202,16 @@ class PuModel:
         return featured.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+    def kept(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs``, all columns unchanged, whose text scores 0.5 or more; no shuffle."""
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches(it):
+                texts = text_bytes(b.column(b.schema.get_field_index(text_col)))
+                good = self.score(np.array([features(x) for x in texts], dtype=np.float64)) >= 0.5 if texts else []
+                yield b.filter(pa.array(good, pa.bool_()))
+        return docs.mapInArrow(run, docs.schema)
+
+
 def train(featured: DataFrame, positives: DataFrame) -> PuModel:
     """Fits on all rows of a feature table; ``positives`` holds the trusted ids (doc_id)."""
     marks = positives.select("doc_id").where("doc_id is not null").distinct().withColumn("positive", F.lit(True))
@@ -220,11 +230,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Trusted positives: ids labelled good outside the held-out fold."""
+    return labels.where((F.col("quality") == 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, prior of every row; learns only from labels outside the held-out fold."""
     featured = written(feature_table(docs), "pu-features")
-    good = labels.where((F.col("quality") == 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
-    model = train(featured, good)
+    model = train(featured, good_ids(labels))
     return model.scored(featured).select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
                                          (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(model.prior).alias("prior"))
 
