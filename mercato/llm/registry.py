@@ -12,6 +12,7 @@ from mercato.llm.fingerprints import op1_gear_fingerprints
 from mercato.llm.line_rules import OP6_SQL, op6_line_rules
 from mercato.llm.ngram_join import op4_ngram_jaccard_join
 from mercato.llm.pfair import op7_pfair_mixing
+from mercato.llm.preference import OP9_SQL, op9_preference_format
 from mercato.llm.pu_quality import op2_pu_quality
 from mercato.llm.rlz import op10_substring_dedup
 from mercato.llm.sharding import op8_virtual_slots
@@ -19,7 +20,7 @@ from mercato.llm.sp_sampling import op5_gumbel_sentencepiece
 from mercato.llm.zstd_toxicity import op3_zstd_toxicity
 
 _QUERIES = (op4_ngram_jaccard_join, op10_substring_dedup, op7_pfair_mixing, op8_virtual_slots, op6_line_rules, op2_pu_quality, op3_zstd_toxicity,
-            op1_gear_fingerprints, op5_gumbel_sentencepiece)
+            op1_gear_fingerprints, op5_gumbel_sentencepiece, op9_preference_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op6_line_rules": OP6_SQL} | own
+    return {"op6_line_rules": OP6_SQL, "op9_preference_format": OP9_SQL} | own
