@@ -85,6 +85,7 @@ def _phrases(window: int, block: int, crowd: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
+            more: list[bytes | None] = []  # further places of a phrase inside its document
             docs, shared = b.column(0).to_pylist(), b.column(3).to_pylist()
             for doc, text, sha, wanted in zip(docs, text_bytes(b.column(1)), b.column(2).to_pylist(), shared):
                 if hashlib.sha256(b" ".join(text.split())).digest() != sha:
@@ -97,14 +98,25 @@ def _phrases(window: int, block: int, crowd: int):
                 mine = hashes[place]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == mine)
+                phrase = window_hashes(words, window)
+                ordered = np.argsort(phrase[hit], kind="stable")
+                new = np.ones(len(hit), dtype=bool)
+                new[1:] = phrase[hit][ordered[1:]] != phrase[hit][ordered[:-1]]
+                if new.all():
+                    more += [None] * len(hit)
+                else:
+                    places = np.split(hit[ordered].astype(np.int32), np.flatnonzero(new)[1:])
+                    hit = np.array([x[0] for x in places])
+                    more += [x[1:].tobytes() if len(x) > 1 else None for x in places]
                 salts = np.maximum(1, many[at[hit]] // crowd)
                 deal = int(mix(np.array([doc], dtype=np.int64).view(_U))[0] >> _U(1))
-                for x, v in zip(out, (window_hashes(words, window)[hit].view(np.int64), mine[hit].view(np.int64),
+                for x, v in zip(out, (phrase[hit].view(np.int64), mine[hit].view(np.int64),
                                       np.where(salts > 1, deal % salts, -1).astype(np.int32),
                                       np.full(len(hit), doc, dtype=np.int64), hit.astype(np.int32))):
                     x.append(v)
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["phrase", "block", "salt", "doc", "place"])
+                yield pa.record_batch([*(pa.array(np.concatenate(x)) for x in out), pa.array(more, pa.binary())],
+                                      names=["phrase", "block", "salt", "doc", "place", "more"])
     return run
 
 
@@ -126,11 +138,20 @@ def _index_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rd[0], rp[0] = ref_doc, ref_place
         hit = doc > rd[group]
         heads = np.flatnonzero(~hit & (salt >= 0))
+        more = {i: np.frombuffer(m, dtype=np.int32) for i, m in enumerate(b.column(5).to_pylist()) if m} if b.column(5).null_count < b.num_rows else {}
+        if more:  # a phrase's further places share its row's fate
+            rows = np.concatenate((np.arange(len(place)), *(np.full(len(m), i) for i, m in more.items())))
+            spots = np.concatenate((place, *more.values()))
         for at, is_head in ((np.flatnonzero(hit), False), (heads, True)):
             if len(at):
+                if more:
+                    chosen = np.isin(rows, at)
+                    at, spot = rows[chosen], spots[chosen]
+                else:
+                    spot = place[at]
                 yield pa.record_batch([pa.array(phrase[at] if is_head else np.zeros(len(at), np.int64)),
                                        pa.array(block[at] if is_head else np.zeros(len(at), np.int64)),
-                                       pa.array(np.full(len(at), is_head)), pa.array(doc[at]), pa.array(place[at]),
+                                       pa.array(np.full(len(at), is_head)), pa.array(doc[at]), pa.array(spot),
                                        pa.array(rd[group[at]]), pa.array(rp[group[at]])],
                                       names=["phrase", "block", "head", "doc", "place", "ref_doc", "ref_place"])
         last, ref_doc, ref_place = (phrase[-1], block[-1], salt[-1]), rd[-1], rp[-1]
@@ -231,7 +252,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = written(texts.where("text is not null").join(parsed.hint("shuffle_hash"), "doc_id")
                          .select("doc_id", "text", "sha", "wanted").dropDuplicates(["doc_id", "sha"]), "rlz-texts")
 
-    phrases = candidates.mapInArrow(_phrases(window, block, CROWD), "phrase long, block long, salt int, doc long, place int")
+    phrases = candidates.mapInArrow(_phrases(window, block, CROWD), "phrase long, block long, salt int, doc long, place int, more binary")
     hits = written(phrases.repartition(n, "phrase", "salt").sortWithinPartitions("phrase", "block", "salt", "doc", "place")
                    .mapInArrow(_index_hits, "phrase long, block long, head boolean, doc long, place int, ref_doc long, ref_place int"),
                    "rlz-hits")
