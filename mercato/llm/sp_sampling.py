@@ -42,7 +42,7 @@ from mercato.llm.common import BASE, mix, powers, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-GROUP = 1 << 21
+GROUP = 1 << 19
 BLANK = "▁"
 _U = np.uint64
 _TOKEN = re.compile(" *[^ ]+| +")
