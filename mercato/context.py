@@ -37,6 +37,10 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+class MissingTable(LookupError):
+    """A context has no such input table."""
+
+
 class Context:
     def __init__(self, spark: SparkSession, persist: bool = True, **builders: Callable[[], DataFrame] | DataFrame):
         unknown = set(builders) - set(_TABLES)
@@ -57,7 +61,7 @@ class Context:
                     from mercato.operators.store.orders import orders_from_lines
                     self._builders["orders"] = lambda: orders_from_lines(self.lines)
                 else:
-                    raise KeyError(f"context has no table {name!r}")
+                    raise MissingTable(name)
             b = self._builders[name]
             df = b() if callable(b) else b
             if self._persist:

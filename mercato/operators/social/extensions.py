@@ -350,9 +350,10 @@ def same_period_comparison(ctx) -> DataFrame:
     mx = r.agg(F.max("date")).scalar()
     start = F.trunc(mx, "month")
     span = F.datediff(mx, start)
-    periods = [("current", start, mx),
-               ("previous_month", F.add_months(start, -1), F.date_add(F.add_months(start, -1), span)),
-               ("previous_year", F.add_months(start, -12), F.date_add(F.add_months(start, -12), span))]
+    def same_days(months: int):  # a shorter month ends the period on its last day
+        first = F.add_months(start, -months)
+        return first, F.least(F.date_add(first, span), F.last_day(first))
+    periods = [("current", start, mx), ("previous_month", *same_days(1)), ("previous_year", *same_days(12))]
     aggs = []
     for name, a, b in periods:
         inside = (F.col("date") >= a) & (F.col("date") <= b)
@@ -360,9 +361,9 @@ def same_period_comparison(ctx) -> DataFrame:
                  sum0(F.when(inside, F.col("conversions"))).alias(f"{name}_conv"),
                  sum0(F.when(inside, F.col("conversion_value"))).alias(f"{name}_value")]
     t = r.agg(*aggs)
-    rows = [F.struct(F.lit(name).alias("period"), (span + 1).alias("days"), F.col(f"{name}_cost").alias("cost"),
+    rows = [F.struct(F.lit(name).alias("period"), (F.datediff(b, a) + 1).alias("days"), F.col(f"{name}_cost").alias("cost"),
                      F.col(f"{name}_conv").alias("conversions"), F.col(f"{name}_value").alias("conversion_value"))
-            for name, _, _ in periods]
+            for name, a, b in periods]
     e = t.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return e.select("*", safe_div("cost", "conversions").alias("cpa"), safe_div("conversion_value", "cost").alias("roas"))
 

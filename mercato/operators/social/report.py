@@ -314,7 +314,6 @@ def ma_device(ctx) -> DataFrame:
 
 def ma_signals(ctx, k: int = 10) -> DataFrame:
     """Red benchmark lights, learning-limited ad sets, fatigued ads, funnel leaks over 95 %."""
-    spark = ctx.spark
     b = ma_benchmarks(ctx).where(F.col("semaphore") == "red").select(
         F.lit("high").alias("priority"), F.col("metric").alias("area"), F.lit("benchmark_red").alias("type"),
         F.col("value"))
@@ -329,7 +328,6 @@ def ma_signals(ctx, k: int = 10) -> DataFrame:
         F.col("dropoff_rate").alias("value"))
     u = b.unionByName(lim).unionByName(fat).unionByName(leak)
     prio = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    del spark
     return u.orderBy(prio, "type", "area").limit(k)
 
 
@@ -339,13 +337,13 @@ def name_column(df: DataFrame) -> str | None:
     return "ad_name" if "ad_name" in df.columns else ("adset_name" if "adset_name" in df.columns else None)
 
 
-def detect_name_format(ctx, sample: int = 20) -> str:
-    """Vote over a deterministic sample of distinct names (the first ``sample`` in sort order)."""
+def detect_name_format(ctx) -> str:
+    """Vote over all distinct names."""
     s = ctx.social
     col = name_column(s)
     if col is None:
         return "unknown"
-    names = s.where(F.col(col).isNotNull()).select(F.col(col).alias("n")).distinct().orderBy("n").limit(sample)
+    names = s.where(F.col(col).isNotNull()).select(F.col(col).alias("n")).distinct()
     parts = F.split(F.col("n"), "_")
     head2 = F.transform(F.slice(parts, 1, 2), lambda p: F.upper(p))
     stage_hit = F.exists(head2, lambda p: F.array_contains(F.array(*[F.lit(t) for t in STAGE_TOKENS]), p))
@@ -444,14 +442,15 @@ def ma_format_stage_matrix(ctx) -> DataFrame:
                     safe_div("purchase_value", "spend").alias("roas")).where(F.lit(fmt != "unknown"))
 
 
-def ma_relevance(ctx, k: int = 20) -> DataFrame:
+def ma_relevance(ctx, k: int | None = None) -> DataFrame:
     s = ctx.social
     col = name_column(s)
     cols = [c for c in RANKINGS if c in s.columns]
     order = F.struct(*[F.col(c) for c in ("date_start", "device", "campaign_name", "adset_name") if c in s.columns])
     g = s.where(F.col(col).isNotNull()).groupBy(col).agg(
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in cols])
-    return g.withColumnRenamed(col, "name").orderBy("name").limit(k)
+    out = g.withColumnRenamed(col, "name")
+    return out if k is None else out.orderBy("name").limit(k)
 
 
 def ma_relevance_distribution(ctx) -> DataFrame:
@@ -486,12 +485,13 @@ def ma_video_completion(ctx) -> DataFrame:
                                         for c in cols])).alias("s")).select("s.*")
 
 
-def ma_video_completion_ads(ctx, k: int = 15, min_impressions: float = 100) -> DataFrame:
+def ma_video_completion_ads(ctx, k: int | None = None, min_impressions: float = 100) -> DataFrame:
     s = ctx.social
     col = name_column(s)
     cols = [c for c in VIDEO if c in s.columns]
     g = s.where(F.col(col).isNotNull()).groupBy(col).agg(_sum(s, "impressions"), *[_sum(s, c) for c in cols])
-    g = g.where(F.col("impressions") > min_impressions).orderBy(col).limit(k)
+    g = g.where(F.col("impressions") > min_impressions)
+    g = g if k is None else g.orderBy(col).limit(k)
     return g.select(F.col(col).alias("ad"), "impressions",
                     *[safe_div(F.col(c) * 100, "impressions").alias(c.replace("video_", "") + "_rate") for c in cols])
 

@@ -39,7 +39,7 @@ def rfm_table(ctx, min_orders: int = 50) -> DataFrame:
     ref = F.lit(head["last"]).cast("timestamp") + F.make_interval(days=F.lit(1))
     c = o.groupBy("email").agg(
         whole_days(ref, F.max("date")).alias("recency"),
-        F.count_distinct("order_id").alias("frequency"),
+        F.count("order_id").alias("frequency"),
         F.sum("total").alias("monetary"))
     if n_orders < min_orders:
         return c.where(F.lit(False)).select("*", *[F.lit(None).cast("int").alias(x) for x in
@@ -69,7 +69,7 @@ def rfm_segments(ctx, min_orders: int = 50) -> DataFrame:
 def clv_table(ctx) -> DataFrame:
     o = customer_orders(ctx.orders)
     c = o.groupBy("email").agg(
-        F.sum("total").alias("total_revenue"), F.count_distinct("order_id").alias("order_count"),
+        F.sum("total").alias("total_revenue"), F.count("order_id").alias("order_count"),
         F.min("date").alias("_first"), F.max("date").alias("_last"))
     c = c.select("*", (F.col("total_revenue") / F.col("order_count")).alias("aov"),
                  whole_days("_last", "_first").alias("lifespan_days"))
@@ -136,7 +136,7 @@ def cohort_curve(ctx, cohorts: int = 12, max_offset: int = 12) -> DataFrame:
 
 def _order_counts(ctx) -> DataFrame:
     o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull())
-    return o.groupBy("email").agg(F.count_distinct("order_id").alias("order_count"))
+    return o.groupBy("email").agg(F.count("order_id").alias("order_count"))
 
 
 def repurchase(ctx) -> DataFrame:
@@ -146,10 +146,10 @@ def repurchase(ctx) -> DataFrame:
         "*", safe_div(F.col("repeat_customers") * 100.0, F.col("total_customers")).alias("repurchase_rate"))
 
 
-def order_count_distribution(ctx, k: int = 10) -> DataFrame:
+def order_count_distribution(ctx, k: int | None = None) -> DataFrame:
     c = _order_counts(ctx)
-    return (c.groupBy(F.col("order_count").alias("orders")).agg(F.count(F.lit(1)).alias("customers"))
-            .orderBy("orders").limit(k))
+    out = c.groupBy(F.col("order_count").alias("orders")).agg(F.count(F.lit(1)).alias("customers"))
+    return out if k is None else out.orderBy("orders").limit(k)
 
 
 def purchase_gaps(ctx) -> DataFrame:
@@ -199,7 +199,7 @@ def top_upgraders(ctx, threshold: float = 20.0, k: int = 10) -> DataFrame:
 
 def _vip(ctx, quantile: float = 0.9):
     o = ctx.orders.where(F.col("email").isNotNull() & (F.col("total") > 0))
-    c = o.groupBy("email").agg(F.sum("total").alias("revenue"), F.count_distinct("order_id").alias("orders"),
+    c = o.groupBy("email").agg(F.sum("total").alias("revenue"), F.count("order_id").alias("orders"),
                                F.avg("total").alias("aov"))
     cut = exact_quantiles(c, "revenue", [quantile], prefix="c").select("c0").scalar()
     return c, c.where(F.col("revenue") >= cut)
@@ -238,7 +238,7 @@ def vip_states(ctx, k: int = 10) -> DataFrame:
 def _churn(ctx, default_interval: float = 90.0, floor_days: float = 60.0):
     o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull())
     max_date = o.agg(F.max("date")).scalar()
-    c = o.groupBy("email").agg(F.count_distinct("order_id").alias("order_count"),
+    c = o.groupBy("email").agg(F.count("order_id").alias("order_count"),
                                F.max("date").alias("_last"), F.min("date").alias("_first"))
     rep = c.where(F.col("order_count") >= 2).select(
         (whole_days("_last", "_first") / (F.col("order_count") - 1)).alias("avg_interval"))
@@ -275,7 +275,7 @@ def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20, seed: int = 42)
     o = customer_orders(ctx.orders)
     max_date = o.agg(F.max("date")).scalar()
     c = o.groupBy("email").agg(F.sum("total").alias("total_spend"),
-                               F.count_distinct("order_id").alias("order_count"),
+                               F.count("order_id").alias("order_count"),
                                F.avg("total").alias("aov"), F.max("date").alias("_last"))
     c = c.withColumn("days_since_last", whole_days(max_date, "_last")).drop("_last")
     feats = ["total_spend", "order_count", "aov", "days_since_last"]

@@ -53,7 +53,7 @@ def shipping_correlation(ctx, flag_pct: float = 15.0) -> DataFrame:
     """Per state: mean shipping, orders, shipping as % of the mean ticket (flag > 15 %); Pearson r across states."""
     o = ctx.orders.where(nonblank("state"))
     g = o.groupBy("state").agg(F.avg("shipping_cost").alias("avg_shipping"),
-                               F.count_distinct("order_id").alias("orders"), F.avg("total").alias("avg_total"))
+                               F.count("order_id").alias("orders"), F.avg("total").alias("avg_total"))
     r = g.agg(F.corr("avg_shipping", F.col("orders").cast("double"))).scalar()
     pct = safe_div(F.col("avg_shipping") * 100, "avg_total")
     return g.select("state", "avg_shipping", "orders", pct.alias("shipping_pct_of_ticket"),
@@ -146,7 +146,7 @@ def dominant_method(ctx, share: float = 80.0) -> DataFrame:
 
 def channel_repeat_rate(ctx) -> DataFrame:
     o = ctx.orders.where(nonblank("channel") & F.col("email").isNotNull())
-    per = o.groupBy("channel", "email").agg(F.count_distinct("order_id").alias("_n"))
+    per = o.groupBy("channel", "email").agg(F.count("order_id").alias("_n"))
     g = per.groupBy("channel").agg(F.count(F.lit(1)).alias("customers"),
                                    F.count(F.when(F.col("_n") >= 2, 1)).alias("repeat_customers"))
     return g.select("*", (F.col("repeat_customers") * 100.0 / F.col("customers")).alias("repeat_rate"))
@@ -181,7 +181,7 @@ def forecast_quality(ctx) -> DataFrame:
 def high_aov_low_volume(ctx) -> DataFrame:
     """Cities whose mean ticket is in the top quarter while their order count is in the bottom quarter."""
     o = ctx.orders.where(nonblank("city"))
-    g = o.groupBy("city").agg(F.avg("total").alias("aov"), F.count_distinct("order_id").alias("orders"),
+    g = o.groupBy("city").agg(F.avg("total").alias("aov"), F.count("order_id").alias("orders"),
                               F.sum("total").alias("revenue"))
     qa = exact_quantiles(g, "aov", [0.75], prefix="a").select("a0").scalar()
     qo = exact_quantiles(g, "orders", [0.25], prefix="o").select("o0").scalar()
@@ -223,7 +223,7 @@ def kmeans_elbow(ctx, ks: tuple = (3, 4, 5), seed: int = 42) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull() & (F.col("total") > 0))
     mx = o.agg(F.max("date")).scalar()
-    c = o.groupBy("email").agg(F.sum("total").alias("s"), F.count_distinct("order_id").alias("n"),
+    c = o.groupBy("email").agg(F.sum("total").alias("s"), F.count("order_id").alias("n"),
                                F.avg("total").alias("a"), whole_days(mx, F.max("date")).alias("r"))
     st = c.agg(*[F.min(f).alias(f"lo_{f}") for f in "snar"], *[F.max(f).alias(f"hi_{f}") for f in "snar"]).first()
     scaled = [((F.col(f) - st[f"lo_{f}"]) / ((st[f"hi_{f}"] - st[f"lo_{f}"]) or 1.0)).alias(f"x_{f}") for f in "snar"]

@@ -148,28 +148,26 @@ def multi_size_customers(ctx, min_rows: int = 50) -> DataFrame:
             .select("customers_multi_size", (F.col("customers_multi_size") * 100.0 / F.col("_all")).alias("pct_multi_size")))
 
 
-def sku_variants(ctx, bases: int = 15, min_rows: int = 20) -> DataFrame:
-    """Per base product with at least two SKUs (first bases alphabetically): SKUs by revenue."""
+def sku_variants(ctx, bases: int | None = None, min_rows: int = 20) -> DataFrame:
+    """Per base product with at least two SKUs: SKUs by revenue; ``bases`` shows only the first of them by name."""
     l = ctx.lines.where(nonblank("sku") & F.col("product_name").isNotNull())
     n = l.agg(F.count(F.lit(1))).scalar()
     v = l.withColumn("base", variant_base("product_name")).groupBy("base", "sku").agg(
         F.sum(line_revenue()).alias("revenue"), F.coalesce(F.sum("product_qty"), F.lit(0)).alias("units"),
         F.avg("product_price").alias("avg_price"))
     multi = v.groupBy("base").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 2")
-    chosen = multi.orderBy("base").limit(bases).select("base")
-    # ``chosen`` holds at most ``bases`` rows: a proven bound for broadcast
-    sel = v.join(F.broadcast(chosen), "base", "left_semi").where(n >= min_rows)
+    chosen = (multi if bases is None else multi.orderBy("base").limit(bases)).select("base")
+    sel = v.join(chosen, "base", "left_semi").where(n >= min_rows)
     w = Window.partitionBy("base").orderBy(F.col("revenue").desc(), "sku")
     return sel.withColumn("variant_rank", F.row_number().over(w))
 
 
-def _lifecycle(ctx, min_months: int = 6, products: int = 20) -> DataFrame:
+def _lifecycle(ctx, min_months: int = 6) -> DataFrame:
     l = ctx.lines.where(F.col("product_name").isNotNull() & F.col("date").isNotNull())
     mon = l.groupBy("product_name", month_start("date").alias("_m")).agg(F.sum(line_revenue()).alias("_rev"))
     elig = (mon.groupBy("product_name").agg(F.count(F.lit(1)).alias("months_active"))
-            .where(F.col("months_active") >= min_months).orderBy("product_name").limit(products))
-    # at most ``products`` rows: a proven bound for broadcast
-    sel = mon.join(F.broadcast(elig), "product_name")
+            .where(F.col("months_active") >= min_months))
+    sel = mon.join(elig, "product_name")
     # each product holds one row per active month, so the window partitions are bounded by the calendar
     w = Window.partitionBy("product_name").orderBy("_m")
     sel = sel.withColumn("_rn", F.row_number().over(w))
@@ -188,12 +186,14 @@ def _lifecycle(ctx, min_months: int = 6, products: int = 20) -> DataFrame:
     return agg.select("product_name", stage.alias("stage"), "months_active", "total_revenue")
 
 
-def product_lifecycle(ctx, min_months: int = 6, products: int = 20) -> DataFrame:
-    return _lifecycle(ctx, min_months, products)
+def product_lifecycle(ctx, min_months: int = 6, products: int | None = None) -> DataFrame:
+    """Stage of every product; ``products`` shows only the first of them by name."""
+    out = _lifecycle(ctx, min_months)
+    return out if products is None else out.orderBy("product_name").limit(products)
 
 
-def lifecycle_stages(ctx, min_months: int = 6, products: int = 20) -> DataFrame:
-    return _lifecycle(ctx, min_months, products).groupBy("stage").agg(F.count(F.lit(1)).alias("count"))
+def lifecycle_stages(ctx, min_months: int = 6) -> DataFrame:
+    return _lifecycle(ctx, min_months).groupBy("stage").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _priced(ctx) -> DataFrame:

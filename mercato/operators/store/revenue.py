@@ -21,7 +21,7 @@ def _monthly(orders: DataFrame) -> DataFrame:
     o = orders.where(F.col("date").isNotNull() & F.col("total").isNotNull())
     return o.groupBy(month_key("date").alias("month")).agg(
         F.sum("total").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"),
+        F.count("order_id").alias("orders"),
         F.avg("total").alias("avg_ticket"))
 
 
@@ -122,7 +122,7 @@ def top_coupons(ctx, k: int = 10) -> DataFrame:
 def payment_mix(ctx) -> DataFrame:
     o = ctx.orders.where(nonblank("payment_method"))
     mix = o.groupBy("payment_method").agg(
-        F.count_distinct("order_id").alias("order_count"), F.sum("total").alias("revenue"),
+        F.count("order_id").alias("order_count"), F.sum("total").alias("revenue"),
         F.avg("total").alias("aov"))
     tot = mix.agg(F.sum("order_count").alias("o"), F.sum("revenue").alias("r"))
     return mix.select("*", safe_div(F.col("order_count") * 100.0, tot.select("o").scalar()).alias("pct_orders"),
@@ -181,7 +181,7 @@ def season_peaks(ctx) -> DataFrame:
 def revenue_by_channel(ctx, min_channels: int = 2) -> DataFrame:
     o = ctx.orders.where(nonblank("channel"))
     st = o.groupBy("channel").agg(F.sum("total").alias("revenue"),
-                                  F.count_distinct("order_id").alias("orders"), F.avg("total").alias("aov"))
+                                  F.count("order_id").alias("orders"), F.avg("total").alias("aov"))
     n = st.agg(F.count(F.lit(1))).scalar()
     tot = st.agg(F.sum("revenue")).scalar()
     return st.where(n >= min_channels).select("*", safe_div(F.col("revenue") * 100.0, tot).alias("pct"))

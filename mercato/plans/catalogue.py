@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from mercato.context import MissingTable
 from mercato.plans.registry import REGISTRY
 
 # Which keys make up the lite / full runs of each report (reference analysis order).
@@ -78,9 +79,10 @@ def run_catalogue(ctx, domain: str, mode: str = "lite", params: dict | None = No
         if missing:
             status.append((key, "skipped", f"missing input: {', '.join(missing)}"))
             continue
+        analysis = REGISTRY[key]
         try:
-            df = REGISTRY[key](ctx, **params.get(key, {}))
-        except KeyError as e:
+            df = analysis(ctx, **params.get(key, {}))
+        except MissingTable as e:
             status.append((key, "skipped", f"missing input: {e}"))
             continue
         results[key] = df

@@ -443,9 +443,11 @@ SQL["ext_same_period_comparison"] = f"""
 , m AS (SELECT max("date") AS mx, CAST(date_trunc('month', max("date")) AS DATE) AS st FROM camp WHERE "date" IS NOT NULL),
 p AS (SELECT 'current' AS period, st AS a, mx AS b, datediff('day', st, mx) + 1 AS days FROM m
       UNION ALL SELECT 'previous_month', CAST(st - INTERVAL 1 MONTH AS DATE),
-                       CAST(st - INTERVAL 1 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), datediff('day', st, mx) + 1 FROM m
+                       least(CAST(st - INTERVAL 1 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), last_day(st - INTERVAL 1 MONTH)),
+                       least(datediff('day', st, mx) + 1, day(last_day(st - INTERVAL 1 MONTH))) FROM m
       UNION ALL SELECT 'previous_year', CAST(st - INTERVAL 12 MONTH AS DATE),
-                       CAST(st - INTERVAL 12 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), datediff('day', st, mx) + 1 FROM m),
+                       least(CAST(st - INTERVAL 12 MONTH AS DATE) + CAST(datediff('day', st, mx) AS INTEGER), last_day(st - INTERVAL 12 MONTH)),
+                       least(datediff('day', st, mx) + 1, day(last_day(st - INTERVAL 12 MONTH))) FROM m),
 g AS (SELECT p.period, CAST(p.days AS INTEGER) AS days,
              coalesce(sum(c.cost) FILTER (WHERE c."date" >= p.a AND c."date" <= p.b), 0.0) AS cost,
              coalesce(sum(c.conversions) FILTER (WHERE c."date" >= p.a AND c."date" <= p.b), 0.0) AS conversions,

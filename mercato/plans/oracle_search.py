@@ -33,6 +33,25 @@ SQL = {}
 
 SQL["ga_totals"] = f"\nSELECT *, {RATIOS} FROM (SELECT {SUMS} FROM camp)\n"
 
+def _light(v: str, green: float, yellow: float) -> str:
+    return f"CASE WHEN {v} >= {green} THEN 'green' WHEN {v} >= {yellow} THEN 'yellow' ELSE 'red' END"
+
+
+SQL["ga_benchmarks"] = f"""
+, t AS (SELECT *, {RATIOS} FROM (SELECT {SUMS} FROM camp)),
+q AS (SELECT sum(quality_score * coalesce(CAST(impressions AS DOUBLE), 1.0)) / nullif(sum(coalesce(CAST(impressions AS DOUBLE), 1.0)), 0) AS weighted,
+             avg(quality_score) AS plain FROM kw WHERE quality_score > 0),
+s AS (SELECT avg(search_impression_share) AS share FROM camp),
+b AS (SELECT ctr, cpc, conv_rate, roas, share, coalesce(weighted, plain) AS qs FROM t, q, s WHERE impressions > 0),
+u AS (SELECT 'CTR' AS name, ctr AS value, '%' AS unit, {_light('ctr', 3, 1.5)} AS status FROM b
+      UNION ALL SELECT 'CPC', cpc, '', 'yellow' FROM b
+      UNION ALL SELECT 'Conv Rate', conv_rate, '%', {_light('conv_rate', 3, 1)} FROM b
+      UNION ALL SELECT 'ROAS', roas, 'x', {_light('roas', 4, 2)} FROM b
+      UNION ALL SELECT 'Impression Share', share, '%', {_light('share', 80, 50)} FROM b
+      UNION ALL SELECT 'Quality Score', qs, '/10', {_light('qs', 7, 5)} FROM b)
+SELECT * FROM u WHERE value IS NOT NULL
+"""
+
 SQL["ga_aggregate_by"] = f"""
 , g AS (SELECT device, {SUMS}, count(*) AS rows,
                first(campaign_type ORDER BY "date", hour_of_day, device, adset_name, ad_name)

@@ -236,7 +236,7 @@ pn AS (SELECT name,
               CASE WHEN len(parts) >= 5 AND parts[5] <> '' THEN parts[5] END AS variation FROM pp)"""
 
 SQL["ma_name_detect"] = """
-, nm AS (SELECT DISTINCT ad_name AS n FROM social WHERE ad_name IS NOT NULL ORDER BY n LIMIT 20),
+, nm AS (SELECT DISTINCT ad_name AS n FROM social WHERE ad_name IS NOT NULL),
 v AS (SELECT count(*) AS c, count(*) FILTER (WHERE contains(n, ' | ')) AS pipe,
              count(*) FILTER (WHERE len(string_split(n, '_')) >= 3) AS under,
              count(*) FILTER (WHERE len(list_filter(string_split(upper(n), '_')[1:2],
@@ -282,7 +282,7 @@ REL = """
                  min(quality_ranking) AS quality_ranking, min(engagement_ranking) AS engagement_ranking,
                  min(conversion_ranking) AS conversion_ranking FROM social WHERE ad_name IS NOT NULL GROUP BY 1)"""
 
-SQL["ma_relevance"] = REL + "\nSELECT * FROM rel ORDER BY name LIMIT 20\n"
+SQL["ma_relevance"] = REL + "\nSELECT * FROM rel\n"
 SQL["ma_relevance_distribution"] = REL + """
 , e AS (SELECT 'quality_ranking' AS ranking, quality_ranking AS value FROM rel
         UNION ALL SELECT 'engagement_ranking', engagement_ranking FROM rel
@@ -312,7 +312,7 @@ SQL["ma_video_completion_ads"] = f"""
         FROM social WHERE ad_name IS NOT NULL GROUP BY 1)
 SELECT ad, impressions, {SD('video_p25 * 100', 'impressions')} AS p25_rate, {SD('video_p50 * 100', 'impressions')} AS p50_rate,
        {SD('video_p75 * 100', 'impressions')} AS p75_rate, {SD('video_p100 * 100', 'impressions')} AS p100_rate
-FROM g WHERE impressions > 100 ORDER BY ad LIMIT 15
+FROM g WHERE impressions > 100
 """
 
 SQL["ma_forecast"] = LAST + f"""

@@ -311,7 +311,7 @@ FROM c
 """
 
 SQL["ec_order_count_distribution"] = COUNTS + """
-SELECT order_count AS orders, count(*) AS customers FROM c GROUP BY 1 ORDER BY 1 LIMIT 10
+SELECT order_count AS orders, count(*) AS customers FROM c GROUP BY 1
 """
 
 SQL["ec_purchase_gaps"] = f"""
@@ -513,7 +513,7 @@ SQL["ec_sku_variants"] = f"""
 , l AS (SELECT * FROM lines WHERE sku IS NOT NULL AND sku <> '' AND product_name IS NOT NULL),
 v AS (SELECT {VARIANT_BASE} AS base, sku, sum({REV}) AS revenue, CAST(coalesce(sum(product_qty), 0) AS BIGINT) AS units,
              avg(product_price) AS avg_price FROM l GROUP BY 1, 2),
-b AS (SELECT base FROM v GROUP BY base HAVING count(*) >= 2 ORDER BY base LIMIT 15)
+b AS (SELECT base FROM v GROUP BY base HAVING count(*) >= 2)
 SELECT v.*, CAST(row_number() OVER (PARTITION BY v.base ORDER BY revenue DESC, sku) AS INTEGER) AS variant_rank
 FROM v WHERE base IN (SELECT base FROM b) AND (SELECT count(*) FROM l) >= 20
 """
@@ -521,7 +521,7 @@ FROM v WHERE base IN (SELECT base FROM b) AND (SELECT count(*) FROM l) >= 20
 LIFECYCLE = f"""
 , l AS (SELECT * FROM lines WHERE product_name IS NOT NULL AND "date" IS NOT NULL),
 mon AS (SELECT product_name, date_trunc('month', "date") AS m, sum({REV}) AS rev FROM l GROUP BY 1, 2),
-el AS (SELECT product_name, count(*) AS months_active FROM mon GROUP BY 1 HAVING count(*) >= 6 ORDER BY product_name LIMIT 20),
+el AS (SELECT product_name, count(*) AS months_active FROM mon GROUP BY 1 HAVING count(*) >= 6),
 s AS (SELECT mon.*, el.months_active, row_number() OVER (PARTITION BY mon.product_name ORDER BY m) AS rn
       FROM mon JOIN el USING (product_name)),
 a AS (SELECT product_name, months_active, sum(rev) AS total_revenue, avg(rev) FILTER (WHERE rn <= 3) AS e,

@@ -71,7 +71,7 @@ register("ec_niche_clusters", cu.niche_clusters)
 register("ec_product_ranking", pd_.product_ranking)
 register("ec_anchor_products", pd_.anchor_products)
 register("ec_pareto", pd_.pareto)
-register("ec_cancel_by_product", pd_.cancel_by_product, ratio=1.2)
+register("ec_cancel_by_product", pd_.cancel_by_product)
 register("ec_revenue_by_category", pd_.revenue_by_category)
 register("ec_category_distribution", pd_.category_distribution)
 register("ec_color_distribution", pd_.color_distribution)
@@ -88,10 +88,7 @@ register("ec_underpriced", pd_.underpriced)
 register("ec_overpriced", pd_.overpriced)
 
 register("ec_basket_pairs", bk.basket_pairs)
-# fixture: base names are too sparse for trios at the default support, so the items are the
-# product types (the text after the last " - "); the lift floor is lowered to keep the 20 trios
-register("ec_basket_trios", lambda ctx: bk.basket_trios(
-    ctx, item=F.trim(F.substring_index("product_name", " - ", -1)), min_lift=0.0))
+register("ec_basket_trios", bk.basket_trios)
 register("ec_basket_summary", bk.basket_summary)
 register("ec_category_affinity", bk.category_affinity)
 register("ec_bundles", bk.bundles)
@@ -113,8 +110,6 @@ register("ec_free_shipping", ops.free_shipping)
 register("ec_free_shipping_retention", ops.free_shipping_retention)
 
 # ------------------------------------------------------------------ search ads
-# the reference compares against the wall clock; a fixed as-of date keeps results repeatable
-AS_OF = "2024-02-05"
 register("ga_totals", ga.ga_totals)
 register("ga_aggregate_by", ga.ga_aggregate_by)
 register("ga_by_date", ga.ga_by_date)
@@ -158,13 +153,13 @@ register("ga_attribution_bias", ga.ga_attribution_bias)
 register("ga_auction_insights", ga.ga_auction_insights)
 register("ga_scaling_forecast", ga.ga_scaling_forecast)
 register("ga_scaling_scenarios", ga.ga_scaling_scenarios)
-register("ga_conversion_lag_flag", ga.ga_conversion_lag_flag, as_of=AS_OF)
-register("ga_dashboard", ga.ga_dashboard, as_of=AS_OF)
-register("ga_summary", ga.ga_summary, as_of=AS_OF)
+register("ga_conversion_lag_flag", ga.ga_conversion_lag_flag)
+register("ga_dashboard", ga.ga_dashboard)
+register("ga_benchmarks", ga.ga_benchmarks)
+register("ga_summary", ga.ga_summary)
 register("ga_signals", ga.ga_signals)
-# fixture: every bidding campaign converts 150-192 times in 14 days; a higher bar splits them
-register("ga_learning_period", ga.ga_learning_period, min_conversions=160.0)
-register("ga_learning_summary", ga.ga_learning_summary, min_conversions=160.0)
+register("ga_learning_period", ga.ga_learning_period)
+register("ga_learning_summary", ga.ga_learning_summary)
 
 # ------------------------------------------------------------------ social ads
 register("ma_dashboard", ma.ma_dashboard)
