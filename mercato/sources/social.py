@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.parse import parse_date_first, parse_number
+from mercato.sources.headers import is_json_document, looks_like_json
 
 # Header map and API field map of the social-ads exports.
 CSV_COLUMNS = {
@@ -47,8 +48,18 @@ DATE_FORMATS = ['yyyy-MM-dd', 'yyyy-MM-dd HH:mm:ss', "yyyy-MM-dd'T'HH:mm:ss", 'M
                 'MMM d, yyyy']
 
 
-def is_social_csv(headers: list[str]) -> bool:
-    return sum(1 for h in ('Campaign name', 'Impressions', 'Reach') if h in headers) >= 2
+# columns that every analysis of the catalogue may read; an export without them gets typed nulls
+BASE_TEXT = ['campaign_name', 'adset_name', 'device', 'placement', 'country', 'region', 'quality_ranking',
+             'engagement_ranking', 'conversion_ranking']
+BASE_NUMBERS = ['impressions', 'reach', 'frequency', 'spend', 'clicks', 'purchases', 'purchase_value', 'leads',
+                'landing_page_views', 'add_to_cart', 'checkout_initiated']
+
+
+def with_base_columns(df: DataFrame) -> DataFrame:
+    kinds = {**dict.fromkeys(BASE_TEXT, "string"), **dict.fromkeys(BASE_NUMBERS, "double"), 'date_start': "date"}
+    if 'adset_name' not in df.columns or 'ad_name' not in df.columns:
+        kinds['ad_name'] = "string"
+    return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in df.columns])
 
 
 def action_value(actions: Column, action_type: str) -> Column:
@@ -58,7 +69,8 @@ def action_value(actions: Column, action_type: str) -> Column:
 
 
 def read_social_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
+    raw = (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
+           .option("escape", '"').option("columnPruning", False).csv(path))
     cols = {}
     for c in raw.columns:
         name = c.strip()
@@ -71,28 +83,12 @@ def read_social_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
             df = df.withColumn(c, parse_number(c, default=0.0))
     if 'date_start' in df.columns:
         df = df.withColumn('date_start', F.to_date(parse_date_first('date_start', DATE_FORMATS)))
-    return df
-
-
-def _is_document(spark: SparkSession, path: str) -> bool:
-    """True for one JSON document per file (API dumps), False for JSON lines (one record per line)."""
-    import json
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first:
-        return True
-    line = first[0][0].strip()
-    if line.startswith('['):
-        return True
-    try:
-        json.loads(line)
-        return False
-    except ValueError:
-        return True
+    return with_base_columns(df)
 
 
 def read_social_json(spark: SparkSession, path: str) -> DataFrame:
     """API insight rows (list, ``{data: [...]}`` or one object) with ``actions`` / ``action_values`` arrays."""
-    raw = spark.read.option("multiLine", _is_document(spark, path)).json(path)
+    raw = spark.read.option("multiLine", is_json_document(spark, path)).json(path)
     if 'data' in raw.columns and isinstance(raw.schema['data'].dataType, T.ArrayType):
         raw = raw.select(F.explode('data').alias('_r')).select('_r.*')
     cols = {canon: F.col(api) for api, canon in API_FIELDS.items() if api in raw.columns}
@@ -107,22 +103,17 @@ def read_social_json(spark: SparkSession, path: str) -> DataFrame:
             df = df.withColumn(c, F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)))
     if 'date_start' in df.columns:
         df = df.withColumn('date_start', F.to_date(parse_date_first(F.col('date_start').cast("string"), DATE_FORMATS)))
-    return df
+    return with_base_columns(df)
 
 
 def read_social(spark: SparkSession, path: str) -> DataFrame:
-    """Choose the reader by extension (CSV for .csv/.tsv/.txt, JSON for .json, else CSV then JSON)."""
+    """Choose the reader by extension (CSV for .csv/.tsv/.txt, JSON for .json, else by the first character)."""
     low = path.lower()
     if low.endswith('.json'):
         return read_social_json(spark, path)
-    if low.endswith(('.csv', '.tsv', '.txt')):
+    if low.endswith(('.csv', '.tsv', '.txt')) or not looks_like_json(spark, path):
         return read_social_csv(spark, path)
-    try:
-        df = read_social_csv(spark, path)
-        df.schema  # noqa: B018 - resolve now so a JSON file falls through
-        return df
-    except Exception:  # noqa: BLE001
-        return read_social_json(spark, path)
+    return read_social_json(spark, path)
 
 
 def export_social_json(rows: DataFrame, path: str) -> None:

@@ -185,3 +185,73 @@ def test_latin1_store_export(spark, tmp_path):
     lines, platform = store.read_store_csv(spark, str(p), encoding="ISO-8859-1")
     assert platform == "tiendanube"
     assert {r["state"] for r in lines.collect()} == {"Córdoba", "Salta"}
+
+
+def test_header_below_a_long_preamble(spark, tmp_path):
+    text = "".join(f"Note {i}\n" for i in range(60)) + "Campaign,Day,Impressions,Clicks,Cost (ARS)\nNote 3,2024-12-01,100,5,10\n"
+    rows, report, currency = search.read_ads_csv(spark, _write(tmp_path, "long.csv", text))
+    assert (report, currency) == ("campaign", "ARS")
+    assert [(r["campaign_name"], r["impressions"], r["cost"]) for r in rows.collect()] == [("Note 3", 100, 10.0)]
+    with pytest.raises(ValueError):
+        search.read_ads_csv(spark, _write(tmp_path, "none.csv", "a,b\n1,2\n"))
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    terms = 'Search terms\nSearch term,Campaign,Impressions,Clicks\n"red\nshoe",C,10,1\nblue,C,5,0\n'
+    rows, report, _ = search.read_ads_csv(spark, _write(tmp_path, "terms.csv", terms))
+    assert report == "search_term"
+    assert {r["search_term"]: r["impressions"] for r in rows.collect()} == {"red\nshoe": 10, "blue": 5}
+    shop = ("Name,Email,Created at,Financial Status,Lineitem name,Lineitem quantity,Lineitem price,Total\n"
+            '#1,a@x,2024-12-31T10:05:00+0000,paid,"Cap\nline ""two""",1,10.00,10.00\n')
+    lines, _ = store.read_store_csv(spark, _write(tmp_path, "shop.csv", shop))
+    assert [(r["order_id"], r["product_name"], r["total"]) for r in lines.collect()] == [("#1", 'Cap\nline "two"', 10.0)]
+    meta = 'Campaign name,Ad name,Day,Impressions\nC,"a\nb",2024-12-01,7\n'
+    assert [r["ad_name"] for r in social.read_social(spark, _write(tmp_path, "meta.csv", meta)).collect()] == ["a\nb"]
+
+
+def test_surplus_fields_do_not_depend_on_the_columns_read(spark, tmp_path):
+    text = "Order ID,Order Status,Product Name,Order Total\n" + "".join(
+        f"{i},wc-completed,Mate,5{',x' if i % 2 else ''}\n" for i in range(6)) + "9,wc-completed\n"
+    path = _write(tmp_path, "woo.csv", text)
+    lines, platform = store.read_store_csv(spark, path)
+    assert platform == "woocommerce" and store.malformed_rows(spark, path) == 3
+    assert lines.count() == lines.select("total").count() == len(lines.select("total").collect()) == len(lines.collect()) == 4
+
+
+def test_search_json_lines_and_wrapped_documents(spark, tmp_path):
+    record = {"campaign": {"name": "B"}, "metrics": {"impressions": "3"}}
+    lines = _write(tmp_path, "rows.json", "".join(json.dumps(record) + "\n" for _ in range(5)))
+    assert search.read_ads_json(spark, lines).count() == 5
+    for name, doc in (("a.json", [record] * 4), ("b.json", {"data": [record] * 3}), ("c.json", {"results": [record] * 2})):
+        n = len(doc) if isinstance(doc, list) else len(next(iter(doc.values())))
+        for text in (json.dumps(doc), json.dumps(doc, indent=1)):
+            assert search.read_ads_json(spark, _write(tmp_path, name, text)).count() == n
+
+
+def test_minimal_exports_run_the_catalogue(spark, tmp_path):
+    ads = "Campaign,Day,Impressions,Clicks,Cost,Conversions\n" + "".join(f"C{i % 2},2024-12-{i + 1:02d},100,{i},10,{i % 3}\n" for i in range(20))
+    rows, _, _ = search.read_ads_csv(spark, _write(tmp_path, "ads.csv", ads))
+    _, status = run_catalogue(Context(spark, campaign=rows, keyword=rows, search_term=rows, ad=rows, auction=rows), "search", "lite")
+    assert {r["analysis"]: r["status"] for r in status.collect()}["ga_benchmarks"] == "ok"
+    meta = "Campaign name,Ad set name,Ad name,Impressions,Amount spent (USD)\nC,A,a,10,1\nC,A,b,20,2\n"
+    _, status = run_catalogue(Context(spark, social=social.read_social(spark, _write(tmp_path, "meta.csv", meta))), "social", "lite")
+    assert {r["status"] for r in status.collect()} <= {"ok", "skipped"}
+
+
+def test_every_catalogue_key_is_registered():
+    from mercato.plans.catalogue import SETS, UNAVAILABLE
+    from mercato.plans.registry import REGISTRY
+    assert not {k for keys in SETS.values() for k in keys} - set(REGISTRY) - set(UNAVAILABLE)
+
+
+def test_month_end_comparison(spark):
+    from mercato.plans.registry import REGISTRY
+    days = spark.sql("select explode(sequence(date'2023-03-01', date'2024-03-31')) as date").withColumns(
+        {"cost": F.lit(1.0), "conversions": F.lit(1.0), "conversion_value": F.lit(1.0)})
+    got = {r["period"]: (r["days"], r["cost"]) for r in REGISTRY["ext_same_period_comparison"](Context(spark, campaign=days)).collect()}
+    assert got == {"current": (31, 31.0), "previous_month": (29, 29.0), "previous_year": (31, 31.0)}
+
+
+def test_one_row_per_order(spark):
+    orders = Context.from_fixture(spark, SF_SMALL).orders
+    assert orders.count() == orders.select("order_id").distinct().count()
