@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "ec_monthly_revenue", "ec_basket_pairs", "ec_basket_trios", "ec_rfm_scores", "ec_cohort_matrix",
     "ec_niche_clusters", "ec_pareto", "ec_purchase_gaps", "ec_product_ranking", "ec_summary",
-    "ga_campaigns", "ga_negative_words", "ga_weekly_drift", "ma_daily", "ma_creative_fatigue", "ma_ad_ranking",
+    "ga_campaigns", "ga_negative_words", "ga_weekly_drift", "ma_daily", "ext_attribution_models", "ma_creative_fatigue", "ma_ad_ranking",
 ]
 
 

@@ -5,10 +5,10 @@ user when they happen in the 30 days before it.  Models: last touch, first
 touch, linear, time decay (half-life 7 days) and position based (40 / 20 / 40).
 
 No conversion is joined to its touches one pair at a time.  Each conversion
-row reads, from range-framed windows over the user's time-ordered events,
-the per-channel touch counts, the first and last touching channel and the
-per-channel decay sums of its 30-day look-back; every model's credit is a
-function of those aggregates.  The channel set is counted first and bounded
+row reads, from running sums over the user's time-ordered events (the value now
+less the value 30 days ago), the per-channel touch counts, the first and last
+touching channel and the per-channel decay sums of its 30-day look-back; every
+model's credit is a function of those aggregates.  The channel set is counted first and bounded
 (one windowed sum per channel).  Window partitions are (user, 30-day bucket)
 with touches copied into the following bucket, so even a user holding a third
 of all events is split by time.
@@ -49,16 +49,24 @@ def attribution(events: DataFrame, channel: str = "channel", lookback_days: int
     # base-2 exponent relative to the partition's first event: at most two look-backs of half-lives
     expo = (F.col("_us") - anchor) / F.lit(half_life_days * MICROS_PER_DAY)
     ev = ev.withColumn("_w", F.when(touch, F.pow(F.lit(2.0), expo)))
-    frame = part.orderBy("_us").rangeBetween(-span, -1)
+    # sums over the look-back are differences of running sums, the last touch is the last of a running frame and the
+    # first touch the last of a running frame from the other end: all frames only grow, so the work is linear
+    upto = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    older = part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -span - 1)
+    from_end = part.orderBy(F.col("_us").desc()).rangeBetween(Window.unboundedPreceding, span)
     tch = F.when(touch, F.col("channel"))
-    cols = [F.count(tch).over(frame).alias("_n"),
-            F.first(tch, ignorenulls=True).over(frame).alias("_first"),
-            F.last(tch, ignorenulls=True).over(frame).alias("_last"),
-            F.sum("_w").over(frame).alias("_wt")]
+
+    def lookback(aggregate):
+        return aggregate.over(upto) - F.coalesce(aggregate.over(older), F.lit(0))
+    n_touches = lookback(F.count(tch))
+    cols = [n_touches.alias("_n"),
+            F.when(n_touches > 0, F.last(tch, ignorenulls=True).over(from_end)).alias("_first"),
+            F.when(n_touches > 0, F.last(tch, ignorenulls=True).over(upto)).alias("_last"),
+            lookback(F.sum("_w")).alias("_wt")]
     for i, c in enumerate(channels):
         is_c = touch & (F.col("channel") == c)
-        cols += [F.count(F.when(is_c, 1)).over(frame).alias(f"_c{i}"),
-                 F.sum(F.when(is_c, F.col("_w"))).over(frame).alias(f"_w{i}")]
+        cols += [lookback(F.count(F.when(is_c, 1))).alias(f"_c{i}"),
+                 F.greatest(F.lit(0.0), lookback(F.sum(F.when(is_c, F.col("_w"))))).alias(f"_w{i}")]
     conv = ev.select("event_type", *cols).where(F.col("event_type") == conversion_type)
     n = F.col("_n")
     rows = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.core import nonblank, pct_change
+from mercato.functions.core import nonblank, pct_change, safe_div
 
 # Order-level columns and cancellation spellings of the store exports.
 ORDER_COLUMNS = ['order_id', 'email', 'date', 'order_status', 'payment_status',
@@ -67,20 +67,22 @@ def summary(ctx) -> DataFrame:
     date_max = lines.agg(F.max("date")).scalar()
     date_min = lines.agg(F.min("date")).scalar()
     recent, prior = recent_prior_flags(valid, anchor=date_max)
-    agg = valid.agg(
-        F.coalesce(F.sum("total"), F.lit(0.0)).alias("total_revenue"),
-        F.count(F.lit(1)).alias("total_orders"),
-        F.count_distinct("email").alias("unique_customers"),
-        F.avg("total").alias("avg_ticket"),
-        F.coalesce(F.sum(F.when(recent, F.col("total"))), F.lit(0.0)).alias("_r_rev"),
-        F.coalesce(F.sum(F.when(prior, F.col("total"))), F.lit(0.0)).alias("_p_rev"),
-        F.count(F.when(recent, 1)).alias("_r_n"),
-        F.count(F.when(prior, 1)).alias("_p_n"),
-        F.count_distinct(F.when(recent, F.col("email"))).alias("_r_c"),
-        F.count_distinct(F.when(prior, F.col("email"))).alias("_p_c"),
-        F.coalesce(F.avg(F.when(recent, F.col("total"))), F.lit(0.0)).alias("_r_t"),
-        F.coalesce(F.avg(F.when(prior, F.col("total"))), F.lit(0.0)).alias("_p_t"),
-    )
+    # one row per customer first: distinct customers are then plain counts
+    per = valid.groupBy("email").agg(
+        F.sum("total").alias("t"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(recent, F.col("total"))).alias("rt"), F.count(F.when(recent, 1)).alias("rn"),
+        F.sum(F.when(prior, F.col("total"))).alias("pt"), F.count(F.when(prior, 1)).alias("pn"))
+
+    def total(c: str):
+        return F.coalesce(F.sum(c), F.lit(0))
+    known = F.col("email").isNotNull()
+    agg = per.agg(
+        total("t").cast("double").alias("total_revenue"), total("n").alias("total_orders"), F.count("email").alias("unique_customers"),
+        (F.sum("t") / F.nullif(F.sum("n"), F.lit(0))).alias("avg_ticket"),
+        total("rt").cast("double").alias("_r_rev"), total("pt").cast("double").alias("_p_rev"), total("rn").alias("_r_n"), total("pn").alias("_p_n"),
+        F.count(F.when(known & (F.col("rn") > 0), 1)).alias("_r_c"), F.count(F.when(known & (F.col("pn") > 0), 1)).alias("_p_c"),
+        F.coalesce(safe_div(F.sum("rt"), F.sum("rn")), F.lit(0.0)).alias("_r_t"),
+        F.coalesce(safe_div(F.sum("pt"), F.sum("pn")), F.lit(0.0)).alias("_p_t"))
     rows = lines.agg(F.count(F.lit(1)).alias("total_rows"))
     return agg.select(
         "total_revenue", "total_orders", "unique_customers", "avg_ticket",

@@ -46,3 +46,13 @@ def test_attribution_long_history(spark):
     assert set(got) == {k for k, v in want.items() if v > 0} | {k for k in got if got[k] == 0}
     for k, v in want.items():
         assert got.get(k, 0.0) == pytest.approx(v, rel=1e-9, abs=1e-9), k
+
+
+def test_work_grows_linearly(spark):
+    """One user with 100,000 events in one month."""
+    from mercato.operators.social.attribution import attribution
+    events = spark.range(100_000).selectExpr("1 as user_id", "if(id % 50 = 0, 'purchase', 'view') as event_type",
+                                             "concat('c', id % 3) as channel", "timestamp_seconds(1700000000 + id * 20) as ts")
+    rows = attribution(events).collect()
+    linear = {r["channel"]: r["credit"] for r in rows if r["model"] == "linear"}
+    assert abs(sum(linear.values()) - 1999) < 1e-6  # the first purchase has no touch before it
