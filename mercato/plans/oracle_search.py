@@ -563,3 +563,19 @@ SELECT campaign_name, campaign_type, "date", CAST(hour_of_day AS BIGINT) AS hour
        coalesce(target_roas, 0.0) AS target_roas, search_impression_share, region
 FROM camp
 """
+
+
+def nested(body: str) -> str:
+    """A query body (CTEs that follow the prelude, then a select) as a subquery."""
+    return "(WITH one AS (SELECT 1 AS one)" + body + ")" if body.lstrip().startswith(",") else f"({body})"
+
+
+SQL["ga_signals"] = f"""
+, u AS (
+  SELECT 'high' AS priority, name AS area, 'benchmark_red' AS type, value FROM {nested(SQL["ga_benchmarks"])} WHERE status = 'red'
+  UNION ALL SELECT 'high', campaign, 'bidding_underperforming', drift_pct FROM {nested(SQL["ga_bidding_status"])} WHERE status = 'underperforming'
+  UNION ALL SELECT 'medium', campaign, 'learning', conv_last_14d FROM {nested(SQL["ga_learning_period"].replace("160", "30"))}
+            WHERE status = 'learning'
+  UNION ALL SELECT 'medium', 'Search Terms', 'wasted_spend', wasted_pct FROM {nested(SQL["ga_wasted_spend"])} WHERE wasted_pct > 20)
+SELECT * FROM u ORDER BY CASE WHEN priority = 'high' THEN 0 ELSE 1 END, type, area LIMIT 10
+"""

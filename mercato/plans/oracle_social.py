@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB) for the social-ads operators (view ``social``)."""
 
-from mercato.plans.oracle_search import INITCAP, SD
+from mercato.plans.oracle_search import INITCAP, SD, nested
 
 
 def SEM(v: str, g: float, y: float, reverse: bool = False) -> str:
@@ -248,6 +248,15 @@ SELECT CASE WHEN pipe > c * 0.3 THEN 'standard' WHEN under > c * 0.3 AND stg > c
 SQL["ma_name_parse"] = PARSED + "\nSELECT * FROM pn\n"
 SQL["ma_name_parse_standard"] = PARSED + "\nSELECT * FROM pn\n"
 
+SQL["ma_name_parse_alternative"] = f"""
+, nm AS (SELECT DISTINCT ad_name AS name FROM social WHERE ad_name IS NOT NULL),
+pp AS (SELECT name, list_transform(string_split(name, '_'), lambda p: trim(p)) AS parts FROM nm)
+SELECT name, CASE WHEN len(parts) >= 2 THEN {INITCAP("replace(parts[2], '-', ' ')")} END AS product,
+       CASE WHEN len(parts) >= 3 THEN coalesce({FMT}[lower(parts[3])], parts[3]) END AS format,
+       coalesce({STAGE}[lower(parts[1])], upper(parts[1])) AS stage,
+       CAST(NULL AS VARCHAR) AS creator, CASE WHEN len(parts) >= 4 THEN parts[4] END AS variation FROM pp
+"""
+
 SQL["ma_name_summary"] = PARSED + """
 , f AS (SELECT 'format' AS field, format AS value FROM pn UNION ALL SELECT 'stage', stage FROM pn
         UNION ALL SELECT 'creator', creator FROM pn UNION ALL SELECT 'product', product FROM pn),
@@ -379,3 +388,13 @@ SELECT campaign_name, adset_name, ad_name, date_start, impressions, reach, spend
        landing_page_views, add_to_cart, checkout_initiated, purchase_value
 FROM social
 """
+
+SQL["ma_signals"] = f"""
+, u AS (
+  SELECT 'high' AS priority, metric AS area, 'benchmark_red' AS type, value FROM {nested(SQL["ma_benchmarks"])} WHERE semaphore = 'red'
+  UNION ALL SELECT 'high', 'Learning Phase', 'learning_limited', CAST(learning_limited AS DOUBLE) FROM {nested(SQL["ma_learning_summary"])}
+            WHERE learning_limited > 0
+  UNION ALL SELECT 'medium', 'Creative Fatigue', 'fatigue', CAST(n AS DOUBLE) FROM {nested(FATIGUE + " SELECT count(*) AS n FROM fat")} WHERE n > 0
+  UNION ALL SELECT 'medium', transition, 'funnel_leak', dropoff_rate FROM {nested(SQL["ma_dropoff"])} WHERE dropoff_rate > 95)
+SELECT * FROM u ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, area LIMIT 10
+"""
