@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mercato.llm.common import table, written
+from mercato.llm.common import discard, table, written
 from mercato.llm.ngram_join import ngram_jaccard_join
 from mercato.llm.pfair import in_mixed_order
 from mercato.llm.pu_quality import feature_table, good_ids, train
@@ -25,7 +25,9 @@ from mercato.llm.sp_sampling import sampled_encodings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train(written(feature_table(docs), "pu-features"), good_ids(table(spark, sf_dir, "labels")))
+    figures = written(feature_table(docs), "pu-features")
+    model = train(figures, good_ids(table(spark, sf_dir, "labels")))
+    discard(figures)
     return model.kept(docs)
 
 
@@ -68,5 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents table; each but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the stage's input, unless it is the documents table
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that no remaining plan reads."""
+    for t in tables:
+        if path := getattr(t, "_written_at", None):  # set by written() alone
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import batches, table, text_bytes, window_hashes, word_hashes, written
+from mercato.llm.common import batches, discard, table, text_bytes, window_hashes, word_hashes, written
 
 RIDGE = 1e-3
 STEPS = 12
@@ -223,7 +223,9 @@ def train(featured: DataFrame, positives: DataFrame) -> PuModel:
     mean = t[1:WIDTH + 1] / t[0]
     scale = np.sqrt(np.maximum(t[WIDTH + 1:] / t[0] - mean ** 2, 1e-8)) + 1e-3
     prior = class_prior(rows, mean, scale)
-    return PuModel(mean, scale, fit(rows, mean, scale, prior, half=None), prior)
+    weights = fit(rows, mean, scale, prior, half=None)
+    discard(rows)
+    return PuModel(mean, scale, weights, prior)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import batches, mix, partitions, table, text_bytes, window_hashes, word_hashes, written
+from mercato.llm.common import batches, discard, mix, partitions, table, text_bytes, window_hashes, word_hashes, written
 
 WINDOW = 50
 BLOCK = 25
@@ -264,6 +264,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     factors = written(found.repartition(n, "doc").sortWithinPartitions("doc", "place")
                       .mapInArrow(_parse(window), "doc_id long, start long, length long, ref_doc long, ref_start long"), "rlz-factors")
 
+    discard(hits)
     spans = factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     changed = (candidates.select("doc_id", "sha", "text").join(spans.hint("shuffle_hash"), "doc_id")
                .select("doc_id", "sha", "text", "spans")
