@@ -46,6 +46,7 @@ GROUP = 1 << 19
 BLANK = "▁"
 _U = np.uint64
 _TOKEN = re.compile(" *[^ ]+| +")
+_ODD = mix(np.arange(11, 19, dtype=_U)) | _U(1)
 
 
 class Pieces:
@@ -81,8 +82,8 @@ class Pieces:
         hashes = _hash_all(texts)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logs = hashes[order], np.array(ids, dtype=np.int32)[order], logs[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.hashes >> _U(44)).astype(np.int64)] = True
+        self.starts = np.zeros(1 << 22, dtype=bool)  # beginnings of pieces, by the top bits of their hash
+        self.starts[(_hash_all(sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})) >> _U(42)).astype(np.int64)] = True
 
 
 def _codes(text: str) -> np.ndarray:
@@ -120,11 +121,12 @@ class Lattice:
         sums = _sums(_codes(text))
         at, width, piece, log = [], [], [], []
         known = np.zeros(n, dtype=bool)
-        for k in range(min(v.longest, int(rest.max(initial=0))), 0, -1):  # longer, likelier pieces first
-            i = np.flatnonzero(rest >= k)
+        i = np.arange(n)
+        for k in range(1, min(v.longest, int(rest.max(initial=0))) + 1):
+            i = i[rest[i] >= k]
             h = _spans(sums, i, i + k)
-            likely = v.maybe[(h >> _U(44)).astype(np.int64)]
-            i, h = i[likely], h[likely]
+            likely = v.starts[(h >> _U(42)).astype(np.int64)]
+            i, h = i[likely], h[likely]  # only what begins a piece can grow into one
             p = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
             hit = v.hashes[p] == h
             at.append(i[hit])
@@ -142,7 +144,7 @@ class Lattice:
         width.append(np.ones(len(lost), dtype=np.int64))
         piece.append(-1 - np.arange(len(lost)))
         log.append(np.array([len(x) * v.byte_log for x in raw]))
-        at, width, piece, log = (np.concatenate(x) for x in (at, width, piece, log))
+        at, width, piece, log = (np.concatenate(x[::-1]) for x in (at, width, piece, log))  # longer, likelier pieces first
 
         by_rest = np.argsort(rest, kind="stable")
         self.rank = np.empty(n, dtype=np.int64)
@@ -202,9 +204,11 @@ class Lattice:
 
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
-    x = key
+    """Uniform noise in (0, 1), a hash of the key and the parts (each times its own odd number)."""
+    x = key.copy()
     for i, p in enumerate(parts):
-        x = mix(x + np.asarray(p).astype(np.int64).view(_U) * _U(BASE) + _U(i + 1))
+        x += np.asarray(p).astype(np.int64).view(_U) * _ODD[i]
+    x = mix(mix(x))
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -265,11 +269,19 @@ class _Path:
         return out
 
 
+class _Numbers(dict):
+    """Numbers new keys in order."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k segmentations (piece ids, log probability, perturbed value, inclusion probability), best first."""
-    rows, found, tokens = len(texts), {}, []
+    rows, found, tokens = len(texts), _Numbers(), []
     for t in texts:
-        tokens.append(np.array([found.setdefault(x, len(found)) for x in _TOKEN.findall(" " + t)] if t else [], dtype=np.int64))
+        tokens.append(np.array([found[x] for x in _TOKEN.findall(" " + t)] if t else [], dtype=np.int64))
     lat = Lattice(list(found), v)
     key = mix(np.array(keys, dtype=np.int64).view(_U) + _U(0xC0FFEE))
     count = np.array([len(x) for x in tokens])
