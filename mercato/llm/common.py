@@ -70,19 +70,32 @@ _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _LOWER_CODES = _CODES[_LOWER]
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            p = np.full(size, base, dtype=_U)
-            p[0] = 1
-            _powers[name] = np.cumprod(p, dtype=_U)
-    return _powers["up"], _powers["down"]
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each; grown where used, never shipped."""
+
+    up = down = np.ones(1, dtype=_U)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << max(12, (n - 1).bit_length())
+            both = []
+            for base in (BASE, pow(BASE, -1, 1 << 64)):
+                p = np.full(size, base, dtype=_U)
+                p[0] = 1
+                both.append(np.cumprod(p, dtype=_U))
+            self.up, self.down = both
+        return self.up, self.down
+
+    def __getstate__(self):
+        return {}
+
+    def __setstate__(self, state):
+        pass
+
+
+powers = _Powers()
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
