@@ -14,7 +14,8 @@ the relative weights of the remaining sources, and no document is dropped or
 repeated.
 
 Documents are dealt to ``salt`` buckets inside their source before they are
-numbered, so a source with a third of all rows is numbered in many tasks.
+numbered, as many as the square root of its rows, so a source with a third of
+all rows is numbered in many tasks and its buckets' offsets stay few.
 
 Defined results: a null source is a source of its own (sorts first); weights
 default to the square root of each source's rows; sources with weight null or
@@ -30,7 +31,6 @@ from mercato.llm.common import table, written
 
 PERIOD = 1000
 BLOCK_ROWS = 8
-SALT_ROWS = 20_000
 
 
 def period_parts(sizes: DataFrame, weights: DataFrame | None, period: int) -> DataFrame:
@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIO
     # both broadcasts hold at most one row per slot of the period
     by_source = F.broadcast(parts.withColumnRenamed("source", "s"))
     dealt = (rows.join(by_source, rows["source"].eqNullSafe(F.col("s")), "inner").drop("s")
-             .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.col("rows") / SALT_ROWS))))
+             .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.sqrt("rows")))))
     held = dealt.groupBy("source_no", "salt").agg(F.count("*").alias("here"))
     ahead = Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select(F.col("source_no").alias("sn"), F.col("salt").alias("sa"), F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("before"))
