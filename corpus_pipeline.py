@@ -7,9 +7,10 @@ Five stages, each over everything its predecessor kept:
 3. substrings: relative Lempel-Ziv parsing; repeated passages of 50 words or more are cut, and
    documents of which nothing is left go.
 4. mixing: Pfair scheduling by the square root of the sources' sizes; rows in the order of the mix.
-5. encoding: sampled SentencePiece segmentations, the pipeline's result.
+5. encoding: sampled SentencePiece segmentations and each row's ``mix_position``, the pipeline's result.
 
 Stages 1 to 4 return the columns of their input.  Rows with a null id pass stages 2 and 3 unchanged.
+The mix is the order of the rows in the Parquet files of stage 4; stage 5 reads the places from these files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mercato.llm.common import discard, table, written
 from mercato.llm.ngram_join import ngram_jaccard_join
-from mercato.llm.pfair import in_mixed_order
+from mercato.llm.pfair import in_mixed_order, with_mix_positions
 from mercato.llm.pu_quality import feature_table, good_ids, train
 from mercato.llm.rlz import substring_dedup
 from mercato.llm.sp_sampling import sampled_encodings
@@ -57,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sampled_encodings(docs)
+    return sampled_encodings(with_mix_positions(docs), keep=("mix_position",))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixing", mixing), ("encoding", encoding)]

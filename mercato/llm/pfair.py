@@ -25,6 +25,9 @@ by text.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mercato.llm.common import table, written
@@ -126,6 +129,28 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
             .sortWithinPartitions("virtual_slot", "in_block").select("row.*"))
 
 
+def with_mix_positions(mix: DataFrame) -> DataFrame:
+    """Adds ``mix_position``, a row's place in the mix from 0, to rows read from files that ``in_mixed_order`` was written to.
+
+    A scan deals files to tasks by size, so the place comes from the file (Spark numbers the part files in range
+    order, and the further files of a part) and the row's index in it.
+    """
+    path = mix.metadataColumn("_metadata")["file_path"]
+    files = [(r.file, r["count"]) for r in mix.groupBy(path.alias("file")).count().collect()]  # one row per file
+
+    def place(file: str) -> tuple[int, int]:
+        found = re.search(r"part-(\d+)-[^/]*?(?:[-.]c(\d+))?\.[^/]*$", file)
+        if not found:
+            raise ValueError(f"{file} is no part file of a mix")
+        return int(found[1]), int(found[2] or 0)
+    files.sort(key=lambda x: place(x[0]))
+    starts = [0, *accumulate(n for _, n in files)]
+    offsets = mix.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(files, starts)], "mix_file string, mix_start long")
+    rows = mix.select(F.struct(*mix.columns).alias("row"), path.alias("file"), mix.metadataColumn("_metadata")["row_index"].alias("at"))
+    return (rows.join(F.broadcast(offsets), F.col("file") == F.col("mix_file"))  # one row per file
+            .select(*[F.col("row")[c].alias(c) for c in mix.columns if c != "mix_position"], (F.col("mix_start") + F.col("at")).alias("mix_position")))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, release, deadline and slot in a mix of the sources by the square root of their sizes."""
     return with_slots(written(mixed(table(spark, sf_dir, "documents")), "mix")).drop("rows", "source_no")

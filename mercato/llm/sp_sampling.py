@@ -388,8 +388,8 @@ SAMPLE_TYPE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,incl
 
 
 def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES,
-                      model_file: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_samples and the samples of every row."""
+                      model_file: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_chars, n_samples and the samples of every row, then its columns ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))  # one vocabulary, fixed by the model file
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,11 +405,13 @@ def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                                    names=["ids", "log_prob", "perturbed", "inclusion"])
                 samples = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), parts)
                 yield pa.record_batch([b.column(0).slice(at, len(rows)), pa.array([len(t) for t in texts], pa.int64()),
-                                       pa.array([len(r) for r in rows], pa.int32()), samples],
-                                      names=["doc_id", "n_chars", "n_samples", "samples"])
+                                       pa.array([len(r) for r in rows], pa.int32()), samples,
+                                       *(c.slice(at, len(rows)) for c in b.columns[2:])],
+                                      names=["doc_id", "n_chars", "n_samples", "samples", *keep])
                 at += len(rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id long, n_chars long, n_samples int, samples {SAMPLE_TYPE}")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    kept = "".join(f", `{n}` {t}" for n, t in texts.dtypes[2:])
+    return texts.mapInArrow(run, f"doc_id long, n_chars long, n_samples int, samples {SAMPLE_TYPE}{kept}")
 
 
 def decoded_texts(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:

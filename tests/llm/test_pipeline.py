@@ -1,6 +1,7 @@
 """The pipeline's stages over small tables."""
 import corpus_pipeline as cp
 import __spark_entry__ as entry
+from mercato.llm import pfair
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,23 @@ def test_odd_rows(spark, odd, nothing):
             assert len(ids) == len(set(ids)) and 0 in ids and 6 not in ids
             assert sum(r.doc_id is None for r in rows) == 2
         assert stage(spark, nothing, SF).count() == 0
+
+
+def test_mix_positions(spark, monkeypatch):
+    """The order of the mix survives many files, which a scan deals to tasks by size."""
+    monkeypatch.setattr(cp, "STAGES", [s for s in cp.STAGES if s[0] in ("mixing", "encoding")])
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000",
+            "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxRecordsPerFile": "30"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = cp.run(spark, SF).select("doc_id", "mix_position").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    docs = cp.table(spark, SF, "documents")
+    want = [r.doc_id for r in pfair.with_slots(pfair.mixed(docs)).orderBy("slot", "in_block").collect()]
+    assert len(want) == docs.count()
+    assert [r.doc_id for r in rows] != want  # the rows come in another order
+    assert sorted(r.mix_position for r in rows) == list(range(len(want)))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == want
