@@ -44,12 +44,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     results, _ = substring_dedup(docs, with_text=True)
-    cut = written(results.where("n_removed > 0 and kept_text is not null").select(F.col("doc_id").alias("cut_id"), "kept_text").distinct(), "cut-texts")
+    cut = written(results.where("n_removed > 0 and kept_text is not null")
+                  .select(F.col("doc_id").alias("cut_id"), F.col("raw").alias("cut_raw"), "kept_text").distinct(), "cut-texts")
     text = F.coalesce("kept_text", "row.text")
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long")))
-    return (docs.select(F.struct(*docs.columns).alias("row")).join(cut.hint("shuffle_hash"), F.col("row.doc_id") == F.col("cut_id"), "left")
+    return (docs.select(F.struct(*docs.columns).alias("row"))
+            .join(cut.hint("shuffle_hash"), (F.col("row.doc_id") == F.col("cut_id")) & (F.xxhash64("row.text") == F.col("cut_raw")), "left")
             .where("kept_text is null or kept_text <> ''").select(row.alias("row")).select("row.*"))
 
 

@@ -27,7 +27,7 @@ Phrases are compared by 128 bits (the phrase's and its block's hash).
 
 Defined results: null text has no words.  Texts under ``window`` words lose
 nothing.  Of rows that share an id, none is a duplicate of the other (their id
-is not smaller).  Rows with a null id lose nothing and are no reference.
+is not smaller); each text of an id is parsed on its own, told apart by 64 bits.  Rows with a null id lose nothing and are no reference.
 """
 
 from __future__ import annotations
@@ -76,20 +76,18 @@ def _sequences(window: int, block: int):
                 else:
                     hashes, place = chosen_blocks(word_hashes(text), window, block)
                     blocks.append(np.unique(hashes[place]).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
-                                  names=["doc_id", "n_words", "sha", "blocks"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
+                                  names=["doc_id", "raw", "n_words", "sha", "blocks"])
     return run
 
 
 def _phrases(window: int, block: int, crowd: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             more: list[bytes | None] = []  # further places of a phrase inside its document
-            docs, shared = b.column(0).to_pylist(), b.column(3).to_pylist()
-            for doc, text, sha, wanted in zip(docs, text_bytes(b.column(1)), b.column(2).to_pylist(), shared):
-                if hashlib.sha256(b" ".join(text.split())).digest() != sha:
-                    continue  # another row with this id
+            docs, texts, shared = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
+            for doc, nth, text, wanted in zip(docs, texts, text_bytes(b.column(2)), shared):
                 words = word_hashes(text)
                 hashes, place = chosen_blocks(words, window, block)
                 keys = np.array([w["block"] for w in wanted], dtype=np.int64).view(_U)
@@ -112,33 +110,33 @@ def _phrases(window: int, block: int, crowd: int):
                 deal = int(mix(np.array([doc], dtype=np.int64).view(_U))[0] >> _U(1))
                 for x, v in zip(out, (phrase[hit].view(np.int64), mine[hit].view(np.int64),
                                       np.where(salts > 1, deal % salts, -1).astype(np.int32),
-                                      np.full(len(hit), doc, dtype=np.int64), hit.astype(np.int32))):
+                                      np.full(len(hit), doc, dtype=np.int64), np.full(len(hit), nth, dtype=np.int64), hit.astype(np.int32))):
                     x.append(v)
             if out[0]:
                 yield pa.record_batch([*(pa.array(np.concatenate(x)) for x in out), pa.array(more, pa.binary())],
-                                      names=["phrase", "block", "salt", "doc", "place", "more"])
+                                      names=["phrase", "block", "salt", "doc", "seq", "place", "more"])
     return run
 
 
 def _index_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted phrases -> the places that repeat an earlier document, and the first document's places in each salted part."""
-    last, ref_doc, ref_place = None, 0, 0
+    last, ref_doc, ref_seq, ref_place = None, 0, 0, 0
     for b in it:
         if b.num_rows == 0:
             continue
-        phrase, block, salt, doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        phrase, block, salt, doc, seq, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         new = np.ones(len(phrase), dtype=bool)
         new[1:] = (phrase[1:] != phrase[:-1]) | (block[1:] != block[:-1]) | (salt[1:] != salt[:-1])
         here = (phrase[0], block[0], salt[0])
         group = np.cumsum(new) - 1
         firsts = np.flatnonzero(new)
-        rd, rp = doc[firsts], place[firsts]
+        rd, rs, rp = doc[firsts], seq[firsts], place[firsts]
         if here == last:
-            rd, rp = rd.copy(), rp.copy()
-            rd[0], rp[0] = ref_doc, ref_place
+            rd, rs, rp = rd.copy(), rs.copy(), rp.copy()
+            rd[0], rs[0], rp[0] = ref_doc, ref_seq, ref_place
         hit = doc > rd[group]
         heads = np.flatnonzero(~hit & (salt >= 0))
-        more = {i: np.frombuffer(m, dtype=np.int32) for i, m in enumerate(b.column(5).to_pylist()) if m} if b.column(5).null_count < b.num_rows else {}
+        more = {i: np.frombuffer(m, dtype=np.int32) for i, m in enumerate(b.column(6).to_pylist()) if m} if b.column(6).null_count < b.num_rows else {}
         if more:  # a phrase's further places share its row's fate
             rows = np.concatenate((np.arange(len(place)), *(np.full(len(m), i) for i, m in more.items())))
             spots = np.concatenate((place, *more.values()))
@@ -151,33 +149,34 @@ def _index_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spot = place[at]
                 yield pa.record_batch([pa.array(phrase[at] if is_head else np.zeros(len(at), np.int64)),
                                        pa.array(block[at] if is_head else np.zeros(len(at), np.int64)),
-                                       pa.array(np.full(len(at), is_head)), pa.array(doc[at]), pa.array(spot),
-                                       pa.array(rd[group[at]]), pa.array(rp[group[at]])],
-                                      names=["phrase", "block", "head", "doc", "place", "ref_doc", "ref_place"])
-        last, ref_doc, ref_place = (phrase[-1], block[-1], salt[-1]), rd[-1], rp[-1]
+                                       pa.array(np.full(len(at), is_head)), pa.array(doc[at]), pa.array(seq[at]), pa.array(spot),
+                                       pa.array(rd[group[at]]), pa.array(rs[group[at]]), pa.array(rp[group[at]])],
+                                      names=["phrase", "block", "head", "doc", "seq", "place", "ref_doc", "ref_seq", "ref_place"])
+        last, ref_doc, ref_seq, ref_place = (phrase[-1], block[-1], salt[-1]), rd[-1], rs[-1], rp[-1]
 
 
 def _parse(window: int):
-    """Hits in order of (doc, place) -> factors: runs that continue in one reference."""
+    """Hits in order of (doc, seq, place) -> factors: runs that continue in one reference."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run = None  # doc, start, hits, ref_doc, ref_start
+        open_run = None  # doc, seq, start, hits, ref_doc, ref_seq, ref_start
         def out(rows):
-            doc, start, hits, ref, ref_start = (np.array(x, dtype=np.int64) for x in zip(*rows))
-            return pa.record_batch([pa.array(doc), pa.array(start), pa.array(hits + window - 1), pa.array(ref), pa.array(ref_start)],
-                                   names=["doc_id", "start", "length", "ref_doc", "ref_start"])
+            doc, seq, start, hits, ref, ref_seq, ref_start = (np.array(x, dtype=np.int64) for x in zip(*rows))
+            return pa.record_batch([pa.array(x) for x in (doc, seq, start, hits + window - 1, ref, ref_seq, ref_start)],
+                                   names=["doc_id", "seq", "start", "length", "ref_doc", "ref_seq", "ref_start"])
         for b in it:
             if b.num_rows == 0:
                 continue
-            doc, place, ref, at = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            doc, seq, place, ref, ref_seq, at = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
             cut = np.ones(len(doc), dtype=bool)
-            cut[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)
+            cut[1:] = ((doc[1:] != doc[:-1]) | (seq[1:] != seq[:-1]) | (place[1:] != place[:-1] + 1)
+                       | (ref[1:] != ref[:-1]) | (ref_seq[1:] != ref_seq[:-1]) | (at[1:] != at[:-1] + 1))
             starts = np.flatnonzero(cut)
             hits = np.diff(np.append(starts, len(doc)))
-            rows = [list(x) for x in zip(doc[starts], place[starts], hits, ref[starts], at[starts])]
+            rows = [list(x) for x in zip(doc[starts], seq[starts], place[starts], hits, ref[starts], ref_seq[starts], at[starts])]
             if open_run is not None:
-                d, s, k, r, rs = open_run
-                if rows[0][0] == d and rows[0][1] == s + k and rows[0][3] == r and rows[0][4] == rs + k:
-                    rows[0] = [d, s, k + rows[0][2], r, rs]
+                d, q, s, k, r, rq, rs = open_run
+                if rows[0][:3] == [d, q, s + k] and rows[0][4:] == [r, rq, rs + k]:
+                    rows[0] = [d, q, s, k + rows[0][3], r, rq, rs]
                 else:
                     rows.insert(0, open_run)
             open_run = rows.pop()
@@ -224,7 +223,7 @@ def _kept(with_text: bool):
                 kept.append(hashlib.sha256(b" ".join(w for w, g in zip(parts, gone) if not g)).hexdigest())
                 texts.append(cut(text, gone).decode() if with_text else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
-                                   pa.array(texts, pa.string())], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept_text"])
+                                   pa.array(texts, pa.string())], names=["doc_id", "raw", "n_removed", "kept_sha256", "kept_text"])
     return run
 
 
@@ -232,46 +231,58 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     block: int = BLOCK, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(results, factors).
 
-    results: one row per input row: doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless
-    ``with_text``, and where nothing is removed).  factors: doc_id, start, length, ref_doc, ref_start, in words,
-    of the smallest-id document of each word sequence; further copies are removed as a whole.
+    results: one row per input row: doc_id, raw (xxhash64 of its text), n_words, n_removed, kept_sha256 and
+    kept_text (null unless ``with_text``, and where nothing is removed).  factors: doc_id, seq, start, length,
+    ref_doc, ref_seq, ref_start, in words, of the smallest-id document of each word sequence; further copies are
+    removed as a whole.  seq and ref_seq tell the word sequences of one id apart (0 if it has one to parse).
     """
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = written(texts.mapInArrow(_sequences(window, block), "doc_id long, n_words long, sha binary, blocks array<long>"), "rlz-base")
+    texts = texts.withColumn("raw", F.xxhash64("text"))
+    base = written(texts.mapInArrow(_sequences(window, block), "doc_id long, raw long, n_words long, sha binary, blocks array<long>"), "rlz-base")
 
-    reps = (base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep")))
+    reps = (base.where("doc_id is not null").groupBy("sha")
+            .agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.max(F.size("blocks")).alias("n_blocks"))
+            .select("sha", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("lead"),
+                    F.when(F.col("n_blocks") > 0, F.xxhash64("sha")).alias("seq")))
     held = base.where("doc_id is not null and size(blocks) > 0")
     cells = held.select(F.xxhash64("sha").alias("seq"), F.explode("blocks").alias("block")).distinct()
     shared = (cells.groupBy("block").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("k"))
               .where("a <> b").select("block", "k"))
     wanted = cells.join(shared, "block").groupBy("seq").agg(F.collect_list(F.struct("block", "k")).alias("wanted"))
-    parsed = (base.select("doc_id", "sha").distinct().join(reps, "sha").where("doc_id = rep")
-              .select("doc_id", "sha", F.xxhash64("sha").alias("seq")).join(wanted, "seq").drop("seq"))
-    candidates = written(texts.where("text is not null").join(parsed.hint("shuffle_hash"), "doc_id")
-                         .select("doc_id", "text", "sha", "wanted").dropDuplicates(["doc_id", "sha"]), "rlz-texts")
-
-    phrases = candidates.mapInArrow(_phrases(window, block, CROWD), "phrase long, block long, salt int, doc long, place int, more binary")
-    hits = written(phrases.repartition(n, "phrase", "salt").sortWithinPartitions("phrase", "block", "salt", "doc", "place")
-                   .mapInArrow(_index_hits, "phrase long, block long, head boolean, doc long, place int, ref_doc long, ref_place int"),
-                   "rlz-hits")
-    heads = hits.where("head").select("phrase", "block", "doc", "place")
-    first = heads.groupBy("phrase", "block").agg(F.min(F.struct("doc", "place")).alias("f"))
+    several = (reps.where("seq is not null").groupBy("rep").agg(F.min("seq").alias("least"), F.max("seq").alias("most"))
+               .where("least <> most").select(F.col("rep").alias("doc_id"), "least"))  # ids with more than one word sequence
+    # one text of a word sequence leads: its phrases and spans are those of the id's other spacings of these words
+    parsed = (held.select("doc_id", "raw", "sha").distinct().join(reps, "sha").where("doc_id = rep").join(wanted, "seq")
+              .join(several, "doc_id", "left")
+              .select("doc_id", "raw", F.expr("if(seq = coalesce(least, seq), 0L, seq)").alias("seq"), F.expr("raw = lead").alias("leads"), "wanted"))
+    candidates = written(texts.where("text is not null").join(parsed.hint("shuffle_hash"), ["doc_id", "raw"])
+                         .select("doc_id", "raw", "seq", "leads", "text", "wanted").dropDuplicates(["doc_id", "raw"]), "rlz-texts")
+
+    phrases = (candidates.where("leads").select("doc_id", "seq", "text", "wanted")
+               .mapInArrow(_phrases(window, block, CROWD), "phrase long, block long, salt int, doc long, seq long, place int, more binary"))
+    hits = written(phrases.repartition(n, "phrase", "salt").sortWithinPartitions("phrase", "block", "salt", "doc", "seq", "place")
+                   .mapInArrow(_index_hits, "phrase long, block long, head boolean, doc long, seq long, place int,"
+                                            " ref_doc long, ref_seq long, ref_place int"), "rlz-hits")
+    heads = hits.where("head").select("phrase", "block", "doc", "seq", "place")
+    first = heads.groupBy("phrase", "block").agg(F.min(F.struct("doc", "seq", "place")).alias("f"))
     late = (heads.join(first, ["phrase", "block"]).where("doc > f.doc")
-            .select("doc", "place", F.col("f.doc").alias("ref_doc"), F.col("f.place").alias("ref_place")))
-    found = hits.where("not head").select("doc", "place", "ref_doc", "ref_place").unionByName(late)
-    factors = written(found.repartition(n, "doc").sortWithinPartitions("doc", "place")
-                      .mapInArrow(_parse(window), "doc_id long, start long, length long, ref_doc long, ref_start long"), "rlz-factors")
+            .select("doc", "seq", "place", F.col("f.doc").alias("ref_doc"), F.col("f.seq").alias("ref_seq"), F.col("f.place").alias("ref_place")))
+    found = hits.where("not head").select("doc", "seq", "place", "ref_doc", "ref_seq", "ref_place").unionByName(late)
+    factors = written(found.repartition(n, "doc", "seq").sortWithinPartitions("doc", "seq", "place")
+                      .mapInArrow(_parse(window), "doc_id long, seq long, start long, length long, ref_doc long, ref_seq long, ref_start long"),
+                      "rlz-factors")
 
     discard(hits)
-    spans = factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    changed = (candidates.select("doc_id", "sha", "text").join(spans.hint("shuffle_hash"), "doc_id")
-               .select("doc_id", "sha", "text", "spans")
-               .mapInArrow(_kept(with_text), "doc_id long, sha binary, n_removed long, kept_sha256 string, kept_text string"))
+    spans = factors.groupBy("doc_id", "seq").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    changed = (candidates.select("doc_id", "raw", "seq", "text").join(spans.hint("shuffle_hash"), ["doc_id", "seq"])
+               .select("doc_id", "raw", "text", "spans")
+               .mapInArrow(_kept(with_text), "doc_id long, raw long, n_removed long, kept_sha256 string, kept_text string"))
     whole = F.expr(f"doc_id <> rep and n_words >= {window}")
-    results = (base.select("doc_id", "n_words", "sha").join(reps, "sha", "left").join(changed, ["doc_id", "sha"], "left")
-               .select("doc_id", "n_words",
+    results = (base.select("doc_id", "raw", "n_words", "sha").join(reps.select("sha", "rep"), "sha", "left")
+               .join(changed, ["doc_id", "raw"], "left")
+               .select("doc_id", "raw", "n_words",
                        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
                        F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
                        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")))
@@ -280,4 +291,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return substring_dedup(table(spark, sf_dir, "documents"))[0].drop("kept_text")
+    return substring_dedup(table(spark, sf_dir, "documents"))[0].drop("kept_text", "raw")

@@ -129,6 +129,26 @@ def test_substrings_brute_force(spark, odd, monkeypatch, crowd):
         assert factors.where("length < 50 or ref_doc >= doc_id").count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1024, 1])
+def test_substrings_of_several_texts_per_id(spark, monkeypatch, crowd):
+    monkeypatch.setattr(rlz, "CROWD", crowd)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    rows = [(1, a), (1, "lead in " + b), (5, c + " " + a[:400]), (5, b + " clean tail words"), (5, b.replace(" ", "\n") + "  clean tail words"),
+            (5, b + " clean tail words"), (7, "x y z " + c), (7, b[:420] + " " + a), (7, a), (None, a)]
+    rows += [(9, f"{x} " + " ".join(f"only{x}_{i}" for i in range(60)) + " " + t) for x, t in enumerate((a, b, c, a + " end", "none"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out, factors = rlz.substring_dedup(docs, with_text=True)
+    out = out.collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str)
+    assert got == brute_removed(rows)
+    assert {r.kept_text for r in out if r.doc_id == 5 and r.n_words == 123} == {"clean tail words"}
+    # every factor copies its words from one place of one text
+    texts = [(d, t.split()) for d, t in rows if d is not None]
+    for f in factors.collect():
+        spans = lambda doc, at: {tuple(w[at:at + f.length]) for d, w in texts if d == doc and at + f.length <= len(w)}
+        assert spans(f.doc_id, f.start) & spans(f.ref_doc, f.ref_start)
+
+
 def test_cut_text():
     text = b"a b\nc d  e"
     assert rlz.cut(text, np.array([False, True, True, False, False])) == b"a\nd  e"

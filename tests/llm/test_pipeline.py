@@ -57,3 +57,11 @@ def test_mix_positions(spark, monkeypatch):
     assert [r.doc_id for r in rows] != want  # the rows come in another order
     assert sorted(r.mix_position for r in rows) == list(range(len(want)))
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == want
+
+
+def test_substrings_of_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, b), (5, a + " one"), (5, b + " two"), (5, "three"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(map(tuple, cp.substrings(spark, docs, SF).collect()))
+    assert out == [(1, a), (2, b), (5, "one"), (5, "three"), (5, "two")]
