@@ -12,7 +12,9 @@ mean, shares and counts above thresholds) are calibrated to a probability by a
 logistic fit on labelled rows that gave nothing to the dictionaries.
 
 The dictionaries learn from a bounded sample of labelled rows: at most ``TRAIN_ROWS``
-rows and ``TRAIN_BYTES`` bytes a class, chosen by a hash of the id.  The logistic
+rows with words and ``TRAIN_BYTES`` bytes a class, chosen by a hash of the id.  Where the
+chosen texts hold more bytes, each gives at most an equal share (what short texts leave goes
+to the longer ones): runs of its words chosen by their hash.  The logistic
 fit uses at most ``FIT_ROWS`` labelled rows.  Everything else covers all rows and
 whole texts in one pass without a shuffle of texts.
 
@@ -23,13 +25,14 @@ labels (0 if there are none).  Labels of a repeated id count once per row.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mercato.llm.common import batches, table, text_bytes, written
 from mercato.llm.pu_quality import _matrix, _sigmoid, fold
@@ -84,12 +87,12 @@ class Distance:
     """The two dictionaries; gives a text's distance figures."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        marks = telling_prefixes(toxic, ordinary)
+        marks = telling_prefixes(toxic, ordinary) if toxic and ordinary else set()
         samples = []
         for x in toxic:
             hits = [w for w in x.split() if any(w[:k] in marks for k in range(4, min(len(w), 12) + 1))]
             samples += [b" " + b" ".join(hits[i:i + 4]) + b" " for i in range(0, len(hits), 4)]
-        plain = [w for x in ordinary for w in windows(x)][:60_000]
+        plain = [w for x in ordinary for w in windows(x)]
         self.ordinary = _trained(plain, ORDINARY_SIZE, 24)
         self.toxic = _trained(samples, TOXIC_SIZE, 16) if samples else b""
 
@@ -125,14 +128,48 @@ def figure_table(docs: DataFrame, distance: Distance) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, x array<float>")
 
 
+def share_of(sizes: list[int], total: int) -> int:
+    """The largest bound at which texts of these sizes, each cut to it, hold at most ``total`` bytes."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= size
+    return max(sizes, default=0)
+
+
+def portion(data: bytes, most: int, run: int = 8 * WORDS) -> bytes:
+    """At most ``most`` bytes of a text: runs of its words with the smallest hashes, in their order."""
+    if len(data) <= most:
+        return data
+    words = data.split()
+    runs = [b" ".join(words[i:i + run]) for i in range(0, len(words), run)]
+    taken, left = {}, most
+    for i in sorted(range(len(runs)), key=lambda i: hashlib.blake2b(b"%d " % i + runs[i]).digest()):
+        if left <= 0:
+            break
+        taken[i] = runs[i][:left]
+        left -= len(taken[i]) + 1
+    return b"\n".join(taken[i] for i in sorted(taken))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, toxic: int) -> list[bytes]:
-    """Texts of at most TRAIN_ROWS rows and TRAIN_BYTES bytes of a class, by a hash of the id, three of four hashes."""
-    ids = (labels.where(F.col("toxic") == toxic).where("h % 4 <> 0").orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id", "h"))
-    texts = (docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
-             .join(F.broadcast(ids), "doc_id"))  # at most TRAIN_ROWS rows
-    lengths = F.sum(F.octet_length("text")).over(Window.partitionBy().orderBy("h", "doc_id"))
-    rows = texts.withColumn("upto", lengths).where(F.col("upto") <= TRAIN_BYTES).select("text").collect()
-    return [bytes(r.text) for r in rows]
+    """Texts of at most TRAIN_ROWS rows of a class and at most TRAIN_BYTES bytes of them, by a hash of the id, three of four hashes."""
+    ids = labels.where(F.col("toxic") == toxic).where("h % 4 <> 0").select("doc_id", "h")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sizes = texts.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t"))
+    picked = sizes.join(ids, "doc_id").orderBy("h", "doc_id", "t").limit(TRAIN_ROWS).collect()  # ids and sizes of at most TRAIN_ROWS rows
+    most = share_of([r["size"] for r in picked], TRAIN_BYTES)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([portion(x, most) for x in text_bytes(b.column(2))], pa.binary())],
+                                  names=["doc_id", "t", "text"])
+    keys = docs.sparkSession.createDataFrame(sorted({(r.doc_id, r.t) for r in picked}), "doc_id long, t long")
+    chosen = (texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "t"])  # at most TRAIN_ROWS rows
+              .select("doc_id", "t", "text").mapInArrow(cut, "doc_id long, t long, text binary").dropDuplicates(["doc_id", "t"]))
+    found = {(r.doc_id, r.t): bytes(r.text) for r in chosen.collect()}
+    return [found[r.doc_id, r.t] for r in picked]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -101,6 +101,30 @@ def test_toxicity_held_out(spark):
     assert auc > 0.88 and accuracy > 0.93
 
 
+def test_toxicity_sample_keeps_every_text(spark, monkeypatch):
+    """A text larger than the byte bound gives its share; the others stay whole."""
+    monkeypatch.setattr(zstd_toxicity, "TRAIN_BYTES", 3000)
+    rows = [(i, f"text{i} " + "word " * 10) for i in range(12)] + [(50 + i, "long%d " % i + " ".join(f"x{i}_{k}" for k in range(20_000))) for i in range(3)]
+    rows += [(90, "y" * 100_000), (91, None), (92, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 + i) for i, _ in rows], "doc_id long, toxic int, h long").withColumn("h", F.expr("4 * h + 1"))
+    got = zstd_toxicity._sample(docs, labels, 1)
+    assert len(got) == 16 and 2500 < sum(map(len, got)) <= 3000
+    assert {t.encode() for _, t in rows[:12]} <= set(got)
+    monkeypatch.setattr(zstd_toxicity, "TRAIN_ROWS", 5)
+    lost = labels.unionByName(spark.createDataFrame([(1000 + i, 1, 0) for i in range(9)], "doc_id long, toxic int, h long").withColumn("h", F.lit(1).cast("long")))
+    assert len(zstd_toxicity._sample(docs, lost, 1)) == 5  # labels without a text take no place
+    assert zstd_toxicity.share_of([5, 1, 9], 100) == 9 and zstd_toxicity.share_of([5, 1, 9], 9) == 4 and zstd_toxicity.share_of([], 9) == 0
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_toxicity_of_one_class(spark, toxic):
+    docs = spark.createDataFrame([(i, f"dreadful thing number{i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(toxic).alias("toxic"))
+    scores = {r.score for r in zstd_toxicity.toxicity_scores(docs, labels).collect()}
+    assert len(scores) == 1 and abs(scores.pop() - toxic) < 1e-6
+
+
 def test_prior_estimate(spark):
     """The prior of a mixture whose parts are known."""
     rnd = np.random.default_rng(3)
