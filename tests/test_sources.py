@@ -255,3 +255,19 @@ def test_month_end_comparison(spark):
 def test_one_row_per_order(spark):
     orders = Context.from_fixture(spark, SF_SMALL).orders
     assert orders.count() == orders.select("order_id").distinct().count()
+
+
+def test_folder_of_exports_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "ads exports"
+    folder.mkdir()
+    _write(folder, "a [1].csv", "Report\nCampaign,Day,Clicks,Cost (USD)\nA,2024-01-01,1,10\nB,2024-01-02,2,20\n")
+    _write(folder, "b%20.csv", "Cost (EUR);Clicks;Campaign;Impressions\n30;3;C;300\n")
+    _write(folder, "c.csv", "Campaign,Day,Clicks,Cost (USD)\nD,2024-01-04,4,40\n")
+    _write(folder, "empty.csv", "")
+    rows, report, currency = search.read_ads_csv(spark, str(folder))
+    assert (report, currency) == ("campaign", "EUR,USD")
+    got = sorted((r.campaign_name, r.clicks, r.cost, r.impressions) for r in rows.collect())
+    assert got == [("A", 1, 10.0, None), ("B", 2, 20.0, None), ("C", 3, 30.0, 300), ("D", 4, 40.0, None)]
+    _write(folder, "part2.csv", "E,2024-01-05,5,50\n")
+    with pytest.raises(ValueError, match="part2.csv"):
+        search.read_ads_csv(spark, str(folder))
