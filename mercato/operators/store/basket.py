@@ -11,7 +11,9 @@ and, past ``mercato.maxMatrixItems``, the operators fall back to MLlib
 
 The reference keeps the most frequent pairs first and then filters them by a
 minimum support; pairs under that support can never reach the result, so
-restricting to frequent items is exact.  Plain "top-k pairs by count" lists
+restricting to frequent items is exact.  Here all pairs that meet the support
+floor are ranked by lift; ``candidates`` restores the reference's cut to the most
+frequent.  Plain "top-k pairs by count" lists
 use every item when the catalogue fits the bound; otherwise FP-growth mines
 at a threshold that starts at an upper bound of the k-th count and drops until
 at least k pairs are found, which again makes the top-k exact.
@@ -131,6 +133,11 @@ def _top_pairs(items: DataFrame, k: int, n: int) -> DataFrame:
         threshold = max(1, threshold // 4)
 
 
+def _most_frequent(sets: DataFrame, candidates: int | None, *items: str) -> DataFrame:
+    """All item sets, or with ``candidates`` the most frequent only, as the reference does before it ranks by lift."""
+    return sets if candidates is None else sets.orderBy(F.col("count").desc(), *items).limit(candidates)
+
+
 def _rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     # callers pass at most a few hundred rows (already limited): the window is bounded
     return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
@@ -144,14 +151,14 @@ def _default_items(ctx, item: Column | None) -> DataFrame:
         ctx.lines, base_product("product_name"), F.col("product_name").isNotNull()))
 
 
-def basket_pairs(ctx, item: Column | None = None, candidates: int = 200, k: int = 30,
+def basket_pairs(ctx, item: Column | None = None, candidates: int | None = None, k: int = 30,
                  min_lift: float = 1.0, min_multi: int = 10, min_support: float | None = None) -> DataFrame:
     """Pairs of base products bought together: support, confidence, lift (percent, unrounded)."""
     items = _default_items(ctx, item)
     n, multi = _stats(items)
     s = min_support if min_support is not None else (0.003 if n > 1000 else 0.01)
     p = pairs_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
-    top = p.orderBy(F.col("count").desc(), "item_a", "item_b").limit(candidates)
+    top = _most_frequent(p, candidates, "item_a", "item_b")
     nn = F.lit(float(max(n, 1)))
     support = F.col("count") / nn
     lift = support / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
@@ -162,14 +169,14 @@ def basket_pairs(ctx, item: Column | None = None, candidates: int = 200, k: int
     return _rank(out.orderBy(*order).limit(k), order).where(F.lit(multi >= min_multi))
 
 
-def basket_trios(ctx, item: Column | None = None, candidates: int = 50, k: int = 15,
+def basket_trios(ctx, item: Column | None = None, candidates: int | None = None, k: int = 15,
                  min_lift: float = 1.0, min_multi: int = 10) -> DataFrame:
     """Trios bought together: support of at least half the pair minimum, lift vs independent items."""
     items = _default_items(ctx, item)
     n, multi = _stats(items)
     s = (0.003 if n > 1000 else 0.01) * 0.5
     t = trios_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
-    top = t.orderBy(F.col("count").desc(), "item_a", "item_b", "item_c").limit(candidates)
+    top = _most_frequent(t, candidates, "item_a", "item_b", "item_c")
     nn = F.lit(float(max(n, 1)))
     support = F.col("count") / nn
     expected = (F.col("freq_a") / nn) * (F.col("freq_b") / nn) * (F.col("freq_c") / nn)
@@ -188,12 +195,12 @@ def basket_summary(ctx) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("multi_product_pct"))
 
 
-def category_affinity(ctx, candidates: int = 30, k: int = 20, min_multi: int = 5) -> DataFrame:
-    """Most frequent category pairs of an order (every line counts; no name -> placeholder), by lift."""
+def category_affinity(ctx, candidates: int | None = None, k: int = 20, min_multi: int = 5) -> DataFrame:
+    """Category pairs of an order (every line counts; no name -> placeholder), by lift."""
     items = order_items(ctx.lines, category("product_name"))
     n, multi = _stats(items)
-    pairs = _top_pairs(items, candidates, n)
-    top = pairs.orderBy(F.col("count").desc(), "item_a", "item_b").limit(candidates)
+    pairs = pairs_with_freqs(items, 1, n) if candidates is None else _top_pairs(items, candidates, n)
+    top = _most_frequent(pairs, candidates, "item_a", "item_b")
     nn = F.lit(float(max(n, 1)))
     lift = (F.col("count") / nn) / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
     out = top.select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"), "count",

@@ -168,3 +168,17 @@ def test_basket_fallback_paths_agree(spark, ctx):
         for a, b in zip(alt[k], base[k]):
             assert a == pytest.approx(b) if all(isinstance(x, (int, float)) for x in a) else \
                 [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
+
+
+def test_basket_ranks_every_pair(spark):
+    """A pair with the highest lift counts however many pairs are more frequent."""
+    from mercato.operators.store import basket
+    orders = [[f"{x}{i:02d}" for x in "abc"] + [f"hub{j}" for j in range(3)] for i in range(8) for _ in range(3)]
+    orders += [[f"{x}{i} common - T" for i in range(12)] for x in "pq" for _ in range(8)] + [["rare one", "rare two", "rare three"]] * 2
+    lines = spark.createDataFrame([(o, p) for o, items in enumerate(orders) for p in items], "order_id long, product_name string")
+    ctx = Context(spark, lines=lines)
+    item = F.col("product_name")
+    top = basket.basket_pairs(ctx, item=item, k=3).collect()
+    assert {(r.item_a, r.item_b) for r in top} == {("rare one", "rare three"), ("rare one", "rare two"), ("rare three", "rare two")}
+    assert not any("rare" in r.item_a for r in basket.basket_pairs(ctx, item=item, candidates=100).collect())
+    assert [r.item_c for r in basket.basket_trios(ctx, item=item, k=1).collect()] == ["rare two"]
