@@ -91,14 +91,20 @@ def sum0(c) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0))
 
 
-def ratio_metrics(prefix: str = "", spend="cost", value="conversion_value", conv="conversions",
-                  clicks="clicks", impressions="impressions") -> list:
-    """roas, cpa, ctr, cpc, conv_rate, cpm from summed columns (sum/sum, never mean of ratios)."""
-    return [
-        safe_div(value, spend).alias(prefix + "roas"),
-        safe_div(spend, conv).alias(prefix + "cpa"),
-        (safe_div(clicks, impressions) * 100).alias(prefix + "ctr"),
-        safe_div(spend, clicks).alias(prefix + "cpc"),
-        (safe_div(conv, clicks) * 100).alias(prefix + "conv_rate"),
-        (safe_div(spend, impressions) * 1000).alias(prefix + "cpm"),
-    ]
+def weighted_avg(value, weight) -> Column:
+    """Sum of value times weight over the sum of weights, 0 when that is 0."""
+    v, w = col(value), col(weight)
+    return safe_div(F.sum(v * w), F.sum(w))
+
+
+def default_number(c, default: float = 0.0) -> Column:
+    """The column as a double, or ``default`` where it holds no number."""
+    return F.coalesce(col(c).cast("string").try_cast("double"), F.lit(default))
+
+
+def ratio_metrics(only: tuple = ("roas", "cpa", "ctr", "cpc", "conv_rate", "cpm"), spend="cost", value="conversion_value",
+                  conv="conversions", clicks="clicks", impressions="impressions") -> list:
+    """Ratios of summed columns (sum/sum, never mean of ratios), in the order of ``only``."""
+    ratios = {"roas": safe_div(value, spend), "cpa": safe_div(spend, conv), "ctr": safe_div(clicks, impressions) * 100,
+              "cpc": safe_div(spend, clicks), "conv_rate": safe_div(conv, clicks) * 100, "cpm": safe_div(spend, impressions) * 1000}
+    return [ratios[name].alias(name) for name in only]

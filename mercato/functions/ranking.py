@@ -1,222 +1,185 @@
-"""Global order statistics without a single-task window.
+"""Exact order statistics, at every size by the same plan.
 
-``Window.orderBy(...)`` with no partition moves every row into one task; at
-cluster scale that is the bottleneck (or an OOM).  The helpers here compute
-exact global running sums, ranks and quantiles instead by
+Quantiles are selected by histogram refinement, without a global sort and without a task that holds
+all values:
 
-1. range-partitioning on the ordering key (sampled bounds spread a hot value
-   range over tasks; callers make the key unique, so copies never pile up),
-2. a running sum inside each partition (``mapInPandas``; order kept),
-3. a reliable checkpoint that freezes the partition assignment,
-4. adding the totals of all earlier partitions (a table of one row per
-   partition, a proven bound, broadcast back).
+1. copies collapse into one weighted row per distinct value (counted before the shuffle);
+2. the values fall into logarithmic bins, ``floor(sign(v) * ln(1 + |v|) * 2**13)``, which keep their
+   order; a window over the bins (at most about 300,000 for values within six decades, whatever the
+   number of rows) turns their counts into ranks and finds the bins that hold a wanted rank;
+3. only the values of those bins are looked at again, in one window per bin.
 
-Exact quantiles first collapse copies with a map-side-combined count per
-distinct value, so a value repeated a billion times is one weighted row.
+Groups are part of every key, so grouped quantiles take the same three steps together.  Everything is
+one lazy plan of aggregates, joins and windows; nothing is collected or checkpointed.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mercato.session import ensure_checkpoint_dir
+BINS = 1 << 13  # bins per unit of the natural logarithm
 
 
-def _num_parts(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def _bin(value: Column) -> Column:
+    v = value.cast("double")
+    return F.floor(F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * F.lit(float(BINS))).cast("long")
 
 
-def small_rows(df: DataFrame) -> int:
-    """Row bound under which one task may hold the whole input (``mercato.smallPathRows``)."""
-    return int(df.sparkSession.conf.get("mercato.smallPathRows", "1000000"))
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
-def prefix_sums(df: DataFrame, order_by: list, weight: str | None = None,
-                descending: bool = False, out_before: str = "_before", out_through: str = "_through",
-                partitions: int | None = None, rows: int | None = None) -> DataFrame:
-    """Add exact global running sums of ``weight`` (1 per row when None).
+def ranked_values(freq: DataFrame, value: str, count: str, by: list[str], wanted) -> DataFrame:
+    """The values at wanted ranks: ``by``, ``_n``, ``_at`` (a wanted struct), ``_value`` and ``_before``, the rows below it.
 
-    ``order_by`` must identify rows uniquely (ties make the order undefined).
-    ``out_before`` is the sum over all earlier rows, ``out_through`` includes
-    the row itself.  With ``descending`` every key sorts descending.  ``rows``
-    is ``df``'s row count when the caller already knows it.
+    ``freq`` holds one row per group and distinct value.  ``wanted(n)`` is an array column of structs with a field ``rank``
+    (0-based, null where nothing is wanted), given the group's number of rows.
     """
-    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
-    wtype = T.LongType() if weight is None else df.schema[weight].dataType
-    if not isinstance(wtype, (T.LongType, T.DoubleType)):
-        wtype = T.DoubleType()
-    w = (F.lit(1) if weight is None else F.col(weight)).cast(wtype)
-    if (df.count() if rows is None else rows) <= small_rows(df):
-        # checked bound: the whole (small) input fits one task, so an ordered window is cheapest
-        run = F.sum(F.coalesce(w, F.lit(0).cast(wtype))).over(
-            Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-        out = df.withColumn(out_through, run)
-        return out.withColumn(out_before, F.col(out_through) - F.coalesce(w, F.lit(0).cast(wtype)))
-    ensure_checkpoint_dir(df.sparkSession)
-    staged = (df.withColumn("_w", w)
-              .repartitionByRange(partitions or _num_parts(df), *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_part", F.spark_partition_id()))
-    schema = T.StructType(staged.schema.fields + [T.StructField("_run", wtype, False)])
-    is_long = isinstance(wtype, T.LongType)
-
-    def run(batches):
-        carry = {}
-        for pdf in batches:
-            if pdf.empty:
-                pdf["_run"] = pd.Series([], dtype="int64" if is_long else "float64")
-                yield pdf
-                continue
-            part = int(pdf["_part"].iloc[0])
-            vals = pdf["_w"].fillna(0)
-            cs = vals.cumsum() + carry.get(part, 0)
-            carry[part] = cs.iloc[-1]
-            pdf["_run"] = cs.astype("int64" if is_long else "float64")
-            yield pdf
-
-    ran = staged.mapInPandas(run, schema).checkpoint(eager=True)
-    totals = ran.groupBy("_part").agg(F.sum("_w").alias("_tot"))
-    # one row per partition: a proven bound, so the unpartitioned window and the broadcast are safe
-    offsets = totals.select(
-        "_part",
-        F.coalesce(F.sum("_tot").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0).cast(wtype)).alias("_off"))
-    out = ran.join(F.broadcast(offsets), "_part")
-    return (out.withColumn(out_through, F.col("_off") + F.col("_run"))
-            .withColumn(out_before, F.col(out_through) - F.col("_w"))
-            .drop("_w", "_part", "_run", "_off"))
-
-
-def global_row_number(df: DataFrame, order_by: list, out: str = "_rank",
-                      descending: bool = False, rows: int | None = None) -> DataFrame:
-    """1-based row number in the total order of ``order_by`` (unique keys)."""
-    r = prefix_sums(df, order_by, None, descending=descending, out_before="_rb", out_through=out, rows=rows)
-    return r.drop("_rb")
-
-
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None,
-                    prefix: str = "q", rows_at_most: int | None = None) -> DataFrame:
+    binned = freq.withColumn("_bin", _bin(F.col(value)))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum(count).alias("_m"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    run = F.sum("_m").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    placed = bins.select("*", run.alias("_hi"), F.sum("_m").over(group).alias("_n"))
+    low = F.col("_hi") - F.col("_m")
+    hits = F.filter(wanted(F.col("_n")), lambda t: (t["rank"] >= low) & (t["rank"] < F.col("_hi")))
+    found = placed.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bin").alias("_hit"), low.alias("_lo"), "_n",
+                          hits.alias("_hits")).where(F.size("_hits") > 0)
+    on = F.col("_bin") == F.col("_hit")
+    for i, c in enumerate(by):
+        on = on & _same(c, f"_by{i}")
+    inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("_lo") + F.sum(count).over(inside)
+    values = binned.join(found, on).select(*by, "_n", "_hits", F.col(value).alias("_value"), F.col(count).alias("_c"), through.alias("_through"))
+    before = F.col("_through") - F.col("_c")
+    mine = F.filter("_hits", lambda t: (t["rank"] >= before) & (t["rank"] < F.col("_through")))
+    return values.select(*by, "_n", "_value", before.alias("_before"), F.explode(mine).alias("_at"))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None, prefix: str = "q",
+                    weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas / numpy default).
 
-    Returns one row per group of ``by`` with columns ``{prefix}{i}`` for each
-    requested fraction, plus ``_n`` (non-null count).  Null values are
-    ignored.  ``rows_at_most`` is an already known upper bound of ``df``'s
-    row count; within the small bound it replaces the distinct-value count.
+    One row per group of ``by`` (one row without groups) with columns ``{prefix}{i}`` for each requested fraction, plus ``_n``
+    (non-null count).  Null and NaN values are ignored; ``weight`` says how many rows a row stands for.
     """
     by = list(by or [])
-    data = df.where(F.col(value).isNotNull())
-    freq = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    bound = small_rows(df)
-    if (rows_at_most is not None and rows_at_most <= bound) or freq.count() <= bound:
-        # checked bound on distinct values: the exact ``percentile`` buffer (value -> count) stays small
-        pq = F.percentile(F.col(value).cast("double"), [float(q) for q in qs], F.col("_c"))
-        res = freq.groupBy(*by).agg(F.sum("_c").alias("_n"), pq.alias("_qs"))
-        return res.select(*by, "_n", *[F.col("_qs")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
-    ranked = prefix_sums(freq, by + [value], "_c", out_before="_lo", out_through="_hi")
-    stats = ranked.groupBy(*by).agg(F.min("_lo").alias("_start"), F.sum("_c").alias("_n"))
-    # positions (0-based within the group) whose values the interpolation needs
-    targets = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo = F.floor(h).cast("long")
-        hi = F.least(lo + 1, F.col("_n") - 1)
-        targets.append(F.struct(F.lit(i).alias("qi"), h.alias("h"), lo.alias("lo"), hi.alias("hi")))
-    tgt = stats.select(*by, "_start", "_n", F.explode(F.array(*targets)).alias("t")).select(
-        *by, "_start", "_n", "t.*")
-    pos = tgt.select(*by, "_start", "_n", "qi", "h", "lo", F.explode(F.array("lo", "hi")).alias("pos"))
-    cond = [(F.col("_lo") - F.col("_start") <= F.col("pos")) & (F.col("pos") < F.col("_hi") - F.col("_start"))]
-    if by:
-        joined = ranked.join(pos, by).where(cond[0])
-    else:
-        # the target table has 2 rows per quantile: a proven bound for broadcast
-        joined = ranked.join(F.broadcast(pos), cond[0])
-    vals = joined.groupBy(*by, "qi", "h", "lo", "_n").agg(
-        F.min(F.when(F.col("pos") == F.col("lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("pos") != F.col("lo"), F.col(value))).alias("_vhi"))
-    interp = F.col("_vlo") + (F.col("h") - F.col("lo")) * (F.coalesce(F.col("_vhi"), F.col("_vlo")) - F.col("_vlo"))
-    res = vals.select(*by, "_n", "qi", interp.cast("double").alias("_q"))
-    out = res.groupBy(*by, "_n").pivot("qi", list(range(len(qs)))).agg(F.first("_q"))
+    data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    freq = data.groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_c"))
+
+    def wanted(n: Column) -> Column:
+        out = []
+        for i, q in enumerate(qs):
+            h = (n - 1) * F.lit(float(q))
+            low = F.floor(h).cast("long")
+            for top, rank in ((False, low), (True, F.least(low + 1, n - 1))):
+                out.append(F.struct(F.lit(i).alias("i"), F.lit(top).alias("top"), (h - low).alias("share"), rank.alias("rank")))
+        return F.array(*out)
+    picked = ranked_values(freq, value, "_c", by, wanted).select(*by, "_n", F.col("_value").cast("double").alias("_value"), "_at.*")
+    aggs = [F.max("_n").alias("_n")]
     for i in range(len(qs)):
-        out = out.withColumnRenamed(str(i), f"{prefix}{i}")
-    return out
+        low, high = (F.max(F.when((F.col("i") == i) & (F.col("top") == top), F.col("_value"))) for top in (False, True))
+        aggs.append((low + F.max(F.when(F.col("i") == i, F.col("share"))) * (high - low)).alias(f"{prefix}{i}"))
+    return picked.groupBy(*by).agg(*aggs)
 
 
-def quantile_bin(df: DataFrame, value: str, q: int, key: str, out: str,
-                 reverse: bool = False) -> DataFrame:
-    """Equal-frequency bin 1..q of ``value`` (pandas ``qcut`` semantics).
+def _tie_keys(df: DataFrame, value: str, key: str, cuts: DataFrame) -> DataFrame:
+    """(cut, value, key): among the rows of each cut's value the key at 0-based place ``place``, in key order.
+
+    The place is narrowed by the keys' first characters, so that no task sorts all rows of a common value.
+    """
+    rows = df.select(F.col(value).alias("_v"), F.col(key).alias("_k")).join(F.broadcast(cuts), F.col("_v") == F.col("_value"))
+    rows = rows.select("cut", "_v", "_k", "place")
+    for size in (3, 6):
+        head = rows.groupBy("cut", "place", F.substring("_k", 1, size).alias("_h")).agg(F.count(F.lit(1)).alias("_m"))
+        run = F.sum("_m").over(Window.partitionBy("cut").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
+        low = F.col("_run") - F.col("_m")
+        chosen = head.withColumn("_run", run).where((F.col("place") >= low) & (F.col("place") < F.col("_run"))).select(
+            F.col("cut").alias("_cut"), "_h", (F.col("place") - low).alias("_rest"))
+        # one row per cut
+        rows = rows.join(F.broadcast(chosen), (F.col("cut") == F.col("_cut")) & (F.substring("_k", 1, size) == F.col("_h"))).select(
+            "cut", "_v", "_k", F.col("_rest").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("cut").orderBy("_k")) - 1
+    return rows.withColumn("_nth", nth).where(F.col("_nth") == F.col("place")).select("cut", F.col("_v").alias("value"), F.col("_k").alias("key"))
+
+
+def quantile_bin(df: DataFrame, value: str, q: int, key: str, out: str, reverse: bool = False) -> DataFrame:
+    """Equal-frequency bin 1..q of ``value``; see ``quantile_bins``."""
+    return quantile_bins(df, [(value, q, out, reverse)], key)
+
+
+def quantile_bins(df: DataFrame, specs: list[tuple], key: str) -> DataFrame:
+    """Equal-frequency bins 1..q (pandas ``qcut`` semantics) for several columns: specs are (value, q, out, reverse).
 
     Edges are the exact interpolated quantiles, intervals right-closed with the
     minimum in bin 1.  When edges repeat, ``qcut`` cannot label the bins; the
-    fallback bins the 1-based rank instead (ties broken by ``key``), i.e.
-    ``greatest(1, ceil(q * (rank - 1) / (n - 1)))``.  ``reverse`` maps bin b to
-    q + 1 - b (recency scores).
-    """
-    fracs = [i / q for i in range(q + 1)]
-    edges = exact_quantiles(df, value, fracs, prefix="_e")
-    e = [F.col(f"_e{i}") for i in range(q + 1)]
-    distinct = F.lit(True)
-    for i in range(q):
-        distinct = distinct & (e[i] < e[i + 1])
-    # one row (q + 1 edges): the path choice is a tiny driver-side decision
-    row = edges.select(F.array(*e).alias("_edges"), distinct.alias("_ok"), F.col("_n")).first()
-    if row is None:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    if row["_ok"]:
-        inner = F.array(*[F.lit(float(x)) for x in row["_edges"][1:q]])
-        b = F.lit(1) + F.size(F.filter(inner, lambda x: F.col(value) > x))
-        res = df
-    else:
-        n = int(row["_n"])
-        res = global_row_number(df, [value, key], out="_rk")
-        b = F.greatest(F.lit(1), F.ceil(F.lit(q) * (F.col("_rk") - 1) / F.lit(max(n - 1, 1))))
-    b = b.cast("int")
-    if reverse:
-        b = F.lit(q + 1) - b
-    return res.withColumn(out, b).drop("_rk")
-
-
-def quantile_bins(df: DataFrame, specs: list[tuple], key: str, rows_at_most: int | None = None) -> DataFrame:
-    """Several ``quantile_bin`` columns at once: specs are (value, q, out, reverse).
-
-    All edges come from one aggregate when every column's distinct values fit
-    the checked small bound (exact ``percentile`` buffers stay small); the
-    per-column path is used otherwise.  ``rows_at_most`` is an already known
-    upper bound of ``df``'s row count (say the orders behind a per-customer
-    table): within the small bound it replaces the distinct-count check.
+    fallback bins the 1-based rank instead (ties broken by the unique ``key``), i.e.
+    ``greatest(1, ceil(q * (rank - 1) / (n - 1)))``: a row is above bin b when it
+    comes after the row of rank ``1 + floor(b (n - 1) / q)``, and those q - 1 rows
+    are selected like quantiles.  ``reverse`` maps bin b to q + 1 - b (recency scores).
+    Edges of all columns come from one query; they are a few numbers a column.
     """
-    aggs = [F.percentile(F.col(v).cast("double"), [i / q for i in range(q + 1)]).alias(f"_e{j}")
-            for j, (v, q, _, _) in enumerate(specs)]
-    if rows_at_most is not None and rows_at_most <= small_rows(df):
-        row = df.agg(*aggs, F.count(F.lit(1)).alias("_n")).first()  # edges and size in one pass
-    else:
-        counts = df.agg(*[F.count_distinct(v).alias(f"_d{i}") for i, (v, _, _, _) in enumerate(specs)],
-                        F.count(F.lit(1)).alias("_n")).first()
-        if counts is None or any(counts[f"_d{i}"] > small_rows(df) for i in range(len(specs))):
-            for v, q, out, rev in specs:
-                df = quantile_bin(df, v, q, key, out, rev)
-            return df
-        row = df.agg(*aggs, F.lit(counts["_n"]).alias("_n")).first()  # one row of edges per column
-    n = int(row["_n"])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(v).cast("double").alias("_v"))
+                                         for j, (v, *_) in enumerate(specs)])).alias("x")).select("x.*")
+    sizes = sorted({q for _, q, *_ in specs})
+    fracs = sorted({i / q for q in sizes for i in range(q + 1)})
+    rows = {r["_j"]: r for r in exact_quantiles(long, "_v", fracs, by=["_j"], prefix="_e").collect()}  # one row a column
     res = df
     for j, (v, q, out, rev) in enumerate(specs):
-        edges = row[f"_e{j}"]
+        r = rows.get(j)
+        edges = [r[f"_e{fracs.index(i / q)}"] for i in range(q + 1)] if r else None
         if edges is None:
             b = F.lit(None).cast("int")
         elif all(edges[i] < edges[i + 1] for i in range(q)):
-            inner = F.array(*[F.lit(float(x)) for x in edges[1:q]])
-            # the lambda is applied right here, so it sees this iteration's column
-            b = (F.lit(1) + F.size(F.filter(inner, lambda x: F.col(v) > x))).cast("int")
+            b = F.lit(1)
+            for e in edges[1:q]:
+                b = b + (F.col(v) > F.lit(e)).cast("int")
         else:
-            res = global_row_number(res, [v, key], out=f"_rk{j}", rows=n)
-            b = F.greatest(F.lit(1), F.ceil(F.lit(q) * (F.col(f"_rk{j}") - 1) / F.lit(max(n - 1, 1)))).cast("int")
-        if rev:
-            b = F.lit(q + 1) - b
-        res = res.withColumn(out, b)
-    return res.drop(*[f"_rk{j}" for j in range(len(specs))])
+            n = r["_n"]
+            freq = df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_c"))
+            at = ranked_values(freq, v, "_c", [], lambda _, n=n, q=q: F.array(*[
+                F.struct(F.lit(c).alias("cut"), F.lit(c * (n - 1) // q).cast("long").alias("rank")) for c in range(1, q)]))
+            cuts = at.select("_value", F.col("_at.cut").alias("cut"), (F.col("_at.rank") - F.col("_before")).alias("place"))
+            b = F.lit(1)
+            for c in _tie_keys(df, v, key, cuts).collect():  # q - 1 rows
+                x = F.lit(c["value"]).cast(df.schema[v].dataType)
+                b = b + ((F.col(v) > x) | ((F.col(v) == x) & (F.col(key) > F.lit(c["key"])))).cast("int")
+            b = F.when(F.col(v).isNotNull(), b)
+        b = b.cast("int")
+        res = res.withColumn(out, F.lit(q + 1) - b if rev else b)
+    return res
+
+
+def rows_within_share(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(share, rows): how many rows, largest ``value`` first, keep the running sum within ``share`` per cent of the total.
+
+    The running sum is followed over the bins' sums, then over the distinct values of the bin in which a share is
+    passed; among equal values the number of copies that still fit follows from the room that is left.
+    Values are not negative but for the last of the order.
+    """
+    freq = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", _bin(F.col(value)))
+    bins = freq.groupBy("_bin").agg(F.sum("_c").alias("_rows"), F.sum(F.col(value) * F.col("_c")).alias("_sum"))
+    # bins, not rows: see the module's note on their number
+    down = Window.partitionBy(F.lit(0)).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = bins.select("_bin", F.sum("_rows").over(down).alias("_rows_to"), F.sum("_sum").over(down).alias("_sum_to"), "_rows", "_sum",
+                         F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    targets = F.explode(F.array(*[F.lit(s) for s in shares]))
+    aimed = placed.select("*", targets.alias("share")).withColumn("_room", F.col("share") / 100 * F.col("_total"))
+    passed = aimed.where(F.col("_sum_to") > F.col("_room")).groupBy("share").agg(F.max_by(F.struct(
+        "_bin", (F.col("_rows_to") - F.col("_rows")).alias("rows"), (F.col("_sum_to") - F.col("_sum")).alias("sum"), "_total"), "_bin").alias("p"))
+    # one row per share
+    inside = freq.join(F.broadcast(passed.select("share", "p.*").withColumnRenamed("_bin", "_hit")), F.col("_bin") == F.col("_hit"))
+    order = Window.partitionBy("share").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("sum") + F.coalesce(F.sum(F.col(value) * F.col("_c")).over(order), F.lit(0.0))
+    v, total = F.col(value), F.col("_total")
+    # copies k of v that fit: base + k v <= room
+    left = F.col("share") / 100 * total - F.col("_base")
+    fits = F.when(left < 0, 0).when(v <= 0, F.col("_c")).otherwise(F.least(F.col("_c"), F.floor(left / v)))
+    counted = inside.select("share", "rows", "_total", v, "_c", base.alias("_base")).groupBy("share").agg(
+        (F.max("rows") + F.sum(fits)).cast("long").alias("rows"))
+    all_rows = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    wanted = df.sparkSession.createDataFrame([(s,) for s in shares], freq.sparkSession.range(0).select(F.lit(shares[0]).alias("share")).schema)
+    return wanted.join(F.broadcast(counted), "share", "left").select("share", F.coalesce("rows", all_rows).alias("rows"))
 
 
 def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -229,45 +192,14 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.size(F.filter(inner, lambda x: value > x))
 
 
-def position_in_group(df: DataFrame, group: list[str], order_by: list[str],
-                      out: str = "_pos", size_out: str | None = "_gsize") -> DataFrame:
-    """1-based position of each row inside its group, plus the group size.
+def day_gaps(df: DataFrame, group: str, time: str, days) -> DataFrame:
+    """(group, gap): whole days, one or more, between a group's consecutive times.
 
-    A ``Window.partitionBy(group)`` would sort a hot group (say a third of all
-    rows) inside one task.  Here the rank comes from the range-partitioned
-    global order of (group, order_by); the group's first rank and size are a
-    per-group aggregate (partial aggregation) joined back on the group key.
-    """
-    if df.count() <= small_rows(df):
-        # checked bound: no group can exceed what one task holds
-        w = Window.partitionBy(*group).orderBy(*order_by)
-        res = df.withColumn(out, F.row_number().over(w).cast("long"))
-        if size_out:
-            res = res.withColumn(size_out, F.count(F.lit(1)).over(Window.partitionBy(*group)))
-        return res
-    ranked = global_row_number(df, list(group) + list(order_by), out="_grank")
-    stats = ranked.groupBy(*group).agg(F.min("_grank").alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
-    res = ranked.join(stats, list(group)).withColumn(out, F.col("_grank") - F.col("_gstart") + 1)
-    if size_out:
-        res = res.withColumnRenamed("_gn", size_out)
-    else:
-        res = res.drop("_gn")
-    return res.drop("_gstart")
-
-
-def previous_in_group(df: DataFrame, group: list[str], order_by: list[str], value: str,
-                      out: str, rows: int | None = None) -> DataFrame:
-    """``lag(value)`` within ``group`` in ``order_by`` order, skew-safe.
-
-    Rows are numbered globally (range partitioned), then each row is joined to
-    the row numbered one lower with the same group key.  The join key
-    (group, number) is unique, so no hot group lands in a single task.
+    Times of one calendar day are less than a whole day apart, so a day is one row with its first and last time
+    (combined before the shuffle); the window over a group's days is bounded by the calendar.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= small_rows(df):
-        # checked bound: no group can exceed what one task holds
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_by)))
-    ranked = global_row_number(df, list(group) + list(order_by), out="_grank", rows=rows)
-    prev = ranked.select(*[F.col(g) for g in group], (F.col("_grank") + 1).alias("_grank"),
-                         F.col(value).alias(out))
-    return ranked.join(prev, list(group) + ["_grank"], "left").drop("_grank")
+    per_day = df.where(F.col(time).isNotNull()).groupBy(group, F.to_date(time).alias("_day")).agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(group).orderBy("_day"))
+    return (per_day.withColumn("_before", before).where(F.col("_before").isNotNull())
+            .select(group, days("_first", "_before").alias("gap")).where("gap > 0"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.core import nonblank, safe_div, semaphore, sum0, sunday_week_key
+from mercato.functions.core import nonblank, ratio_metrics, safe_div, semaphore, sum0, sunday_week_key, weighted_avg
 
 METRICS = ["impressions", "clicks", "cost", "conversions", "conversion_value", "all_conversions",
            "all_conversion_value"]
@@ -43,13 +43,7 @@ def _sums(df: DataFrame) -> list:
 
 
 def _ratios() -> list:
-    return [
-        (safe_div("clicks", "impressions") * 100).alias("ctr"),
-        safe_div("cost", "clicks").alias("cpc"),
-        safe_div("cost", "conversions").alias("cpa"),
-        safe_div("conversion_value", "cost").alias("roas"),
-        (safe_div("conversions", "clicks") * 100).alias("conv_rate"),
-    ]
+    return ratio_metrics(("ctr", "cpc", "cpa", "roas", "conv_rate"))
 
 
 def first_value(c: str, order: list) -> Column:
@@ -282,7 +276,7 @@ def ga_qs_histogram(ctx, min_rows: int = 5) -> DataFrame:
 def ga_qs_weighted(ctx) -> DataFrame:
     q = _qs_rows(ctx)
     w = F.greatest(F.coalesce(F.col("impressions").cast("double"), F.lit(0.0)), F.lit(1.0))
-    return q.agg(safe_div(F.sum(F.col("quality_score") * w), F.sum(w)).alias("avg_qs_weighted"),
+    return q.agg(weighted_avg("quality_score", w).alias("avg_qs_weighted"),
                  F.count(F.lit(1)).alias("keywords")).where("keywords > 0")
 
 

@@ -59,6 +59,25 @@ def prior_period(ctx, days: int = 14, lag_days: int = 7) -> DataFrame:
                     .alias("change_pct"))
 
 
+def network_breakdown(ctx) -> DataFrame:
+    """Metrics per network with its share of cost, clicks and conversions, and the total of all (network ``total``).
+
+    Networks and total come from one aggregate with grouping sets; its rows, one per network, then share one array,
+    so the shares need no second pass.  ``kind`` tells search partners from search.  Needs exports with a network column.
+    """
+    r = ctx.campaign.where(nonblank("network"))
+    g = r.rollup("network").agg(*ga._sums(r), F.grouping("network").alias("_total"))
+    rows = g.agg(F.collect_list(F.struct("*")).alias("_rows"))
+    total = F.filter("_rows", lambda x: x["_total"] == 1)[0]
+    e = rows.select(F.explode("_rows").alias("_r"), total.alias("_all")).select("_r.*", "_all")
+    name = F.lower("network")
+    kind = (F.when(F.col("_total") == 1, "total").when(name.contains("partner"), "search_partners")
+            .when(name.contains("search"), "search").otherwise("other"))
+    shares = [(safe_div(F.col(m), F.col("_all")[m]) * 100).alias(f"{m}_share_pct") for m in ("cost", "clicks", "conversions")]
+    return e.select(F.coalesce("network", F.lit("total")).alias("network"), kind.alias("kind"), "impressions", "clicks", "cost",
+                    "conversions", "conversion_value", *ga.ratio_metrics(), *shares)
+
+
 def brand_split(ctx, pattern: str = "(?i)brand") -> DataFrame:
     r = ctx.campaign.withColumn("segment", F.when(F.col("campaign_name").rlike(pattern), "branded")
                                 .otherwise("other"))

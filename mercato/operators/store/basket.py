@@ -1,46 +1,24 @@
 """Market-basket operators: item pairs and trios, category and colour affinity, bundles, cross-sell.
 
-Co-occurrence counts come from blocked incidence-matrix products
-(``mercato.functions.cooccurrence``): orders are hashed into blocks and each
-block's order x item matrix is multiplied in one task, so no order emits its
-item pairs and a huge order is a single matrix row.  The item dimension is
-the set of items frequent enough to reach the result (support is
-anti-monotone, so pruning rarer items is exact); its size is counted first
-and, past ``mercato.maxMatrixItems``, the operators fall back to MLlib
-``FPGrowth`` (parallel FP-growth), which is exact at the same threshold.
-
-The reference keeps the most frequent pairs first and then filters them by a
-minimum support; pairs under that support can never reach the result, so
-restricting to frequent items is exact.  Here all pairs that meet the support
-floor are ranked by lift; ``candidates`` restores the reference's cut to the most
-frequent.  Plain "top-k pairs by count" lists
-use every item when the catalogue fits the bound; otherwise FP-growth mines
-at a threshold that starts at an upper bound of the k-th count and drops until
-at least k pairs are found, which again makes the top-k exact.
+Counts come from the sparse accumulators of ``mercato.functions.cooccurrence``, at every size the same
+way.  Where a support floor holds, only items that reach it take part (support is anti-monotone, so
+this is exact); the floor also bounds their number, by the mean basket size over the floor.  Item
+names are joined to the counted hashes at the end.
+
+All pairs that meet the support floor are ranked by lift; ``candidates`` restores the reference's cut to
+the most frequent before the ranking.  Totals of orders enter the plans as scalar subqueries.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.cooccurrence import frequent_items, index_items, pair_counts, trio_counts
+from mercato.functions.cooccurrence import item_counts, pair_counts, transactions, trio_counts
 from mercato.functions.core import line_revenue
 from mercato.functions.text import base_product, category, extract_color
 
 
-def _max_items(spark) -> int:
-    return int(spark.conf.get("mercato.maxMatrixItems", "4096"))
-
-
-def _max_trio_items(spark) -> int:
-    return int(spark.conf.get("mercato.maxMatrixTrioItems", "512"))
-
-
 def order_items(lines: DataFrame, item: Column, where: Column | None = None) -> DataFrame:
     """Distinct (order, item) pairs: the transactions in long form."""
     l = lines.where(F.col("order_id").isNotNull())
@@ -49,88 +27,43 @@ def order_items(lines: DataFrame, item: Column, where: Column | None = None) ->
     return l.select("order_id", item.alias("item")).where(F.col("item").isNotNull()).distinct()
 
 
-def baskets(items: DataFrame) -> DataFrame:
-    """One array of distinct items per order (FP-growth input; bounded by the catalogue size)."""
-    return items.groupBy("order_id").agg(F.collect_list("item").alias("items"))
+def order_totals(items: DataFrame) -> DataFrame:
+    """One row: orders (n), orders of several items (multi)."""
+    per = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_k") >= 2, 1)).alias("multi"))
 
 
-def _stats(items: DataFrame) -> tuple[int, int]:
-    per = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
-    r = per.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_k") >= 2, 1)).alias("multi")).first()
-    return int(r["n"]), int(r["multi"])
-
-
-def _fp_itemsets(items: DataFrame, min_count: int, n: int, max_len: int) -> DataFrame:
-    if n == 0:
-        return items.sparkSession.createDataFrame([], "items array<string>, freq long")
-    support = max(min_count - 0.5, 0.5) / n
-    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=1.0).fit(baskets(items))
-    fis = model.freqItemsets.where(F.size("items") <= max_len)
-    return fis.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= min_count)
-
-
-def _named_pairs(pc: DataFrame, freq: DataFrame) -> DataFrame:
-    a = freq.select(F.col("idx").alias("i"), F.col("item").alias("item_a"), F.col("freq").alias("freq_a"))
-    b = freq.select(F.col("idx").alias("j"), F.col("item").alias("item_b"), F.col("freq").alias("freq_b"))
-    # the item tables hold at most ``maxMatrixItems`` rows (checked): broadcast is bounded
-    return (pc.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
-            .select("item_a", "item_b", "count", "freq_a", "freq_b"))
-
-
-def pairs_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
-    """(item_a < item_b, count, freq_a, freq_b) for pairs of items present in >= min_count orders."""
-    freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
-    if freq.count() <= _max_items(items.sparkSession):
-        freq = index_items(freq).persist(StorageLevel.MEMORY_AND_DISK)
-        return _named_pairs(pair_counts(items, freq, n), freq)
-    fis = _fp_itemsets(items, min_count, n, 2)
-    single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
-    p = fis.where(F.size("items") == 2).select(
-        F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("freq").alias("count"))
-    p = p.join(single.withColumnRenamed("_i", "item_a").withColumnRenamed("_f", "freq_a"), "item_a")
-    return p.join(single.withColumnRenamed("_i", "item_b").withColumnRenamed("_f", "freq_b"), "item_b")
-
-
-def trios_with_freqs(items: DataFrame, min_count: int, n: int) -> DataFrame:
-    """(item_a < item_b < item_c, count, freq_a, freq_b, freq_c) over items in >= min_count orders."""
-    freq = frequent_items(items, min_count).persist(StorageLevel.MEMORY_AND_DISK)
-    if freq.count() <= _max_trio_items(items.sparkSession):
-        freq = index_items(freq).persist(StorageLevel.MEMORY_AND_DISK)
-        tc = trio_counts(items, freq, n)
-        for col, name in (("i", "a"), ("j", "b"), ("k", "c")):
-            t = freq.select(F.col("idx").alias(col), F.col("item").alias(f"item_{name}"),
-                            F.col("freq").alias(f"freq_{name}"))
-            tc = tc.join(F.broadcast(t), col)
-        return tc.select("item_a", "item_b", "item_c", "count", "freq_a", "freq_b", "freq_c")
-    fis = _fp_itemsets(items, min_count, n, 3)
-    single = fis.where(F.size("items") == 1).select(F.col("items")[0].alias("_i"), F.col("freq").alias("_f"))
-    t = fis.where(F.size("items") == 3).select(
-        F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), F.col("items")[2].alias("item_c"),
-        F.col("freq").alias("count"))
-    for c in ("a", "b", "c"):
-        t = t.join(single.withColumnRenamed("_i", f"item_{c}").withColumnRenamed("_f", f"freq_{c}"), f"item_{c}")
-    return t
-
-
-def _top_pairs(items: DataFrame, k: int, n: int) -> DataFrame:
-    """All pairs whose count is at least the k-th largest pair count (plus item frequencies)."""
-    spark = items.sparkSession
-    freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
-    d = freq.count()
-    if d <= _max_items(spark):
-        return pairs_with_freqs(items, 1, n)
-    items = items.persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold tried
-    # the k-th pair count is at most the m-th largest item frequency, m(m-1)/2 >= k
-    m = max(2, math.ceil((1 + math.sqrt(1 + 8 * k)) / 2))
-    top = freq.orderBy(F.col("c").desc()).limit(m).collect()
-    threshold = int(top[-1]["c"]) if len(top) >= 2 else 1
-    while True:
-        pairs = pairs_with_freqs(items, threshold, n).persist(StorageLevel.MEMORY_AND_DISK)
-        found = pairs.count()
-        if threshold <= 1 or found >= k:
-            return pairs
-        pairs.unpersist()
-        threshold = max(1, threshold // 4)
+def _named(sets: DataFrame, freq: DataFrame, *sides: str) -> DataFrame:
+    """Item names and frequencies of counted hash sets, names in ascending order within a set."""
+    for s in sides:
+        sets = sets.join(freq.select(F.col("h").alias(s), F.struct("item", "freq").alias(f"_{s}")), s)
+    return (sets.withColumn("_all", F.array_sort(F.array(*(f"_{s}" for s in sides))))
+            .select(*(F.col("_all")[i]["item"].alias(f"item_{s}") for i, s in enumerate(sides)), "count",
+                    *(F.col("_all")[i]["freq"].alias(f"freq_{s}") for i, s in enumerate(sides))))
+
+
+def _frequent(items: DataFrame, floor: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Transactions and frequencies of the items that occur in ``floor`` orders or more (all items without a floor)."""
+    freq = item_counts(items)
+    rows = transactions(items)
+    if floor is None:
+        return rows, freq
+    freq = freq.where(F.col("freq") >= floor)
+    return rows.join(freq.select("h"), "h", "left_semi"), freq
+
+
+def pairs_with_freqs(items: DataFrame, floor: Column | None = None) -> DataFrame:
+    """(item_a < item_b, count, freq_a, freq_b) of the pairs that occur in ``floor`` orders or more."""
+    rows, freq = _frequent(items, floor)
+    counts = pair_counts(rows)
+    return _named(counts if floor is None else counts.where(F.col("count") >= floor), freq, "a", "b")
+
+
+def trios_with_freqs(items: DataFrame, floor: Column) -> DataFrame:
+    """(item_a < item_b < item_c, count, freq_a, freq_b, freq_c) of the trios in ``floor`` orders or more."""
+    rows, freq = _frequent(items, floor)
+    counts = trio_counts(rows, pair_counts(rows).where(F.col("count") >= floor))
+    return _named(counts.where(F.col("count") >= floor), freq, "a", "b", "c")
 
 
 def _most_frequent(sets: DataFrame, candidates: int | None, *items: str) -> DataFrame:
@@ -151,39 +84,53 @@ def _default_items(ctx, item: Column | None) -> DataFrame:
         ctx.lines, base_product("product_name"), F.col("product_name").isNotNull()))
 
 
-def basket_pairs(ctx, item: Column | None = None, candidates: int | None = None, k: int = 30,
-                 min_lift: float = 1.0, min_multi: int = 10, min_support: float | None = None) -> DataFrame:
-    """Pairs of base products bought together: support, confidence, lift (percent, unrounded)."""
+def _support(n: Column, given: float | None = None, share: float = 1.0) -> Column:
+    """The least support of a pair: 0.3 percent of many orders, 1 percent of few."""
+    return F.lit(given) if given is not None else F.when(n > 1000, F.lit(0.003)).otherwise(F.lit(0.01)) * share
+
+
+def lifted_pairs(ctx, item: Column | None = None, candidates: int | None = None, min_lift: float = 1.0,
+                 min_multi: int = 10, min_support: float | None = None) -> DataFrame:
+    """All pairs of base products above the support floor and the least lift, with support, confidence and lift."""
     items = _default_items(ctx, item)
-    n, multi = _stats(items)
-    s = min_support if min_support is not None else (0.003 if n > 1000 else 0.01)
-    p = pairs_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
+    total = order_totals(items)
+    n, multi = total.select("n").scalar(), total.select("multi").scalar()
+    s = _support(n, min_support)
+    p = pairs_with_freqs(items, F.greatest(F.lit(1), F.floor(s * n))).where(F.col("count") / n >= s)
     top = _most_frequent(p, candidates, "item_a", "item_b")
-    nn = F.lit(float(max(n, 1)))
+    nn = F.greatest(n, F.lit(1)).cast("double")
     support = F.col("count") / nn
     lift = support / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
     conf = F.greatest(F.col("count") / F.col("freq_a"), F.col("count") / F.col("freq_b"))
-    out = top.select("item_a", "item_b", "count", (support * 100).alias("support"),
-                     (conf * 100).alias("confidence"), lift.alias("lift")).where(F.col("lift") > min_lift)
+    return (top.select("item_a", "item_b", "count", (support * 100).alias("support"),
+                       (conf * 100).alias("confidence"), lift.alias("lift"))
+            .where((F.col("lift") > min_lift) & (multi >= min_multi)))
+
+
+def basket_pairs(ctx, item: Column | None = None, candidates: int | None = None, k: int = 30,
+                 min_lift: float = 1.0, min_multi: int = 10, min_support: float | None = None) -> DataFrame:
+    """Pairs of base products bought together: support, confidence, lift (percent, unrounded)."""
+    out = lifted_pairs(ctx, item, candidates, min_lift, min_multi, min_support)
     order = [F.round("lift", 2).desc(), F.col("count").desc(), "item_a", "item_b"]
-    return _rank(out.orderBy(*order).limit(k), order).where(F.lit(multi >= min_multi))
+    return _rank(out.orderBy(*order).limit(k), order)
 
 
 def basket_trios(ctx, item: Column | None = None, candidates: int | None = None, k: int = 15,
                  min_lift: float = 1.0, min_multi: int = 10) -> DataFrame:
     """Trios bought together: support of at least half the pair minimum, lift vs independent items."""
     items = _default_items(ctx, item)
-    n, multi = _stats(items)
-    s = (0.003 if n > 1000 else 0.01) * 0.5
-    t = trios_with_freqs(items, max(1, math.floor(s * n)), n).where(F.col("count") / F.lit(n) >= s)
+    total = order_totals(items)
+    n, multi = total.select("n").scalar(), total.select("multi").scalar()
+    s = _support(n, share=0.5)
+    t = trios_with_freqs(items, F.greatest(F.lit(1), F.floor(s * n))).where(F.col("count") / n >= s)
     top = _most_frequent(t, candidates, "item_a", "item_b", "item_c")
-    nn = F.lit(float(max(n, 1)))
+    nn = F.greatest(n, F.lit(1)).cast("double")
     support = F.col("count") / nn
     expected = (F.col("freq_a") / nn) * (F.col("freq_b") / nn) * (F.col("freq_c") / nn)
     out = top.select("item_a", "item_b", "item_c", "count", (support * 100).alias("support"),
-                     (support / expected).alias("lift")).where(F.col("lift") > min_lift)
+                     (support / expected).alias("lift")).where((F.col("lift") > min_lift) & (multi >= min_multi))
     order = [F.round("lift", 2).desc(), F.col("count").desc(), "item_a", "item_b", "item_c"]
-    return _rank(out.orderBy(*order).limit(k), order).where(F.lit(multi >= min_multi))
+    return _rank(out.orderBy(*order).limit(k), order)
 
 
 def basket_summary(ctx) -> DataFrame:
@@ -198,26 +145,29 @@ def basket_summary(ctx) -> DataFrame:
 def category_affinity(ctx, candidates: int | None = None, k: int = 20, min_multi: int = 5) -> DataFrame:
     """Category pairs of an order (every line counts; no name -> placeholder), by lift."""
     items = order_items(ctx.lines, category("product_name"))
-    n, multi = _stats(items)
-    pairs = pairs_with_freqs(items, 1, n) if candidates is None else _top_pairs(items, candidates, n)
-    top = _most_frequent(pairs, candidates, "item_a", "item_b")
-    nn = F.lit(float(max(n, 1)))
+    total = order_totals(items)
+    n, multi = total.select("n").scalar(), total.select("multi").scalar()
+    top = _most_frequent(pairs_with_freqs(items), candidates, "item_a", "item_b")
+    nn = F.greatest(n, F.lit(1)).cast("double")
     lift = (F.col("count") / nn) / ((F.col("freq_a") / nn) * (F.col("freq_b") / nn))
     out = top.select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"), "count",
-                     (F.col("count") / nn * 100).alias("support"), lift.alias("lift"))
+                     (F.col("count") / nn * 100).alias("support"), lift.alias("lift")).where(multi >= min_multi)
     order = [F.round("lift", 2).desc(), F.col("count").desc(), "category_a", "category_b"]
-    return _rank(out.orderBy(*order).limit(k), order).where(F.lit(multi >= min_multi))
+    return _rank(out.orderBy(*order).limit(k), order)
+
+
+def top_pairs(items: DataFrame, k: int) -> DataFrame:
+    """The k most frequent pairs."""
+    return pairs_with_freqs(items).orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
 
 
 def color_pairs(ctx, k: int = 15, min_lines: int = 50, min_multi: int = 5) -> DataFrame:
     color = extract_color("product_name")
     l = ctx.lines.where(F.col("product_name").isNotNull())
-    n_lines = l.where(color.isNotNull()).agg(F.count(F.lit(1))).first()[0]
+    n_lines = l.where(color.isNotNull()).agg(F.count(F.lit(1))).scalar()
     items = order_items(l, color)
-    n, multi = _stats(items)
-    if n_lines < min_lines or multi < min_multi:
-        return ctx.spark.createDataFrame([], "color_a string, color_b string, count long")
-    return (_top_pairs(items, k, n).orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
+    multi = order_totals(items).select("multi").scalar()
+    return (top_pairs(items, k).where((n_lines >= min_lines) & (multi >= min_multi))
             .select(F.col("item_a").alias("color_a"), F.col("item_b").alias("color_b"), "count"))
 
 
@@ -237,15 +187,16 @@ def bundles(ctx, pairs: int = 15, discounts: tuple = (0.10, 0.15)) -> DataFrame:
 
 
 def cross_sell(ctx, products: int = 20, per_product: int = 3) -> DataFrame:
-    """For the top base products by revenue, the best partners from the basket pairs (by lift)."""
-    p = basket_pairs(ctx)
-    recs = p.select(F.col("item_a").alias("product"), F.col("item_b").alias("recommended"), "lift", "support",
-                    "rank").unionByName(
-        p.select(F.col("item_b").alias("product"), F.col("item_a").alias("recommended"), "lift", "support", "rank"))
+    """For the top base products by revenue, the best partners by lift among all pairs above the support floor."""
+    p = lifted_pairs(ctx).select("item_a", "item_b", "lift", "support", "count")
     rev = (ctx.lines.where(F.col("product_name").isNotNull())
            .groupBy(base_product("product_name").alias("product")).agg(F.sum(line_revenue()).alias("_rev"))
-           .orderBy(F.col("_rev").desc(), "product").limit(products))
-    j = recs.join(F.broadcast(rev.select("product")), "product")  # at most ``products`` rows
-    w = Window.partitionBy("product").orderBy(F.round("lift", 2).desc(), "rank")
+           .orderBy(F.col("_rev").desc(), "product").limit(products).select("product"))
+    sides = F.explode(F.array(F.struct(F.col("item_a").alias("product"), F.col("item_b").alias("recommended")),
+                              F.struct(F.col("item_b").alias("product"), F.col("item_a").alias("recommended"))))
+    recs = p.select(sides.alias("r"), "lift", "support", "count").select("r.*", "lift", "support", "count")
+    j = recs.join(F.broadcast(rev), "product")  # at most ``products`` rows
+    # a product has at most as many partners as items reach the support floor
+    w = Window.partitionBy("product").orderBy(F.round("lift", 2).desc(), F.col("count").desc(), "recommended")
     return j.withColumn("rec_rank", F.row_number().over(w)).where(F.col("rec_rank") <= per_product).select(
         "product", "recommended", "lift", "support", "rec_rank")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.core import month_key, month_start, months_between_periods, nonblank, safe_div, whole_days
-from mercato.functions.ranking import (exact_quantiles, position_in_group, previous_in_group,
-                                       quantile_bin, quantile_bins)
+from mercato.functions.lloyd import centres, nearest, on_grid
+from mercato.functions.ranking import day_gaps, exact_quantiles, quantile_bin, quantile_bins
 from mercato.operators.store.orders import customer_orders
 
 # Segment and tier labels of the store report.
@@ -46,7 +46,7 @@ def rfm_table(ctx, min_orders: int = 50) -> DataFrame:
                                                    ("recency_score", "frequency_score", "monetary_score")],
                                             F.lit(None).cast("string").alias("segment"))
     c = quantile_bins(c, [("recency", 5, "recency_score", True), ("frequency", 5, "frequency_score", False),
-                          ("monetary", 5, "monetary_score", False)], key="email", rows_at_most=n_orders)
+                          ("monetary", 5, "monetary_score", False)], key="email")
     return c.withColumn("segment", _segment(F.col("recency_score"), F.col("frequency_score"),
                                             F.col("monetary_score")))
 
@@ -107,7 +107,6 @@ def _cohort_counts(ctx) -> DataFrame:
     o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull())
     cm = o.select("email", month_start("date").alias("_m")).distinct()
     # one row per customer-month: the calendar bounds each customer's window partition
-    from pyspark.sql import Window
     j = cm.withColumn("_cohort", F.min("_m").over(Window.partitionBy("email")))
     return (j.groupBy("_cohort", months_between_periods("_m", "_cohort").alias("months_since"))
             .agg(F.count(F.lit(1)).alias("customers")))
@@ -158,25 +157,35 @@ def purchase_gaps(ctx) -> DataFrame:
     Equal timestamps give 0-day gaps that are dropped, so the gaps over
     distinct (customer, timestamp) pairs are the same set.
     """
-    d = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull()).select("email", "date").distinct()
-    n = d.count()  # bounds the gaps as well
-    g = previous_in_group(d, ["email"], ["date"], "date", "_prev", rows=n)
-    gaps = g.where(F.col("_prev").isNotNull()).select(whole_days("date", "_prev").alias("gap")).where("gap > 0")
-    q = exact_quantiles(gaps, "gap", [0.5, 0.25, 0.75], prefix="q", rows_at_most=n)
+    gaps = day_gaps(ctx.orders.where(F.col("email").isNotNull()), "email", "date", whole_days)
+    q = exact_quantiles(gaps, "gap", [0.5, 0.25, 0.75], prefix="q")
     mean = gaps.agg(F.avg("gap")).scalar()
     return q.select(F.col("q0").alias("median_days"), mean.alias("mean_days"),
                     F.col("q1").alias("p25_days"), F.col("q2").alias("p75_days"))
 
 
 def _upgrades(ctx) -> DataFrame:
-    o = customer_orders(ctx.orders)
-    p = position_in_group(o.select("email", "date", "order_id", "total"), ["email"], ["date", "order_id"],
-                          out="_pos", size_out="_n")
-    p = p.where(F.col("_n") >= 3)
-    half = F.floor(F.col("_n") / 2)
-    u = p.groupBy("email").agg(
-        F.avg(F.when(F.col("_pos") <= half, F.col("total"))).alias("first_half_aov"),
-        F.avg(F.when(F.col("_pos") > half, F.col("total"))).alias("second_half_aov"))
+    """First-half and second-half mean ticket of customers with three orders or more (orders by date, then id).
+
+    A customer's days are counted before the shuffle and numbered by a window bounded by the calendar; single orders
+    are numbered only within the day that the middle falls into.
+    """
+    o = customer_orders(ctx.orders).select("email", "date", "order_id", "total", F.to_date("date").alias("_day"))
+    days = o.groupBy("email", "_day").agg(F.count(F.lit(1)).alias("_k"), F.sum("total").alias("_s"))
+    run = F.sum("_k").over(Window.partitionBy("email").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.select("*", run.alias("_to"), F.sum("_k").over(Window.partitionBy("email")).alias("_n")).where(F.col("_n") >= 3)
+    early = F.greatest(F.lit(0), F.least(F.col("_k"), F.floor(F.col("_n") / 2) - (F.col("_to") - F.col("_k"))))
+    days = days.withColumn("_early", early)
+    split = days.where("_early > 0 and _early < _k").select("email", "_day", "_early")  # at most one day a customer
+    nth = F.row_number().over(Window.partitionBy("email", "_day").orderBy("date", "order_id"))
+    within = o.join(split, ["email", "_day"]).select("email", "total", (nth <= F.col("_early")).alias("_first"))
+    halves = days.where("_early = 0 or _early = _k").select("email", "_k", "_s", (F.col("_early") > 0).alias("_first")).unionByName(
+        within.select("email", F.lit(1).cast("long").alias("_k"), F.col("total").alias("_s"), "_first"))
+
+    def mean(first: bool):
+        mine = F.col("_first") == first
+        return F.sum(F.when(mine, F.col("_s"))) / F.sum(F.when(mine, F.col("_k")))
+    u = halves.groupBy("email").agg(mean(True).alias("first_half_aov"), mean(False).alias("second_half_aov"))
     u = u.where(F.col("first_half_aov") > 0)
     return u.withColumn("change_pct", (F.col("second_half_aov") - F.col("first_half_aov"))
                         / F.col("first_half_aov") * 100)
@@ -267,47 +276,38 @@ def churn_products(ctx, k: int = 10) -> DataFrame:
             .orderBy(F.col("count").desc(), "product_name").limit(k))
 
 
-def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20, seed: int = 42) -> DataFrame:
-    """k-means (MLlib) on min-max scaled spend, orders, AOV and recency; profile per cluster."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+FEATURES = ["_f0", "_f1", "_f2", "_f3"]
 
-    o = customer_orders(ctx.orders)
-    max_date = o.agg(F.max("date")).scalar()
-    c = o.groupBy("email").agg(F.sum("total").alias("total_spend"),
-                               F.count("order_id").alias("order_count"),
-                               F.avg("total").alias("aov"), F.max("date").alias("_last"))
-    c = c.withColumn("days_since_last", whole_days(max_date, "_last")).drop("_last")
-    feats = ["total_spend", "order_count", "aov", "days_since_last"]
-    stats = c.agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"min_{f}") for f in feats],
-                  *[F.max(f).alias(f"max_{f}") for f in feats]).first()
-    n = stats["n"]
-    if n < min_customers:
-        return c.sparkSession.createDataFrame(
-            [], "cluster int, size long, pct double, avg_spend double, avg_orders double, avg_aov double, "
-                "avg_recency double, label string")
-    scaled = []
-    for f in feats:
-        lo, hi = float(stats[f"min_{f}"]), float(stats[f"max_{f}"])
-        rng = hi - lo if hi - lo != 0 else 1.0
-        scaled.append(((F.col(f) - F.lit(lo)) / F.lit(rng)).alias(f"_s_{f}"))
-    # Lloyd iterations re-read the features every pass: one persisted copy per context (the result
-    # stays lazy over it, so it lives as long as the context's other tables)
-    x = ctx.derived("niche_cluster_features", lambda: VectorAssembler(
-        inputCols=[f"_s_{f}" for f in feats], outputCol="features").transform(c.select("*", *scaled)))
+
+def customer_features(ctx) -> DataFrame:
+    """Spend, orders, AOV and recency per customer, and the four on the 0..1 grid (min-max over all customers)."""
+    def build():
+        o = customer_orders(ctx.orders)
+        max_date = o.agg(F.max("date")).scalar()
+        c = o.groupBy("email").agg(F.sum("total").alias("total_spend"), F.count("order_id").alias("order_count"),
+                                   F.avg("total").alias("aov"), F.max("date").alias("_last"))
+        c = c.withColumn("days_since_last", whole_days(max_date, "_last")).drop("_last")
+        names = ["total_spend", "order_count", "aov", "days_since_last"]
+        ends = c.agg(F.struct(*[F.struct(F.min(f).alias("low"), F.max(f).alias("high")).alias(f) for f in names])).scalar()
+        return c.select("*", *[on_grid(F.col(f), ends[f]["low"], ends[f]["high"]).alias(x) for f, x in zip(names, FEATURES)])
+    # every round reads the features again: one copy per context
+    return ctx.derived("customer_features", build)
+
+
+def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20) -> DataFrame:
+    """k-means on min-max scaled spend, orders, AOV and recency; profile per cluster (clusters without customers left out)."""
+    x = customer_features(ctx)
+    n = x.count()
     k = max(2, min(max_k, n // 5))
-    model = KMeans(k=k, seed=seed, maxIter=50, tol=1e-6, featuresCol="features",
-                   predictionCol="cluster").fit(x)
-    pred = model.transform(x)
-    prof = pred.groupBy("cluster").agg(
+    found = centres(x, "email", FEATURES, [k])[0] if n >= min_customers else [[0.0] * len(FEATURES)] * 2
+    prof = x.groupBy(nearest(FEATURES, found).alias("cluster")).agg(
         F.count(F.lit(1)).alias("size"), F.avg("total_spend").alias("avg_spend"),
         F.avg("order_count").alias("avg_orders"), F.avg("aov").alias("avg_aov"),
         F.avg("days_since_last").alias("avg_recency"))
-    # k <= 4 profile rows: the ranking window is bounded
-    from pyspark.sql import Window
+    # k profile rows: the ranking window is bounded
     rank = F.row_number().over(Window.orderBy(F.col("avg_spend").desc(), "cluster"))
     labels = F.array(*[F.lit(x) for x in CLUSTER_LABELS])
     return prof.select(
-        F.col("cluster").cast("int").alias("cluster"), "size", (F.col("size") * 100.0 / F.lit(n)).alias("pct"),
-        "avg_spend", "avg_orders", "avg_aov", "avg_recency",
-        F.coalesce(F.element_at(labels, rank), F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("label"))
+        "cluster", "size", (F.col("size") * 100.0 / F.lit(max(n, 1))).alias("pct"), "avg_spend", "avg_orders", "avg_aov", "avg_recency",
+        F.coalesce(F.try_element_at(labels, rank), F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("label")
+    ).where(F.lit(n >= min_customers))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.core import line_revenue, month_key, month_start, nonblank, safe_div, whole_days
-from mercato.functions.ranking import exact_quantiles, prefix_sums, previous_in_group
+from mercato.functions.lloyd import GRID, centres, distances
+from mercato.functions.ranking import day_gaps, exact_quantiles, rows_within_share
 from mercato.functions.text import category, variant_base
 from mercato.operators.store import customer as cu
 
@@ -17,23 +18,15 @@ GAP_SEGMENTS = [(30, 'frequent'), (90, 'occasional')]  # median gap < 30, < 90,
 def pareto_cutoffs(ctx, shares: tuple = (70, 80, 90)) -> DataFrame:
     """Products needed to reach 70 / 80 / 90 % of revenue."""
     l = ctx.lines.where(F.col("product_name").isNotNull())
-    p = l.groupBy("product_name").agg(F.sum(line_revenue()).alias("revenue")).withColumn("_neg", -F.col("revenue"))
-    total = p.agg(F.sum("revenue")).scalar()
+    p = l.groupBy("product_name").agg(F.sum(line_revenue()).alias("revenue"))
     n = p.agg(F.count(F.lit(1))).scalar()
-    r = prefix_sums(p, ["_neg", "product_name"], "revenue", out_through="_cum").select(
-        (F.col("_cum") / total * 100).alias("cum"))
-    counts = r.agg(*[F.count(F.when(F.col("cum") <= s, 1)).alias(f"s{s}") for s in shares])
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"s{s}").alias("_c"))
-                                              for s in shares])).alias("x")).select("x.*")
-    need = F.least(F.col("_c") + 1, n)
-    return rows.select("share", need.alias("products_needed"), (need * 100.0 / n).alias("pct_products"))
+    need = F.least(F.col("rows") + 1, n)
+    return rows_within_share(p, "revenue", list(shares)).select("share", need.alias("products_needed"), (need * 100.0 / n).alias("pct_products"))
 
 
 def gap_segments(ctx) -> DataFrame:
     """Customers by their median whole-day gap between orders: frequent / occasional / sporadic."""
-    d = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull()).select("email", "date").distinct()
-    g = previous_in_group(d, ["email"], ["date"], "date", "_prev").where(F.col("_prev").isNotNull())
-    gaps = g.select("email", whole_days("date", "_prev").alias("gap")).where("gap > 0")
+    gaps = day_gaps(ctx.orders.where(F.col("email").isNotNull()), "email", "date", whole_days)
     med = exact_quantiles(gaps, "gap", [0.5], by=["email"], prefix="m")
     seg = F.when(F.col("m0") < GAP_SEGMENTS[0][0], GAP_SEGMENTS[0][1]).when(
         F.col("m0") < GAP_SEGMENTS[1][0], GAP_SEGMENTS[1][1]).otherwise("sporadic")
@@ -191,11 +184,9 @@ def high_aov_low_volume(ctx) -> DataFrame:
 def size_pairs(ctx, k: int = 15) -> DataFrame:
     """Sizes bought together in one order (top pairs by orders)."""
     from mercato.functions.text import extract_size
-    from mercato.operators.store.basket import _stats, _top_pairs, order_items
+    from mercato.operators.store.basket import order_items, top_pairs
     items = order_items(ctx.lines.where(F.col("product_name").isNotNull()), extract_size("product_name", "sku"))
-    n, _ = _stats(items)
-    return (_top_pairs(items, k, n).orderBy(F.col("count").desc(), "item_a", "item_b").limit(k)
-            .select(F.col("item_a").alias("size_a"), F.col("item_b").alias("size_b"), "count"))
+    return (top_pairs(items, k).select(F.col("item_a").alias("size_a"), F.col("item_b").alias("size_b"), "count"))
 
 
 def price_elasticity(ctx, min_prices: int = 3) -> DataFrame:
@@ -216,19 +207,29 @@ def price_elasticity(ctx, min_prices: int = 3) -> DataFrame:
     return g.join(prices, "product_name").where(F.col("prices") >= min_prices)
 
 
-def kmeans_elbow(ctx, ks: tuple = (3, 4, 5), seed: int = 42) -> DataFrame:
+def kmeans_elbow(ctx, ks: tuple = (3, 4, 5)) -> DataFrame:
     """Within-cluster sum of squares of k-means on the scaled customer features for several k."""
-    from pyspark import StorageLevel
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    o = ctx.orders.where(F.col("email").isNotNull() & F.col("date").isNotNull() & (F.col("total") > 0))
-    mx = o.agg(F.max("date")).scalar()
-    c = o.groupBy("email").agg(F.sum("total").alias("s"), F.count("order_id").alias("n"),
-                               F.avg("total").alias("a"), whole_days(mx, F.max("date")).alias("r"))
-    st = c.agg(*[F.min(f).alias(f"lo_{f}") for f in "snar"], *[F.max(f).alias(f"hi_{f}") for f in "snar"]).first()
-    scaled = [((F.col(f) - st[f"lo_{f}"]) / ((st[f"hi_{f}"] - st[f"lo_{f}"]) or 1.0)).alias(f"x_{f}") for f in "snar"]
-    x = VectorAssembler(inputCols=[f"x_{f}" for f in "snar"], outputCol="features").transform(
-        c.select(*scaled)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = [(k, float(KMeans(k=k, seed=seed, maxIter=50, tol=1e-6).fit(x).summary.trainingCost)) for k in ks]
-    x.unpersist()  # the costs are already computed
-    return ctx.spark.createDataFrame(rows, "k int, inertia double")
+    x = cu.customer_features(ctx)
+    found = centres(x, "email", cu.FEATURES, list(ks))
+    costs = [F.sum((F.least(*d) if len(d) > 1 else d[0] if d else F.lit(0.0)) / F.lit(float(GRID) * GRID))
+             for d in (distances(cu.FEATURES, c) for c in found)]
+    row = x.agg(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("inertia")) for k, c in zip(ks, costs)]).alias("all"))
+    return row.select(F.explode("all").alias("r")).select("r.*")
+
+
+def degraded_months(ctx, factor: float = 1.5, max_days: int = 60) -> DataFrame:
+    """Median fulfilment days per month against the overall median; a month above ``factor`` times it is degraded.
+
+    Orders are counted once per month and number of days (negative and more than ``max_days`` days left out); these
+    few counts give the medians of every month and, summed over the months, of all.
+    """
+    o = ctx.orders.where(F.col("date").isNotNull() & F.col("shipping_date").isNotNull())
+    days = o.select(month_key("date").alias("month"), whole_days("shipping_date", "date").alias("days")).where(
+        F.col("days").between(0, max_days))
+    counts = days.groupBy("month", "days").agg(F.count(F.lit(1)).alias("orders"))
+    both = counts.select(F.explode(F.array(F.col("month"), F.lit(None).cast("string"))).alias("month"), "days", "orders")
+    med = exact_quantiles(both, "days", [0.5], by=["month"], prefix="m", weight="orders")
+    overall = med.where(F.col("month").isNull()).select("m0").scalar()
+    return med.where(F.col("month").isNotNull()).select(
+        "month", F.col("_n").alias("orders"), F.col("m0").alias("median_days"), overall.alias("overall_median_days"),
+        safe_div("m0", overall).alias("ratio"), (F.col("m0") > overall * factor).alias("degraded"))

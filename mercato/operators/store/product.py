@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.core import line_revenue, month_start, nonblank, safe_div, trend_pct
-from mercato.functions.ranking import equal_width_bin, exact_quantiles, prefix_sums
+from mercato.functions.ranking import equal_width_bin, exact_quantiles, rows_within_share
 from mercato.functions.text import category, extract_color, extract_size, variant_base
 from mercato.operators.store.orders import is_cancelled, recent_prior_flags
 
@@ -65,18 +65,19 @@ def anchor_products(ctx, k: int = 20, companions: int = 5, min_multi: int = 10)
 def pareto(ctx, k: int = 30, share: float = 80.0) -> DataFrame:
     """Revenue per product in descending order with the running share of total revenue.
 
-    The running sum uses the distributed prefix sums (range-partitioned), so a
-    catalogue of any size never funnels through one task.
+    How many products make up the share is followed over histogram bins of the revenue, so a
+    catalogue of any size never funnels through one task; only the listed products are numbered.
     """
     l = _named(ctx)
-    p = l.groupBy("product_name").agg(F.sum("_rev").alias("revenue")).withColumn("_neg", -F.col("revenue"))
+    p = l.groupBy("product_name").agg(F.sum("_rev").alias("revenue"))
     total = p.agg(F.sum("revenue")).scalar()
-    ranked = prefix_sums(p, ["_neg", "product_name"], "revenue", out_before="_before", out_through="_cum")
-    ranked = ranked.select("*", (F.col("_cum") / total * 100).alias("cumulative_pct"))
     n_products = p.agg(F.count(F.lit(1))).scalar()
-    within = ranked.agg(F.count(F.when(F.col("cumulative_pct") <= share, 1))).scalar()
+    within = rows_within_share(p, "revenue", [share]).select("rows").scalar()
     products_80 = F.least(within + 1, n_products)
-    top = ranked.orderBy("_neg", "product_name").limit(k)
+    order = [F.col("revenue").desc(), F.col("product_name")]
+    top = p.orderBy(*order).limit(k)  # the window runs over these k rows
+    run = F.sum("revenue").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    top = top.select("*", (run / total * 100).alias("cumulative_pct"))
     return top.where(total > 0).select(
         "product_name", "revenue", (F.col("revenue") / total * 100).alias("pct_of_total"), "cumulative_pct",
         n_products.alias("total_products"), products_80.alias("products_80_pct"),

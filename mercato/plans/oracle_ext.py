@@ -406,6 +406,74 @@ FROM e JOIN pr USING (product_name) GROUP BY product_name, prices HAVING prices
 """
 
 # brute-force range join of every conversion to its touches: the independent answer
+SQL["ext_degraded_months"] = f"""
+, d AS (SELECT strftime("date", '%Y-%m') AS month, {S.DAYS_BETWEEN.format(a='"date"', b='shipping_date')} AS days FROM ords
+        WHERE "date" IS NOT NULL AND shipping_date IS NOT NULL),
+k AS (SELECT * FROM d WHERE days BETWEEN 0 AND 60),
+t AS (SELECT quantile_cont(CAST(days AS DOUBLE), 0.5) AS overall FROM k),
+m AS (SELECT month, count(*) AS orders, quantile_cont(CAST(days AS DOUBLE), 0.5) AS median_days FROM k GROUP BY 1)
+SELECT month, orders, median_days, overall AS overall_median_days,
+       CASE WHEN overall = 0 THEN 0.0 ELSE median_days / overall END AS ratio, median_days > overall * 1.5 AS degraded
+FROM m, t
+"""
+
+SQL["ma_attribution_windows"] = """
+, cv AS (SELECT event_id, user_id, ts, value FROM ev WHERE event_type = 'purchase'),
+ck AS (SELECT user_id, ts FROM ev WHERE event_type = 'click'),
+vw AS (SELECT user_id, ts FROM ev WHERE event_type = 'view'),
+c AS (SELECT cv.*, epoch_us(cv.ts) - epoch_us(ck.ts) AS age FROM cv ASOF JOIN ck ON cv.user_id = ck.user_id AND cv.ts >= ck.ts),
+v AS (SELECT cv.*, epoch_us(cv.ts) - epoch_us(vw.ts) AS age FROM cv ASOF JOIN vw ON cv.user_id = vw.user_id AND cv.ts >= vw.ts),
+w(i, win, days) AS (VALUES (0, '1d_click', 1), (1, '7d_click', 7), (2, '28d_click', 28), (3, '1d_view', 1)),
+h AS (SELECT w.i, c.value FROM w, c WHERE w.i < 3 AND c.age <= w.days * 86400000000
+      UNION ALL SELECT w.i, v.value FROM w, v WHERE w.i = 3 AND v.age <= w.days * 86400000000),
+g AS (SELECT w.i, w.win, count(h.i) AS purchases, coalesce(sum(h.value), 0.0) AS purchase_value FROM w LEFT JOIN h USING (i) GROUP BY 1, 2),
+s AS (SELECT coalesce(sum(spend), 0.0) AS spend FROM social)
+SELECT g.win AS "window", g.purchases, g.purchase_value, g.purchases * 100.0 / (SELECT count(*) FROM cv) AS pct_purchases,
+       CASE WHEN s.spend = 0 THEN 0.0 ELSE g.purchase_value / s.spend END AS roas, g.purchases - p.purchases AS delta_purchases,
+       CASE WHEN p.purchases > 0 THEN (g.purchases - p.purchases) / p.purchases * 100 END AS delta_pct
+FROM g CROSS JOIN s LEFT JOIN g p ON p.i = g.i - 1 AND g.i < 3
+"""
+
+
+def _lloyd(k: int, rounds: int = 12) -> str:
+    """Lloyd's rounds over x(email, f0..f3): c{k}_{rounds} holds the centres, a{k} each customer's nearest and its distance."""
+    dist = " + ".join(f"(x.f{i} - c.f{i}) * (x.f{i} - c.f{i})" for i in range(4))
+    out = [f"""c{k}_0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(email), email) - 1 AS c, {', '.join(f'CAST(f{i} AS DOUBLE) AS f{i}' for i in range(4))}
+  FROM x QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        near = f"""a{k}_{r} AS MATERIALIZED (SELECT email, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT x.email, c.c, {dist} AS d FROM x, c{k}_{r} c) GROUP BY email)"""
+        if r == rounds:
+            out.append(near.replace(f"a{k}_{r} AS", f"a{k} AS", 1))
+            break
+        out += [near, f"""c{k}_{r + 1} AS MATERIALIZED (SELECT o.c, {', '.join(f'coalesce(m.f{i}, o.f{i}) AS f{i}' for i in range(4))} FROM c{k}_{r} o LEFT JOIN (
+  SELECT a.c, {', '.join(f'CAST(sum(x.f{i}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS f{i}' for i in range(4))}
+  FROM a{k}_{r} a JOIN x USING (email) GROUP BY a.c) m USING (c))"""]
+    return ",\n".join(out)
+
+
+_GRID = "CAST(floor((CAST({f} AS DOUBLE) - {lo}) / CASE WHEN {hi} - {lo} <> 0 THEN CAST({hi} - {lo} AS DOUBLE) ELSE 1.0 END * 1048576.0 + 0.5) AS BIGINT)"
+_FEATURES = ("total_spend", "order_count", "aov", "days_since_last")
+_CUSTOMERS = f"""
+, oc AS (SELECT * FROM ords WHERE email IS NOT NULL AND "date" IS NOT NULL AND total > 0),
+u AS MATERIALIZED (SELECT email, sum(total) AS total_spend, count(order_id) AS order_count, avg(total) AS aov,
+  {S.DAYS_BETWEEN.format(a='max("date")', b='(SELECT max("date") FROM oc)')} AS days_since_last FROM oc GROUP BY email),
+e AS (SELECT {', '.join(f'min({f}) AS lo{i}, max({f}) AS hi{i}' for i, f in enumerate(_FEATURES))} FROM u),
+x AS MATERIALIZED (SELECT u.*, {', '.join(_GRID.format(f=f, lo=f'e.lo{i}', hi=f'e.hi{i}') + f' AS f{i}' for i, f in enumerate(_FEATURES))} FROM u, e)"""
+
+SQL["ec_niche_clusters"] = _CUSTOMERS + ",\n" + _lloyd(4) + """
+, p AS (SELECT CAST(a.c AS INTEGER) AS cluster, count(*) AS size, avg(total_spend) AS avg_spend, avg(order_count) AS avg_orders, avg(aov) AS avg_aov,
+  avg(days_since_last) AS avg_recency FROM a4 a JOIN x USING (email) GROUP BY 1)
+SELECT cluster, size, size * 100.0 / (SELECT count(*) FROM x) AS pct, avg_spend, avg_orders, avg_aov, avg_recency,
+  (['High Value', 'Medium-High', 'Medium-Low', 'Low Value'])[row_number() OVER (ORDER BY avg_spend DESC, cluster)] AS label
+FROM p WHERE (SELECT count(*) FROM x) >= 20
+"""
+
+SQL["ext_kmeans_elbow"] = _CUSTOMERS + ",\n" + ",\n".join(_lloyd(k) for k in (3, 4, 5)) + """
+SELECT 3 AS k, sum(d / 1099511627776.0) AS inertia FROM a3 UNION ALL SELECT 4, sum(d / 1099511627776.0) FROM a4
+UNION ALL SELECT 5, sum(d / 1099511627776.0) FROM a5
+"""
+
 SQL["ext_attribution_models"] = """
 , cv AS (SELECT event_id AS cid, user_id, ts FROM ev WHERE event_type = 'purchase'),
 tc AS (SELECT user_id, ts, channel FROM ev WHERE event_type IN ('view', 'click')),

@@ -592,14 +592,15 @@ pc AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS cnt
 
 
 PAIRS = _basket_base(BASE) + """
-, pt AS (SELECT * FROM pc ORDER BY cnt DESC, item_a, item_b LIMIT 200),
+, pt AS (SELECT * FROM pc),
 pm AS (SELECT pt.item_a, pt.item_b, pt.cnt AS count, pt.cnt / ms.n * 100 AS support,
               greatest(pt.cnt / fa.f, pt.cnt / fb.f) * 100 AS confidence,
               (pt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n)) AS lift
        FROM pt, ms, fr fa, fr fb WHERE fa.item = pt.item_a AND fb.item = pt.item_b AND pt.cnt / ms.n >= ms.s),
-pairs AS (SELECT * FROM pm WHERE lift > 1.0 ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b LIMIT 30),
+lifted AS (SELECT * FROM pm WHERE lift > 1.0 AND (SELECT multi FROM tot) >= 10),
+pairs AS (SELECT * FROM lifted ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b LIMIT 30),
 pr AS (SELECT *, CAST(row_number() OVER (ORDER BY round(lift, 2) DESC, count DESC, item_a, item_b) AS INTEGER) AS rank
-       FROM pairs WHERE (SELECT multi FROM tot) >= 10)"""
+       FROM pairs)"""
 
 SQL["ec_basket_pairs"] = PAIRS + "\nSELECT item_a, item_b, count, support, confidence, lift, rank FROM pr\n"
 
@@ -608,7 +609,7 @@ SQL["ec_basket_trios"] = _basket_base(TYPE_ITEM) + """
 , tc AS (SELECT a.item AS item_a, b.item AS item_b, c.item AS item_c, count(*) AS cnt
          FROM it a JOIN it b ON a.order_id = b.order_id AND a.item < b.item
                    JOIN it c ON c.order_id = a.order_id AND b.item < c.item GROUP BY 1, 2, 3),
-tt AS (SELECT * FROM tc ORDER BY cnt DESC, item_a, item_b, item_c LIMIT 50),
+tt AS (SELECT * FROM tc),
 tm AS (SELECT tt.item_a, tt.item_b, tt.item_c, tt.cnt AS count, tt.cnt / ms.n * 100 AS support,
               (tt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n) * (fc.f / ms.n)) AS lift
        FROM tt, ms, fr fa, fr fb, fr fc
@@ -624,7 +625,7 @@ SELECT n AS total_orders, multi AS multi_product_orders,
 """
 
 SQL["ec_category_affinity"] = _basket_base(CATEGORY, where="") + """
-, pt AS (SELECT * FROM pc ORDER BY cnt DESC, item_a, item_b LIMIT 30),
+, pt AS (SELECT * FROM pc),
 pm AS (SELECT pt.item_a AS category_a, pt.item_b AS category_b, pt.cnt AS count, pt.cnt / ms.n * 100 AS support,
               (pt.cnt / ms.n) / ((fa.f / ms.n) * (fb.f / ms.n)) AS lift
        FROM pt, ms, fr fa, fr fb WHERE fa.item = pt.item_a AND fb.item = pt.item_b)
@@ -643,12 +644,12 @@ SELECT item_a, item_b, tot AS individual_total, tot * 0.9 AS bundle_price_10pct,
 """
 
 SQL["ec_cross_sell"] = PAIRS + f"""
-, recs AS (SELECT item_a AS product, item_b AS recommended, lift, support, rank FROM pr
-           UNION ALL SELECT item_b, item_a, lift, support, rank FROM pr),
+, recs AS (SELECT item_a AS product, item_b AS recommended, lift, support, count FROM lifted
+           UNION ALL SELECT item_b, item_a, lift, support, count FROM lifted),
 tp AS (SELECT {BASE} AS product, sum({REV}) AS rv FROM lines WHERE product_name IS NOT NULL
        GROUP BY 1 ORDER BY rv DESC, product LIMIT 20)
 SELECT product, recommended, lift, support, rec_rank FROM (
-  SELECT recs.*, CAST(row_number() OVER (PARTITION BY product ORDER BY round(lift, 2) DESC, rank) AS INTEGER) AS rec_rank
+  SELECT recs.*, CAST(row_number() OVER (PARTITION BY product ORDER BY round(lift, 2) DESC, count DESC, recommended) AS INTEGER) AS rec_rank
   FROM recs WHERE product IN (SELECT product FROM tp)) WHERE rec_rank <= 3
 """
 

@@ -203,6 +203,10 @@ register("ma_pacing", ma.ma_pacing)
 register("ma_marginal_cpa", ma.ma_marginal_cpa)
 register("ma_marginal_trend", ma.ma_marginal_trend)
 
+from mercato.operators.social import windows as mw  # noqa: E402
+
+register("ma_attribution_windows", mw.ma_attribution_windows)
+
 # ------------------------------------------------------------------ readers
 from mercato.sources import roundtrip as rt  # noqa: E402
 
@@ -262,6 +266,7 @@ register("ext_custom_name_regex", acx.custom_name_regex)
 register("ext_size_pairs", ecx.size_pairs)
 register("ext_price_elasticity", ecx.price_elasticity)
 register("ext_kmeans_elbow", ecx.kmeans_elbow)
+register("ext_degraded_months", ecx.degraded_months)
 
 from mercato.operators.social import attribution as atx  # noqa: E402
 

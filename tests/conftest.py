@@ -24,11 +24,3 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mercato-test-ckpt-"))
     yield s
-
-
-@pytest.fixture()
-def distributed_paths(spark):
-    """Force the range-partitioned (large-input) code paths for the duration of a test."""
-    spark.conf.set("mercato.smallPathRows", "0")
-    yield
-    spark.conf.unset("mercato.smallPathRows")

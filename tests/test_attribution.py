@@ -56,3 +56,37 @@ def test_work_grows_linearly(spark):
     rows = attribution(events).collect()
     linear = {r["channel"]: r["credit"] for r in rows if r["model"] == "linear"}
     assert abs(sum(linear.values()) - 1999) < 1e-6  # the first purchase has no touch before it
+
+
+def test_many_channels(spark):
+    """10,000 channels: credit is summed per touch, no channel has a column."""
+    events = spark.range(20_000).selectExpr(
+        "id div 4 as user_id", "if(id % 4 = 3, 'purchase', 'click') as event_type",
+        "if(id % 4 = 3, null, concat('c', id % 10000)) as channel", "timestamp_seconds(1700000000 + id * 60) as ts")
+    got = {(r["model"], r["channel"]): r["credit"] for r in attribution(events).collect()}
+    assert len({c for _, c in got}) == 7500
+    for model in ("first_touch", "last_touch", "linear", "time_decay", "position"):
+        assert sum(v for (m, _), v in got.items() if m == model) == pytest.approx(5000)
+    assert got[("first_touch", "c0")] == 2 and got[("last_touch", "c2")] == 2
+    assert got[("linear", "c1")] == pytest.approx(2 / 3) and got[("position", "c1")] == pytest.approx(0.4)
+
+
+def test_windows(spark):
+    """Last click and last view at or before each purchase, by age; ties in time count as before."""
+    from mercato.context import Context
+    from mercato.operators.social.windows import ma_attribution_windows
+    day = dt.timedelta(days=1)
+    t = dt.datetime(2024, 3, 1)
+    rows = [(1, 7, t, "click", 1.0, "A"), (2, 7, t + day, "purchase", 10.0, None), (3, 7, t + 7 * day, "purchase", 20.0, None),
+            (4, 7, t + 28 * day, "purchase", 40.0, None), (5, 7, t + 28 * day + dt.timedelta(microseconds=1), "purchase", 80.0, None),
+            (6, 8, t, "view", 1.0, "B"), (7, 8, t, "purchase", 160.0, None), (8, 8, t + 2 * day, "purchase", 320.0, None),
+            (9, 9, t, "purchase", 640.0, None), (10, 9, t + day, "click", 1.0, "A")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, channel string")
+    got = {r["window"]: r for r in ma_attribution_windows(Context(spark, events=events)).collect()}
+    assert [(got[w]["purchases"], got[w]["purchase_value"]) for w in ("1d_click", "7d_click", "28d_click", "1d_view")] == [
+        (1, 10.0), (2, 30.0), (3, 70.0), (1, 160.0)]
+    assert got["7d_click"]["delta_purchases"] == 1 and got["7d_click"]["delta_pct"] == 100.0 and got["1d_view"]["delta_pct"] is None
+    assert got["28d_click"]["pct_purchases"] == pytest.approx(300 / 7) and got["1d_click"]["roas"] == 0.0
+    by = ma_attribution_windows(Context(spark, events=events), by_channel=True).collect()
+    assert {(r["window"], r["channel"]): r["purchases"] for r in by} == {
+        ("1d_click", "A"): 1, ("7d_click", "A"): 2, ("28d_click", "A"): 3, ("1d_view", "B"): 1}

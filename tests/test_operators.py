@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from mercato.context import Context
-from mercato.functions.cooccurrence import frequent_items, index_items, pair_counts, trio_counts
+from mercato.functions import cooccurrence as co
 from mercato.operators.store.orders import orders_from_lines
 from mercato.plans.registry import REGISTRY
 from tests.conftest import SF_SMALL
@@ -119,7 +119,14 @@ def _brute_trios(pdf):
     return out
 
 
-def test_cooccurrence_matches_brute_force(spark):
+def _named(items, rows, sides):
+    names = {r["h"]: r["item"] for r in co.item_counts(items).collect()}
+    return {tuple(sorted(names[r[c]] for c in sides)): r["count"] for r in rows.collect()}
+
+
+@pytest.mark.parametrize("split", [3, 2048])
+def test_cooccurrence_matches_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(co, "SPLIT", split)  # 3: most orders are dealt as several units
     rng = np.random.default_rng(7)
     rows = []
     for o in range(400):
@@ -128,13 +135,34 @@ def test_cooccurrence_matches_brute_force(spark):
             rows.append((f"o{o}", str(it)))
     pdf = pd.DataFrame(rows, columns=["order_id", "item"]).drop_duplicates()
     items = spark.createDataFrame(pdf)
-    freq = index_items(frequent_items(items, 1))
-    names = {r["idx"]: r["item"] for r in freq.collect()}
-    pairs = {(names[r["i"]], names[r["j"]]): r["count"] for r in pair_counts(items, freq, 400).collect()}
-    assert pairs == _brute_pairs(pdf)
-    trios = {(names[r["i"]], names[r["j"]], names[r["k"]]): r["count"]
-             for r in trio_counts(items, freq, 400).collect()}
-    assert trios == _brute_trios(pdf)
+    pairs = co.pair_counts(co.transactions(items))
+    assert _named(items, pairs, "ab") == _brute_pairs(pdf)
+    for least in (1, 9):  # trios of frequent pairs are complete above the threshold
+        trios = _named(items, co.trio_counts(co.transactions(items), pairs.where(F.col("count") >= least)), "abc")
+        want = _brute_trios(pdf)
+        assert {k: v for k, v in trios.items() if v >= least} == {k: v for k, v in want.items() if v >= least}
+        assert all(want[k] == v for k, v in trios.items())
+
+
+def test_pair_bitmap(spark):
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.integers(-2**63, 2**63 - 1, (500, 2)), axis=1)
+    bits = co._bitmap(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])))
+    at = co._position(x[:, 0], x[:, 1])
+    assert ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1).all()
+    assert np.unpackbits(bits).sum() == len(set(at.tolist()))
+
+
+def test_order_of_many_lines(spark):
+    """One order of 100,000 lines and 3,000 products among small orders: one path, exact counts."""
+    from mercato.operators.store import basket
+    big = spark.range(100_000).selectExpr("-1L as order_id", "concat('p', id % 3000) as product_name")
+    small = spark.range(3000).selectExpr("id as order_id", "explode(array(concat('p', id), concat('p', (id + 1) % 3000))) as product_name")
+    items = basket.order_items(big.unionByName(small), F.col("product_name"))
+    pairs = basket.pairs_with_freqs(items)
+    got = pairs.groupBy("count").agg(F.count("*").alias("k")).collect()
+    assert {r["count"]: r["k"] for r in got} == {2: 3000, 1: 3000 * 2999 // 2 - 3000}
+    assert pairs.where("item_a >= item_b or freq_a <> 3 or freq_b <> 3").count() == 0
 
 
 def test_kmeans_clusters(ctx):
@@ -152,24 +180,6 @@ def test_signals_sorted_by_priority(ctx):
     assert order.is_monotonic_increasing
 
 
-def test_basket_fallback_paths_agree(spark, ctx):
-    """FP-growth (beyond the item bound) and the matrix products give the same pairs and trios."""
-    keys = ["ec_basket_pairs", "ec_basket_trios", "ec_category_affinity"]
-    base = {k: sorted(tuple(r) for r in REGISTRY[k](ctx).collect()) for k in keys}
-    spark.conf.set("mercato.maxMatrixItems", "2")
-    spark.conf.set("mercato.maxMatrixTrioItems", "2")
-    try:
-        alt = {k: sorted(tuple(r) for r in REGISTRY[k](ctx).collect()) for k in keys}
-    finally:
-        spark.conf.unset("mercato.maxMatrixItems")
-        spark.conf.unset("mercato.maxMatrixTrioItems")
-    for k in keys:
-        assert len(alt[k]) == len(base[k]), k
-        for a, b in zip(alt[k], base[k]):
-            assert a == pytest.approx(b) if all(isinstance(x, (int, float)) for x in a) else \
-                [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
-
-
 def test_basket_ranks_every_pair(spark):
     """A pair with the highest lift counts however many pairs are more frequent."""
     from mercato.operators.store import basket
@@ -182,3 +192,29 @@ def test_basket_ranks_every_pair(spark):
     assert {(r.item_a, r.item_b) for r in top} == {("rare one", "rare three"), ("rare one", "rare two"), ("rare three", "rare two")}
     assert not any("rare" in r.item_a for r in basket.basket_pairs(ctx, item=item, candidates=100).collect())
     assert [r.item_c for r in basket.basket_trios(ctx, item=item, k=1).collect()] == ["rare two"]
+
+
+def test_degraded_months(spark):
+    rows = [(f"o{m}{i}", dt.datetime(2024, m, 1), dt.datetime(2024, m, 1) + dt.timedelta(days=d)) for m, days in
+            ((1, [1, 2, 3, 70, -1]), (2, [2, 2, 2, 2]), (3, [5, 9])) for i, d in enumerate(days)]
+    orders = spark.createDataFrame(rows, "order_id string, date timestamp_ntz, shipping_date timestamp_ntz")
+    got = {r["month"]: r for r in REGISTRY["ext_degraded_months"](Context(spark, orders=orders)).collect()}
+    assert {m: (r["orders"], r["median_days"], r["overall_median_days"], r["degraded"]) for m, r in got.items()} == {
+        "2024-01": (3, 2.0, 2.0, False), "2024-02": (4, 2.0, 2.0, False), "2024-03": (2, 7.0, 2.0, True)}
+
+
+def test_upgrades_number_orders_across_days(spark):
+    """Halves by date, then order id; the middle may fall into a day of several orders."""
+    rng = np.random.default_rng(9)
+    rows = [(f"e{c}", f"o{c}-{i:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(rng.integers(0, 24 * 4))), float(rng.integers(1, 100)))
+            for c in range(12) for i in range(int(rng.integers(1, 25)))]
+    orders = spark.createDataFrame(rows, "email string, order_id string, date timestamp_ntz, total double")
+    from mercato.operators.store.customer import _upgrades
+    got = {r["email"]: (r["first_half_aov"], r["second_half_aov"]) for r in _upgrades(Context(spark, orders=orders)).collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        mine = [r[3] for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1]))]
+        if len(mine) >= 3:
+            h = len(mine) // 2
+            want[c] = (pytest.approx(sum(mine[:h]) / h), pytest.approx(sum(mine[h:]) / (len(mine) - h)))
+    assert got == want
