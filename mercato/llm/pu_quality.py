@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import batches, discard, table, text_bytes, window_hashes, word_hashes, written
+from mercato.llm.common import batches, discard, small_batches, table, text_bytes, tidy, window_hashes, word_hashes, written
 
 RIDGE = 1e-3
 STEPS = 12
@@ -79,8 +79,9 @@ def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_featured, "doc_id long, x array<float>")
+    return texts.mapInArrow(tidy(_featured), "doc_id long, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -209,7 +210,8 @@ class PuModel:
                 texts = text_bytes(b.column(b.schema.get_field_index(text_col)))
                 good = self.score(np.array([features(x) for x in texts], dtype=np.float64)) >= 0.5 if texts else []
                 yield b.filter(pa.array(good, pa.bool_()))
-        return docs.mapInArrow(run, docs.schema)
+        small_batches(docs.sparkSession)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train(featured: DataFrame, positives: DataFrame) -> PuModel:
