@@ -7,8 +7,10 @@ ceil((i + 1) P / p); in every slot the released block with the earliest
 deadline goes (ties: the first source by name).  With weights that sum to 1 this keeps every
 deadline, so up to any slot t a source has given out floor(t w) or ceil(t w)
 blocks: it deviates by less than one block.  Because the pattern repeats after P
-slots, one period (a table of P rows, a parameter) is scheduled by a fold, and
-block i of a source takes slot ``P * (i div p) + pattern(i mod p)``.  A source
+slots, one period is scheduled by a fold, and
+block i of a source takes slot ``P * (i div p) + pattern(i mod p)``.  P is ``period``, or two slots a
+source where there are more sources than that.  Sources of equal parts share their windows, so the fold
+looks at one block per distinct part, of which there are at most about the square root of 2 P.  A source
 that has run out leaves its slots empty; closing these gaps keeps the order and
 the relative weights of the remaining sources, and no document is dropped or
 repeated.
@@ -30,7 +32,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mercato.llm.common import table, written
+from mercato.llm.common import discard, table, written
 
 PERIOD = 1000
 BLOCK_ROWS = 8
@@ -55,39 +57,47 @@ def period_parts(sizes: DataFrame, weights: DataFrame | None, period: int) -> Da
 def period_pattern(parts: DataFrame, period: int) -> DataFrame:
     """(source_no, i, offset): the slot of a source's i-th block in one period, by earliest deadline first.
 
-    The fold keeps, per source, the number of blocks given out; its state has one entry per source and
-    its input one per slot of the period.
+    Sources of one part form a class: its j-th block is block ``j div m`` of its ``j mod m``-th source, m in number.
+    The fold keeps, per class, the blocks given out; it runs over stretches of the period, whose plans are joined
+    at the end, so that no growing list is copied slot by slot.
     """
-    ordered = parts.agg(F.sort_array(F.collect_list(F.struct("source", "part"))).alias("ps"))
-    state = "named_struct('given', transform(ps, p -> 0), 'plan', cast(array() as array<int>))"
-    # released: given * P / p <= t; deadline of the next block: ceil((given + 1) * P / p)
-    pick = (f"array_min(filter(transform(ps, (p, k) -> named_struct('due', cast(ceil((acc.given[k] + 1) * {period} / p.part) as int),"
-            f" 'k', k, 'open', acc.given[k] * {period} <= t * p.part)), x -> x.open)).k")
-    step = (f"transform(array({pick}), c -> named_struct('given', transform(acc.given, (g, k) -> g + if(k = c, 1, 0)),"
-            f" 'plan', array_append(acc.plan, c)))[0]")
-    plan = ordered.select(F.expr(f"aggregate(sequence(0, {period} - 1), {state}, (acc, t) -> {step}).plan").alias("plan"))
+    classes = (parts.groupBy("part").agg(F.sort_array(F.collect_list("source_no")).alias("who"))
+               .agg(F.sort_array(F.collect_list(F.struct("part", "who"))).alias("cs")))
+    stretch = max(1, int(period ** 0.5))
+    # released: block * P / p <= t; deadline: ceil((block + 1) * P / p)
+    pick = (f"array_min(filter(transform(cs, (c, k) -> named_struct('due', cast(ceil((acc.given[k] div size(c.who) + 1) * {period} / c.part) as int),"
+            f" 'no', c.who[cast(acc.given[k] % size(c.who) as int)], 'k', k,"
+            f" 'open', (acc.given[k] div size(c.who)) * {period} <= t * c.part)), x -> x.open))")
+    step = (f"transform(array({pick}), b -> named_struct('given', transform(acc.given, (g, k) -> g + if(k = b.k, 1L, 0L)),"
+            f" 'plan', array_append(acc.plan, b.no)))[0]")
+    inner = (f"aggregate(sequence(s, least(s + {stretch}, {period}) - 1), named_struct('given', whole.given, 'plan', cast(array() as array<int>)),"
+             f" (acc, t) -> {step})")
+    outer = (f"transform(array({inner}), r -> named_struct('given', r.given, 'plans', array_append(whole.plans, r.plan)))[0]")
+    state = "named_struct('given', transform(cs, c -> 0L), 'plans', cast(array() as array<array<int>>))"
+    plan = classes.select(F.expr(f"flatten(aggregate(sequence(0, {period} - 1, {stretch}), {state}, (whole, s) -> {outer}).plans)").alias("plan"))
     slots = plan.select(F.posexplode("plan").alias("offset", "source_no")).where("source_no is not null")
     return slots.withColumn("i", F.row_number().over(Window.partitionBy("source_no").orderBy("offset")) - 1)
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS,
           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_row: bool = False) -> DataFrame:
-    """One row per document: doc_id, source, source_no, part, rows, block, in_block, release, deadline, virtual_slot.
+    """One row per document: doc_id, source, source_no, part, rows, block, in_block, release, deadline, virtual_slot, period.
 
     The mix is the order of (virtual_slot, in_block).  ``keep_row`` adds the input row as struct ``row``.
     """
     keep = [F.struct(*docs.columns).alias("row")] if keep_row else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.xxhash64(text_col).alias("text_hash"), *keep)
-    sizes = rows.groupBy("source").agg(F.count("*").alias("rows"))
+    sizes = written(rows.groupBy("source").agg(F.count("*").alias("rows")), "mix-sizes")
+    sources = sizes.count()
+    period = period if sources <= period else 2 * sources
     parts = written(period_parts(sizes, weights, period)
                     .withColumn("source_no", F.row_number().over(Window.partitionBy().orderBy("source")) - 1), "mix-parts")
-    if parts.count() > period:
-        raise ValueError(f"a period of {period} slots cannot serve more sources; raise the period")
+    discard(sizes)
     pattern = written(period_pattern(parts, period), "mix-pattern")
 
-    # both broadcasts hold at most one row per slot of the period
-    by_source = F.broadcast(parts.withColumnRenamed("source", "s"))
+    # one row per source, and below one per slot of the period: Spark broadcasts them where they are small
+    by_source = parts.withColumnRenamed("source", "s")
     dealt = (rows.join(by_source, rows["source"].eqNullSafe(F.col("s")), "inner").drop("s")
              .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.sqrt("rows")))))
     held = dealt.groupBy("source_no", "salt").agg(F.count("*").alias("here"))
@@ -98,28 +108,28 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIO
                 .join(offsets, (F.col("source_no") == F.col("sn")) & (F.col("salt") == F.col("sa")))
                 .withColumn("nth", F.col("before") + F.col("in_salt"))
                 .withColumn("block", F.expr(f"nth div {block_rows}")).withColumn("in_block", F.expr(f"nth % {block_rows}")))
-    turn = F.broadcast(pattern.select(F.col("source_no").alias("sn2"), "i", "offset"))
+    turn = pattern.select(F.col("source_no").alias("sn2"), "i", "offset")
     return (numbered.join(turn, (F.col("source_no") == F.col("sn2")) & (F.expr("block % part") == F.col("i")))
             .withColumn("virtual_slot", F.expr(f"{period} * (block div part) + offset"))
             .withColumn("release", F.floor(F.col("block") * period / F.col("part")))
             .withColumn("deadline", F.ceil((F.col("block") + 1) * period / F.col("part")))
             .select("doc_id", "source", "source_no", "part", "rows", "block", "in_block", "release", "deadline", "virtual_slot",
-                    *(["row"] if keep_row else [])))
+                    F.lit(period).alias("period"), *(["row"] if keep_row else [])))
 
 
-def with_slots(mix: DataFrame, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_slots(mix: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``slot``, the block's gapless place in the mix.
 
-    Blocks are numbered within a period (at most ``period`` of them); the blocks before a period follow
-    from the sources' sizes and parts.
+    Blocks are numbered within a period (at most as many as it has slots); the blocks before a period are a
+    running sum over the periods, one row each.
     """
-    blocks = mix.where("in_block = 0").select("source_no", "block", "virtual_slot", "part", "rows",
-                                              F.expr(f"virtual_slot div {period}").alias("q"))
-    sources = mix.select("source_no", "part", "rows").distinct().select(
-        "part", F.ceil(F.col("rows") / block_rows).alias("blocks"))  # one row per source, at most ``period``
-    earlier = " + ".join(f"least({r.blocks}, {r.part} * q)" for r in sources.collect()) or "0"
+    blocks = mix.where("in_block = 0").select("source_no", "block", "virtual_slot", F.expr("virtual_slot div period").alias("q"))
+    held = blocks.groupBy("q").agg(F.count("*").alias("here"))
+    ahead = Window.partitionBy().orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = held.select("q", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("virtual_slot")) - 1
-    numbered = blocks.select("source_no", "block", (F.expr(earlier) + rank).cast("long").alias("slot"))
+    numbered = (blocks.withColumn("rank", rank).join(earlier, "q")
+                .select("source_no", "block", (F.col("earlier") + F.col("rank")).cast("long").alias("slot")))
     return mix.join(numbered, ["source_no", "block"])
 
 
@@ -153,4 +163,4 @@ def with_mix_positions(mix: DataFrame) -> DataFrame:
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, release, deadline and slot in a mix of the sources by the square root of their sizes."""
-    return with_slots(written(mixed(table(spark, sf_dir, "documents")), "mix")).drop("rows", "source_no")
+    return with_slots(written(mixed(table(spark, sf_dir, "documents")), "mix")).drop("rows", "source_no", "period")

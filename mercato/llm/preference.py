@@ -8,15 +8,16 @@ that are trained on.  Everything else of a completion is masked.
 Turns of a conversation are gathered with one shuffle by conversation; a
 conversation is a bounded group of turns.  The query pairs every conversation
 (chosen) with a copy of itself whose last assistant turn is that of the next
-conversation that has one (rejected; the last is followed by the first).  Next
+conversation that has one (rejected; the last is followed by the first); a conversation
+without an assistant turn is paired with itself.  Next
 ids come from a range partitioning of ids: neighbours within a range by a
 window, across ranges from each range's first id (one row per partition).
 
 Defined results: turns are ordered by turn number, then role, then text, and exact
 repeats of a turn count once.  A null role is rendered as ``unknown``, a null text
 as empty.  Rows with a null conversation id belong to no conversation and are
-left out, as are conversations without an assistant turn in the query.  Equal
-conversations give empty completions and ``differs`` false.
+left out.  Equal conversations, so those without an assistant turn in the query too,
+give empty completions and ``differs`` false.
 """
 
 from __future__ import annotations
@@ -91,15 +92,18 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected): rejected ends in the next conversation's last assistant turn, where chosen has its own."""
+    """(pair_id, chosen, rejected) of every conversation: rejected has the next one's last assistant turn in place of its own."""
     convs = written(conversations_of(turns), "conversations")
     last = F.expr(f"size(turns) - array_position(transform(reverse(turns), t -> t.role = '{TRAINED}'), true)").cast("int")
-    own = convs.withColumn("at", last).where(F.exists("turns", lambda t: t["role"] == TRAINED))
+    answered = F.exists("turns", lambda t: t["role"] == TRAINED)
+    own = convs.withColumn("at", last).where(answered)
     replies = own.select(F.col("conv_id").alias("next_id"), F.get("turns", F.col("at")).alias("reply"))
     nexts = next_ids(own.select(F.col("conv_id").cast("long").alias("id")))
-    return (own.join(nexts, own["conv_id"] == nexts["id"]).join(replies, "next_id")
-            .select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
-                    F.transform("turns", lambda t, i: F.when(i == F.col("at"), F.col("reply")).otherwise(t)).alias("rejected")))
+    edited = (own.join(nexts, own["conv_id"] == nexts["id"]).join(replies, "next_id")
+              .select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
+                      F.transform("turns", lambda t, i: F.when(i == F.col("at"), F.col("reply")).otherwise(t)).alias("rejected")))
+    same = convs.where(~answered).select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.col("turns").alias("rejected"))
+    return edited.unionByName(same)
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +122,9 @@ l as (select conv_id, max(i) as pos from n where role = 'assistant' group by con
 r as (select l.conv_id, l.pos, n.role, n.text from l join n on n.conv_id = l.conv_id and n.i = l.pos),
 x as (select conv_id, coalesce(lead(conv_id) over (order by conv_id), min(conv_id) over ()) as next_id from r),
 p as (select n.conv_id as pair_id, n.i, n.role, n.text, case when n.i = r.pos then o.text else n.text end as other, r.pos, n.size
-      from n join r using (conv_id) join x using (conv_id) join r o on o.conv_id = x.next_id),
-c as (select pair_id, max(case when i = pos and text = other then size else pos end) as k from p where i = pos group by pair_id),
+      from n join r using (conv_id) join x using (conv_id) join r o on o.conv_id = x.next_id
+      union all select conv_id, i, role, text, text, -1, size from n where conv_id not in (select conv_id from l)),
+c as (select pair_id, max(case when pos < 0 or (i = pos and text = other) then size else pos end) as k from p where i = pos or pos < 0 group by pair_id),
 s as (select p.*, c.k, '<|' || role || '|>' || chr(10) as head from p join c using (pair_id)),
 z as (select *, coalesce(sum(case when i >= k then length(head) + length(text) + 8 else 0 end) over w, 0)::int as a,
         coalesce(sum(case when i >= k then length(head) + length(other) + 8 else 0 end) over w, 0)::int as b

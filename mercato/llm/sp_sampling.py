@@ -36,9 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import BASE, mix, powers, table
+from mercato.llm.common import BASE, batches, mix, powers, small_batches, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -82,8 +83,43 @@ class Pieces:
         hashes = _hash_all(texts)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logs = hashes[order], np.array(ids, dtype=np.int32)[order], logs[order]
-        self.starts = np.zeros(1 << 22, dtype=bool)  # beginnings of pieces, by the top bits of their hash
-        self.starts[(_hash_all(sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})) >> _U(42)).astype(np.int64)] = True
+        starts = np.zeros(1 << 22, dtype=bool)  # beginnings of pieces, by the top bits of their hash
+        starts[(_hash_all(sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})) >> _U(42)).astype(np.int64)] = True
+        self._index(starts)
+
+    def _index(self, starts: np.ndarray) -> None:
+        """Places by the top bits of a hash: whether a piece begins so, and the first piece in the sorted hashes."""
+        self.starts = starts
+        slot = (self.hashes >> _U(44)).astype(np.int64)
+        self.first = np.full(1 << 20, len(slot), dtype=np.int32)
+        self.first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.chain = int(np.bincount(slot).max())  # pieces that share a slot stand side by side
+        self.padded = np.concatenate((self.hashes, np.zeros(self.chain, dtype=_U)))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the sorted hashes, -1 where no piece has it."""
+        at = self.first[(h >> _U(44)).astype(np.int64)].astype(np.int64)
+        out = np.where(self.padded[at] == h, at, -1)
+        for k in range(1, self.chain):
+            more = np.flatnonzero(out < 0)
+            hit = more[self.padded[np.minimum(at[more] + k, len(self.hashes))] == h[more]]
+            out[hit] = at[hit] + k
+        out[out >= len(self.hashes)] = -1
+        return out
+
+    _PLAIN = ("byte_ids", "bytes_of", "byte_log", "longest", "hashes", "ids", "logs")
+
+    def plain(self) -> dict:
+        """The vocabulary as arrays and lists, which any process can read without this class."""
+        return {k: getattr(self, k) for k in self._PLAIN} | {"starts": np.packbits(self.starts)}
+
+    @classmethod
+    def of(cls, plain: dict) -> "Pieces":
+        self = cls.__new__(cls)
+        for k in cls._PLAIN:
+            setattr(self, k, plain[k])
+        self._index(np.unpackbits(plain["starts"]).astype(bool))
+        return self
 
 
 def _codes(text: str) -> np.ndarray:
@@ -106,20 +142,36 @@ def _spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def _stable_order(x: np.ndarray) -> np.ndarray:
+    """A stable argsort of whole numbers from 0, by 16 bits at a time (which numpy sorts in linear time)."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    shift = 16
+    while len(x) and int(x.max()) >> shift:
+        order = order[np.argsort(((x[order] >> shift) & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
 class Lattice:
-    """Edges of the lattices of distinct tokens, grouped by start node, with each edge's chance at its node."""
+    """Edges of the lattices of distinct tokens, grouped by start node, with each edge's chance at its node.
+
+    Nodes are character positions, ranked by how much of their token is left; edges stand in that order,
+    longer pieces first.
+    """
 
     def __init__(self, tokens: list[str], v: Pieces):
         # a blank is written as BLANK in pieces; BLANK itself must not match them
         whole = "".join(tokens)
         text = whole.replace(BLANK, "\ufdd0").replace(" ", BLANK)
-        size = np.array([len(t) for t in tokens], dtype=np.int64)
+        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         self.start = np.cumsum(size) - size
         n = int(size.sum())
-        end = np.repeat(self.start + size, size)
-        rest = end - np.arange(n)
+        rest = np.repeat(self.start + size, size) - np.arange(n)
+        by_rest = _stable_order(rest)
+        self.rank = np.empty(n, dtype=np.int64)
+        self.rank[by_rest] = np.arange(n)
         sums = _sums(_codes(text))
-        at, width, piece, log = [], [], [], []
+        found = []  # by piece length: start nodes, pieces, log weights
         known = np.zeros(n, dtype=bool)
         i = np.arange(n)
         for k in range(1, min(v.longest, int(rest.max(initial=0))) + 1):
@@ -127,54 +179,56 @@ class Lattice:
             h = _spans(sums, i, i + k)
             likely = v.starts[(h >> _U(42)).astype(np.int64)]
             i, h = i[likely], h[likely]  # only what begins a piece can grow into one
-            p = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            hit = v.hashes[p] == h
-            at.append(i[hit])
-            width.append(np.full(int(hit.sum()), k))
-            piece.append(v.ids[p[hit]])
-            log.append(v.logs[p[hit]])
+            p = v.find(h)
+            hit = p >= 0
+            p = p[hit]
+            found.append((k, i[hit], v.ids[p], v.logs[p]))
             if k == 1:
-                known[at[-1]] = True
+                known[i[hit]] = True
         lost = np.flatnonzero(~known)  # characters without a piece: their UTF-8 bytes, one edge
         raw = [whole[i].encode("utf-8", "surrogatepass") for i in lost.tolist()]
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        at.append(lost)
-        width.append(np.ones(len(lost), dtype=np.int64))
-        piece.append(-1 - np.arange(len(lost)))
-        log.append(np.array([len(x) * v.byte_log for x in raw]))
-        at, width, piece, log = (np.concatenate(x[::-1]) for x in (at, width, piece, log))  # longer, likelier pieces first
-
-        by_rest = np.argsort(rest, kind="stable")
-        self.rank = np.empty(n, dtype=np.int64)
-        self.rank[by_rest] = np.arange(n)
-        order = np.argsort(self.rank[at], kind="stable")
-        self.piece, log = piece[order], log[order]
-        head = self.rank[at][order]
-        self.ptr = np.searchsorted(head, np.arange(n + 1))
-        self.next = (at + width)[order]
-        self.last = self.next == end[at][order]
+        found.insert(0, (1, lost, -1 - np.arange(len(lost)), np.array([len(x) * v.byte_log for x in raw])))
+
+        count = np.zeros(n, dtype=np.int64)
+        for _, at, _, _ in found:
+            count[self.rank[at]] += 1  # a node has one edge of a length at most
+        self.ptr = np.concatenate(([0], np.cumsum(count)))
+        edges = int(self.ptr[-1])
+        self.piece, self.next = np.empty(edges, dtype=np.int32), np.empty(edges, dtype=np.int64)
+        self.last, log = np.empty(edges, dtype=bool), np.empty(edges)
+        free = self.ptr[:-1].copy()
+        for k, at, piece, weight in reversed(found):  # longer, likelier pieces first
+            r = self.rank[at]
+            to = free[r]
+            free[r] = to + 1
+            self.piece[to], self.next[to], self.last[to], log[to] = piece, at + k, rest[at] == k, weight
         beta = np.zeros(n + 1)
-        edge = np.cumsum(np.bincount(rest)) if n else np.zeros(1, dtype=np.int64)
-        total = np.zeros(len(log))
-        for d in range(1, len(edge)):
-            p0, p1 = edge[d - 1], edge[d]
+        level = np.cumsum(np.bincount(rest)) if n else np.zeros(1, dtype=np.int64)
+        self.log = np.zeros(edges)
+        for d in range(1, len(level)):
+            p0, p1 = level[d - 1], level[d]
             if p0 == p1:
                 continue
             e0, e1 = self.ptr[p0], self.ptr[p1]
             value = log[e0:e1] + np.where(self.last[e0:e1], 0.0, beta[self.next[e0:e1]])
             first = self.ptr[p0:p1] - e0
             top = np.maximum.reduceat(value, first)
-            node = np.repeat(top, np.diff(self.ptr[p0:p1 + 1]))
+            node = np.repeat(top, count[p0:p1])
             here = top + np.log(np.add.reduceat(np.exp(value - node), first))
             beta[by_rest[p0:p1]] = here
-            total[e0:e1] = value - np.repeat(here, np.diff(self.ptr[p0:p1 + 1]))
-        self.log = np.minimum(total, 0.0)
-        chance = np.exp(self.log)
-        sums = np.cumsum(chance)
-        base = np.concatenate(([0.0], sums))[self.ptr[:-1]]
-        self.upto = sums - np.repeat(base, np.diff(self.ptr))  # running share of a node's edges
+            self.log[e0:e1] = value - np.repeat(here, count[p0:p1])
+        np.minimum(self.log, 0.0, out=self.log)
+        # running share of a node's edges, node by node, so that it does not depend on other tokens
+        self.upto = np.exp(self.log)
+        nodes, turn = np.flatnonzero(count > 1), 1
+        while len(nodes):
+            e = self.ptr[nodes] + turn
+            self.upto[e] += self.upto[e - 1]
+            turn += 1
+            nodes = nodes[count[nodes] > turn]
         self.upto[self.ptr[1:] - 1] = 1.0
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -203,6 +257,14 @@ class Lattice:
         return out
 
 
+class _Numbers(dict):
+    """Numbers new keys in order."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     """Uniform noise in (0, 1), a hash of the key and the parts (each times its own odd number)."""
     x = key.copy()
@@ -226,8 +288,11 @@ class _Path:
         active, now = np.arange(len(node)), node
         while len(active):
             rank = lat.rank[now]
-            u = _uniform(key[row[active]], path, ordinal[active], now - node[active], 0 * now)
-            e = lat.draw(rank, u)
+            e = lat.ptr[rank]
+            many = np.flatnonzero(lat.ptr[rank + 1] - e > 1)  # a node with one edge needs no draw
+            who = active[many]
+            u = _uniform(key[row[who]], path, ordinal[who], now[many] - node[who], 0 * who)
+            e[many] = lat.draw(rank[many], u)
             edges.append(e)
             owner.append(active)
             step_no.append(np.full(len(active), turn))
@@ -244,22 +309,21 @@ class _Path:
         run = np.concatenate(([0.0], np.cumsum(gain)))
         self.before = run[:-1] - run[self.first[self.row]] + phi0[self.row]
         self.end_phi = run[self.first[1:]] - run[self.first[:-1]] + phi0
+        self.bound = np.full(len(self.edge), -np.inf)
         chance = np.exp(gain)
-        with np.errstate(divide="ignore"):
-            place = self.before + np.log1p(-np.minimum(chance, 1.0))
-        place[chance > 1 - 1e-12] = -np.inf
-        u = _uniform(key[self.row], path, self.ordinal, t, 1 + 0 * t)
-        with np.errstate(invalid="ignore"):
-            bound = np.where(np.isfinite(place), _truncated(np.where(np.isfinite(place), place, -1.0), top[self.row], u), -np.inf)
-        self.bound = bound
+        free = np.flatnonzero(chance <= 1 - 1e-12)  # the others leave nothing open beside them
+        place = self.before[free] + np.log1p(-chance[free])
+        u = _uniform(key[self.row[free]], path, self.ordinal[free], t[free], np.ones(len(free), dtype=np.int64))
+        self.bound[free] = _truncated(place, top[self.row[free]], u)
 
     def best(self, rows: int, k: int) -> list[list[tuple[float, int]]]:
         """Per row its k best open nodes: (bound, decision)."""
         out: list[list[tuple[float, int]]] = [[] for _ in range(rows)]
         left = self.bound.copy()
-        for _ in range(k):
+        full = np.flatnonzero(self.first[1:] > self.first[:-1])
+        for _ in range(k if len(full) else 0):
             most = np.full(rows, -np.inf)
-            np.maximum.at(most, self.row, left)
+            most[full] = np.maximum.reduceat(left, self.first[full])
             at = np.flatnonzero((left == most[self.row]) & np.isfinite(left))
             if not len(at):
                 break
@@ -269,19 +333,11 @@ class _Path:
         return out
 
 
-class _Numbers(dict):
-    """Numbers new keys in order."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k segmentations (piece ids, log probability, perturbed value, inclusion probability), best first."""
     rows, found, tokens = len(texts), _Numbers(), []
     for t in texts:
-        tokens.append(np.array([found[x] for x in _TOKEN.findall(" " + t)] if t else [], dtype=np.int64))
+        tokens.append(np.array(list(map(found.__getitem__, _TOKEN.findall(" " + t))) if t else [], dtype=np.int64))
     lat = Lattice(list(found), v)
     key = mix(np.array(keys, dtype=np.int64).view(_U) + _U(0xC0FFEE))
     count = np.array([len(x) for x in tokens])
@@ -370,18 +426,16 @@ def decoded(ids, v: Pieces) -> str:
     return data[1:].decode("utf-8", "surrogatepass") if data[:1] == b" " else data.decode("utf-8", "surrogatepass")
 
 
-def _groups(column: list, keys: list) -> Iterator[tuple[list[str], list[int]]]:
-    texts, mine, size = [], [], 0
-    for t, k in zip(column, keys):
-        t = t or ""
-        if texts and size + len(t) > GROUP:
-            yield texts, mine
-            texts, mine, size = [], [], 0
-        texts.append(t)
-        mine.append(k or 0)
-        size += len(t)
-    if texts:
-        yield texts, mine
+def _groups(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
+    """Runs (first row, rows) of at most about ``GROUP`` characters, or one longer text."""
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and size + (n or 0) > GROUP:
+            yield at, i - at
+            at, size = i, 0
+        size += n or 0
+    if len(sizes) > at:
+        yield at, len(sizes) - at
 
 
 SAMPLE_TYPE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
@@ -390,14 +444,15 @@ SAMPLE_TYPE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,incl
 def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES,
                       model_file: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_chars, n_samples and the samples of every row, then its columns ``keep``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))  # one vocabulary, fixed by the model file
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model_file).plain())  # one vocabulary, fixed by the model file
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Pieces.of(shared.value)
         for b in it:
-            at = 0
-            for texts, keys in _groups(b.column(1).to_pylist(), b.column(0).to_pylist()):
-                rows = sample_group(texts, keys, v, k)
+            for at, size in _groups(pc.utf8_length(b.column(1)).to_pylist()):
+                texts = [t or "" for t in b.column(1).slice(at, size).to_pylist()]
+                rows = sample_group(texts, [i or 0 for i in b.column(0).slice(at, size).to_pylist()], v, k)
                 flat = [s for r in rows for s in r]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s[0]) for s in flat]))), pa.int32()),
                                                pa.array(np.concatenate([s[0] for s in flat]) if flat else [], pa.int32()))
@@ -408,20 +463,20 @@ def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                        pa.array([len(r) for r in rows], pa.int32()), samples,
                                        *(c.slice(at, len(rows)) for c in b.columns[2:])],
                                       names=["doc_id", "n_chars", "n_samples", "samples", *keep])
-                at += len(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     kept = "".join(f", `{n}` {t}" for n, t in texts.dtypes[2:])
-    return texts.mapInArrow(run, f"doc_id long, n_chars long, n_samples int, samples {SAMPLE_TYPE}{kept}")
+    return texts.mapInArrow(tidy(run), f"doc_id long, n_chars long, n_samples int, samples {SAMPLE_TYPE}{kept}")
 
 
 def decoded_texts(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:
     """Adds ``text``, decoded from the piece ids, to every row."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model_file))
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model_file).plain())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        v = Pieces.of(shared.value)
+        for b in batches(it):
             at = b.schema.get_field_index(ids_col)
-            yield b.append_column("text", pa.array([decoded(x or [], shared.value) for x in b.column(at).to_pylist()], pa.string()))
+            yield b.append_column("text", pa.array([decoded(x or [], v) for x in b.column(at).to_pylist()], pa.string()))
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", text string")
 
 

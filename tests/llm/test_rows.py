@@ -189,7 +189,7 @@ def test_encodings_on_spark(spark, odd, nothing):
 
 def test_mix_keeps_windows(spark, odd, nothing):
     weights = spark.createDataFrame([("s0", 5.0), ("s1", 1.0), ("s2", None), (None, 2.0)], "source string, weight double")
-    mix = pfair.with_slots(pfair.mixed(odd, weights, period=37, block_rows=2), period=37, block_rows=2)
+    mix = pfair.with_slots(pfair.mixed(odd, weights, period=37, block_rows=2), block_rows=2)
     rows = mix.collect()
     assert len(rows) == odd.count()
     blocks = {(r.source, r.block): r for r in rows}
@@ -203,7 +203,7 @@ def test_mix_keeps_windows(spark, odd, nothing):
 
 
 def test_pattern_deviates_by_less_than_a_block(spark):
-    parts = spark.createDataFrame([(f"s{i}", 10, p) for i, p in enumerate([1, 3, 7, 11, 28])], "source string, rows long, part int")
+    parts = spark.createDataFrame([(f"s{i}", 10, p, i) for i, p in enumerate([1, 3, 7, 11, 28])], "source string, rows long, part int, source_no int")
     rows = pfair.period_pattern(parts, 50).collect()
     assert sorted(r.offset for r in rows) == list(range(50))
     for no, part in enumerate([1, 3, 7, 11, 28]):
@@ -212,10 +212,31 @@ def test_pattern_deviates_by_less_than_a_block(spark):
         assert all(abs(sum(o < t for o in mine) - part * t / 50) < 1 for t in range(51))
 
 
-def test_too_many_sources(spark):
-    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("source"))
-    with pytest.raises(ValueError):
-        pfair.mixed(docs, period=10)
+def edf(parts, period):
+    """Slot by slot: the released block of the earliest deadline, then the first source."""
+    given, plan = [0] * len(parts), []
+    for t in range(period):
+        plan.append(min((-(-(g + 1) * period // p), k) for k, (g, p) in enumerate(zip(given, parts)) if g * period <= t * p)[1])
+        given[plan[-1]] += 1
+    return plan
+
+
+@pytest.mark.parametrize("sizes", [[1, 3, 7, 11, 28], [5] * 10, [1] * 40 + [10], [2, 2, 2, 3, 3, 3, 4, 31], [50]])
+def test_schedule_slot_by_slot(spark, sizes):
+    names = [f"s{i:03d}" for i in range(len(sizes))]
+    parts = spark.createDataFrame([(n, 10, p, i) for i, (n, p) in enumerate(zip(names, sizes))], "source string, rows long, part int, source_no int")
+    rows = sorted(pfair.period_pattern(parts, sum(sizes)).collect(), key=lambda r: r.offset)
+    assert [r.source_no for r in rows] == edf(sizes, sum(sizes))
+
+
+def test_many_sources(spark):
+    """More sources than the period has slots: the period grows with them, and every document gets its slot."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("d"), F.col("id") % 1500).alias("source"))
+    mix = pfair.with_slots(pfair.mixed(docs, block_rows=1), block_rows=1)
+    rows = mix.collect()
+    assert len(rows) == 4000 and sorted(r.slot for r in rows) == list(range(4000))
+    assert len({r.source for r in rows}) == 1500 and all(r.release <= r.virtual_slot < r.deadline for r in rows)
+    assert all(r.period == 3000 for r in rows)
 
 
 def test_shards(spark, odd, nothing):
@@ -253,12 +274,39 @@ def test_rebalance_moves_little(spark, tmp_path):
 def test_preference_odd_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, None, None), (2, 0, "user", "hi"), (2, 1, "assistant", "b"),
             (3, 0, "user", "no reply"), (None, 0, "user", "x"), (4, None, "assistant", "b")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(*r, "x", [1], 7) for r in rows]  # columns whose names the operator uses itself
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, reply string, turns array<int>, at int")
     got = {r.pair_id: r for r in preference.preference_pairs(preference.edited_pairs(turns)).collect()}
-    assert set(got) == {1, 2, 4}
+    assert set(got) == {1, 2, 3, 4}
+    assert not got[3].differs and got[3].prompt == "<|user|>\nno reply<|end|>\n" and got[3].chosen == got[3].rejected == ""
     one = got[1]
     assert one.prompt == "<|user|>\nhi<|end|>\n" and one.prompt_turns == 1
     assert one.chosen == "<|assistant|>\na<|end|>\n<|unknown|>\n<|end|>\n" and one.rejected.startswith("<|assistant|>\nb")
     assert [one.chosen[s.start:s.end] for s in one.chosen_trained] == ["a<|end|>\n"[:len("a") + 8]]
     assert not got[2].differs and got[2].chosen == ""  # the next reply is the same
     assert preference.preference_pairs(preference.edited_pairs(turns.limit(0))).count() == 0
+
+
+def test_lattice_against_enumeration(pieces):
+    """Chances of all segmentations of short tokens, enumerated one by one."""
+    def segmentations(text):
+        if not text:
+            return [((), 0.0)]
+        out = []
+        for k in range(1, len(text) + 1):
+            p = pieces.find(sp_sampling._hash_all([text[:k]]))[0]
+            if p >= 0:
+                out += [((int(pieces.ids[p]), *rest), pieces.logs[p] + more) for rest, more in segmentations(text[k:])]
+        return out
+    for text in ("that", "than", "aaaa", "étés"):
+        want = segmentations(sp_sampling.BLANK + text)
+        total = np.logaddexp.reduce([w for _, w in want])
+        got = sp_sampling.sample_group([text], [3], pieces, len(want) + 1)[0]
+        assert {tuple(s[0].tolist()): round(s[1], 9) for s in got} == {ids: round(float(w - total), 9) for ids, w in want}
+
+
+def test_plain_vocabulary(pieces):
+    again = sp_sampling.Pieces.of(pieces.plain())
+    texts, keys = ["the cat sat on the mat", "ほ x"], [4, 5]
+    one, two = (sp_sampling.sample_group(texts, keys, v, 2) for v in (pieces, again))
+    assert [[s[0].tolist() for s in r] for r in one] == [[s[0].tolist() for s in r] for r in two]
