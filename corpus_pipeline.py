@@ -3,7 +3,8 @@
 Five stages, each over everything its predecessor kept:
 
 1. quality: the positive-unlabelled classifier; documents it rejects go.
-2. near duplicates: the n-gram Jaccard join; one document of each group stays, the smallest id.
+2. near duplicates: the n-gram Jaccard join; one document of each group stays, the smallest id.  Texts that
+   share an id are compared like others; of rows with equal id and text one stays.
 3. substrings: relative Lempel-Ziv parsing; repeated passages of 50 words or more are cut, and
    documents of which nothing is left go.
 4. mixing: Pfair scheduling by the square root of the sources' sizes; rows in the order of the mix.
@@ -33,13 +34,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    members, _ = ngram_jaccard_join(docs)
-    gone = members.where("component_id <> doc_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    # rows that share an id are one node of the join: one of them stays
-    rows = with_id.select(F.struct(*docs.columns).alias("row"))
-    nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
-    return rows.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+    """One document of each group stays: the smallest id, and of texts that share it the smallest node.
+
+    A document is a node of the join by its id, or where several rows share the id by a hash of id and text, so that
+    texts are compared each on its own.  Rows that share id and text are one node; one of them stays.
+    """
+    known = docs.where("doc_id is not null")
+    many = written(known.groupBy(F.col("doc_id").alias("many_id")).count().where("count > 1").select("many_id"), "repeated-ids")
+    own = F.xxhash64("row.doc_id", "row.text")
+    rows = known.select(F.struct(*docs.columns).alias("row"))
+    single, shared = rows.withColumn("node", F.col("row.doc_id").cast("long")), None
+    if not many.isEmpty():
+        on = F.col("row.doc_id") == F.col("many_id")
+        single = single.join(many, on, "left_anti")
+        shared = rows.join(many, on, "left_semi").withColumn("node", own).dropDuplicates(["node"])
+    nodes = single if shared is None else single.unionByName(shared)
+    members, _ = ngram_jaccard_join(nodes.select("node", F.col("row.text").alias("text")), id_col="node")
+    placed = members.select(F.col("doc_id").alias("node"), "component_id")
+    if shared is None:
+        gone = placed.where("node <> component_id").select(F.col("node").alias("gone"))
+    else:
+        ids = shared.select("node", F.col("row.doc_id").cast("long").alias("real"))
+        named = placed.join(ids, "node", "left").withColumn("real", F.coalesce("real", "node"))
+        best = named.groupBy("component_id").agg(F.min(F.struct("real", "node")).alias("best"))
+        gone = named.join(best, "component_id").where("node <> best.node").select(F.col("node").alias("gone"))
+    gone = written(gone, "near-duplicates")
+    kept = nodes.join(gone.hint("shuffle_hash"), F.col("node") == F.col("gone"), "left_anti")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
