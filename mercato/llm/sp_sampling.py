@@ -43,7 +43,7 @@ from mercato.llm.common import BASE, batches, mix, powers, small_batches, table,
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-GROUP = 1 << 19
+GROUP = 1 << 17
 BLANK = "▁"
 _U = np.uint64
 _TOKEN = re.compile(" *[^ ]+| +")
