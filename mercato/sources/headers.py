@@ -9,11 +9,11 @@ which separator splits a line into the most known columns.
 from __future__ import annotations
 
 import csv
-import json
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SEPARATORS = (",", ";", "\t")
 
@@ -60,18 +60,42 @@ def separator(line: str, names: Names) -> str:
     return max(SEPARATORS, key=lambda s: (names.known(fields(line, s)), len(fields(line, s))))
 
 
+def _first_line(spark: SparkSession, path: str, *facts):
+    """Facts about the first line that is not blank (a document may be one line of any length, so not the line itself)."""
+    lines = spark.read.text(path).where(F.trim("value") != "").limit(1)
+    return lines.select(F.substring(F.ltrim("value"), 1, 200).alias("begin"), *facts).first()
+
+
 def is_json_document(spark: SparkSession, path: str) -> bool:
     """One JSON document per file (an array, or an object over several lines), as against one record per line."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first or first[0][0].lstrip().startswith("["):
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*"', "")
+    closed = F.length(F.regexp_replace(bare, "[^{]", "")) == F.length(F.regexp_replace(bare, "[^}]", ""))
+    first = _first_line(spark, path, closed.alias("closed"))
+    if first is None or first.begin.startswith("[") or not first.closed:
         return True
-    try:
-        json.loads(first[0][0])
+    if not re.match(r'\{\s*"(?:data|results)"\s*:\s*\[', first.begin):
         return False
-    except ValueError:
-        return True
+    # an array in an object on one line: a document if it stands alone in its file, else one of many pages
+    text = spark.read.text(path)
+    file = text.metadataColumn("_metadata")["file_path"]
+    per_file = text.where(F.trim("value") != "").groupBy(file.alias("file")).count()
+    return per_file.agg(F.max("count")).first()[0] == 1
+
+
+def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON files: one a line, or the elements of a document's array, which many tasks read.
+
+    Documents of another form (one object over several lines) are read whole, one task a file.
+    """
+    if not is_json_document(spark, path):
+        return spark.read.json(path)
+    from mercato.sources.ranges import json_lines
+    folder = json_lines(spark, path)
+    if folder is None:
+        return spark.read.option("multiLine", True).json(path)
+    return spark.read.json(folder)
 
 
 def looks_like_json(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip()[:1] in "[{"
+    first = _first_line(spark, path)
+    return first is not None and first.begin[:1] in ("[", "{")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.functions.core import default_number
 from mercato.functions.parse import parse_date_first, parse_number
-from mercato.sources.headers import is_json_document, looks_like_json
+from mercato.sources.exports import first_lines, groups
+from mercato.sources.headers import Kind, Names, kind_of, looks_like_json, read_json_rows
 
 # Header map and API field map of the social-ads exports.
 CSV_COLUMNS = {
@@ -68,27 +70,42 @@ def action_value(actions: Column, action_type: str) -> Column:
     return F.coalesce(F.try_element_at(hit, F.lit(1))["value"].cast("string").try_cast("double"), F.lit(0.0))
 
 
+NAMES = Names(CSV_COLUMNS, {'Amount spent': 'spend'})
+# Headers that tell a social-ads export, two of them at least.
+KINDS = (Kind('social', frozenset({'Campaign name', 'Impressions', 'Reach'}), hits=2),)
+
+
+def header_kind(headers: list[str]) -> str:
+    """``social`` for the header of a social-ads export, else ``unknown``."""
+    return kind_of([h.strip().strip('"') for h in headers], KINDS, 'unknown')
+
+
 def read_social_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    raw = (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
-           .option("escape", '"').option("columnPruning", False).csv(path))
-    cols = {}
-    for c in raw.columns:
-        name = c.strip()
-        target = CSV_COLUMNS.get(name) or ('spend' if name.startswith('Amount spent') else name)
-        if target not in cols:
-            cols[target] = F.col(f"`{c}`")
-    df = raw.select(*[e.alias(n) for n, e in cols.items()])
-    for c in NUMERIC:
-        if c in df.columns:
-            df = df.withColumn(c, parse_number(c, default=0.0))
-    if 'date_start' in df.columns:
-        df = df.withColumn('date_start', F.to_date(parse_date_first('date_start', DATE_FORMATS)))
-    return with_base_columns(df)
+    """Insight rows of CSV exports; each file is read by its own header.  Headers of another kind raise an error."""
+    found = groups(spark, path, first_lines(spark, path, encoding), NAMES, encoding)
+    other = [",".join(g.headers)[:80] for g in found if header_kind(g.headers) == 'unknown']
+    if other or not found:
+        raise ValueError(f"no social-ads export: {'; '.join(other) or path}")
+    rows = None
+    for g in found:
+        cols = {}
+        for i, c in enumerate(g.headers):
+            target = NAMES.column(c) or c.strip().strip('"')
+            if target not in cols:
+                cols[target] = F.col(f"c{i}")
+        df = g.rows.where("surplus is null").select(*[e.alias(n) for n, e in cols.items()])
+        for c in NUMERIC:
+            if c in df.columns:
+                df = df.withColumn(c, parse_number(c, default=0.0))
+        if 'date_start' in df.columns:
+            df = df.withColumn('date_start', F.to_date(parse_date_first('date_start', DATE_FORMATS)))
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    return with_base_columns(rows)
 
 
 def read_social_json(spark: SparkSession, path: str) -> DataFrame:
     """API insight rows (list, ``{data: [...]}`` or one object) with ``actions`` / ``action_values`` arrays."""
-    raw = spark.read.option("multiLine", is_json_document(spark, path)).json(path)
+    raw = read_json_rows(spark, path)
     if 'data' in raw.columns and isinstance(raw.schema['data'].dataType, T.ArrayType):
         raw = raw.select(F.explode('data').alias('_r')).select('_r.*')
     cols = {canon: F.col(api) for api, canon in API_FIELDS.items() if api in raw.columns}
@@ -100,7 +117,7 @@ def read_social_json(spark: SparkSession, path: str) -> DataFrame:
     df = raw.select(*[e.alias(n) for n, e in cols.items()])
     for c in NUMERIC:
         if c in df.columns:
-            df = df.withColumn(c, F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)))
+            df = df.withColumn(c, default_number(c))
     if 'date_start' in df.columns:
         df = df.withColumn('date_start', F.to_date(parse_date_first(F.col('date_start').cast("string"), DATE_FORMATS)))
     return with_base_columns(df)

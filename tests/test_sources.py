@@ -271,3 +271,115 @@ def test_folder_of_exports_with_different_headers(spark, tmp_path):
     _write(folder, "part2.csv", "E,2024-01-05,5,50\n")
     with pytest.raises(ValueError, match="part2.csv"):
         search.read_ads_csv(spark, str(folder))
+
+
+def test_folders_of_store_and_social_exports(spark, tmp_path):
+    """Each file by its own header: other column order, other separator, other platform."""
+    shop = tmp_path / "shop"
+    shop.mkdir()
+    (shop / "a.csv").write_text("Name,Email,Created at,Financial Status,Subtotal,Total,Lineitem name,Lineitem quantity\n"
+                                "#1,a@x,2024-12-31T10:05:00+0000,paid,80,99,Cap,1\n")
+    (shop / "b.csv").write_text("Name;Total;Subtotal;Created at;Financial Status;Lineitem name;Lineitem quantity;Note\n"
+                                "#2;99;80;2024-12-31T10:05:00+0000;paid;Cap;1;hi\n")
+    (shop / "c.csv").write_text("Order ID,Order Status,Order Date,Product Name,Quantity,Product Price,Order Total\n"
+                                "7,wc-completed,2024-03-01 12:00:00,Mate,2,5.5,11\n")
+    lines, platform = store.read_store_csv(spark, str(shop))
+    assert platform == "shopify,woocommerce"
+    got = {r["order_id"]: (r["total"], r["subtotal"], r["order_status"], r["Note"]) for r in lines.collect()}
+    assert got == {"#1": (99.0, 80.0, "closed", None), "#2": (99.0, 80.0, "closed", "hi"), "7": (11.0, None, "closed", None)}
+    meta = tmp_path / "meta"
+    meta.mkdir()
+    (meta / "a.csv").write_text("Campaign name,Day,Impressions,Reach,Amount spent (USD)\nC1,2024-12-01,900,5,7\n")
+    (meta / "b.csv").write_text("Campaign name,Day,Amount spent (EUR),Reach,Impressions\nC2,2024-12-01,7,5,900\n")
+    got = {r["campaign_name"]: (r["impressions"], r["spend"]) for r in social.read_social_csv(spark, str(meta)).collect()}
+    assert got == {"C1": (900.0, 7.0), "C2": (900.0, 7.0)}
+
+
+def test_social_header_check(spark, tmp_path):
+    assert social.header_kind(["Campaign name", " Reach"]) == "social" and social.header_kind(["Reach", "Name"]) == "unknown"
+    with pytest.raises(ValueError, match="Name,Total"):
+        social.read_social_csv(spark, _write(tmp_path, "x.csv", "Name,Total\n1,2\n"))
+
+
+@pytest.fixture()
+def tiny_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_file_in_many_ranges(spark, tmp_path, tiny_ranges):
+    """Quoted line breaks, doubled and stray quotes, CRLF and a field longer than several ranges: the rows of a whole read."""
+    import random
+    from mercato.sources import ranges
+    rnd = random.Random(4)
+
+    def value():
+        x = "".join(rnd.choice(["a", "b", "é", " ", '"', "\n", ",", ";", "\r\n", '5" pipe', "x" * 30]) for _ in range(rnd.randrange(0, 6)))
+        if any(c in x for c in '",\n\r') and rnd.random() < 0.95 or rnd.random() < 0.2:
+            return '"' + x.replace('"', '""') + '"'
+        return x.replace("\n", "").replace("\r", "").replace(",", "").lstrip('"')
+    rows = [",".join(value() for _ in range(4)) for _ in range(2000)]
+    rows.insert(1000, 'a,"' + "long\n" * 3000 + '",c,d')
+    path = tmp_path / "x.csv"
+    path.write_text("h1,h2,h3,h4\n" + "\n".join(rows) + "\n", newline="")
+    read = ranges.pieces(spark, str(path), "\n")
+    assert read.rdd.getNumPartitions() > 20
+    kinds = read.select("f").distinct().withColumn("kind", F.lit(0).cast("long"))
+    got = ranges.csv_fields(ranges.records(spark, str(path), kinds, [ranges.csv_scan(",")]), 4, ",").orderBy("line_no").collect()
+    want = (spark.read.option("multiLine", True).option("escape", '"').option("columnPruning", False)
+            .schema("a string, b string, c string, d string").csv(str(path)).collect())
+    assert [tuple(r["fields"][:4]) for r in got] == [tuple(r) for r in want]
+    assert len({r["line_no"] for r in got}) == len(got)
+
+
+def test_large_exports_in_many_ranges(spark, tmp_path, tiny_ranges):
+    notes = ['"two\nlines, ""quoted"""', "plain", '"; not a separator"', "'"]
+    text = "Campaign report\n\"All\ntime\"\nCampaign,Day,Impressions,Clicks,Cost (USD),Ad group\n" + "".join(
+        f"C{i % 7},2024-12-{i % 28 + 1:02d},{i},{i % 5},\"{i},50\",{notes[i % 4]}\n" for i in range(1500))
+    rows, kind, currency = search.read_ads_csv(spark, _write(tmp_path, "big.csv", text))
+    assert (kind, currency) == ("campaign", "USD") and rows.rdd.getNumPartitions() > 1
+    got = rows.agg(F.count("*"), F.sum("impressions"), F.sum("cost"), F.count_distinct("ad_group_name")).first()
+    assert tuple(got) == (1500, sum(range(1500)), sum(i + 0.5 for i in range(1500)), 4)
+    latin = "Número de orden;Email;Fecha;Estado de la orden;Total;Nombre del producto\n" + "".join(
+        f"{i};a{i}@x;31/12/2024 10:05;Cerrada;{i},50;\"Ñandú\n{i % 3}\"\n" for i in range(800))
+    path = tmp_path / "latin.csv"
+    path.write_bytes(latin.encode("latin-1"))
+    lines, platform = store.read_store_csv(spark, str(path), encoding="ISO-8859-1")
+    assert platform == "tiendanube"
+    assert tuple(lines.agg(F.count("*"), F.sum("total"), F.count_distinct("product_name"), F.min("date")).first()) == (
+        800, sum(i + 0.5 for i in range(800)), 3, dt.datetime(2024, 12, 31, 10, 5))
+    order = [r["order_id"] for r in lines.orderBy("line_no").collect()]
+    assert order == [str(i) for i in range(800)]
+
+
+@pytest.mark.parametrize("form", ["array", "data", "results", "object"])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_documents_in_many_ranges(spark, tmp_path, tiny_ranges, form, indent):
+    rows = [{"campaign": {"name": f"C{i}", "note": 'a }{ ][ " \\ \n x' * (i % 3)}, "metrics": {"impressions": str(i), "cost_micros": i * 1000000},
+             "segments": {"date": "2024-12-01"}, "l": [{"a": 1}, {"b": [2, {}]}]} for i in range(400)]
+    doc = {"array": rows, "data": {"data": rows, "paging": {"cursors": {"after": "x"}, "z": [{"q": 1}]}}, "results": {"results": rows},
+           "object": {"paging": {"next": None}, "data": rows}}[form]
+    got = search.read_ads_json(spark, _write(tmp_path, "api.json", json.dumps(doc, indent=indent)))
+    assert tuple(got.agg(F.count("*"), F.sum("impressions"), F.sum("cost"), F.count_distinct("campaign_name")).first()) == (400, 79800, 79800.0, 400)
+
+
+def test_pages_of_json_lines(spark, tmp_path):
+    pages = "\n".join(json.dumps({"data": [{"campaign_name": f"C{p}{i}", "impressions": "1"} for i in range(3)]}) for p in range(4))
+    assert social.read_social_json(spark, _write(tmp_path, "pages.json", pages)).count() == 12
+
+
+def test_network_breakdown(spark, tmp_path):
+    text = ("Campaign,Network,Day,Impressions,Clicks,Cost (USD),Conversions,Conv. value\n"
+            "A,Search,2024-12-01,100,10,50,5,500\nA,Search partners,2024-12-01,300,10,30,1,50\nB,Search,2024-12-02,100,20,20,4,400\nB,,2024-12-02,9,9,9,9,9\n")
+    rows, _, _ = search.read_ads_csv(spark, _write(tmp_path, "net.csv", text))
+    from mercato.operators.social.extensions import network_breakdown
+    df = network_breakdown(Context(spark, campaign=rows))
+    got = {r["network"]: r for r in df.collect()}
+    assert {n: (r["kind"], r["cost"], r["clicks"], r["cost_share_pct"], r["conversions_share_pct"]) for n, r in got.items()} == {
+        "Search": ("search", 70.0, 30, 70.0, 90.0), "Search partners": ("search_partners", 30.0, 10, 30.0, 10.0), "total": ("total", 100.0, 40, 100.0, 100.0)}
+    assert got["total"]["roas"] == 9.5 and got["Search"]["cpa"] == pytest.approx(70 / 9)
+    plan = network_breakdown(Context(spark, campaign=spark.createDataFrame(rows.collect(), rows.schema)))._jdf.queryExecution()
+    assert plan.sparkPlan().toString().count("Window") == 0 and plan.executedPlan().toString().count("hashpartitioning") == 1
