@@ -1,8 +1,9 @@
 """Context: the canonical input tables an operator may read.
 
-Operators take a ``Context`` and parameters and return a DataFrame.  The
-context builds each table lazily once and persists it (memory, spilling to
-disk), because most operators of a run share the same line and order
+Operators take a ``Context`` and parameters and return a DataFrame.  A context's
+tables are lazy views: a single query reads only the columns and rows it needs.
+With ``persist`` each table is built once and kept (memory, spilling to disk), for
+runs of many operators over the same line and order
 tables.  Persisted blocks that are lost with an executor are recomputed from
 lineage, so a lost executor costs time, not correctness.
 """
@@ -42,7 +43,7 @@ class MissingTable(LookupError):
 
 
 class Context:
-    def __init__(self, spark: SparkSession, persist: bool = True, **builders: Callable[[], DataFrame] | DataFrame):
+    def __init__(self, spark: SparkSession, persist: bool = False, **builders: Callable[[], DataFrame] | DataFrame):
         unknown = set(builders) - set(_TABLES)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
@@ -70,7 +71,7 @@ class Context:
         return self._cache[name]
 
     def derived(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table derived from the inputs and shared by several operators, built and persisted once."""
+        """A table derived from the inputs and shared by several operators, built once (and kept with ``persist``)."""
         name = "derived:" + key
         if name not in self._cache:
             df = build()
@@ -95,32 +96,28 @@ class Context:
     events = property(lambda self: self.table("events"))
 
     # ------------------------------------------------------------ fixtures
-    _memo: dict = {}
-
     @classmethod
-    def from_fixture(cls, spark: SparkSession, sf_dir: str, persist: bool = True) -> "Context":
-        """Canonical views derived from the benchmark parquet tables (memoised per session)."""
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), persist)
-        ctx = cls._memo.get(key)
-        if ctx is None:
-            from mercato.sources import fixtures as fx
-
-            def rows(table: str) -> int:
-                # parquet row counts come from the file footers: no column data is read
-                return fx.read(spark, sf_dir, table).count()
-
-            ctx = cls(
-                spark, persist=persist,
-                lines=lambda: spread(fx.lines_view(spark, sf_dir), "order_id", rows=rows("lineitem")),
-                orders=lambda: spread(fx.orders_view(spark, sf_dir), "order_id", rows=rows("orders")),
-                # campaign / social rows are aggregates on a bounded grain (day x hour x segment x device)
-                campaign=lambda: spread(fx.campaign_view(spark, sf_dir)),
-                keyword=lambda: spread(fx.keyword_view(spark, sf_dir), rows=rows("part")),
-                search_term=lambda: spread(fx.search_term_view(spark, sf_dir), rows=rows("part")),
-                ad=lambda: spread(fx.ad_view(spark, sf_dir), rows=rows("part")),
-                auction=lambda: fx.auction_view(spark, sf_dir),
-                social=lambda: spread(fx.social_view(spark, sf_dir)),
-                events=lambda: spread(fx.events_view(spark, sf_dir), rows=rows("events")),
-            )
-            cls._memo[key] = ctx
-        return ctx
+    def from_fixture(cls, spark: SparkSession, sf_dir: str, persist: bool = False) -> "Context":
+        """Canonical views derived from the benchmark parquet tables; with ``persist`` laid out by their keys and kept."""
+        from mercato.sources import fixtures as fx
+
+        def rows(table: str) -> int:
+            # parquet row counts come from the file footers: no column data is read
+            return fx.read(spark, sf_dir, table).count()
+
+        def laid_out(view: DataFrame, *keys: str, of: str | None = None) -> DataFrame:
+            return spread(view, *keys, rows=rows(of) if of else None) if persist else view
+
+        return cls(
+            spark, persist=persist,
+            lines=lambda: laid_out(fx.lines_view(spark, sf_dir), "order_id", of="lineitem"),
+            orders=lambda: laid_out(fx.orders_view(spark, sf_dir), "order_id", of="orders"),
+            # campaign / social rows are aggregates on a bounded grain (day x hour x segment x device)
+            campaign=lambda: laid_out(fx.campaign_view(spark, sf_dir)),
+            keyword=lambda: laid_out(fx.keyword_view(spark, sf_dir), of="part"),
+            search_term=lambda: laid_out(fx.search_term_view(spark, sf_dir), of="part"),
+            ad=lambda: laid_out(fx.ad_view(spark, sf_dir), of="part"),
+            auction=lambda: fx.auction_view(spark, sf_dir),
+            social=lambda: laid_out(fx.social_view(spark, sf_dir)),
+            events=lambda: laid_out(fx.events_view(spark, sf_dir), of="events"),
+        )

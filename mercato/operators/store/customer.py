@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,22 +282,22 @@ FEATURES = ["_f0", "_f1", "_f2", "_f3"]
 
 def customer_features(ctx) -> DataFrame:
     """Spend, orders, AOV and recency per customer, and the four on the 0..1 grid (min-max over all customers)."""
-    def build():
-        o = customer_orders(ctx.orders)
-        max_date = o.agg(F.max("date")).scalar()
-        c = o.groupBy("email").agg(F.sum("total").alias("total_spend"), F.count("order_id").alias("order_count"),
-                                   F.avg("total").alias("aov"), F.max("date").alias("_last"))
-        c = c.withColumn("days_since_last", whole_days(max_date, "_last")).drop("_last")
-        names = ["total_spend", "order_count", "aov", "days_since_last"]
-        ends = c.agg(F.struct(*[F.struct(F.min(f).alias("low"), F.max(f).alias("high")).alias(f) for f in names])).scalar()
-        return c.select("*", *[on_grid(F.col(f), ends[f]["low"], ends[f]["high"]).alias(x) for f, x in zip(names, FEATURES)])
-    # every round reads the features again: one copy per context
-    return ctx.derived("customer_features", build)
+    o = customer_orders(ctx.orders)
+    max_date = o.agg(F.max("date")).scalar()
+    c = o.groupBy("email").agg(F.sum("total").alias("total_spend"), F.count("order_id").alias("order_count"),
+                               F.avg("total").alias("aov"), F.max("date").alias("_last"))
+    c = c.withColumn("days_since_last", whole_days(max_date, "_last")).drop("_last")
+    names = ["total_spend", "order_count", "aov", "days_since_last"]
+    ends = c.agg(F.struct(*[F.struct(F.min(f).alias("low"), F.max(f).alias("high")).alias(f) for f in names])).scalar()
+    return c.select("*", *[on_grid(F.col(f), ends[f]["low"], ends[f]["high"]).alias(x) for f, x in zip(names, FEATURES)])
 
 
 def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20) -> DataFrame:
-    """k-means on min-max scaled spend, orders, AOV and recency; profile per cluster (clusters without customers left out)."""
-    x = customer_features(ctx)
+    """k-means on min-max scaled spend, orders, AOV and recency; profile per cluster (clusters without customers left out).
+
+    Every round reads the features again, so they are kept until the profile, at most ``max_k`` rows, is done.
+    """
+    x = customer_features(ctx).persist(StorageLevel.MEMORY_AND_DISK)
     n = x.count()
     k = max(2, min(max_k, n // 5))
     found = centres(x, "email", FEATURES, [k])[0] if n >= min_customers else [[0.0] * len(FEATURES)] * 2
@@ -307,7 +308,10 @@ def niche_clusters(ctx, max_k: int = 4, min_customers: int = 20) -> DataFrame:
     # k profile rows: the ranking window is bounded
     rank = F.row_number().over(Window.orderBy(F.col("avg_spend").desc(), "cluster"))
     labels = F.array(*[F.lit(x) for x in CLUSTER_LABELS])
-    return prof.select(
+    out = prof.select(
         "cluster", "size", (F.col("size") * 100.0 / F.lit(max(n, 1))).alias("pct"), "avg_spend", "avg_orders", "avg_aov", "avg_recency",
         F.coalesce(F.try_element_at(labels, rank), F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("label")
     ).where(F.lit(n >= min_customers))
+    done = ctx.spark.createDataFrame(out.collect(), out.schema)
+    x.unpersist()
+    return done

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,12 +210,15 @@ def price_elasticity(ctx, min_prices: int = 3) -> DataFrame:
 
 def kmeans_elbow(ctx, ks: tuple = (3, 4, 5)) -> DataFrame:
     """Within-cluster sum of squares of k-means on the scaled customer features for several k."""
-    x = cu.customer_features(ctx)
+    x = cu.customer_features(ctx).persist(StorageLevel.MEMORY_AND_DISK)
     found = centres(x, "email", cu.FEATURES, list(ks))
     costs = [F.sum((F.least(*d) if len(d) > 1 else d[0] if d else F.lit(0.0)) / F.lit(float(GRID) * GRID))
              for d in (distances(cu.FEATURES, c) for c in found)]
     row = x.agg(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("inertia")) for k, c in zip(ks, costs)]).alias("all"))
-    return row.select(F.explode("all").alias("r")).select("r.*")
+    out = row.select(F.explode("all").alias("r")).select("r.*")
+    done = ctx.spark.createDataFrame(out.collect(), out.schema)  # one row per k
+    x.unpersist()
+    return done
 
 
 def degraded_months(ctx, factor: float = 1.5, max_days: int = 60) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from mercato.context import MissingTable
+from mercato.operators.store.orders import required_columns
 from mercato.plans.registry import REGISTRY
+from mercato.session import ensure_checkpoint_dir
 
 # Which keys make up the lite / full runs of each report (reference analysis order).
 STORE_LITE = [
@@ -52,44 +57,84 @@ SOCIAL_FULL = SOCIAL_LITE + [
     "ma_video_completion", "ma_video_completion_ads", "ma_forecast", "ma_overlap_cv", "ma_pacing",
     "ma_marginal_cpa", "ma_marginal_trend", "ma_attribution_windows",
 ]
-# analyses the exports cannot feed (per-window attribution columns come from separate API calls)
-UNAVAILABLE = {"ma_attribution_windows": "needs purchases and values per attribution window (1d/7d/28d click, "
-                                         "1d view), which the exports do not carry"}
+# The columns without which an analysis has nothing to say, by table.
+REQUIRED: dict[str, dict[str, list[str]]] = {
+    "lines": {
+        "product_name": ["ec_basket_pairs", "ec_basket_trios", "ec_basket_summary", "ec_category_affinity", "ec_category_distribution",
+                         "ec_product_ranking", "ec_anchor_products", "ec_pareto", "ec_cancel_by_product", "ec_revenue_by_category", "ec_bundles",
+                         "ec_color_distribution", "ec_color_pairs", "ec_size_distribution", "ec_multi_size_customers", "ec_product_lifecycle",
+                         "ec_lifecycle_stages", "ec_cross_sell", "ec_category_pricing", "ec_underpriced", "ec_overpriced", "ec_vip_products",
+                         "ec_churn_products"],
+        "product_price": ["ec_bundles", "ec_price_stats", "ec_price_sweet_spots", "ec_category_pricing", "ec_underpriced", "ec_overpriced"],
+        "sku": ["ec_sku_variants"],
+    },
+    "orders": {
+        "email": ["ec_rfm_scores", "ec_rfm_segments", "ec_clv", "ec_clv_top", "ec_clv_quartiles", "ec_cohort_matrix", "ec_cohort_curve", "ec_repurchase",
+                  "ec_purchase_gaps", "ec_order_count_distribution", "ec_new_vs_returning", "ec_upgrade_pattern", "ec_top_upgraders",
+                  "ec_vip_customers", "ec_vip_summary", "ec_vip_products", "ec_vip_states", "ec_churn", "ec_churn_products", "ec_niche_clusters"],
+        "state": ["ec_geo_revenue", "ec_shipping_by_state", "ec_vip_states", "ec_shipping_method_crosstab"],
+        "city": ["ec_city_penetration"], "coupon": ["ec_top_coupons"], "channel": ["ec_revenue_by_channel", "ec_channel_analysis"],
+        "payment_method": ["ec_payment_mix", "ec_payment_mix_monthly", "ec_cancel_by_payment"],
+        "shipping_method": ["ec_shipping_method_crosstab", "ec_fulfillment_by_method"],
+        "shipping_date": ["ec_fulfillment_stats", "ec_fulfillment_by_method", "ec_fulfillment_monthly"],
+    },
+}
 SETS = {("store", "lite"): STORE_LITE, ("store", "full"): STORE_FULL, ("search", "lite"): SEARCH_LITE,
         ("search", "full"): SEARCH_FULL, ("social", "lite"): SOCIAL_LITE, ("social", "full"): SOCIAL_FULL}
 INPUTS = {"store": ["lines"], "search": ["campaign"], "social": ["social"]}
 
 
-def run_catalogue(ctx, domain: str, mode: str = "lite", params: dict | None = None
-                  ) -> tuple[dict[str, DataFrame], DataFrame]:
+def missing_columns(ctx, keys: list[str]) -> dict[str, str]:
+    """Analysis -> the required columns that its table lacks or holds no value of; one aggregate per table."""
+    out: dict[str, list[str]] = {}
+    for table, columns in REQUIRED.items():
+        wanted = [c for c, users in columns.items() if set(users) & set(keys)]
+        if wanted:
+            held = required_columns(ctx.table(table), wanted).first()
+            for c in wanted:
+                for key in columns[c] if not held[c] else []:
+                    out.setdefault(key, []).append(c)
+    return {key: ", ".join(cols) for key, cols in out.items()}
+
+
+def run_catalogue(ctx, domain: str, mode: str = "lite", params: dict | None = None, path: str | None = None,
+                  fmt: str = "parquet") -> tuple[dict[str, DataFrame], DataFrame]:
     """Run every analysis of a set; returns (results, status).
 
-    An analysis whose inputs are missing, or whose result is empty (the
-    reference's "not enough data" guards), is marked ``skipped``.  Errors other
-    than missing inputs are not swallowed: they surface to the caller.
+    Each plan runs once: its result is written below ``path`` (a scratch folder unless given) while its rows are
+    counted by an observation, and ``results`` reads it back.  An analysis whose inputs or required columns are
+    missing, or whose result is empty (the reference's "not enough data" guards), is marked ``skipped``; one that
+    fails is marked ``error`` with its message, and the others go on.
     """
     params = params or {}
+    spark, keys = ctx.spark, SETS[(domain, mode)]
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
     results: dict[str, DataFrame] = {}
-    status = []
+    status: list[tuple[str, str, str | None]] = []
     missing = [t for t in INPUTS[domain] if not ctx.has(t)]
-    for key in SETS[(domain, mode)]:
-        if key in UNAVAILABLE:
-            status.append((key, "skipped", UNAVAILABLE[key]))
-            continue
-        if missing:
-            status.append((key, "skipped", f"missing input: {', '.join(missing)}"))
+    if missing:
+        status = [(key, "skipped", f"missing input: {', '.join(missing)}") for key in keys]
+        return results, spark.createDataFrame(status, STATUS)
+    lacking = missing_columns(ctx, keys) if domain == "store" else {}
+    for key in keys:
+        if key in lacking:
+            status.append((key, "skipped", f"missing columns: {lacking[key]}"))
             continue
-        analysis = REGISTRY[key]
         try:
-            df = analysis(ctx, **params.get(key, {}))
+            df = REGISTRY[key](ctx, **params.get(key, {}))
+            seen = Observation(key)
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt).save(f"{path}/{key}")
+            results[key] = spark.read.schema(df.schema).format(fmt).load(f"{path}/{key}")
+            rows = seen.get["rows"]
+            status.append((key, "ok", None) if rows else (key, "skipped", "insufficient data"))
         except MissingTable as e:
             status.append((key, "skipped", f"missing input: {e}"))
-            continue
-        results[key] = df
-        empty = df.limit(1).count() == 0
-        status.append((key, "skipped" if empty else "ok", "insufficient data" if empty else None))
-    st = ctx.spark.createDataFrame(status, "analysis string, status string, reason string")
-    return results, st
+        except Exception as e:  # one analysis must not end the run; its message is the row
+            status.append((key, "error", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:500]))
+    return results, spark.createDataFrame(status, STATUS)
+
+
+STATUS = "analysis string, status string, reason string"
 
 
 def write_results(results: dict[str, DataFrame], status: DataFrame, path: str) -> None:

@@ -27,7 +27,7 @@ SAMPLE = ["ec_monthly_revenue", "ec_rfm_scores", "ec_cohort_matrix", "ec_basket_
 
 @pytest.fixture(scope="module")
 def ctx(spark):
-    return Context.from_fixture(spark, SF_SMALL)
+    return Context.from_fixture(spark, SF_SMALL, persist=True)
 
 
 @pytest.fixture(scope="module")

@@ -239,9 +239,33 @@ def test_minimal_exports_run_the_catalogue(spark, tmp_path):
 
 
 def test_every_catalogue_key_is_registered():
-    from mercato.plans.catalogue import SETS, UNAVAILABLE
+    from mercato.plans.catalogue import REQUIRED, SETS
     from mercato.plans.registry import REGISTRY
-    assert not {k for keys in SETS.values() for k in keys} - set(REGISTRY) - set(UNAVAILABLE)
+    assert not {k for keys in SETS.values() for k in keys} - set(REGISTRY)
+    assert not {k for columns in REQUIRED.values() for users in columns.values() for k in users} - set(REGISTRY)
+
+
+def test_an_error_is_a_status_row(spark, tmp_path, monkeypatch):
+    """A failing analysis ends neither the run nor the others; each plan runs once; missing columns skip."""
+    from mercato.plans import catalogue
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(ctx):
+        def once(it):
+            for b in it:
+                runs.add(b.num_rows)
+                yield b
+        return ctx.lines.select("order_id").mapInArrow(once, "order_id string")
+    monkeypatch.setitem(catalogue.SETS, ("store", "tiny"), ["good", "bad", "broken", "ec_sku_variants", "none"])
+    for key, fn in (("good", counted), ("bad", lambda ctx: ctx.lines.select(F.raise_error(F.lit("no luck")).alias("x"))),
+                    ("broken", lambda ctx: ctx.lines.select("no_such_column")), ("none", lambda ctx: ctx.lines.where("false"))):
+        monkeypatch.setitem(catalogue.REGISTRY, key, fn)
+    lines = spark.createDataFrame([("a", None), ("b", None)], "order_id string, sku string")
+    results, status = catalogue.run_catalogue(Context(spark, lines=lines), "store", "tiny", path=str(tmp_path / "out"), fmt="json")
+    got = {r["analysis"]: (r["status"], r["reason"]) for r in status.collect()}
+    assert got["good"] == ("ok", None) and got["none"] == ("skipped", "insufficient data") and got["ec_sku_variants"] == ("skipped", "missing columns: sku")
+    assert got["bad"][0] == got["broken"][0] == "error" and "no_such_column" in got["broken"][1]
+    assert results["good"].count() == 2 and runs.value == 2 and spark.read.json(str(tmp_path / "out" / "good")).count() == 2
 
 
 def test_month_end_comparison(spark):
