@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import batches, discard, mix, partitions, table, text_bytes, window_hashes, word_hashes, written
+from mercato.llm.common import batches, discard, mix, partitions, small_batches, table, text_bytes, tidy, window_hashes, word_hashes, written
 
 WINDOW = 50
 BLOCK = 25
@@ -155,14 +155,23 @@ def _index_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ref_doc, ref_seq, ref_place = (phrase[-1], block[-1], salt[-1]), rd[-1], rs[-1], rp[-1]
 
 
+_FACTOR = ("start", "length", "ref_doc", "ref_seq", "ref_start")
+
+
 def _parse(window: int):
-    """Hits in order of (doc, seq, place) -> factors: runs that continue in one reference."""
+    """Hits in order of (doc, seq, place) -> the factors of each (doc, seq): runs that continue in one reference."""
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        """One row per (doc, seq) of sorted rows (doc, seq, start, hits, ref_doc, ref_seq, ref_start)."""
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+        first = np.flatnonzero(new)
+        lengths = rows[:, 3] + window - 1
+        parts = pa.StructArray.from_arrays([pa.array(c) for c in (rows[:, 2], lengths, rows[:, 4], rows[:, 5], rows[:, 6])], names=list(_FACTOR))
+        factors = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), parts)
+        return pa.record_batch([pa.array(rows[first, 0]), pa.array(rows[first, 1]), factors], names=["doc_id", "seq", "factors"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run = None  # doc, seq, start, hits, ref_doc, ref_seq, ref_start
-        def out(rows):
-            doc, seq, start, hits, ref, ref_seq, ref_start = (np.array(x, dtype=np.int64) for x in zip(*rows))
-            return pa.record_batch([pa.array(x) for x in (doc, seq, start, hits + window - 1, ref, ref_seq, ref_start)],
-                                   names=["doc_id", "seq", "start", "length", "ref_doc", "ref_seq", "ref_start"])
+        held = np.zeros((0, 7), dtype=np.int64)  # factors of the (doc, seq) being read, the last of them still open
         for b in it:
             if b.num_rows == 0:
                 continue
@@ -172,18 +181,20 @@ def _parse(window: int):
                        | (ref[1:] != ref[:-1]) | (ref_seq[1:] != ref_seq[:-1]) | (at[1:] != at[:-1] + 1))
             starts = np.flatnonzero(cut)
             hits = np.diff(np.append(starts, len(doc)))
-            rows = [list(x) for x in zip(doc[starts], seq[starts], place[starts], hits, ref[starts], ref_seq[starts], at[starts])]
-            if open_run is not None:
-                d, q, s, k, r, rq, rs = open_run
-                if rows[0][:3] == [d, q, s + k] and rows[0][4:] == [r, rq, rs + k]:
-                    rows[0] = [d, q, s, k + rows[0][3], r, rq, rs]
-                else:
-                    rows.insert(0, open_run)
-            open_run = rows.pop()
-            if rows:
-                yield out(rows)
-        if open_run is not None:
-            yield out([open_run])
+            rows = np.column_stack([doc[starts], seq[starts], place[starts], hits, ref[starts], ref_seq[starts], at[starts]])
+            if len(held):
+                d, q, s, k, r, rq, rs = held[-1]
+                if (rows[0][[0, 1, 2, 4, 5, 6]] == (d, q, s + k, r, rq, rs + k)).all():
+                    rows[0, 2], rows[0, 3], rows[0, 6] = s, k + rows[0, 3], rs
+                    held = held[:-1]
+                rows = np.concatenate((held, rows))
+            last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield out(rows[:end])
+            held = rows[end:]
+        if len(held):
+            yield out(held)
     return run
 
 
@@ -237,10 +248,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed as a whole.  seq and ref_seq tell the word sequences of one id apart (0 if it has one to parse).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("raw", F.xxhash64("text"))
-    base = written(texts.mapInArrow(_sequences(window, block), "doc_id long, raw long, n_words long, sha binary, blocks array<long>"), "rlz-base")
+    base = written(texts.mapInArrow(tidy(_sequences(window, block)), "doc_id long, raw long, n_words long, sha binary, blocks array<long>"), "rlz-base")
 
     reps = (base.where("doc_id is not null").groupBy("sha")
             .agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.max(F.size("blocks")).alias("n_blocks"))
@@ -261,24 +273,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .select("doc_id", "raw", "seq", "leads", "text", "wanted").dropDuplicates(["doc_id", "raw"]), "rlz-texts")
 
     phrases = (candidates.where("leads").select("doc_id", "seq", "text", "wanted")
-               .mapInArrow(_phrases(window, block, CROWD), "phrase long, block long, salt int, doc long, seq long, place int, more binary"))
+               .mapInArrow(tidy(_phrases(window, block, CROWD)), "phrase long, block long, salt int, doc long, seq long, place int, more binary"))
     hits = written(phrases.repartition(n, "phrase", "salt").sortWithinPartitions("phrase", "block", "salt", "doc", "seq", "place")
-                   .mapInArrow(_index_hits, "phrase long, block long, head boolean, doc long, seq long, place int,"
+                   .mapInArrow(tidy(_index_hits), "phrase long, block long, head boolean, doc long, seq long, place int,"
                                             " ref_doc long, ref_seq long, ref_place int"), "rlz-hits")
     heads = hits.where("head").select("phrase", "block", "doc", "seq", "place")
     first = heads.groupBy("phrase", "block").agg(F.min(F.struct("doc", "seq", "place")).alias("f"))
     late = (heads.join(first, ["phrase", "block"]).where("doc > f.doc")
             .select("doc", "seq", "place", F.col("f.doc").alias("ref_doc"), F.col("f.seq").alias("ref_seq"), F.col("f.place").alias("ref_place")))
     found = hits.where("not head").select("doc", "seq", "place", "ref_doc", "ref_seq", "ref_place").unionByName(late)
-    factors = written(found.repartition(n, "doc", "seq").sortWithinPartitions("doc", "seq", "place")
-                      .mapInArrow(_parse(window), "doc_id long, seq long, start long, length long, ref_doc long, ref_seq long, ref_start long"),
-                      "rlz-factors")
+    fields = ", ".join(f"{name}:bigint" for name in _FACTOR)
+    parses = written(found.repartition(n, "doc", "seq").sortWithinPartitions("doc", "seq", "place")
+                     .mapInArrow(tidy(_parse(window)), f"doc_id long, seq long, factors array<struct<{fields}>>"), "rlz-factors")
 
     discard(hits)
-    spans = factors.groupBy("doc_id", "seq").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = parses.select("doc_id", "seq", F.transform("factors", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("spans"))
+    factors = parses.select("doc_id", "seq", F.explode("factors").alias("f")).select("doc_id", "seq", "f.*")
     changed = (candidates.select("doc_id", "raw", "seq", "text").join(spans.hint("shuffle_hash"), ["doc_id", "seq"])
                .select("doc_id", "raw", "text", "spans")
-               .mapInArrow(_kept(with_text), "doc_id long, raw long, n_removed long, kept_sha256 string, kept_text string"))
+               .mapInArrow(tidy(_kept(with_text)), "doc_id long, raw long, n_removed long, kept_sha256 string, kept_text string"))
     whole = F.expr(f"doc_id <> rep and n_words >= {window}")
     results = (base.select("doc_id", "raw", "n_words", "sha").join(reps.select("sha", "rep"), "sha", "left")
                .join(changed, ["doc_id", "raw"], "left")
