@@ -44,6 +44,7 @@ from mercato.llm.common import BASE, batches, mix, powers, small_batches, table,
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 GROUP = 1 << 17
+KEPT = 1 << 15
 BLANK = "▁"
 _U = np.uint64
 _TOKEN = re.compile(" *[^ ]+| +")
@@ -139,7 +140,8 @@ def _sums(code: np.ndarray) -> np.ndarray:
 
 
 def _spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+    # the codes are mixed already, so their polynomial needs no finaliser
+    return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
 
 
 def _stable_order(x: np.ndarray) -> np.ndarray:
@@ -206,6 +208,7 @@ class Lattice:
             free[r] = to + 1
             self.piece[to], self.next[to], self.last[to], log[to] = piece, at + k, rest[at] == k, weight
         beta = np.zeros(n + 1)
+        self.upto = np.zeros(edges)
         level = np.cumsum(np.bincount(rest)) if n else np.zeros(1, dtype=np.int64)
         self.log = np.zeros(edges)
         for d in range(1, len(level)):
@@ -216,13 +219,14 @@ class Lattice:
             value = log[e0:e1] + np.where(self.last[e0:e1], 0.0, beta[self.next[e0:e1]])
             first = self.ptr[p0:p1] - e0
             top = np.maximum.reduceat(value, first)
-            node = np.repeat(top, count[p0:p1])
-            here = top + np.log(np.add.reduceat(np.exp(value - node), first))
+            weight = np.exp(value - np.repeat(top, count[p0:p1]))
+            total = np.add.reduceat(weight, first)
+            here = top + np.log(total)
             beta[by_rest[p0:p1]] = here
             self.log[e0:e1] = value - np.repeat(here, count[p0:p1])
+            self.upto[e0:e1] = weight / np.repeat(total, count[p0:p1])
         np.minimum(self.log, 0.0, out=self.log)
         # running share of a node's edges, node by node, so that it does not depend on other tokens
-        self.upto = np.exp(self.log)
         nodes, turn = np.flatnonzero(count > 1), 1
         while len(nodes):
             e = self.ptr[nodes] + turn
@@ -270,7 +274,7 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     x = key.copy()
     for i, p in enumerate(parts):
         x += np.asarray(p).astype(np.int64).view(_U) * _ODD[i]
-    x = mix(mix(x))
+    x = mix(x)
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
@@ -333,12 +337,57 @@ class _Path:
         return out
 
 
-def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Per text up to k segmentations (piece ids, log probability, perturbed value, inclusion probability), best first."""
-    rows, found, tokens = len(texts), _Numbers(), []
+class Lattices:
+    """The lattices of a task's groups: tokens of its first groups stay, others are built for their group alone.
+
+    About ``KEPT`` tokens stay, mostly the frequent ones.  A group's own lattice is written behind the kept one, into
+    arrays with room to grow, so what is kept is neither built nor copied again.
+    """
+
+    _ARRAYS = ("start", "rank", "ptr", "piece", "next", "last", "log", "upto", "raw", "raw_size", "raw_at")
+
+    def __init__(self, v: Pieces):
+        self.v, self.kept = v, _Numbers()
+        self.room: dict[str, np.ndarray] = {}
+        self.sizes = dict.fromkeys(self._ARRAYS, 0) | {"ptr": 1}  # ptr begins with a 0
+
+    def of(self, found: _Numbers) -> Lattice:
+        """The lattice of the tokens of ``found``, which begin with the kept ones."""
+        new = Lattice(list(found)[len(self.kept):], self.v)
+        nodes, edges, lost, raw = (self.sizes[name] for name in ("rank", "piece", "raw_size", "raw"))
+        new.start += nodes
+        new.rank += nodes
+        new.next += nodes
+        new.ptr = new.ptr[1:] + edges
+        new.piece[new.piece < 0] -= lost
+        new.raw_at += raw
+        out, sizes = Lattice.__new__(Lattice), {}
+        for name in self._ARRAYS:
+            added, at = getattr(new, name), self.sizes[name]
+            end = sizes[name] = at + len(added)
+            if name not in self.room or len(self.room[name]) < end:
+                grown = np.zeros(end * 5 // 4 + 16, dtype=added.dtype)
+                if name in self.room:
+                    grown[:at] = self.room[name][:at]
+                self.room[name] = grown
+            self.room[name][at:end] = added
+            setattr(out, name, self.room[name][:end])
+        if len(self.kept) < KEPT:
+            self.kept, self.sizes = _Numbers(found), sizes
+        return out
+
+
+def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
+                 lattices: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """Per text up to k segmentations (piece ids, log probability, perturbed value, inclusion probability), best first.
+
+    ``lattices`` carries what the groups of a task share; it changes no result.
+    """
+    lattices = lattices or Lattices(v)
+    rows, found, tokens = len(texts), _Numbers(lattices.kept), []
     for t in texts:
         tokens.append(np.array(list(map(found.__getitem__, _TOKEN.findall(" " + t))) if t else [], dtype=np.int64))
-    lat = Lattice(list(found), v)
+    lat = lattices.of(found)
     key = mix(np.array(keys, dtype=np.int64).view(_U) + _U(0xC0FFEE))
     count = np.array([len(x) for x in tokens])
     row = np.repeat(np.arange(rows), count)
@@ -449,10 +498,11 @@ def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Pieces.of(shared.value)
+        lattices = Lattices(v)
         for b in it:
             for at, size in _groups(pc.utf8_length(b.column(1)).to_pylist()):
                 texts = [t or "" for t in b.column(1).slice(at, size).to_pylist()]
-                rows = sample_group(texts, [i or 0 for i in b.column(0).slice(at, size).to_pylist()], v, k)
+                rows = sample_group(texts, [i or 0 for i in b.column(0).slice(at, size).to_pylist()], v, k, lattices)
                 flat = [s for r in rows for s in r]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s[0]) for s in flat]))), pa.int32()),
                                                pa.array(np.concatenate([s[0] for s in flat]) if flat else [], pa.int32()))
