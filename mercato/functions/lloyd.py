@@ -48,12 +48,13 @@ def centres(rows: DataFrame, id_col: str, features: list[str], ks: list[int], ro
     first = rows.orderBy(F.sha2(F.col(id_col).cast("string"), 256), id_col).limit(max(ks)).select(*features).collect()
     now = [[[float(r[f]) for f in features] for r in first[:k]] for k in ks]
     for _ in range(rounds if first else 0):
-        chosen = F.explode(F.array(*[F.struct(F.lit(i).alias("run"), nearest(features, c).alias("c")) for i, c in enumerate(now)]))
-        sums = rows.select(*features, chosen.alias("at")).groupBy("at").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f).cast("decimal(20,0)")).alias(f) for f in features]).collect()
+        runs = [F.struct(F.lit(i).alias("run"), nearest(features, c).alias("c")) for i, c in enumerate(now)]
+        chosen = runs[0] if len(runs) == 1 else F.explode(F.array(*runs))
+        sums = rows.select(*features, chosen.alias("at")).groupBy("at.run", "at.c").agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in features]).collect()  # on the grid sums of 2**43 rows fit a long
         moved = [list(c) for c in now]
         for r in sums:
-            moved[r["at"]["run"]][r["at"]["c"]] = [float(int(r[f])) / float(r["n"]) for f in features]
+            moved[r["run"]][r["c"]] = [float(r[f]) / float(r["n"]) for f in features]
         if moved == now:
             break
         now = moved
