@@ -33,6 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,10 @@ class Lattice:
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        found.insert(0, (1, lost, -1 - np.arange(len(lost)), np.array([len(x) * v.byte_log for x in raw])))
+        spelt = -1 - np.arange(len(lost))
+        single = self.raw_size == 1  # one byte is one piece
+        spelt[single] = v.byte_ids[self.raw[self.raw_at[single]]]
+        found.insert(0, (1, lost, spelt, np.array([len(x) * v.byte_log for x in raw])))
 
         count = np.zeros(n, dtype=np.int64)
         for _, at, _, _ in found:
@@ -246,7 +250,7 @@ class Lattice:
 
 
     def with_bytes(self, ids: np.ndarray, v: Pieces) -> np.ndarray:
-        """Piece ids with each lost character (a negative number) spelt as byte pieces."""
+        """Piece ids with each lost character of several bytes (a negative number) spelt as byte pieces."""
         lost = np.flatnonzero(ids < 0)
         if not len(lost):
             return ids
@@ -269,13 +273,21 @@ class _Numbers(dict):
         return n
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Uniform noise in (0, 1), a hash of the key and the parts (each times its own odd number)."""
+def _seed(key: np.ndarray, *parts, at: int = 0) -> np.ndarray:
+    """The key plus the parts, each times its own odd number from place ``at`` on."""
     x = key.copy()
     for i, p in enumerate(parts):
-        x += np.asarray(p).astype(np.int64).view(_U) * _ODD[i]
-    x = mix(x)
-    return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+        x += np.asarray(p).astype(np.int64).view(_U) * _ODD[at + i]
+    return x
+
+
+def _noise(seed: np.ndarray) -> np.ndarray:
+    """Uniform noise in (0, 1), a hash of the seed."""
+    return ((mix(seed) >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+
+
+def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+    return _noise(_seed(key, *parts))
 
 
 def _truncated(place: np.ndarray, below: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -288,36 +300,39 @@ class _Path:
 
     def __init__(self, lat: Lattice, key, path: int, row, ordinal, node, phi0, top, rows: int):
         """Walks from ``node`` (first place in a token) for every (row, ordinal); arrays are in row, token order."""
-        edges, owner, step_no, turn = [], [], [], 0
+        seed = _seed(key[row], path, ordinal)
+        edges, owner, turn = [], [], 0
         active, now = np.arange(len(node)), node
+        steps = np.zeros(len(node), dtype=np.int64)
         while len(active):
             rank = lat.rank[now]
             e = lat.ptr[rank]
             many = np.flatnonzero(lat.ptr[rank + 1] - e > 1)  # a node with one edge needs no draw
             who = active[many]
-            u = _uniform(key[row[who]], path, ordinal[who], now[many] - node[who], 0 * who)
+            u = _noise(_seed(seed[who], now[many] - node[who], at=2))
             e[many] = lat.draw(rank[many], u)
             edges.append(e)
             owner.append(active)
-            step_no.append(np.full(len(active), turn))
-            go = ~lat.last[e]
-            active, now, turn = active[go], lat.next[e][go], turn + 1
-        if not edges:
-            edges, owner, step_no = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        e, o, t = np.concatenate(edges), np.concatenate(owner), np.concatenate(step_no)
-        order = np.argsort(o, kind="stable")  # steps were appended in order
-        self.edge, o, t = e[order], o[order], t[order]
-        self.row, self.ordinal = row[o], ordinal[o]
+            turn += 1
+            go = np.flatnonzero(~lat.last[e])
+            steps[active] = turn
+            active, now = active[go], lat.next[e[go]]
+        begin = np.cumsum(steps) - steps  # a token's decisions stand together, in the order of its steps
+        self.edge = np.empty(int(steps.sum()), dtype=np.int64)
+        for t, (who, e) in enumerate(zip(owner, edges)):
+            self.edge[begin[who] + t] = e
+        self.row, self.ordinal = np.repeat(row, steps), np.repeat(ordinal, steps)
         self.first = np.searchsorted(self.row, np.arange(rows + 1))
         gain = lat.log[self.edge]
         run = np.concatenate(([0.0], np.cumsum(gain)))
-        self.before = run[:-1] - run[self.first[self.row]] + phi0[self.row]
+        self.before = run[:-1] - np.repeat(run[self.first[:-1]] - phi0, np.diff(self.first))
         self.end_phi = run[self.first[1:]] - run[self.first[:-1]] + phi0
         self.bound = np.full(len(self.edge), -np.inf)
         chance = np.exp(gain)
         free = np.flatnonzero(chance <= 1 - 1e-12)  # the others leave nothing open beside them
         place = self.before[free] + np.log1p(-chance[free])
-        u = _uniform(key[self.row[free]], path, self.ordinal[free], t[free], np.ones(len(free), dtype=np.int64))
+        token = np.repeat(np.arange(len(node)), steps)[free]
+        u = _noise(_seed(seed[token], free - begin[token], 1, at=2))
         self.bound[free] = _truncated(place, top[self.row[free]], u)
 
     def best(self, rows: int, k: int) -> list[list[tuple[float, int]]]:
@@ -328,7 +343,8 @@ class _Path:
         for _ in range(k if len(full) else 0):
             most = np.full(rows, -np.inf)
             most[full] = np.maximum.reduceat(left, self.first[full])
-            at = np.flatnonzero((left == most[self.row]) & np.isfinite(left))
+            most[np.isneginf(most)] = np.nan  # nothing left: equal to none
+            at = np.flatnonzero(left == np.repeat(most, np.diff(self.first)))
             if not len(at):
                 break
             for i in at[np.unique(self.row[at], return_index=True)[1]].tolist():
@@ -352,8 +368,8 @@ class Lattices:
         self.sizes = dict.fromkeys(self._ARRAYS, 0) | {"ptr": 1}  # ptr begins with a 0
 
     def of(self, found: _Numbers) -> Lattice:
-        """The lattice of the tokens of ``found``, which begin with the kept ones."""
-        new = Lattice(list(found)[len(self.kept):], self.v)
+        """The lattice of the tokens of ``found`` (keys without their first blank), which begin with the kept ones."""
+        new = Lattice([" " + t for t in islice(found, len(self.kept), None)], self.v)
         nodes, edges, lost, raw = (self.sizes[name] for name in ("rank", "piece", "raw_size", "raw"))
         new.start += nodes
         new.rank += nodes
@@ -377,6 +393,13 @@ class Lattices:
         return out
 
 
+def _keys(text: str) -> list[str]:
+    """The tokens of a text behind a blank, each without its first blank."""
+    if text[0] != " " and "  " not in text:
+        return text.split(" ")
+    return [t[1:] for t in _TOKEN.findall(" " + text)]
+
+
 def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
                  lattices: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k segmentations (piece ids, log probability, perturbed value, inclusion probability), best first.
@@ -386,7 +409,7 @@ def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
     lattices = lattices or Lattices(v)
     rows, found, tokens = len(texts), _Numbers(lattices.kept), []
     for t in texts:
-        tokens.append(np.array(list(map(found.__getitem__, _TOKEN.findall(" " + t))) if t else [], dtype=np.int64))
+        tokens.append(np.array(list(map(found.__getitem__, _keys(t))) if t else [], dtype=np.int64))
     lat = lattices.of(found)
     key = mix(np.array(keys, dtype=np.int64).view(_U) + _U(0xC0FFEE))
     count = np.array([len(x) for x in tokens])
@@ -436,7 +459,7 @@ def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         walk = _Path(lat, key, turn, join(start_row), join(start_ordinal), join(start_node), phi, top, rows)
         paths.append(walk)
-        for r, found_open in enumerate(walk.best(rows, k)):
+        for r, found_open in enumerate(walk.best(rows, k - turn)):  # later pops, then the threshold
             if r in grown:
                 done[r].append(((*grown[r], len(paths) - 1), float(top[r]), float(walk.end_phi[r])))
                 for b, i in found_open:
