@@ -579,3 +579,64 @@ SQL["ga_signals"] = f"""
   UNION ALL SELECT 'medium', 'Search Terms', 'wasted_spend', wasted_pct FROM {nested(SQL["ga_wasted_spend"])} WHERE wasted_pct > 20)
 SELECT * FROM u ORDER BY CASE WHEN priority = 'high' THEN 0 ELSE 1 END, type, area LIMIT 10
 """
+
+# Saved reports over a period; the views hold no status columns, ids or location types.
+IN_PERIOD = "\"date\" BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'"
+DELIVERY = ("CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, sum(cost) AS cost, "
+            "sum(conversions) AS conversions")
+CPA = SD("sum(cost)", "sum(conversions)") + " AS cpa"
+CTR = SD("sum(clicks)", "sum(impressions)") + " * 100 AS ctr"
+
+SQL["ga_saved_active_campaigns"] = f"""
+SELECT CAST(NULL AS VARCHAR) AS campaign_id, campaign_name, CAST(NULL AS VARCHAR) AS campaign_status, campaign_type, bid_strategy_type,
+       {DELIVERY}
+FROM camp WHERE {IN_PERIOD} GROUP BY campaign_name, campaign_type, bid_strategy_type ORDER BY cost DESC
+"""
+
+SQL["ga_saved_campaign_days"] = f"""
+SELECT CAST(NULL AS VARCHAR) AS campaign_id, campaign_name, "date", {DELIVERY}, sum(conversion_value) AS conversion_value, {CTR}, {CPA}
+FROM camp WHERE {IN_PERIOD} GROUP BY campaign_name, "date" ORDER BY "date" DESC
+"""
+
+SQL["ga_saved_impression_share"] = f"""
+, e AS (SELECT *, impressions * 100 / nullif(search_impression_share, 0) AS eligible FROM camp
+        WHERE campaign_type = 'Search' AND {IN_PERIOD}),
+s AS (SELECT campaign_name, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, sum(cost) AS cost,
+             nullif(sum(eligible), 0) AS eligible, sum(search_impression_share * eligible) AS a, sum(search_lost_is_budget * eligible) AS b,
+             sum(search_lost_is_rank * eligible) AS r, sum(search_top_is * eligible) AS t, sum(search_abs_top_is * eligible) AS u
+      FROM e GROUP BY campaign_name)
+SELECT CAST(NULL AS VARCHAR) AS campaign_id, campaign_name, a / eligible AS search_impression_share, b / eligible AS search_lost_is_budget,
+       r / eligible AS search_lost_is_rank, t / eligible AS search_top_is, u / eligible AS search_abs_top_is, cost, impressions, clicks
+FROM s
+"""
+
+SQL["ga_saved_keyword_quality"] = f"""
+SELECT ad_group_name, keyword, match_type, quality_score, ad_relevance, expected_ctr, landing_page_experience, {DELIVERY}
+FROM kw GROUP BY ALL HAVING sum(impressions) > 0 ORDER BY cost DESC
+"""
+
+SQL["ga_saved_search_terms"] = f"""
+SELECT search_term, search_term_status, campaign_name, ad_group_name, {DELIVERY}, {CTR}
+FROM st GROUP BY search_term, search_term_status, campaign_name, ad_group_name HAVING sum(impressions) > 0
+ORDER BY round(sum(cost), 6) DESC, search_term NULLS FIRST, search_term_status NULLS FIRST, campaign_name, ad_group_name LIMIT 100
+"""
+
+SQL["ga_saved_asset_groups"] = f"""
+SELECT CAST(NULL AS VARCHAR) AS asset_group_id, asset_group_name, CAST(NULL AS VARCHAR) AS asset_group_status, ad_strength, campaign_name,
+       {DELIVERY}, sum(conversion_value) AS conversion_value
+FROM camp WHERE asset_group_name IS NOT NULL AND {IN_PERIOD} GROUP BY asset_group_name, ad_strength, campaign_name
+"""
+
+SQL["ga_saved_devices"] = f"""
+SELECT campaign_name, device, {DELIVERY}, {CTR}, {CPA} FROM camp WHERE {IN_PERIOD} GROUP BY campaign_name, device
+"""
+
+SQL["ga_saved_places"] = f"""
+SELECT campaign_name, country, region, CAST(NULL AS VARCHAR) AS location_type, {DELIVERY}, {CPA}
+FROM camp WHERE {IN_PERIOD} GROUP BY campaign_name, country, region
+ORDER BY round(sum(cost), 6) DESC, campaign_name, country, region LIMIT 50
+"""
+
+SQL["ga_saved_weekdays"] = f"""
+SELECT campaign_name, dayname("date") AS weekday, {DELIVERY}, {CPA} FROM camp WHERE {IN_PERIOD} GROUP BY campaign_name, weekday
+"""

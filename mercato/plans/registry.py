@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.search import report as ga
+from mercato.operators.search.saved import REPORTS, saved
 from mercato.operators.social import report as ma
 from mercato.operators.store import basket as bk
 from mercato.operators.store import customer as cu
@@ -160,6 +161,8 @@ register("ga_summary", ga.ga_summary)
 register("ga_signals", ga.ga_signals)
 register("ga_learning_period", ga.ga_learning_period)
 register("ga_learning_summary", ga.ga_learning_summary)
+for _name in REPORTS:
+    register(f"ga_saved_{_name}", saved(_name))
 
 # ------------------------------------------------------------------ social ads
 register("ma_dashboard", ma.ma_dashboard)

@@ -22,7 +22,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = ["ec_monthly_revenue", "ec_rfm_scores", "ec_cohort_matrix", "ec_basket_pairs", "ec_pareto",
           "ec_purchase_gaps", "ec_product_lifecycle", "ec_forecast", "ga_campaigns", "ga_weekly_drift",
           "ga_negative_words", "ga_best_worst", "ma_daily", "ma_creative_fatigue", "ma_ad_ranking",
-          "ma_name_summary", "ma_forecast"]
+          "ma_name_summary", "ma_forecast", "ga_saved_impression_share", "ga_saved_places", "ga_saved_weekdays"]
 
 
 @pytest.fixture(scope="module")
