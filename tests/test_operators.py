@@ -53,7 +53,7 @@ def _rows(cols, rows):
 
 @pytest.mark.parametrize("key", SAMPLE)
 def test_matches_oracle(spark, ctx, duck, key):
-    df = REGISTRY[key](ctx)
+    df = REGISTRY[key](ctx, **E.FIXTURE_PARAMS.get(key, dict)())
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     res = duck.execute(E.oracle_sql()[key])
     want = _rows([d[0] for d in res.description], res.fetchall())
