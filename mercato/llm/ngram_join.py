@@ -28,7 +28,8 @@ hashes) and never forms the full product:
     ids share costs a row's shuffle, not correctness).
 6.  Links found this way give components.  Columns that still hold several components are opened again:
     their other rows first meet a few more pivots of the column's largest component, then
-    a last product takes the rows still outside it with all others.  Documents
+    a last product takes the rows still outside it with all others, and the two rows of every
+    column of two that lie in different components and have not been multiplied.  Documents
     already connected are not paired again, so a group of thousands of near copies
     costs a few stars and not a square, and no link between components is lost.
 
@@ -221,7 +222,7 @@ def _columns(percent: int, hold: int = HOLD):
             new[1:] = (s[i[1:]] != s[i[:-1]]) | (salt[i[1:]] != salt[i[:-1]])
             return i, new, np.cumsum(new) - 1
         twice = np.zeros(len(s), dtype=bool)
-        twice[1:] = (s[1:] == s[:-1]) & (salt[1:] == salt[:-1]) & (doc[1:] == doc[:-1])
+        twice[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])  # an id's other texts stand for themselves
         i, new, g = groups(~twice)
         starts = np.flatnonzero(new)
         size = np.diff(np.append(starts, len(i)))
@@ -242,7 +243,7 @@ def _columns(percent: int, hold: int = HOLD):
         good = (size[g] > 1) | (salt[i] >= 0)
         pivot_at = np.zeros(len(s), dtype=np.int64)
         pivot_at[i] = i[np.flatnonzero(new)][g]
-        pair = (size[g] == 2) & (salt[i] < 0)  # a column of two is settled by its pivot
+        pair = (size[g] == 2) & (salt[i] < 0)  # a column of two holds one pair, its pivot and the other row
         return out(cols, pivot_at, i[good], pair[good]) if good.any() else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +328,7 @@ def _products(width: int, percent: int):
             rows = []
             for pivot in pivots:
                 for (_, d, s), n in zip(members, overlaps(pivot, [m[2] for m in members], percent).tolist()):
-                    if n >= 0 and 100 * n >= percent * (len(s) + len(pivot) - n):
+                    if n > 0 and 100 * n >= percent * (len(s) + len(pivot) - n):
                         rows.append((block[0], d, n))
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], names=["a", "b", "overlap"])
@@ -397,7 +398,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = texts.where("doc_id is not null")
     cells = known.mapInArrow(tidy(_prefix_rows(width, percent, dense, sketch)),
                                                          "s long, salt int, doc long, n_place long")
-    columns = written(cells.repartition(partitions(spark), "s", "salt").sortWithinPartitions("s", "salt", "doc")
+    columns = written(cells.repartition(partitions(spark), "s", "salt").sortWithinPartitions("s", "salt", "doc", "n_place")
                       .mapInArrow(tidy(_columns(percent)), _COLUMN), "shingle-columns")
     as_rep = copies.toDF("doc", "rep")
     members = columns.where("not pair").join(as_rep, "doc").select("s", F.col("rep").alias("doc"), "n", "place")
@@ -410,16 +411,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = columns.where("salted").select("s", "pivot").distinct()
     joined = heads.join(heads.groupBy("s").agg(F.min("pivot").alias("a")), "s").select("a", F.col("pivot").alias("b"))
     counted = (columns.where(room("n", "place", "pivot_n", "pivot_place")).groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-               .agg(F.count("*").alias("cells")).unionByName(joined.withColumn("cells", F.lit(1).cast("long"))).where("a <> b"))
-    star = (counted.join(as_rep.toDF("a", "ra"), "a").join(as_rep.toDF("b", "rb"), "b").where("ra <> rb")
-            .groupBy(F.col("rb").alias("b"), F.col("ra").alias("a")).agg(F.sum("cells").alias("cells"))
-            .groupBy("b").agg(F.max_by("a", F.struct("cells", -F.col("a"))).alias("a")))
+               .agg(F.count("*").alias("cells"), F.max("pair").alias("pair"))
+               .unionByName(joined.withColumn("cells", F.lit(1).cast("long")).withColumn("pair", F.lit(False))).where("a <> b"))
+    counted = written(counted.join(as_rep.toDF("a", "ra"), "a").join(as_rep.toDF("b", "rb"), "b").where("ra <> rb")
+                      .groupBy(F.col("rb").alias("b"), F.col("ra").alias("a"))
+                      .agg(F.sum("cells").alias("cells"), F.max("pair").alias("pair")), "shingle-counted")
+    star = counted.groupBy("b").agg(F.max_by("a", F.struct("cells", -F.col("a"))).alias("a"))
     star = written(star.select("a", "b"), "shingle-pairs")
     links = _multiply(star, known, width, percent)
 
     # columns that hold several components: their other rows with a few pivots of the largest one
-    def open_columns(found: DataFrame) -> DataFrame:
-        cells = members.join(connected(found).toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    def open_columns(component: DataFrame) -> DataFrame:
+        cells = members.join(component.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         parts = cells.groupBy("s", "component").agg(F.count("*").alias("k"))
         mixed = (parts.groupBy("s").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major"))
                  .where("parts > 1").select("s", "major"))
@@ -429,12 +432,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def pairs_of(minor: DataFrame, other: DataFrame, tried: DataFrame) -> DataFrame:
         minor, other = minor.toDF("s", "x", "nx", "px", "cx", "mx").drop("mx"), other.toDF("s", "y", "ny", "py", "cy", "major")
         met = minor.join(other, "s").where("cx <> cy and (major or x < y)").where(room("nx", "px", "ny", "py"))
-        new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return written(new.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+        return untried(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), tried)
 
-    tried, used = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [columns, star, copies]
+    def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        return written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+
+    # columns of two: a document met one of its pivots only, the others still have to be asked where they lie apart
+    def apart(component: DataFrame) -> DataFrame:
+        twos = counted.where("pair").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return (twos.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
+                .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+
+    tried, used = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [columns, star, copies, counted]
     for turn in range(ROUNDS):
-        cells = open_columns(links)
+        cells = open_columns(connected(links))
         nth = F.row_number().over(Window.partitionBy("s").orderBy("place", F.xxhash64(F.lit(turn), "doc")))
         picked = cells.where("is_major").withColumn("nth", nth).where(f"nth <= {PIVOTS}").drop("nth")
         new = pairs_of(cells.where("not is_major"), picked, tried)
@@ -444,14 +455,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         used += [cells, new]
 
     # last product: what is still apart, each row outside a column's largest component with all others
-    cells = open_columns(links)
-    last = pairs_of(cells.where("not is_major"), cells, tried)
+    component = connected(links)
+    cells = open_columns(component)
+    two = untried(apart(component), tried)
+    more = pairs_of(cells.where("not is_major"), cells, tried.unionByName(two))
+    last = more.unionByName(two)
     if not last.isEmpty():
         links = links.unionByName(_multiply(last, known, width, percent))
 
     edges = links.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = connected(edges)
-    discard(*used, cells, last)  # the results read only set sizes, links and components
+    discard(*used, cells, two, more)  # the results read only set sizes, links and components
     sketch.destroy()
     out = (sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))

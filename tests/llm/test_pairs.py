@@ -93,6 +93,28 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == brute_components(rows)
 
 
+def test_join_documents_between_others(spark):
+    """The middle of three shares its rare shingles with each of the others alone: columns of two rows, several pivots."""
+    rows = []
+    for f in range(12):
+        words = [f"f{f}w{i}" for i in range(104)]
+        rows += [(10 * f + 1, " ".join(words[:95] + [f"f{f}end{i}" for i in range(9)])), (10 * f + 9, " ".join(words)),
+                 (10 * f + 2, " ".join([f"f{f}lead{i}" for i in range(9)] + words[9:]))]
+    out, _ = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_components(rows)
+    assert all(want[10 * f + x] == 10 * f + 1 for f in range(12) for x in (1, 2, 9))
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
+
+
+def test_join_texts_of_one_id_in_a_column(spark):
+    base, common = " ".join(f"b{i}" for i in range(104)), " ".join(f"c{i}" for i in range(300))
+    rows = [(2, f"{base} {common}"), (2, base + " tail"), (7, base), (2, " "), (7, None)]
+    rows += [(20 + x, f"{common} " + " ".join(f"x{x}_{i}" for i in range(300))) for x in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out, _ = ngram_join.ngram_jaccard_join(docs)
+    assert {r.doc_id: r.component_id for r in out.collect()} == brute_components(rows) | {7: 2}
+
+
 def test_empty_tables(spark, nothing):
     assert ngram_join.ngram_jaccard_join(nothing)[0].count() == 0
     assert rlz.substring_dedup(nothing)[0].count() == 0
