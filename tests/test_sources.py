@@ -407,3 +407,15 @@ def test_network_breakdown(spark, tmp_path):
     assert got["total"]["roas"] == 9.5 and got["Search"]["cpa"] == pytest.approx(70 / 9)
     plan = network_breakdown(Context(spark, campaign=spark.createDataFrame(rows.collect(), rows.schema)))._jdf.queryExecution()
     assert plan.sparkPlan().toString().count("Window") == 0 and plan.executedPlan().toString().count("hashpartitioning") == 1
+
+
+def test_rows_are_not_dealt_by_file(spark, tmp_path, tiny_ranges):
+    """One file's rows stay in the tasks that read its ranges, and its records are split once."""
+    path = _write(tmp_path, "one.csv", "Número de orden;Email;Fecha;Estado de la orden;Total;Nombre del producto\n" + "".join(
+        f"{i};a{i}@x;31/12/2024 10:05;Cerrada;{x};Ñandú\n" for i, x in enumerate(["1.234,50", "USD 12.5", "-7", "1.2.3", "12", "INF", "", "-"] * 500)))
+    lines, platform = store.read_store_csv(spark, path)
+    assert platform == "tiendanube" and lines.rdd.getNumPartitions() > 1
+    plan = lines._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "from_csv" not in plan
+    got = lines.orderBy(F.col("order_id").cast("int")).select("total").collect()
+    assert [r[0] for r in got[:8]] == [1234.5, 12.5, -7.0, None, 12.0, None, None, None] and len(got) == 4000
