@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -218,3 +219,24 @@ def test_upgrades_number_orders_across_days(spark):
             h = len(mine) // 2
             want[c] = (pytest.approx(sum(mine[:h]) / h), pytest.approx(sum(mine[h:]) / (len(mine) - h)))
     assert got == want
+
+
+def test_product_ranking_deals_orders_by_the_number_of_lines(spark):
+    from mercato.operators.store import product
+    ctx = Context.from_fixture(spark, SF_SMALL)
+    want = [tuple(r) for r in product.product_ranking(ctx).select("product_name", "units", "orders", "total_products").collect()]
+    spark.conf.set("mercato.rowsPerPartition", "100")
+    try:
+        out = product.product_ranking(ctx)
+        tasks = -(-2 * ctx.lines.where("product_name is not null").count() // 100)
+        assert f"hashpartitioning(product_name, order_id, {tasks})" in re.sub(r"#\d+", "", out._jdf.queryExecution().toString())
+        assert [tuple(r) for r in out.select("product_name", "units", "orders", "total_products").collect()] == want
+    finally:
+        spark.conf.unset("mercato.rowsPerPartition")
+
+
+def test_trios_derive_their_items_once(spark):
+    from mercato.operators.store import basket
+    lines = Context.from_fixture(spark, SF_SMALL).lines
+    read = basket.basket_trios(Context(spark, lines=lines), item=F.substring_index("product_name", " - ", -1), min_lift=0.0).inputFiles()
+    assert read and all("/order-items-" in f for f in read)
