@@ -31,9 +31,11 @@ samples; a null key counts as 0.
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 GROUP = 1 << 17
 KEPT = 1 << 15
+SPREAD = 41.0  # more than the Gumbels of noise from 2**-54 to 1 - 2**-53 lie apart
 BLANK = "▁"
 _U = np.uint64
 _TOKEN = re.compile(" *[^ ]+| +")
@@ -85,45 +88,78 @@ class Pieces:
         hashes = _hash_all(texts)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logs = hashes[order], np.array(ids, dtype=np.int32)[order], logs[order]
-        starts = np.zeros(1 << 22, dtype=bool)  # beginnings of pieces, by the top bits of their hash
-        starts[(_hash_all(sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})) >> _U(42)).astype(np.int64)] = True
-        self._index(starts)
-
-    def _index(self, starts: np.ndarray) -> None:
-        """Places by the top bits of a hash: whether a piece begins so, and the first piece in the sorted hashes."""
-        self.starts = starts
-        slot = (self.hashes >> _U(44)).astype(np.int64)
-        self.first = np.full(1 << 20, len(slot), dtype=np.int32)
-        self.first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
-        self.chain = int(np.bincount(slot).max())  # pieces that share a slot stand side by side
-        self.padded = np.concatenate((self.hashes, np.zeros(self.chain, dtype=_U)))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.chars, self.base, self.owner, self.place = _trie(dict(zip(texts, place.tolist())))
+        self._index()
+
+    def _index(self) -> None:
+        """Classes of all characters."""
+        self.classes = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        self.classes[self.chars] = np.arange(1, len(self.chars) + 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash in the sorted hashes, -1 where no piece has it."""
-        at = self.first[(h >> _U(44)).astype(np.int64)].astype(np.int64)
-        out = np.where(self.padded[at] == h, at, -1)
-        for k in range(1, self.chain):
-            more = np.flatnonzero(out < 0)
-            hit = more[self.padded[np.minimum(at[more] + k, len(self.hashes))] == h[more]]
-            out[hit] = at[hit] + k
-        out[out >= len(self.hashes)] = -1
-        return out
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
 
-    _PLAIN = ("byte_ids", "bytes_of", "byte_log", "longest", "hashes", "ids", "logs")
+    _PLAIN = ("byte_ids", "bytes_of", "byte_log", "longest", "hashes", "ids", "logs", "chars", "base", "owner", "place")
 
     def plain(self) -> dict:
         """The vocabulary as arrays and lists, which any process can read without this class."""
-        return {k: getattr(self, k) for k in self._PLAIN} | {"starts": np.packbits(self.starts)}
+        return {k: getattr(self, k) for k in self._PLAIN}
 
     @classmethod
     def of(cls, plain: dict) -> "Pieces":
         self = cls.__new__(cls)
         for k in cls._PLAIN:
             setattr(self, k, plain[k])
-        self._index(np.unpackbits(plain["starts"]).astype(bool))
+        self._index()
         return self
 
 
+def _trie(places: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The beginnings of all pieces as slots of one table (a double array): chars, base, owner, place.
+
+    The i-th char is of class i + 1.  From slot s (0: the empty beginning) a char of class c leads to slot
+    ``base[s] + c`` if that slot's owner is s.  ``place`` is the value of a whole piece, else -1.
+    """
+    often = Counter("".join(places))
+    chars = sorted(often, key=lambda c: (-often[c], c))  # frequent classes are small, so children lie close
+    number = {c: i for i, c in enumerate(chars, 1)}
+    children: dict[str, list[int]] = {}
+    for t in sorted({t[:k] for t in places for k in range(1, len(t) + 1)}):
+        children.setdefault(t[:-1], []).append(number[t[-1]])
+    base, owner, place, full = [0], [-1], [-1], bytearray(b"\1")
+    todo = [(-len(children.get("", ())), "", 0)]
+    while todo:  # most children first, while the table is empty
+        _, t, slot = heapq.heappop(todo)
+        mine = sorted(children.get(t, ()))
+        if not mine:
+            break
+        at, i = max(len(full) - mine[0], 1), mine[0]  # behind all others, unless one of the first empty slots fits
+        for _ in range(64):
+            i = full.find(0, i + 1)
+            if i < 0:
+                break
+            if not any(full[i - mine[0] + c:i - mine[0] + c + 1] == b"\1" for c in mine):
+                at = i - mine[0]
+                break
+        base[slot] = at
+        more = max(at + mine[-1] + 1 - len(full), 0)
+        full.extend(bytes(more))
+        for column, empty in ((base, 0), (owner, -1), (place, -1)):
+            column.extend([empty] * more)
+        for c in mine:
+            child = t + chars[c - 1]
+            owner[at + c], place[at + c], full[at + c] = slot, places.get(child, -1), 1
+            if child in children:
+                heapq.heappush(todo, (-len(children[child]), child, at + c))
+    room = [0] * (len(chars) + 1)  # any class may be asked for at any slot
+    return (np.array([ord(c) for c in chars], dtype=np.int64), *(np.array(column + more, dtype=np.int32)
+            for column, more in ((base, room), (owner, [-1] * len(room)), (place, [-1] * len(room)))))
+
+
 def _codes(text: str) -> np.ndarray:
     return mix(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(_U) * _U(BASE) + _U(77))
 
@@ -158,36 +194,44 @@ def _stable_order(x: np.ndarray) -> np.ndarray:
 class Lattice:
     """Edges of the lattices of distinct tokens, grouped by start node, with each edge's chance at its node.
 
-    Nodes are character positions, ranked by how much of their token is left; edges stand in that order,
-    longer pieces first.
+    Nodes are character positions, with one more behind each token; edges stand in the order of how much of the token
+    is left at their node, longer pieces first.  ``begin`` of a node is its first edge times 2, plus 1 if it has
+    others, and -1 behind a token; ``next`` of an edge is the node it leads to.
     """
 
     def __init__(self, tokens: list[str], v: Pieces):
+        """Tokens are given without their first blank."""
         # a blank is written as BLANK in pieces; BLANK itself must not match them
-        whole = "".join(tokens)
+        whole = "".join((" ", "\0 ".join(tokens), "\0")) if tokens else ""
         text = whole.replace(BLANK, "\ufdd0").replace(" ", BLANK)
-        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 2
         self.start = np.cumsum(size) - size
         n = int(size.sum())
-        rest = np.repeat(self.start + size, size) - np.arange(n)
+        behind = self.start + size - 1
+        rest = np.repeat(behind, size) - np.arange(n)
         by_rest = _stable_order(rest)
-        self.rank = np.empty(n, dtype=np.int64)
-        self.rank[by_rest] = np.arange(n)
-        sums = _sums(_codes(text))
-        found = []  # by piece length: start nodes, pieces, log weights
+        rank = np.empty(n, dtype=np.int64)
+        rank[by_rest] = np.arange(n)
+        code = v.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        code[behind] = 0  # no piece reaches over it
+        slot = v.base[0] + code
+        i = np.flatnonzero(v.owner[slot] == 0)
+        slot = slot[i]
+        found = []  # by piece length: ranks of start nodes, pieces, next nodes
         known = np.zeros(n, dtype=bool)
-        i = np.arange(n)
-        for k in range(1, min(v.longest, int(rest.max(initial=0))) + 1):
-            i = i[rest[i] >= k]
-            h = _spans(sums, i, i + k)
-            likely = v.starts[(h >> _U(42)).astype(np.int64)]
-            i, h = i[likely], h[likely]  # only what begins a piece can grow into one
-            p = v.find(h)
-            hit = p >= 0
-            p = p[hit]
-            found.append((k, i[hit], v.ids[p], v.logs[p]))
+        known[behind] = True
+        for k in range(1, v.longest + 1):
+            p = v.place[slot]
+            hit = np.flatnonzero(p >= 0)
+            at = i[hit]
+            found.append((rank[at], p[hit], at + k))
             if k == 1:
-                known[i[hit]] = True
+                known[at] = True
+            longer = v.base[slot] + code[k:][i]
+            on = np.flatnonzero(v.owner[longer] == slot)
+            if not len(on):
+                break
+            i, slot = i[on], longer[on]
         lost = np.flatnonzero(~known)  # characters without a piece: their UTF-8 bytes, one edge
         raw = [whole[i].encode("utf-8", "surrogatepass") for i in lost.tolist()]
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -196,22 +240,22 @@ class Lattice:
         spelt = -1 - np.arange(len(lost))
         single = self.raw_size == 1  # one byte is one piece
         spelt[single] = v.byte_ids[self.raw[self.raw_at[single]]]
-        found.insert(0, (1, lost, spelt, np.array([len(x) * v.byte_log for x in raw])))
+        found.insert(0, (rank[lost], len(v.ids) + np.arange(len(lost)), lost + 1))
 
-        count = np.zeros(n, dtype=np.int64)
-        for _, at, _, _ in found:
-            count[self.rank[at]] += 1  # a node has one edge of a length at most
-        self.ptr = np.concatenate(([0], np.cumsum(count)))
+        fan = np.bincount(np.concatenate([r for r, _, _ in found]), minlength=n)  # a node has one edge of a length at most
+        self.ptr = np.concatenate(([0], np.cumsum(fan)))
         edges = int(self.ptr[-1])
-        self.piece, self.next = np.empty(edges, dtype=np.int32), np.empty(edges, dtype=np.int64)
-        self.last, log = np.empty(edges, dtype=bool), np.empty(edges)
+        place, self.next = np.empty(edges, dtype=np.int64), np.empty(edges, dtype=np.int64)
         free = self.ptr[:-1].copy()
-        for k, at, piece, weight in reversed(found):  # longer, likelier pieces first
-            r = self.rank[at]
+        for r, p, to_node in reversed(found):  # longer, likelier pieces first
             to = free[r]
             free[r] = to + 1
-            self.piece[to], self.next[to], self.last[to], log[to] = piece, at + k, rest[at] == k, weight
-        beta = np.zeros(n + 1)
+            place[to], self.next[to] = p, to_node
+        self.begin = (self.ptr[:-1] * 2 + (fan > 1))[rank]
+        self.begin[behind] = -1
+        self.piece = np.concatenate((v.ids, spelt.astype(np.int32)))[place]
+        log = np.concatenate((v.logs, self.raw_size * v.byte_log))[place]
+        beta = np.zeros(n)
         self.upto = np.zeros(edges)
         level = np.cumsum(np.bincount(rest)) if n else np.zeros(1, dtype=np.int64)
         self.log = np.zeros(edges)
@@ -220,35 +264,33 @@ class Lattice:
             if p0 == p1:
                 continue
             e0, e1 = self.ptr[p0], self.ptr[p1]
-            value = log[e0:e1] + np.where(self.last[e0:e1], 0.0, beta[self.next[e0:e1]])
+            value = log[e0:e1] + beta[self.next[e0:e1]]
             first = self.ptr[p0:p1] - e0
             top = np.maximum.reduceat(value, first)
-            weight = np.exp(value - np.repeat(top, count[p0:p1]))
+            weight = np.exp(value - np.repeat(top, fan[p0:p1]))
             total = np.add.reduceat(weight, first)
             here = top + np.log(total)
             beta[by_rest[p0:p1]] = here
-            self.log[e0:e1] = value - np.repeat(here, count[p0:p1])
-            self.upto[e0:e1] = weight / np.repeat(total, count[p0:p1])
+            self.log[e0:e1] = value - np.repeat(here, fan[p0:p1])
+            self.upto[e0:e1] = weight / np.repeat(total, fan[p0:p1])
         np.minimum(self.log, 0.0, out=self.log)
         # running share of a node's edges, node by node, so that it does not depend on other tokens
-        nodes, turn = np.flatnonzero(count > 1), 1
+        nodes, turn = np.flatnonzero(fan > 1), 1
         while len(nodes):
             e = self.ptr[nodes] + turn
             self.upto[e] += self.upto[e - 1]
             turn += 1
-            nodes = nodes[count[nodes] > turn]
-        self.upto[self.ptr[1:] - 1] = 1.0
+            nodes = nodes[fan[nodes] > turn]
+        self.upto[self.ptr[len(tokens) + 1:] - 1] = 1.0
 
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """For each node the edge whose share of the node holds u."""
-        e = self.ptr[node]
+    def draw(self, e: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """For each first edge of a node the edge whose share of the node holds u."""
         left = np.flatnonzero(self.upto[e] < u)
         while len(left):
             e[left] += 1
             left = left[self.upto[e[left]] < u[left]]
         return e
 
-
     def with_bytes(self, ids: np.ndarray, v: Pieces) -> np.ndarray:
         """Piece ids with each lost character of several bytes (a negative number) spelt as byte pieces."""
         lost = np.flatnonzero(ids < 0)
@@ -265,12 +307,9 @@ class Lattice:
         return out
 
 
-class _Numbers(dict):
-    """Numbers new keys in order."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+def _numbers(kept: dict[str, int]) -> defaultdict:
+    """The kept numbers, then new keys numbered in order."""
+    return defaultdict(count(len(kept)).__next__, kept)
 
 
 def _seed(key: np.ndarray, *parts, at: int = 0) -> np.ndarray:
@@ -283,7 +322,10 @@ def _seed(key: np.ndarray, *parts, at: int = 0) -> np.ndarray:
 
 def _noise(seed: np.ndarray) -> np.ndarray:
     """Uniform noise in (0, 1), a hash of the seed."""
-    return ((mix(seed) >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    u = (mix(seed) >> _U(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0 ** -53
+    return u
 
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
@@ -296,61 +338,81 @@ def _truncated(place: np.ndarray, below: np.ndarray, u: np.ndarray) -> np.ndarra
 
 
 class _Path:
-    """Decisions of one walk for many rows: per row a slice of edges, with the open nodes beside them."""
+    """Decisions of one walk for many rows: per row a slice of edges, and its ``k`` best open nodes beside them."""
 
-    def __init__(self, lat: Lattice, key, path: int, row, ordinal, node, phi0, top, rows: int):
+    def __init__(self, lat: Lattice, key, path: int, row, ordinal, node, phi0, top, rows: int, k: int):
         """Walks from ``node`` (first place in a token) for every (row, ordinal); arrays are in row, token order."""
-        seed = _seed(key[row], path, ordinal)
+        self.ordinal = ordinal
+        seed = token_seed = _seed(key[row], path, ordinal)
         edges, owner, turn = [], [], 0
-        active, now = np.arange(len(node)), node
+        active, now, begin = np.arange(len(node)), node, lat.begin[node]
         steps = np.zeros(len(node), dtype=np.int64)
         while len(active):
-            rank = lat.rank[now]
-            e = lat.ptr[rank]
-            many = np.flatnonzero(lat.ptr[rank + 1] - e > 1)  # a node with one edge needs no draw
-            who = active[many]
-            u = _noise(_seed(seed[who], now[many] - node[who], at=2))
-            e[many] = lat.draw(rank[many], u)
+            e = begin >> 1
+            many = np.flatnonzero(begin & 1)  # a node with one edge needs no draw
+            e[many] = lat.draw(e[many], _noise(seed[many]))
             edges.append(e)
             owner.append(active)
             turn += 1
-            go = np.flatnonzero(~lat.last[e])
             steps[active] = turn
-            active, now = active[go], lat.next[e[go]]
-        begin = np.cumsum(steps) - steps  # a token's decisions stand together, in the order of its steps
+            to = lat.next[e]
+            begin = lat.begin[to]
+            go = np.flatnonzero(begin >= 0)
+            to = to[go]
+            # a decision's seed holds its place in the token
+            active, seed, now, begin = active[go], _seed(seed[go], to - now[go], at=2), to, begin[go]
+        self.begin = np.cumsum(steps) - steps  # a token's decisions stand together, in the order of its steps
         self.edge = np.empty(int(steps.sum()), dtype=np.int64)
         for t, (who, e) in enumerate(zip(owner, edges)):
-            self.edge[begin[who] + t] = e
-        self.row, self.ordinal = np.repeat(row, steps), np.repeat(ordinal, steps)
-        self.first = np.searchsorted(self.row, np.arange(rows + 1))
+            self.edge[self.begin[who] + t] = e
+        self.first = np.append(self.begin, len(self.edge))[np.searchsorted(row, np.arange(rows + 1))]
         gain = lat.log[self.edge]
-        run = np.concatenate(([0.0], np.cumsum(gain)))
-        self.before = run[:-1] - np.repeat(run[self.first[:-1]] - phi0, np.diff(self.first))
-        self.end_phi = run[self.first[1:]] - run[self.first[:-1]] + phi0
-        self.bound = np.full(len(self.edge), -np.inf)
-        chance = np.exp(gain)
-        free = np.flatnonzero(chance <= 1 - 1e-12)  # the others leave nothing open beside them
-        place = self.before[free] + np.log1p(-chance[free])
-        token = np.repeat(np.arange(len(node)), steps)[free]
-        u = _noise(_seed(seed[token], free - begin[token], 1, at=2))
-        self.bound[free] = _truncated(place, top[self.row[free]], u)
-
-    def best(self, rows: int, k: int) -> list[list[tuple[float, int]]]:
-        """Per row its k best open nodes: (bound, decision)."""
-        out: list[list[tuple[float, int]]] = [[] for _ in range(rows)]
-        left = self.bound.copy()
-        full = np.flatnonzero(self.first[1:] > self.first[:-1])
-        for _ in range(k if len(full) else 0):
-            most = np.full(rows, -np.inf)
-            most[full] = np.maximum.reduceat(left, self.first[full])
-            most[np.isneginf(most)] = np.nan  # nothing left: equal to none
-            at = np.flatnonzero(left == np.repeat(most, np.diff(self.first)))
-            if not len(at):
-                break
-            for i in at[np.unique(self.row[at], return_index=True)[1]].tolist():
-                out[self.row[i]].append((float(left[i]), i))
-                left[i] = -np.inf
-        return out
+        self.run = np.concatenate(([0.0], np.cumsum(gain)))
+        self.shift = self.run[self.first[:-1]] - phi0
+        self.end_phi = self.run[self.first[1:]] - self.run[self.first[:-1]] + phi0
+        self._open(gain, token_seed, top, k)
+
+    def before(self, i, row):
+        """Log probability of the path up to decision i of a row."""
+        return self.run[i] - self.shift[row]
+
+    def token(self, i):
+        """Number of the walk's token that decision i belongs to."""
+        return np.searchsorted(self.begin, i, side="right") - 1
+
+    def _open(self, gain: np.ndarray, seed: np.ndarray, top: np.ndarray, k: int) -> None:
+        """``best``: per row its k best open nodes, (bound, decision).
+
+        Nodes of a row rank as their Gumbels do before these are truncated, all below one maximum.  Noise moves a Gumbel
+        by less than ``SPREAD``, and the path's log probability only falls: past the point where it is further than that
+        below the places of k earlier nodes, no node can be among the best, and none is drawn.
+        """
+        free = np.flatnonzero(gain < -1e-12)  # the others leave nothing open beside them
+        edge = np.searchsorted(free, self.first)  # of each row's slice in free
+        size = np.diff(edge)
+        least = np.full(len(size), np.inf)
+        for j in range(min(k, int(size.max(initial=0)))):
+            has = np.flatnonzero(size > j)
+            i = free[edge[has] + j]
+            least[has] = np.minimum(least[has], self.before(i, has) + np.log1p(-np.exp(gain[i])))
+        least[size < k] = -np.inf
+        near = np.flatnonzero(self.run[free] >= np.repeat(least - SPREAD + self.shift, size))
+        row = np.searchsorted(edge, near, side="right") - 1
+        free = free[near]
+        place = self.before(free, row) + np.log1p(-np.exp(gain[free]))
+        token = self.token(free)
+        u = _noise(_seed(seed[token], free - self.begin[token], 1, at=2))
+        bound = _truncated(place, top[row], np.minimum(u, 1 - 2.0 ** -53))
+        self.best: list[list[tuple[float, int]]] = [[] for _ in size]
+        have, first = np.unique(row, return_index=True)
+        size = np.diff(np.append(first, len(row)))
+        for _ in range(k if len(have) else 0):
+            most = np.maximum.reduceat(bound, first)
+            at = np.flatnonzero((bound == np.repeat(most, size)) & (bound > -np.inf))
+            at = at[np.unique(row[at], return_index=True)[1]]
+            for r, b, i in zip(row[at].tolist(), bound[at].tolist(), free[at].tolist()):
+                self.best[r].append((b, i))
+            bound[at] = -np.inf
 
 
 class Lattices:
@@ -360,19 +422,19 @@ class Lattices:
     arrays with room to grow, so what is kept is neither built nor copied again.
     """
 
-    _ARRAYS = ("start", "rank", "ptr", "piece", "next", "last", "log", "upto", "raw", "raw_size", "raw_at")
+    _ARRAYS = ("start", "begin", "ptr", "piece", "next", "log", "upto", "raw", "raw_size", "raw_at")
 
     def __init__(self, v: Pieces):
-        self.v, self.kept = v, _Numbers()
+        self.v, self.kept = v, {}
         self.room: dict[str, np.ndarray] = {}
         self.sizes = dict.fromkeys(self._ARRAYS, 0) | {"ptr": 1}  # ptr begins with a 0
 
-    def of(self, found: _Numbers) -> Lattice:
+    def of(self, found: dict[str, int]) -> Lattice:
         """The lattice of the tokens of ``found`` (keys without their first blank), which begin with the kept ones."""
-        new = Lattice([" " + t for t in islice(found, len(self.kept), None)], self.v)
-        nodes, edges, lost, raw = (self.sizes[name] for name in ("rank", "piece", "raw_size", "raw"))
+        new = Lattice(list(islice(found, len(self.kept), None)), self.v)
+        nodes, edges, lost, raw = (self.sizes[name] for name in ("begin", "piece", "raw_size", "raw"))
         new.start += nodes
-        new.rank += nodes
+        new.begin[new.begin >= 0] += 2 * edges
         new.next += nodes
         new.ptr = new.ptr[1:] + edges
         new.piece[new.piece < 0] -= lost
@@ -389,7 +451,7 @@ class Lattices:
             self.room[name][at:end] = added
             setattr(out, name, self.room[name][:end])
         if len(self.kept) < KEPT:
-            self.kept, self.sizes = _Numbers(found), sizes
+            self.kept, self.sizes = dict(found), sizes
         return out
 
 
@@ -407,59 +469,58 @@ def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
     ``lattices`` carries what the groups of a task share; it changes no result.
     """
     lattices = lattices or Lattices(v)
-    rows, found, tokens = len(texts), _Numbers(lattices.kept), []
-    for t in texts:
-        tokens.append(np.array(list(map(found.__getitem__, _keys(t))) if t else [], dtype=np.int64))
+    rows, found = len(texts), _numbers(lattices.kept)
+    tokens = [_keys(t) if t else [] for t in texts]
+    size = np.array([len(x) for x in tokens], dtype=np.int64)
+    flat = np.fromiter(map(found.__getitem__, chain.from_iterable(tokens)), dtype=np.int64, count=int(size.sum()))
     lat = lattices.of(found)
     key = mix(np.array(keys, dtype=np.int64).view(_U) + _U(0xC0FFEE))
-    count = np.array([len(x) for x in tokens])
-    row = np.repeat(np.arange(rows), count)
-    flat = np.concatenate(tokens) if rows else np.zeros(0, np.int64)
-    first = np.cumsum(count) - count
-    ordinal = np.arange(len(flat)) - np.repeat(first, count)
+    row = np.repeat(np.arange(rows), size)
+    first = np.cumsum(size) - size
+    ordinal = np.arange(len(flat)) - np.repeat(first, size)
     root = -np.log(-np.log(_uniform(key, 0)))
-    paths = [_Path(lat, key, 0, row, ordinal, lat.start[flat], np.zeros(rows), root, rows)]
+    paths = [_Path(lat, key, 0, row, ordinal, lat.start[flat], np.zeros(rows), root, rows, k)]
     # a path is (parent, decisions kept from it, drawn edge or None): (number in paths, upto, edge)
     done = [[((None, 0, None, 0), float(root[r]), float(paths[0].end_phi[r]))] for r in range(rows)]
-    heaps: list[list] = [[(-b, 0, i, ()) for b, i in x] for x in paths[0].best(rows, k)]
+    heaps: list[list] = [[(-b, 0, i, ()) for b, i in x] for x in paths[0].best]
     for h in heaps:
         heapq.heapify(h)
     lineage = [[(None, 0, None, 0)] for _ in range(rows)]
     for turn in range(1, k):
         start_row, start_ordinal, start_node, phi, top = [], [], [], np.zeros(rows), np.zeros(rows)
         grown: dict[int, tuple] = {}
-        for r in range(rows):
-            if not heaps[r]:
-                continue
-            value, p, i, barred = heapq.heappop(heaps[r])
+        popped = [(r, *heapq.heappop(h)) for r, h in enumerate(heaps) if h]
+        at, barred = [x[3] for x in popped], [len(x[4]) or 1 for x in popped]
+        seed = _seed(key[np.array([x[0] for x in popped], dtype=np.int64)], turn, at, barred)
+        which, stay = (_noise(_seed(seed, x, at=3)).tolist() for x in (2, 3))
+        for (r, value, p, i, barred), u, u_stay in zip(popped, which, stay):
             value, path = -value, paths[p]
             taken = path.edge[i]
             node = int(np.searchsorted(lat.ptr, taken, side="right") - 1)
             barred = barred or (int(taken),)
             options = [e for e in range(lat.ptr[node], lat.ptr[node + 1]) if e not in barred]
             w = np.exp(lat.log[options])
-            u = _uniform(key[r:r + 1], turn, i, len(barred), 2)[0]
             e = options[min(int(np.searchsorted(np.cumsum(w) / w.sum(), u)), len(options) - 1)]
             rest = w.sum() - np.exp(lat.log[e])
             if len(options) > 1 and rest > 1e-15:
-                u = _uniform(key[r:r + 1], turn, i, len(barred), 3)
-                b = _truncated(np.array([path.before[i] + np.log(rest)]), np.array([value]), u)[0]
+                b = _truncated(path.before(i, r) + np.log(rest), value, u_stay)
                 heapq.heappush(heaps[r], (-float(b), p, i, barred + (e,)))
             grown[r] = (p, i - int(path.first[r]), e)
-            phi[r], top[r] = path.before[i] + lat.log[e], value
-            t = int(path.ordinal[i])
-            if not lat.last[e]:
+            phi[r], top[r] = path.before(i, r) + lat.log[e], value
+            t = int(path.ordinal[path.token(i)])
+            if lat.begin[lat.next[e]] >= 0:
                 start_row.append([r])
                 start_ordinal.append([t])
                 start_node.append([lat.next[e]])
-            later = np.arange(t + 1, count[r])
+            later = np.arange(t + 1, size[r])
             start_row.append(np.full(len(later), r))
             start_ordinal.append(later)
             start_node.append(lat.start[flat[first[r] + later]])
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        walk = _Path(lat, key, turn, join(start_row), join(start_ordinal), join(start_node), phi, top, rows)
+        # later pops, then the threshold
+        walk = _Path(lat, key, turn, join(start_row), join(start_ordinal), join(start_node), phi, top, rows, k - turn)
         paths.append(walk)
-        for r, found_open in enumerate(walk.best(rows, k - turn)):  # later pops, then the threshold
+        for r, found_open in enumerate(walk.best):
             if r in grown:
                 done[r].append(((*grown[r], len(paths) - 1), float(top[r]), float(walk.end_phi[r])))
                 for b, i in found_open:
@@ -479,15 +540,19 @@ def sample_group(texts: list[str], keys: list[int], v: Pieces, k: int,
         return 0 if parent is None else _depth(r, parent) + kept + 1
 
     by_number = [{o[0][3]: o[0] for o in x} for x in done]
+    chosen = [decisions(r, x[0]) for r in range(rows) for x in done[r]]
+    ends = np.cumsum([len(x) for x in chosen]).tolist()
+    pieces = lat.piece[np.concatenate(chosen)] if chosen else np.zeros(0, np.int32)
+    every = (pieces[a:b] for a, b in zip([0, *ends], ends))
+    if len(pieces) and pieces.min() < 0:
+        every = (lat.with_bytes(ids, v).astype(np.int32) for ids in every)
     out = []
     for r in range(rows):
-        threshold = -heaps[r][0][0] if heaps[r] else -np.inf
+        threshold = -heaps[r][0][0] if heaps[r] else -math.inf
         mine = []
-        for origin, value, phi_ in done[r]:
-            ids = lat.piece[decisions(r, origin)] if count[r] else np.zeros(0, np.int32)
-            ids = lat.with_bytes(ids, v)
-            inclusion = 1.0 if np.isneginf(threshold) else float(-np.expm1(-np.exp(min(phi_ - threshold, 50.0))))
-            mine.append((ids.astype(np.int32), min(0.0, phi_), value, inclusion))
+        for _, value, phi_ in done[r]:
+            inclusion = 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(phi_ - threshold, 50.0)))
+            mine.append((next(every), min(0.0, phi_), value, inclusion))
         out.append(mine)
     return out
 

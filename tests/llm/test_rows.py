@@ -310,3 +310,35 @@ def test_plain_vocabulary(pieces):
     texts, keys = ["the cat sat on the mat", "ほ x"], [4, 5]
     one, two = (sp_sampling.sample_group(texts, keys, v, 2) for v in (pieces, again))
     assert [[s[0].tolist() for s in r] for r in one] == [[s[0].tolist() for s in r] for r in two]
+
+
+def test_pieces_by_their_beginnings(pieces):
+    """From char to char, the table of beginnings leads to every piece and to nothing else."""
+    def walk(text):
+        slot = 0
+        for c in text:
+            to = pieces.base[slot] + pieces.classes[ord(c)]
+            if pieces.owner[to] != slot:
+                return -1
+            slot = to
+        return int(pieces.place[slot])
+    texts = [pieces.bytes_of[i].decode().replace(" ", sp_sampling.BLANK) for i in pieces.ids.tolist()]
+    assert [walk(t) for t in texts] == list(range(len(texts)))
+    known, others = set(texts), [t + c for t in texts[::50] for c in "aq\x00\U0010ffff"]
+    assert all((walk(t) >= 0) == (t in known) for t in others + [t[:-1] for t in texts[::50] if len(t) > 1])
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_open_nodes_far_behind_are_not_drawn(pieces, monkeypatch, k):
+    """A long text draws one value a decision and few beside them, with the samples that all open nodes give."""
+    rnd = np.random.default_rng(1)
+    texts = [" ".join(rnd.choice("alpha beta thing other running stations".split(), n)) for n in (3000, 1, 0, 40, 700)]
+    mixed, mix = [], sp_sampling.mix
+    monkeypatch.setattr(sp_sampling, "mix", lambda x: mixed.append(x.size) or mix(x))
+    near = sp_sampling.sample_group(texts, list(range(5)), pieces, k)
+    assert sum(mixed) < 1.1 * sum(len(s[0]) for r in near for s in r) + 1000
+    monkeypatch.setattr(sp_sampling, "SPREAD", np.inf)
+    mixed.clear()
+    every = sp_sampling.sample_group(texts, list(range(5)), pieces, k)
+    assert sum(mixed) > 1.5 * sum(len(s[0]) for r in every for s in r)
+    assert [[(s[0].tolist(), *s[1:]) for s in r] for r in near] == [[(s[0].tolist(), *s[1:]) for s in r] for r in every]
