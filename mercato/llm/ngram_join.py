@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mercato.llm.common import batches, discard, mix, partitions, small_batches, table, text_bytes, tidy, window_hashes, word_hashes, written
-from mercato.llm.components import connected
+from mercato.llm.components import stars
 
 WIDTH = 5
 PERCENT = 75
@@ -356,12 +356,13 @@ def _multiply(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     sized = pairs.groupBy("a").agg(F.count("*").alias("of"))
     blocks = (pairs.join(sized, "a")
               .withColumn("part", F.expr(f"cast(pmod(xxhash64(b), (of div {MEMBERS}) + 1) as int)")).select("a", "b", "part"))
-    asked = written(blocks.select("a", "part", F.col("b").alias("doc"), F.lit(True).alias("member")).unionByName(
-        blocks.select("a", "part", F.col("a").alias("doc"), F.lit(False).alias("member")).distinct()), "shingle-asked")
+    each = sized.withColumn("part", F.explode(F.expr(f"sequence(0, cast(of div {MEMBERS} as int))")))  # the pivot of every block
+    asked = blocks.select("a", "part", F.col("b").alias("doc"), F.lit(True).alias("member")).unionByName(
+        each.select("a", "part", F.col("a").alias("doc"), F.lit(False).alias("member")))
 
     def place(doc: str):
         return F.pmod(F.xxhash64(doc), F.lit(1 << ASKED_BITS))
-    marks = asked.select((place("doc") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("doc")).select((place("doc") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(1 << (ASKED_BITS - 3), dtype=np.uint8)
     for r in marks.collect():  # at most 2**ASKED_BITS bits, in slices of 4 KB
@@ -372,7 +373,6 @@ def _multiply(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     links = written(dealt.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "member")
                     .mapInArrow(tidy(_products(width, percent)), "a long, b long, overlap long"), "shingle-links")
     shared.destroy()
-    discard(asked)
     return links
 
 
@@ -421,53 +421,56 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _multiply(star, known, width, percent)
 
     # columns that hold several components: their other rows with a few pivots of the largest one
-    def open_columns(component: DataFrame) -> DataFrame:
-        cells = members.join(component.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    def open_columns(rows: DataFrame, linked: DataFrame) -> DataFrame:
+        cells = rows.join(linked.select(F.col("u").alias("doc"), F.col("v").alias("component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         parts = cells.groupBy("s", "component").agg(F.count("*").alias("k"))
         mixed = (parts.groupBy("s").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("major"))
                  .where("parts > 1").select("s", "major"))
         return written(cells.join(mixed, "s").select("s", "doc", "n", "place", "component",
                                                      (F.col("component") == F.col("major")).alias("is_major")), "shingle-open")
 
-    def pairs_of(minor: DataFrame, other: DataFrame, tried: DataFrame) -> DataFrame:
+    def pairs_of(minor: DataFrame, other: DataFrame) -> DataFrame:
         minor, other = minor.toDF("s", "x", "nx", "px", "cx", "mx").drop("mx"), other.toDF("s", "y", "ny", "py", "cy", "major")
         met = minor.join(other, "s").where("cx <> cy and (major or x < y)").where(room("nx", "px", "ny", "py"))
-        return untried(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), tried)
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
         return written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
 
     # columns of two: a document met one of its pivots only, the others still have to be asked where they lie apart
-    def apart(component: DataFrame) -> DataFrame:
+    def apart(linked: DataFrame) -> DataFrame:
         twos = counted.where("pair").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return (twos.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
+        return (twos.join(linked.select(F.col("u").alias("a"), F.col("v").alias("ca")), "a", "left")
+                .join(linked.select(F.col("u").alias("b"), F.col("v").alias("cb")), "b", "left")
                 .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
 
     tried, used = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [columns, star, copies, counted]
+    linked, still_open = stars(links), members
+    used.append(linked)
     for turn in range(ROUNDS):
-        cells = open_columns(connected(links))
+        cells = open_columns(still_open, linked)
         nth = F.row_number().over(Window.partitionBy("s").orderBy("place", F.xxhash64(F.lit(turn), "doc")))
         picked = cells.where("is_major").withColumn("nth", nth).where(f"nth <= {PIVOTS}").drop("nth")
-        new = pairs_of(cells.where("not is_major"), picked, tried)
+        new = untried(pairs_of(cells.where("not is_major"), picked), tried)
         if not new.isEmpty():
-            links = links.unionByName(_multiply(new, known, width, percent))
-        tried = tried.unionByName(new)
+            found = _multiply(new, known, width, percent)
+            links, linked = links.unionByName(found), stars(linked.select("u", "v").union(found.select("a", "b")), "u", "v")
+            used.append(linked)
+        tried, still_open = tried.unionByName(new), cells.select("s", "doc", "n", "place")  # a column of one component stays one
         used += [cells, new]
 
     # last product: what is still apart, each row outside a column's largest component with all others
-    component = connected(links)
-    cells = open_columns(component)
-    two = untried(apart(component), tried)
-    more = pairs_of(cells.where("not is_major"), cells, tried.unionByName(two))
-    last = more.unionByName(two)
+    cells = open_columns(still_open, linked)
+    last = untried(pairs_of(cells.where("not is_major"), cells).unionByName(apart(linked)), tried)
+    edges = linked.select("u", "v").union(copies.select("doc_id", "rep"))
     if not last.isEmpty():
-        links = links.unionByName(_multiply(last, known, width, percent))
+        found = _multiply(last, known, width, percent)
+        links, edges = links.unionByName(found), edges.union(found.select("a", "b"))
 
-    edges = links.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    final = connected(edges)
-    discard(*used, cells, two, more)  # the results read only set sizes, links and components
+    final = stars(edges, "u", "v")
+    discard(*used, cells, last)  # the results read only set sizes, links and components
     sketch.destroy()
-    out = (sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = (sizes.join(final.select(F.col("u").alias("doc_id"), F.col("v").alias("component")), "doc_id", "left")
            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
     return out, links
 

@@ -1,6 +1,8 @@
 """Joins, substrings and fingerprints against brute force."""
 import collections
 import hashlib
+import random
+import uuid
 
 import numpy as np
 import pytest
@@ -64,6 +66,29 @@ def test_components(spark):
     assert connected(edges.limit(0)).count() == 0
 
 
+def jobs_of(spark, run):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_paths_and_hubs(spark):
+    rnd = random.Random(3)
+    path, late = rnd.sample(range(1000, 9000), 700), rnd.sample(range(10_000, 20_000), 300)
+    edges = list(zip(path, path[1:])) + [(20_001, x) for x in late] + [(late[5], 20_002), (20_002, 7), (7, 7)]
+    got = {r.node: r.component for r in connected(spark.createDataFrame(edges * 3, "a long, b long")).collect()}
+    assert got == {x: min(path) for x in path} | {x: 7 for x in late + [20_001, 20_002, 7]}
+
+
+def test_components_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1 + i % 3) for i in range(0, 400, 5)] + [(1000, 1000 + i) for i in range(1, 400)], "a long, b long")
+    got, jobs = jobs_of(spark, lambda: connected(edges).count())
+    assert got == 560 and jobs <= 13
+
+
 def test_join_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -93,6 +118,15 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == brute_components(rows)
 
 
+def test_join_takes_few_jobs(spark):
+    """Each job is a shuffle of all partitions, however few rows are left: they, not the rows, take the time of many small partitions."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:7 + i % 40] + [f"e{i}"] + words[8 + i % 40:])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, jobs = jobs_of(spark, lambda: {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs)[0].collect()})
+    assert got == brute_components(rows) and jobs <= 140
+
+
 def test_join_documents_between_others(spark):
     """The middle of three shares its rare shingles with each of the others alone: columns of two rows, several pivots."""
     rows = []
