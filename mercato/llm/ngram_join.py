@@ -131,7 +131,8 @@ def _sum_slices(size: int):
         now, total = None, np.zeros(size, dtype=np.uint64)
 
         def out():
-            return pa.record_batch([pa.array([now], pa.int32()), pa.array([total.tobytes()])], names=["slice", "counts"])
+            counts = np.minimum(total, 2**32 - 1).astype(np.uint32)
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([counts.tobytes()])], names=["slice", "counts"])
         for b in it:
             for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if k != now:
@@ -151,7 +152,7 @@ def _gathered_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     summed = (parts.repartition(max(1, (1 << bits) // step), "slice").sortWithinPartitions("slice")
               .mapInArrow(_sum_slices(step), "slice int, counts binary"))
     for row in summed.collect():
-        out[row.slice * step:(row.slice + 1) * step] = np.minimum(np.frombuffer(row.counts, dtype=np.uint64), 2**32 - 1)
+        out[row.slice * step:(row.slice + 1) * step] = np.frombuffer(row.counts, dtype=np.uint32)
     return out
 
 

@@ -5,6 +5,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,12 @@ def test_components_take_few_jobs(spark):
     assert got == 560 and jobs <= 13
 
 
+def test_sketch_comes_with_four_bytes_a_counter():
+    parts = pa.record_batch([pa.array([3, 3], pa.int32()), pa.array([ngram_join._packed(np.full(8, 2 ** 32 - 2, dtype=np.uint32))] * 2)], names=["slice", "counts"])
+    (out,) = ngram_join._sum_slices(8)(iter([parts]))
+    assert np.frombuffer(out.column(1)[0].as_py(), dtype=np.uint32).tolist() == [2 ** 32 - 1] * 8
+
+
 def test_join_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
