@@ -37,62 +37,66 @@ def _pick(idx: Column, values: list) -> Column:
 
 
 def _orders_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
+    """Orders with their customer and nation, in the columns of these tables; ``_order_columns`` derives the canonical ones."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderpriority")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     # nation has 25 rows by the TPC-H definition: a proven bound for broadcast
     n = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == n["n_nationkey"])
+
+
+def _order_columns() -> list[Column]:
     k = F.col("o_orderkey")
-    day = F.to_timestamp(F.col("o_orderdate"))
     cancelled = F.col("o_orderstatus") == "P"
     promo = (k % 4) == 0
-    return (
-        o.join(c, o["o_custkey"] == c["c_custkey"])
-        .join(n, F.col("c_nationkey") == n["n_nationkey"])
-        .select(
-            k.alias("order_key"),
-            k.cast("string").alias("order_id"),
-            F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("email"),
-            F.col("o_orderdate").alias("date"),
-            F.when(F.col("o_orderstatus") == "F", "closed")
-            .when(F.col("o_orderstatus") == "O", "open")
-            .when(cancelled, "cancelled").alias("order_status"),
-            F.lit("paid").alias("payment_status"),
-            F.lit("shipped").alias("shipping_status"),
-            F.lit("USD").alias("currency"),
-            F.col("o_totalprice").alias("subtotal"),
-            F.when(promo, F.col("o_totalprice") * 0.1).otherwise(F.lit(0.0)).alias("discount"),
-            F.when((k % 3) == 0, F.lit(0.0)).otherwise((500 + 100 * (k % 7)).cast("double")).alias("shipping_cost"),
-            F.col("o_totalprice").alias("total"),
-            F.col("c_name").alias("customer_name"),
-            F.lit(None).cast("string").alias("phone"),
-            F.lit(None).cast("string").alias("shipping_address"),
-            F.concat(F.col("n_name"), F.lit("-"), (F.col("c_custkey") % 4).cast("string")).alias("city"),
-            F.lit(None).cast("string").alias("locality"),
-            F.col("n_name").alias("state"),
-            F.lit("AR").alias("country"),
-            F.lit(None).cast("string").alias("zip_code"),
-            F.concat(F.lit("M"), (k % 4).cast("string")).alias("shipping_method"),
-            F.col("c_mktsegment").alias("payment_method"),
-            F.when(promo, F.concat(F.lit("CUP"), (k % 3).cast("string"))).alias("coupon"),
-            F.col("o_orderdate").alias("payment_date"),
-            (F.col("o_orderdate") + F.make_interval(days=(k % 9).cast("int"))).alias("shipping_date"),
-            F.col("o_orderpriority").alias("channel"),
-            F.when(cancelled, F.col("o_orderdate") + F.make_interval(days=((k % 5) + 1).cast("int")))
-            .alias("cancellation_date"),
-            F.when(cancelled, F.concat(F.lit("r"), (k % 5).cast("string"))).alias("cancellation_reason"),
-        )
-    )
+    return [
+        k.alias("order_key"),
+        k.cast("string").alias("order_id"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+        F.col("o_orderdate").alias("date"),
+        F.when(F.col("o_orderstatus") == "F", "closed")
+        .when(F.col("o_orderstatus") == "O", "open")
+        .when(cancelled, "cancelled").alias("order_status"),
+        F.lit("paid").alias("payment_status"),
+        F.lit("shipped").alias("shipping_status"),
+        F.lit("USD").alias("currency"),
+        F.col("o_totalprice").alias("subtotal"),
+        F.when(promo, F.col("o_totalprice") * 0.1).otherwise(F.lit(0.0)).alias("discount"),
+        F.when((k % 3) == 0, F.lit(0.0)).otherwise((500 + 100 * (k % 7)).cast("double")).alias("shipping_cost"),
+        F.col("o_totalprice").alias("total"),
+        F.col("c_name").alias("customer_name"),
+        F.lit(None).cast("string").alias("phone"),
+        F.lit(None).cast("string").alias("shipping_address"),
+        F.concat(F.col("n_name"), F.lit("-"), (F.col("c_custkey") % 4).cast("string")).alias("city"),
+        F.lit(None).cast("string").alias("locality"),
+        F.col("n_name").alias("state"),
+        F.lit("AR").alias("country"),
+        F.lit(None).cast("string").alias("zip_code"),
+        F.concat(F.lit("M"), (k % 4).cast("string")).alias("shipping_method"),
+        F.col("c_mktsegment").alias("payment_method"),
+        F.when(promo, F.concat(F.lit("CUP"), (k % 3).cast("string"))).alias("coupon"),
+        F.col("o_orderdate").alias("payment_date"),
+        (F.col("o_orderdate") + F.make_interval(days=(k % 9).cast("int"))).alias("shipping_date"),
+        F.col("o_orderpriority").alias("channel"),
+        F.when(cancelled, F.col("o_orderdate") + F.make_interval(days=((k % 5) + 1).cast("int")))
+        .alias("cancellation_date"),
+        F.when(cancelled, F.concat(F.lit("r"), (k % 5).cast("string"))).alias("cancellation_reason"),
+    ]
 
 
 def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order that has at least one line (what the line table implies)."""
     li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey"))
     base = _orders_base(spark, sf_dir)
-    return base.join(li, base["order_key"] == li["l_orderkey"], "left_semi")
+    return base.join(li, base["o_orderkey"] == li["l_orderkey"], "left_semi").select(*_order_columns())
 
 
 def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines: lineitem joined to its order, customer, nation and part."""
+    """Order lines: lineitem joined to its part, order, customer and nation.
+
+    What the joins deal out are the tables' own columns, the orders' only once they meet their lines; the
+    canonical columns, several times as wide, are derived from the joined rows.
+    """
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount")
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
@@ -102,10 +106,10 @@ def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = _pick(F.col("p_size") % 4, ["s", "m", "l", "xl"])
     orders = _orders_base(spark, sf_dir)
     return (
-        li.join(orders, li["l_orderkey"] == orders["order_key"])
-        .join(p, li["l_partkey"] == p["p_partkey"])
+        li.join(p, li["l_partkey"] == p["p_partkey"])
+        .join(orders, li["l_orderkey"] == orders["o_orderkey"])
         .select(
-            *[c for c in orders.columns],
+            *_order_columns(),
             F.col("l_linenumber").alias("line_no"),
             F.concat(F.col("p_name"), F.lit(" - "), F.col("p_type")).alias("product_name"),
             (F.col("p_retailprice") * (1 - F.col("l_discount")) * factor).alias("product_price"),

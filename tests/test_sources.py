@@ -419,3 +419,73 @@ def test_rows_are_not_dealt_by_file(spark, tmp_path, tiny_ranges):
     assert "Exchange" not in plan and "from_csv" not in plan
     got = lines.orderBy(F.col("order_id").cast("int")).select("total").collect()
     assert [r[0] for r in got[:8]] == [1234.5, 12.5, -7.0, None, 12.0, None, None, None] and len(got) == 4000
+
+
+def _order_lines(spark, n):
+    return spark.range(n).select(
+        (F.col("id") / 4).cast("int").cast("string").alias("order_id"), F.lit("a@x").alias("email"), F.lit("closed").alias("order_status"),
+        F.lit(dt.datetime(2024, 12, 31, 10, 5)).alias("date"), F.lit(99.5).alias("total"), F.concat(F.lit("Ñandú; "), "id").alias("product_name"),
+        F.lit(2).alias("product_qty"))
+
+
+def test_an_export_takes_little_disk(spark, tmp_path, monkeypatch):
+    """Export and scratch tables of one read stay below the text itself; files are short, as a task reads one whole."""
+    from pathlib import Path
+
+    from mercato.sources import exports, ranges
+    labels, kept = [], []
+    for module in (exports, ranges):
+        def spy(df, label, *rest, real=module.written):
+            labels.append(label)
+            kept.append(real(df, label, *rest))
+            return kept[-1]
+        monkeypatch.setattr(module, "written", spy)
+    monkeypatch.setattr(store, "EXPORT_ROWS", 700, raising=False)
+    store.export_tiendanube_csv(_order_lines(spark, 6000).repartition(2, "order_id"), str(tmp_path / "x"))
+    files = [p for p in (tmp_path / "x").iterdir() if p.name.startswith("part-")]
+    text = sum(len(r["value"].encode()) + 1 for r in spark.read.text(str(tmp_path / "x")).collect())
+    lines, platform = store.read_store_csv(spark, str(tmp_path / "x"))
+    got = lines.select("order_id", "email", "order_status", "date", "total", "product_name", "product_qty")
+    want = _order_lines(spark, 6000)
+    assert platform == "tiendanube" and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    held = [p for t in kept for p in Path(t._written_at.removeprefix("file:")).rglob("part-*")]
+    assert sum(p.stat().st_size for p in [*files, *held]) < text / 2
+    assert len(files) >= 8 and "range-parts" not in labels
+    assert kept[labels.index("export-fields")].where("part = 0 and record is not null").isEmpty()
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {str(x) for x in _each(blocks.getAllFiles())}
+    store.export_tiendanube_csv(_order_lines(spark, 4000).repartition(3, "order_id"), str(tmp_path / "x"))
+    left = {str(x) for x in _each(blocks.getAllFiles())} - before
+    assert not [x for x in left if "shuffle_" in x], left
+
+
+def _each(scala_seq):
+    it = scala_seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def test_headers_above_and_inside_records(spark, tmp_path, tiny_ranges):
+    """Rows above a header and its repeats are no rows; a header line that stands inside quotes only is an error."""
+    head = "Campaign,Day,Clicks,Cost (USD)\r\n"
+    rows = [f"C{i},2024-01-01,{i},1\r\n" for i in range(400)]
+    text = f'"All\n{"time " * 90}\n",x\r\nnotes,more,and,more,yet\r\n' + head + "".join(rows[:200]) + head + '"C\nx",2024-01-02,7,1\r\n' + "".join(rows[200:])
+    got, kind, _ = search.read_ads_csv(spark, _write(tmp_path, "ads.csv", text))
+    assert kind == "campaign" and tuple(got.agg(F.count("*"), F.sum("clicks"), F.sum("cost")).first()) == (401, sum(range(400)) + 7, 401.0)
+    with pytest.raises(Exception, match="inside a quoted field: Campaign,Day"):
+        search.read_ads_csv(spark, _write(tmp_path, "lost.csv", f'a,"b\n{head}",c\nd,e,f\n'))
+
+
+def test_line_view_deals_out_the_tables_own_columns(spark):
+    """Columns derived from an order are made once its lines have met it, not carried through the joins."""
+    from mercato.sources.fixtures import lines_view
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lines_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < plan.rindex("@example.com") < plan.index("Exchange hashpartitioning")
