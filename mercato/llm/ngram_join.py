@@ -110,7 +110,7 @@ def _sizes_and_sketch(width: int, bits: int):
             rows = []
             for text in text_bytes(b.column(1)):
                 s = shingle_set(text, width)
-                np.add.at(sketch, (s & mask).astype(np.int64), 1)
+                np.add.at(sketch, (s & mask).astype(np.int64), np.uint32(1))  # of the sketch's own type: numpy adds it unconverted
                 rows.append((len(s), *_signature(s)))
             any_rows = any_rows or bool(rows)
             n, h1, h2 = (np.array(x, dtype=np.int64) for x in zip(*rows)) if rows else ([], [], [])

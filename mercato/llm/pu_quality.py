@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mercato.llm.common import batches, discard, small_batches, table, text_bytes, tidy, window_hashes, word_hashes, written
+from mercato.llm.common import batches, discard, small_batches, table, text_bytes, tidy, window_hashes, words_of, written
 
 RIDGE = 1e-3
 STEPS = 12
@@ -44,25 +44,31 @@ for _i, _c in enumerate(CLASSES):
 _ENDS = tuple(bytes([x]) for x in b".!?:;\"')")
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """How often each distinct value comes."""
+    x = np.sort(x)
+    return np.diff(np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))))
+
+
 def features(data: bytes | None) -> np.ndarray:
     """Statistics of a text: byte shares, word lengths, repetition and line shape."""
     data = data or b""
     n = max(1, len(data))
     shares = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256) @ _CLASS / n
-    parts = data.split()
-    k = max(1, len(parts))
-    sizes = np.fromiter(map(len, parts), dtype=np.float64, count=len(parts)) if parts else np.zeros(1)
-    words = word_hashes(data)
+    words, lengths = words_of(data)
+    count = len(words)
+    k = max(1, count)
+    sizes = lengths.astype(np.float64) if count else np.zeros(1)
     threes = window_hashes(words, 3)
-    seen = np.unique(words, return_counts=True)[1] if parts else np.zeros(1)
-    kinds, top, fresh = len(seen), seen.max() / k, len(np.unique(threes)) / max(1, len(threes)) if len(threes) else 1.0
+    seen = _runs(words) if count else np.zeros(1)
+    kinds, top, fresh = len(seen), seen.max() / k, len(_runs(threes)) / len(threes) if len(threes) else 1.0
     lines = [x for x in data.split(b"\n") if x.strip()]
     m = max(1, len(lines))
     out = np.concatenate((
         np.sqrt(shares), np.minimum(shares * 20, 1.0),
-        [np.log1p(len(parts)), min(1.0, len(parts) / 30), sizes.mean() / 10, sizes.std() / 10, sizes.max() > 40,
+        [np.log1p(count), min(1.0, count / 30), sizes.mean() / 10, sizes.std() / 10, sizes.max() > 40,
          kinds / k, 1 - fresh, 1 - len(set(lines)) / m,
-         sum(x.rstrip().endswith(_ENDS) for x in lines) / m, np.log1p(len(parts) / m), np.log1p(m),
+         sum(x.rstrip().endswith(_ENDS) for x in lines) / m, np.log1p(count / m), np.log1p(m),
          top, max(0.0, top - 0.3) * 3, max(0.0, 0.35 - kinds / k) * 3 * (k > 20), max(0.0, 0.5 - fresh) * 2]))
     return out.astype(np.float32)
 

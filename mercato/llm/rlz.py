@@ -50,17 +50,16 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def chosen_blocks(words: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all blocks, and for each window the place of its block (the leftmost smallest)."""
-    hashes = window_hashes(words, block, salt=block)
-    n, span = len(words) - window + 1, window - block + 1
-    if n <= 0:
-        return hashes, np.zeros(0, dtype=np.int64)
-    place = np.empty(n, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        view = np.lib.stride_tricks.sliding_window_view(hashes[at:min(n, at + (1 << 16)) + span - 1], span)
-        place[at:at + len(view)] = view.argmin(axis=1) + np.arange(at, at + len(view))
-    return hashes, place
+def chosen_blocks(words: np.ndarray, window: int, block: int) -> np.ndarray:
+    """For each window the hash of its block, the smallest of the window's."""
+    least, span = window_hashes(words, block, salt=block), window - block + 1
+    if len(words) < window:
+        return least[:0]
+    k = 1  # blocks that an entry is the least of; twice as many with each turn
+    while k < span:
+        more = min(k, span - k)
+        least, k = np.minimum(least[:-more], least[more:]), k + more
+    return least
 
 
 def _sequences(window: int, block: int):
@@ -74,8 +73,9 @@ def _sequences(window: int, block: int):
                 if len(parts) < window:
                     blocks.append([])
                 else:
-                    hashes, place = chosen_blocks(word_hashes(text), window, block)
-                    blocks.append(np.unique(hashes[place]).view(np.int64))
+                    chosen = chosen_blocks(word_hashes(text), window, block)
+                    new = np.concatenate(([True], chosen[1:] != chosen[:-1]))  # neighbours mostly share their block
+                    blocks.append(np.unique(chosen[new]).view(np.int64))
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))],
                                   names=["doc_id", "raw", "n_words", "sha", "blocks"])
     return run
@@ -89,11 +89,10 @@ def _phrases(window: int, block: int, crowd: int):
             docs, texts, shared = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
             for doc, nth, text, wanted in zip(docs, texts, text_bytes(b.column(2)), shared):
                 words = word_hashes(text)
-                hashes, place = chosen_blocks(words, window, block)
+                mine = chosen_blocks(words, window, block)
                 keys = np.array([w["block"] for w in wanted], dtype=np.int64).view(_U)
                 order = np.argsort(keys)
                 keys, many = keys[order], np.array([w["k"] for w in wanted], dtype=np.int64)[order]
-                mine = hashes[place]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == mine)
                 phrase = window_hashes(words, window)

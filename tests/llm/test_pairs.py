@@ -254,3 +254,19 @@ def test_gear_is_the_rolling_hash(monkeypatch):
     whole = fp.boundaries(data)
     monkeypatch.setattr(fp, "PIECE", 100)
     assert fp.boundaries(data) == whole
+
+
+def test_words_and_window_minima():
+    """Hashes and sizes of all words, and each window's least block, against plain loops; long texts come in pieces."""
+    from mercato.llm import common, pu_quality
+    for text in (b"", b" \t\n", b"one", b"\x0bone\x0ctwo\r\n three \xc3\xa9\x85\xa0 ", b"a bb ccc dddd " * 90, b"word\x00s " * 200_000):
+        words, sizes = common.words_of(text, lower=True)
+        assert sizes.tolist() == [len(w) for w in text.split()]
+        assert [int(w) for w in words[:300]] == [int(common.word_hashes(w, lower=True)[0]) for w in text.split()[:300]]
+    rnd = np.random.default_rng(3)
+    for n, window, block in ((0, 5, 2), (4, 5, 2), (5, 5, 5), (60, 5, 2), (300, 50, 20), (300, 50, 1), (64, 64, 3)):
+        words = rnd.integers(0, 40, n).astype(np.uint64)
+        hashes = common.window_hashes(words, block, salt=block)
+        assert rlz.chosen_blocks(words, window, block).tolist() == [
+            int(hashes[i:i + window - block + 1].min()) for i in range(max(0, n - window + 1))]
+    assert sorted(pu_quality._runs(np.array([3, 1, 3, 3, 2], dtype=np.uint64)).tolist()) == [1, 1, 3]
